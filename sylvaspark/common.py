@@ -98,3 +98,9 @@ def trimmed(c: Column) -> Column:
 
 def row_rank(keys: list[str], *order: Column) -> Column:
     return F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+
+
+def spread(df: DataFrame, waves: int = 3) -> DataFrame:
+    """Rows over enough tasks for work that is heavy per row; input that already has enough partitions is not shuffled."""
+    wanted = waves * df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
