@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sylvaspark.llm import lookalikes
+from sylvaspark.llm import encoding, lookalikes, packing
 
-MODULES = [lookalikes]
+MODULES = [lookalikes, encoding, packing]
 
 
 def queries() -> dict:
