@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sylvaspark.llm import encoding, lookalikes, packing
+from sylvaspark.llm import encoding, lookalikes, packing, splitting
 
-MODULES = [lookalikes, encoding, packing]
+MODULES = [lookalikes, encoding, packing, splitting]
 
 
 def queries() -> dict:
