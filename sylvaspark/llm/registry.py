@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sylvaspark.llm import encoding, lookalikes, packing, splitting
+from sylvaspark.llm import encoding, lookalikes, packing, responses, splitting
 
-MODULES = [lookalikes, encoding, packing, splitting]
+MODULES = [lookalikes, encoding, packing, responses, splitting]
 
 
 def queries() -> dict:
