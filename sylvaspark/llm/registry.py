@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sylvaspark.llm import encoding, lookalikes, packing, responses, splitting
+from sylvaspark.llm import encoding, lookalikes, mapping, packing, responses, splitting, survivors
 
-MODULES = [lookalikes, encoding, packing, responses, splitting]
+MODULES = [lookalikes, encoding, packing, responses, splitting, mapping, survivors]
 
 
 def queries() -> dict:
