@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sylvaspark.llm import encoding, lookalikes, mapping, packing, responses, splitting, survivors
+from sylvaspark.llm import encoding, lookalikes, mapping, packing, responses, splitting, subjects, survivors
 
-MODULES = [lookalikes, encoding, packing, responses, splitting, mapping, survivors]
+MODULES = [lookalikes, encoding, packing, responses, splitting, mapping, survivors, subjects]
 
 
 def queries() -> dict:
