@@ -111,23 +111,29 @@ def places(text: str, code: str | None, source: str | None, kind: str | None) ->
     return (f"host {host.group(1).lower()}" if host else f"code {prefix.group(1).upper()}" if prefix else ""), f"{source or ''}/{kind or ''}"
 
 
-def accuracies(patterns: dict[tuple[str, ...], int], subjects: list[str], rounds: int = 50) -> tuple[np.ndarray, dict[tuple[str, ...], np.ndarray]]:
-    """Accuracy of each function, and the posterior over subjects of each vote pattern."""
+def posterior(votes: np.ndarray, acc: np.ndarray, k: int) -> np.ndarray:
+    """Probability of each of k subjects for each row of votes (places of subjects, -1 for none)."""
+    logs = np.zeros((len(votes), k))
+    for j in range(votes.shape[1]):
+        there = votes[:, j] >= 0
+        logs[there] += np.log((1 - acc[j]) / max(k - 1, 1))
+        logs[there, votes[there, j]] += np.log(acc[j]) - np.log((1 - acc[j]) / max(k - 1, 1))
+    post = np.exp(logs - logs.max(1, keepdims=True)) if len(votes) else logs
+    return post / post.sum(1, keepdims=True)
+
+
+def accuracies(patterns: dict[tuple[str, ...], int], subjects: list[str], rounds: int = 50) -> tuple[np.ndarray, dict[tuple[str, ...], int]]:
+    """Accuracy of each function, and the most probable subject of each vote pattern.
+
+    Section, address and source speak for a statement's surroundings: their votes help to learn accuracies and decide where the sample lexicon is silent, but do not overrule its vote."""
     k, m = len(subjects), len(FUNCTIONS)
     place = {s: i for i, s in enumerate(subjects)}
     keys = sorted(patterns)
-    votes = np.array([[place.get(v, -1) for v in p] for p in keys]).reshape(len(keys), m)
+    votes = np.array([[place.get(v, -1) for v in p] for p in keys], dtype=int).reshape(len(keys), m)
     n = np.array([patterns[p] for p in keys], dtype=float)
     acc = np.array([0.9, 0.8, 0.7, 0.3, 0.3])
-    post = np.full((len(keys), k), 1 / max(k, 1))
     for _ in range(rounds if len(keys) and k > 1 else 0):
-        logs = np.zeros((len(keys), k))
-        for j in range(m):
-            there = votes[:, j] >= 0
-            logs[there] += np.log((1 - acc[j]) / (k - 1))
-            logs[there, votes[there, j]] += np.log(acc[j]) - np.log((1 - acc[j]) / (k - 1))
-        post = np.exp(logs - logs.max(1, keepdims=True))
-        post /= post.sum(1, keepdims=True)
+        post = posterior(votes, acc, k)
         new = acc.copy()
         for j in range(m):
             there = votes[:, j] >= 0
@@ -137,7 +143,9 @@ def accuracies(patterns: dict[tuple[str, ...], int], subjects: list[str], rounds
         acc = new
         if done:
             break
-    return acc, dict(zip(keys, post))
+    own = votes.copy()
+    own[votes[:, 0] >= 0, 2:] = -1
+    return acc, dict(zip(keys, posterior(own, acc, k).argmax(1).tolist()))
 
 
 def sample_lexicon(samples: DataFrame, subject: str = "subject", text: str = "text", key: str = "sample_id", bound: int = SAMPLES) -> dict[str, str]:
@@ -223,7 +231,7 @@ def assign(docs: DataFrame, samples: DataFrame, areas: DataFrame) -> tuple[DataF
                 total = sum(ns)
                 mass = np.zeros(len(subjects))
                 for p, n in zip(ps, ns):
-                    mass[int(np.argmax(known.value[p]))] += max(n, total == 0)
+                    mass[known.value[p]] += max(n, total == 0)
                 share = mass / mass.sum()
                 order = sorted(range(len(subjects)), key=lambda i: (-round(share[i], 9), i))
                 rows.append((doc, subjects[order[0]], float(share[order[0]])))
