@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sylvaspark.operators import hierarchy
+from sylvaspark.operators import hierarchy, lexical
 
-MODULES = [hierarchy]
+MODULES = [hierarchy, lexical]
 
 
 def queries() -> dict:
