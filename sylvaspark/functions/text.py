@@ -15,6 +15,14 @@ NUMERALS = "零一二三四五六七八九十"
 NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)$"
 
 
+SPACE = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def strip(c: Column) -> Column:
+    """Without white space of any script at either end."""
+    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+
+
 def latin_tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(r"([a-z][a-z0-9]+)"), 1)
 
@@ -31,13 +39,13 @@ def tokens(c: Column) -> Column:
 
 
 def is_missing(c: Column, words: list[str] = ANSWER_MISSING, fold: bool = False) -> Column:
-    t = F.trim(c)
+    t = strip(c)
     return c.isNull() | (F.lower(t) if fold else t).isin(words)
 
 
 def clean(c: Column, words: list[str] = PLAN_MISSING) -> Column:
     """Trimmed text, '' for placeholders in any letter case."""
-    return F.when(is_missing(c, words, True), F.lit("")).otherwise(F.trim(c))
+    return F.when(is_missing(c, words, True), F.lit("")).otherwise(strip(c))
 
 
 def first_present(*columns: Column) -> Column:
@@ -47,17 +55,17 @@ def first_present(*columns: Column) -> Column:
 
 def name_list(c: Column) -> Column:
     """Names of a list in order, each once, without placeholders and trailing marks."""
-    parts = F.transform(F.split(c, r"[、,，;；/\s]+"), lambda x: F.regexp_replace(x, "^[。；;：:]+|[。；;：:]+$", ""))
-    return F.array_distinct(F.filter(parts, lambda x: ~F.trim(x).isin(ANSWER_MISSING)))
+    parts = F.transform(F.split(c, f"(?:[、,，;；/]|{SPACE})+"), lambda x: F.regexp_replace(x, "^[。；;：:]+|[。；;：:]+$", ""))
+    return F.array_distinct(F.filter(parts, lambda x: ~x.isin(ANSWER_MISSING)))
 
 
 def course_key(c: Column) -> Column:
     """A course name as it is compared: lower case, without a source suffix and punctuation."""
-    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(F.coalesce(c, F.lit("")))), r"转自\s*doc", ""), NAME_MARKS, "")
+    return F.regexp_replace(F.regexp_replace(F.lower(strip(F.coalesce(c, F.lit("")))), r"转自\s*doc", ""), NAME_MARKS, "")
 
 
 def number_or_null(c: Column) -> Column:
-    t = F.trim(c)
+    t = strip(c)
     return F.when(t.rlike(NUMBER), t.cast("double"))
 
 
@@ -80,9 +88,9 @@ def _numeral(n: Column) -> Column:
 def semester_display(c: Column) -> Column:
     """A semester as year of study: odd semesters are the first half of a year."""
     n = semester_column(c)
-    year = F.expr("0").cast("int") + F.floor((n + 1) / 2).cast("int")
+    year = F.floor((n + 1) / 2).cast("int")
     half = F.when(n % 2 == 1, "上").otherwise("下")
-    t = F.trim(c)
+    t = strip(c)
     a = F.regexp_extract(t, r"^(\d{1,4})\s*[-–~～至]\s*(\d{1,4})$", 1).try_cast("int")
     b = F.regexp_extract(t, r"^(\d{1,4})\s*[-–~～至]\s*(\d{1,4})$", 2).try_cast("int")
     ya, yb = _numeral(F.floor((a + 1) / 2).cast("int")), _numeral(F.floor((b + 1) / 2).cast("int"))
@@ -116,7 +124,7 @@ def chapter_number(title: Column) -> Column:
 
 def core_program(c: Column, types: list[str]) -> Column:
     """A plan's title without its affixes: what precedes the school or year, then suffixes, longest first, as often as they occur, but never all of it."""
-    t = F.trim(F.coalesce(c, F.lit("")))
+    t = strip(F.coalesce(c, F.lit("")))
     for prefix in ("^.*学院", "^.*学校", r"^\d{4}\s*级"):
         t = F.regexp_replace(t, prefix, "")
     words = "|".join([*sorted((x for x in types if x), key=lambda x: (-len(x), x)), "培养方案", "教学计划", "专业"])

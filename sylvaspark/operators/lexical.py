@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvaspark.common import row_rank, table
+from sylvaspark.common import Steps, row_rank, table
 from sylvaspark.functions import text as X
 
 K1, B, TOP = 1.5, 0.75, 5
@@ -53,7 +53,8 @@ def query_terms(posts: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def _posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return postings(table(spark, sf_dir, "documents"))
+    """Postings of the documents, written once: statistics, query terms and matching all read them."""
+    return Steps(spark).write(postings(table(spark, sf_dir, "documents")))
 
 
 def o129_tokens(spark, sf_dir):

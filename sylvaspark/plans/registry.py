@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sylvaspark.operators import hierarchy, lexical
+from sylvaspark.operators import fields, hierarchy, lexical
 
-MODULES = [hierarchy, lexical]
+MODULES = [hierarchy, lexical, fields]
 
 
 def queries() -> dict:
