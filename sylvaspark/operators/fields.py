@@ -127,7 +127,7 @@ def o59_clarify(spark, sf_dir):
 def o62_core_program(spark, sf_dir):
     """Core name and college of every plan."""
     o = offerings(spark, sf_dir)
-    return o.select("program_name").where("program_name is not null").distinct().select("program_name", X.core_program(F.col("program_name"), PLAN_TYPES).alias("core"), X.college(F.col("program_name")).alias("college"))
+    return o.select("program_name").where("program_name is not null").distinct().select("program_name", X.core_program(F.regexp_replace("program_name", "（[^（）]*）$", ""), PLAN_TYPES).alias("core"), X.college(F.col("program_name")).alias("college"))
 
 
 # Plan types that end a plan's title.
@@ -314,7 +314,7 @@ SQL = {
     "o40_first_present": f"with {OFF} select offering_id, coalesce(" + ", ".join(f"case when not {_missing(c, X.ANSWER_MISSING)} then {c} end" for c in ("credits", "theory_credits", "practice_credits")) + ") as value from off",
     "o53_mask_titles": f"with {LOG} select query_id, regexp_replace(query, '《[^》]*》', '《》', 'g') as masked from lg",
     "o59_clarify": f"with {LOG}, n as (select query_id, query, coalesce(nullif(regexp_extract(query, '《([^《》]+)》', 1), ''), '课程名') as c from lg where query is not null) select query_id, case when regexp_matches(query, '老师|教师|任课|授课|负责人') then ['《' || c || '》的任课老师是谁？', '《' || c || '》的主要内容是什么？', '《' || c || '》怎么考核？'] else ['《' || c || '》的主要内容是什么？', '《' || c || '》有哪些章节？', '《' || c || '》怎么考核？'] end as rewrites from n",
-    "o62_core_program": f"with {OFF} select distinct program_name, {core_sql('program_name')} as core, coalesce(nullif(regexp_extract(trim(program_name), '^(.*?学院)', 1), ''), '未标注学院') as college from off where program_name is not null",
+    "o62_core_program": f"with {OFF} select distinct program_name, {core_sql("regexp_replace(program_name, '（[^（）]*）$', '')")} as core, coalesce(nullif(regexp_extract(trim(program_name), '^(.*?学院)', 1), ''), '未标注学院') as college from off where program_name is not null",
     "o63_values_differ": f"with {OFF} select offering_id, case when ({_num('credits')}) is not null and ({_num('theory_credits')}) is not null then ({_num('credits')}) <> ({_num('theory_credits')}) else {strip_sql('credits')} <> {strip_sql('theory_credits')} end as differ from off where credits is not null and theory_credits is not null",
     "o127_course_key": f"with {SYL} select distinct course_name, {key_sql('course_name')} as key from syl",
     "o148_chinese_number": f"with {BLK}, x as (select node_id, regexp_extract(title, '([一二两三四五六七八九十百]+|[0-9]+)', 1) as t from blk) select node_id, {cn_sql('t')} as n from x",

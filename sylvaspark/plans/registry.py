@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sylvaspark.operators import fields, hierarchy, lexical
+from sylvaspark.operators import fields, hierarchy, lexical, linking
 
-MODULES = [hierarchy, lexical, fields]
+MODULES = [hierarchy, lexical, fields, linking]
 
 
 def queries() -> dict:
