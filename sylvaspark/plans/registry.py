@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sylvaspark.operators import fields, hierarchy, lexical, linking
+from sylvaspark.operators import fields, hierarchy, lexical, linking, vectors
 
-MODULES = [hierarchy, lexical, fields, linking]
+MODULES = [hierarchy, lexical, fields, linking, vectors]
 
 
 def queries() -> dict:
