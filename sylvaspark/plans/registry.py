@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sylvaspark.operators import fields, hierarchy, lexical, linking, vectors
+from sylvaspark.operators import fields, graphs, hierarchy, lexical, linking, vectors
 
-MODULES = [hierarchy, lexical, fields, linking, vectors]
+MODULES = [hierarchy, lexical, fields, linking, vectors, graphs]
 
 
 def queries() -> dict:
