@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sylvaspark.operators import fields, graphs, hierarchy, lexical, linking, vectors
+from sylvaspark.operators import fields, graphs, hierarchy, lexical, linking, programs, vectors
 
-MODULES = [hierarchy, lexical, fields, linking, vectors, graphs]
+MODULES = [hierarchy, lexical, fields, linking, vectors, graphs, programs]
 
 
 def queries() -> dict:
