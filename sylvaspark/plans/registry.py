@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sylvaspark.operators import fields, graphs, hierarchy, lexical, linking, programs, vectors
+from sylvaspark.operators import doctree, fields, graphs, hierarchy, lexical, linking, programs, vectors
 
-MODULES = [hierarchy, lexical, fields, linking, vectors, graphs, programs]
+MODULES = [hierarchy, lexical, fields, linking, vectors, graphs, programs, doctree]
 
 
 def queries() -> dict:
