@@ -246,13 +246,19 @@ def o295_relation_items(spark, sf_dir):
     return every.groupBy("a", "b").agg(F.min("d").alias("d")).groupBy(F.when(F.col("d") == 1, "direct").otherwise("indirect").alias("relation")).agg(F.count("*").alias("n"))
 
 
+def forward_fill(rows: DataFrame, keys: list[str], order: list[str], category: str, subcategory: str) -> DataFrame:
+    """Rows with the category of the row above where their own is null; the subcategory starts anew with each category."""
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    filled = rows.withColumn("_run", F.count(category).over(w)).withColumn(category, F.last(category, True).over(w))
+    w2 = Window.partitionBy(*keys, "_run").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return filled.withColumn(subcategory, F.last(subcategory, True).over(w2)).drop("_run")
+
+
 def o6_forward_fill(spark, sf_dir):
-    """Sheet rows with the category of the row above where their own is blank; the subcategory starts anew with each category."""
-    r = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") % 3 == 1, F.col("l_returnflag")).alias("cat"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_linestatus")).alias("sub"))
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
-    filled = r.withColumn("category", F.last("cat", True).over(w)).withColumn("run", F.count("cat").over(w))
-    w2 = Window.partitionBy("l_orderkey", "run").orderBy("l_linenumber")
-    return filled.withColumn("subcategory", F.last("sub", True).over(w2)).select("l_orderkey", "l_linenumber", "category", "subcategory")
+    """Order lines as sheet rows with sparse categories, filled from above."""
+    line = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+    r = table(spark, sf_dir, "lineitem").select("l_orderkey", *line, F.when(F.col("l_linenumber") % 3 == 1, F.col("l_returnflag")).alias("category"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_linestatus")).alias("subcategory"))
+    return forward_fill(r, ["l_orderkey"], line, "category", "subcategory").select("l_orderkey", "l_linenumber", "l_partkey", "category", "subcategory")
 
 
 def o123_part_number(spark, sf_dir):
@@ -329,7 +335,7 @@ SQL = {
     "o83_graph_records": f"with {_O}, {_LINK}, d as (select course_code from documents where course_code is not null), c as (select distinct course_code from course_catalog) select kind, count(*) as n from (select 'Course' as kind from c union all select 'Program' from (select distinct program_name from o where program_name is not null) union all select 'Document' from d union all select 'CONTAINS' from (select distinct program_name, code from o where program_name is not null and code in (select course_code from c)) union all select 'MENTIONS' from d where course_code in (select course_code from c) union all select 'PREREQUISITE_OF' from link) group by kind",
     "o16_replace_managed": "with n as (select doc_id, 'b2' as build from documents where doc_id % 10 <> 1), k as (select doc_id, 'manual' as build from documents where doc_id % 10 <> 0 and doc_id % 3 = 0 and doc_id not in (select doc_id from n)) select build, count(*) as n, sum(doc_id)::bigint as ids from (select * from n union all select * from k) group by 1",
     "o295_relation_items": f"with {_LINK}, e as (select code as a, parent as b from link), r as (select a, b, 1 as d from e union all select x.a, y.b, 2 from e x join e y on x.b = y.a union all select x.a, z.b, 3 from e x join e y on x.b = y.a join e z on y.b = z.a), m as (select a, b, min(d) as d from r where a <> b group by all) select case when d = 1 then 'direct' else 'indirect' end as relation, count(*) as n from m group by 1",
-    "o6_forward_fill": "with r as (select l_orderkey, l_linenumber, case when l_linenumber % 3 = 1 then l_returnflag end as cat, case when l_linenumber % 2 = 0 then l_linestatus end as sub from lineitem), f as (select *, last_value(cat ignore nulls) over (partition by l_orderkey order by l_linenumber rows unbounded preceding) as category, count(cat) over (partition by l_orderkey order by l_linenumber rows unbounded preceding) as run from r) select l_orderkey, l_linenumber, category, last_value(sub ignore nulls) over (partition by l_orderkey, run order by l_linenumber rows unbounded preceding) as subcategory from f",
+    "o6_forward_fill": "with r as (select l_orderkey, l_linenumber, l_partkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) as o, case when l_linenumber % 3 = 1 then l_returnflag end as cat, case when l_linenumber % 2 = 0 then l_linestatus end as sub from lineitem), f as (select *, last_value(cat ignore nulls) over (partition by l_orderkey order by o rows unbounded preceding) as category, count(cat) over (partition by l_orderkey order by o rows unbounded preceding) as run from r) select l_orderkey, l_linenumber, l_partkey, category, last_value(sub ignore nulls) over (partition by l_orderkey, run order by o rows unbounded preceding) as subcategory from f",
     "o123_part_number": "select l_orderkey, l_linenumber, row_number() over (partition by l_orderkey, l_returnflag order by l_linenumber)::int as part from lineitem",
     "o125_spread": f"with {OFF}, r as (select offering_id, program_name, row_number() over (partition by program_name order by offering_id) as r from off where program_name is not null) select offering_id, program_name from r order by r > 1, offering_id limit 40",
     "o236_quota": "with g as (select event_type, count(*) as n from events group by 1), q as (select *, (100 - count(*) over ()) * n / sum(n) over () as exact, count(*) over () as k from g), b as (select *, floor(exact) as base, row_number() over (order by exact - floor(exact) desc, event_type) as place from q) select event_type, (1 + base + (place <= (100 - k) - sum(base) over ())::int)::bigint as seats from b",

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sylvaspark.operators import doctree, fields, graphs, hierarchy, lexical, linking, programs, vectors
+from sylvaspark.operators import doctree, fields, graphs, hierarchy, lexical, linking, metrics, programs, refresh, vectors
 
-MODULES = [hierarchy, lexical, fields, linking, vectors, graphs, programs, doctree]
+MODULES = [hierarchy, lexical, fields, linking, vectors, graphs, programs, doctree, metrics, refresh]
 
 
 def queries() -> dict:
