@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sylvaspark.common import row_rank, table
 from sylvaspark.functions import text as X
-from sylvaspark.operators.fields import cn_sql
+from sylvaspark.operators.fields import clean_sql, cn_sql
 from sylvaspark.plans.inputs import BLK, blocks
 
 # What makes a line a heading, with its level, in order.
@@ -265,6 +265,8 @@ _PATH = f"{_L}, x as (select *, " + ", ".join(f"max(case when level = {n} then p
 _NUM = cn_sql("regexp_extract(title, '第\\s*([一二两三四五六七八九十百\\d]+)\\s*[章讲节周]', 1)")
 _B = f"{BLK}, b as (select *, coalesce(chapter_no::int, {_NUM}) as chapter from blk)"
 _LAT = f"{_B}, la as (select course_code, arg_max(document_hash, (coalesce(try_cast(regexp_extract(source_year, '^(\\d+)', 1) as int), 0), coalesce(try_cast(regexp_extract(source_year, '^\\d+-(\\d+)', 1) as int), 0), document_hash)) as document_hash from b where course_code is not null group by 1), ch as (select b.* from b join la using (course_code, document_hash) where kind = 'chapter')"
+_PAT = "'^([^：:]{1,12})[：:](.+)$'"
+_INFO = f"{_A}, kv as (select doc_id, pos, regexp_extract(line, {_PAT}, 1) as k, regexp_extract(line, {_PAT}, 2) as v from l), fl as (select doc_id, pos, case when lower(k) in ('课程名称', 'course') then 'name' when contains(k, '学分') then 'credits' when contains(k, '学时') then 'hours' when lower(k) in ('问', 'q') then 'question' when lower(k) in ('答', 'a') then 'answer' end as field, {clean_sql('v')} as value from kv), bi as (select doc_id, field, arg_min(value, pos) as value from fl where field is not null and value <> '' group by all)"
 SQL = {
     "o42_heading_level": f"with {_L} select doc_id, pos, level from l where level is not null",
     "o43_single_level": f"with {_A} select doc_id, pos from l where regexp_matches(line, '^[一二三四五六七八九十]+、') and length(line) < 40",
@@ -283,6 +285,8 @@ SQL = {
     "o202_header_chunks": f"with {_B} select document_hash, node_id, chunk_ids[1] as header from b where kind = 'section' and len(chunk_ids) > 0",
     "o203_coverage": f"with {_LAT}, c as (select course_code, node_id, trim(regexp_replace(title, '^第[一二三四五六七八九十0-9]+[章讲节周]', '')) as topic from ch), j as (select c.course_code, node_id, max(coalesce(contains(text, topic), false)::int) as hit from c left join (select course_code, text from documents where course_code is not null and text is not null) d using (course_code) where topic <> '' group by all) select course_code, sum(hit)::bigint as covered, count(*) as total from j group by 1",
     "o205_week": f"with {_B} select document_hash, arg_min(node_id, (coalesce(chapter, 999), node_id)) as node_id from b where regexp_matches(text, '第\\s*(5|五)\\s*周') group by 1",
+    "o146_basic_info": f"with {_INFO} select * from bi",
+    "o147_profile": f"with {_INFO} select doc_id, max(value) filter (field = 'name') as name, count(*) as fields from bi group by 1",
     "o113_order": f"with {_B} select document_hash, node_id, row_number() over (partition by document_hash order by case kind when 'section' then 0 when 'schedule' then 1 else 2 end, coalesce(chapter, 999), node_id)::int as place from b",
     "o114_select": f"with {_B}, r as (select *, row_number() over (partition by course_code order by node_id)::int as r from b where course_code is not null), s as (select course_code, min(r) as sr, arg_min(node_id, r) as sn from r where kind = 'schedule' group by 1) select course_code, r, case when r = 10 and sr > 10 then sn else node_id end as node_id from r left join s using (course_code) where r <= 10",
     "o263_citations": f"with {_B}, c as (select course_code, source_year, kind, min(node_id) as f from b where course_code is not null group by all) select course_code, source_year, kind, row_number() over (partition by course_code order by f)::int as place from c",

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from sylvaspark.common import first_by, row_rank, table
 from sylvaspark.functions import text as X
-from sylvaspark.operators.fields import clean_sql, column_sql
+from sylvaspark.operators.fields import PLAN_TYPES, clean_sql, column_sql, core_sql
 from sylvaspark.operators.hierarchy import parent_links
-from sylvaspark.operators.linking import _CODE
+from sylvaspark.operators.linking import _CODE, _TITLE
 from sylvaspark.operators.vectors import _VOTE, _votes
 from sylvaspark.plans.inputs import CAT, OFF, SYL, catalog, offerings, syllabi
 
@@ -134,8 +134,6 @@ def o91_occurrences(spark, sf_dir):
 
 def o95_program_catalog(spark, sf_dir):
     """Distinct courses of each plan by college and core name, in display order."""
-    from sylvaspark.operators.fields import PLAN_TYPES
-
     o = _off(spark, sf_dir).where("program_name is not null")
     g = o.groupBy("program_name").agg(F.countDistinct("code").alias("courses"), F.min("program_type").alias("program_type"))
     core = X.core_program(F.regexp_replace("program_name", "（[^（）]*）$", ""), PLAN_TYPES)
@@ -322,6 +320,8 @@ SQL = {
     "o89_majority": f"with {_O}, g as (select code, course_category as c, count(*) as n, min(offering_id) as f from o where course_category is not null group by all) select code, arg_min(c, (-n, f)) as category from g group by 1",
     "o90_unique_values": f"with {_O}, g as (select code, {clean_sql('semester')} as s, min(offering_id) as f from o group by all) select code, string_agg(s, '|' order by f) as semesters from g where s <> '' group by 1",
     "o91_occurrences": f"with {_O} select code, program_name, count(*) as n, arg_min(instructor, offering_id) filter ({clean_sql('instructor')} <> '') as instructor from o where program_name is not null group by all",
+    "o95_program_catalog": f"with {_O}, g as (select program_name, count(distinct code) as courses, min(program_type) as program_type from o where program_name is not null group by 1), x as (select coalesce(nullif(regexp_extract(trim(program_name), '^(.*?学院)', 1), ''), '未标注学院') as college, {core_sql(_TITLE)} as core, * from g) select *, row_number() over (partition by college, core order by coalesce(nullif(coalesce(list_position({PLAN_ORDER}, program_type), 0), 0), 99), program_type nulls first, program_name)::int as place from x",
+    "o71_upsert": f"with {CAT}, {SYL}, c as (select lower(course_name) as name, min(course_code) as course_code, arg_min(coalesce(prerequisites, []), course_code) as a from cat where course_name is not null group by 1), s as (select lower(course_name) as name, min(entry_id) as entry_id, arg_min(coalesce(prerequisites, []), entry_id) as b from syl where course_name is not null group by 1) select name, course_code, entry_id, (len(list_distinct(list_concat(coalesce(a, []), coalesce(b, [])))) + (len(list_filter(list_concat(coalesce(a, []), coalesce(b, [])), lambda x: x is null)) > 0)::int)::int as prerequisites from c full join s using (name)",
     "o96_overview": f"with {_O}, {_LINK} select count(distinct o.code) as offered, count(distinct program_name) as plans, count(distinct program_type) as types, (select count(*) from nodes) as courses, (select count(*) from link) as prerequisites from o",
     "o97_major_courses": f"with {_O} select program_type, regexp_extract(program_name, '（(\\d{{4}})级', 1) as year, count(distinct code) as courses, min(code) as first, max(code) as last from o where program_type is not null group by all",
     "o99_summary": "with q as (select distinct * exclude (received_at) from query_log) select query_type, status, count(*) as n, grouping_id(query_type, status) as level from q group by rollup (query_type, status)",

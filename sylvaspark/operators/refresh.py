@@ -13,7 +13,8 @@ from sylvaspark.common import Steps, row_rank, table
 from sylvaspark.functions import text as X
 from sylvaspark.operators.doctree import lines
 from sylvaspark.operators.lexical import TOKENS
-from sylvaspark.plans.inputs import LOG, SYL, log, syllabi
+from sylvaspark.operators.fields import strip_sql
+from sylvaspark.plans.inputs import LOG, OFF, SYL, log, syllabi
 
 WINDOW_S, LIMIT = 60, 3
 
@@ -299,6 +300,7 @@ SQL = {
     "o160_active": f"with {_VN}, a as (select distinct base as alias, base || '_v' || case when length(base) % 2 = 0 then '11' else '99' end as name from vv where version is not null) select alias, case when name in (select name from vv) then name else alias end as active from a",
     "o163_history": "select source, least(50, count(distinct doc_id)) as kept, max(doc_id) as active from documents where source is not null group by 1",
     "o247_log_schema": f"with {LOG} select asked_at::date::varchar as day, count(*) as n, count(*) filter (status = 'ok') as ok, round(avg(latency_ms), 4) as latency from lg group by 1",
+    "o293_fact_items": f"with {OFF}, v as (select {_C} as code, arg_min(coalesce(credits, chr(1)), offering_id) as c, arg_min(coalesce(hours, chr(1)), offering_id) as h, arg_min(coalesce(semester, chr(1)), offering_id) as s from off where course_code is not null group by 1), f as (select code, unnest([1, 2, 3]) as k, unnest(['credits', 'hours', 'semester']) as field, unnest([c, h, s]) as value from v), g as (select *, row_number() over (partition by code order by k) as r from f where value <> chr(1) and {strip_sql('value')} not in {X.sql_list(X.ANSWER_MISSING)}) select code, field, value from g where r <= 2",
     "o252_weights": "select 0.75::double as vector, 0.15::double as lexical, 0.08::double as section",
     "o246_feedback": "select event_type, ts::date::varchar as day, count(*) as n, event_type = 'error' as negative from events group by all",
 }
