@@ -58,10 +58,11 @@ NAMED = regex.compile(r"《[^》]*》|“[^”]*”|「[^」]*」|『[^』]*』|
 TITLE = regex.compile(r"(?:\p{Lu}[\p{L}\-’']*(?:\s+(?:and|of|the|in|for|to)(?=\s+\p{Lu}))?[\s:,&–-]*){2,}")
 
 # Words after which a sentence can't end.
-DANGLING_EN = set("a an the of to and or but for with in on at by from as if that which who whose than into over under between about is are was were be been has have had will would can could may might must should its their your our his her this these those each every not no so because when while where after before until per via".split())
-DANGLING_ZH = regex.compile(r"(?:的|和|与|及|或|在|为|由|把|被|从|对|以|于|向|将|让|使|给|跟|按|因|并|且|但|而|若|如|则|至|到|是|有|第|共|其|该|每|各|以及|或者|因为|所以|如果|虽然|但是|并且|而且|可以|需要|应当|通过|根据|按照|关于)$")
+DANGLING_EN = set("a an the of and or but with into than between is are was were be been has had would could may might must should its their your our his these those every because while where until per via".split())
+DANGLING_ZH = regex.compile(r"(?:和|与|及|或|由|把|被|从|以|于|向|将|让|使|给|跟|按|因|并|且|但|而|若|如|则|至|到|第|共|其|该|每|各|以及|或者|因为|所以|如果|虽然|但是|并且|而且|通过|根据|按照|关于)$")
 PAIRS = {"《": "》", "（": "）", "(": ")", "【": "】", "[": "]", "“": "”", "「": "」", "『": "』", "{": "}"}
-FINAL = "。！？!?.…"
+FINAL = "。！？!?."
+ELLIPSIS = regex.compile(r"(?:…|\.{2,}|。{2,})+$")
 TRAIL = "”’」』》）)]】\"'*`_ \t\r\n　"
 # How a number of points is announced.
 COUNT_WORDS = {"一": 1, "二": 2, "两": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9, "十": 10, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10}
@@ -200,18 +201,32 @@ def missing_items(text: str) -> bool:
 
 
 ENDS = (6, 4, 3, 2)
+WORD_OR_HAN = regex.compile(r"([^\W\p{Han}]+(?:['’-][^\W\p{Han}]+)*%?)|\p{Han}+")
+
+
+def word_keys(word: str, before: str) -> list[str]:
+    """What is counted for a word of a script other than Han: it with the word before it, and it alone."""
+    return [f" {before} {word} ", f" {word} "] if before else [f" {word} "]
 
 
 def endings(text: str) -> Iterator[tuple[str, bool]]:
-    """Each place in a text where a unit of letters ends, as (characters before it, whether a final mark follows)."""
+    """Each place in a text where a word or a Han character ends, as (key, whether a final mark follows). Keys of Han text are the last two to six characters of any kind."""
     t = regex.sub(r"\d", "0", text)
-    for m in regex.finditer(r"(?<=[\p{L}\p{N}%》）)”\"])(?=[^\p{L}\p{N}]|$)|(?<=\p{Han})(?=\p{Han})", t):
-        i = m.start()
-        rest = t[i : i + 4].lstrip(TRAIL)
-        final = bool(rest) and rest[0] in FINAL and not (rest[0] == "." and len(rest) > 1 and rest[1].isdigit())
-        for k in ENDS:
-            if i >= k:
-                yield t[i - k : i], final
+    before = ""
+    for m in WORD_OR_HAN.finditer(t):
+        start, end = m.span()
+        rest = t[end : end + 4].lstrip(TRAIL)
+        final = bool(rest) and rest[0] in FINAL and not ELLIPSIS.match(rest[:2]) and not (rest[0] == "." and len(rest) > 1 and rest[1].isdigit())
+        if word := m.group(1):
+            for k in word_keys(word, before):
+                yield k, final
+            before = word
+        else:
+            before = ""
+            for at in range(start + 1, end + 1):
+                for k in ENDS:
+                    if at >= k:
+                        yield t[at - k : at], final and at == end
 
 
 def truncation(answer: str) -> bool | None:
@@ -220,6 +235,9 @@ def truncation(answer: str) -> bool | None:
     if unclosed(t) or missing_items(t):
         return True
     body = t.rstrip(TRAIL)
+    if ELLIPSIS.search(body):
+        body = ELLIPSIS.sub("", body).rstrip(TRAIL)
+        return bool(body) and body[-1] not in FINAL
     if not body or body[-1] in FINAL:
         return False
     if regex.search(r"[，,、;；:：\-–—]$", body):
@@ -237,13 +255,19 @@ def truncation(answer: str) -> bool | None:
 
 
 def last_endings(answer: str) -> list[str]:
-    """The characters an answer ends with, longest first."""
+    """The keys of the place where an answer ends, longest first."""
     e = regex.sub(r"\d", "0", answer.rstrip().rstrip(TRAIL))
-    return [e[-k:] for k in ENDS if len(e) >= k]
+    words = list(WORD_OR_HAN.finditer(e))
+    if not words:
+        return []
+    if words[-1].group(1):
+        return word_keys(words[-1].group(1), words[-2].group(1) or "" if len(words) > 1 else "")
+    end = words[-1].end()
+    return [e[end - k : end] for k in ENDS if end >= k]
 
 
-def ending_table(answers: DataFrame, support: int = 20) -> DataFrame:
-    """(ending, share) of every ending seen `support` times or more, over all answers."""
+def ending_table(answers: DataFrame, support: int = 5, sure: int = 20) -> DataFrame:
+    """(ending, share, unsure) of every ending seen `support` times or more, over all answers; those seen less than `sure` times are only used where there is no other."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -256,7 +280,7 @@ def ending_table(answers: DataFrame, support: int = 20) -> DataFrame:
             yield pd.DataFrame([(e, n, f) for e, (n, f) in counts.items()], columns=["ending", "n", "f"])
 
     found = answers.mapInPandas(run, "ending string, n long, f long").groupBy("ending").agg(F.sum("n").alias("n"), F.sum("f").alias("f"))
-    return found.where(F.col("n") >= support).select("ending", (F.col("f") / F.col("n")).alias("share"))
+    return found.where(F.col("n") >= support).select("ending", (F.col("f") / F.col("n")).alias("share"), (F.col("n") < sure).alias("unsure"))
 
 
 def flag(df: DataFrame, key: str = "query_id", query: str = "query", answer: str = "answer", least_share: float = 0.1) -> DataFrame:
@@ -295,7 +319,7 @@ def flag(df: DataFrame, key: str = "query_id", query: str = "query", answer: str
     judged = steps.write(pairs.mapInPandas(rules, schema).where("size(defects) > 0 or size(ends) > 0"))
     asked = judged.where("size(ends) > 0").select(key, F.posexplode("ends").alias("pos", "ending"))
     shares = steps.write(ending_table(pairs.where("answer is not null").select("answer")))
-    told = join_lookup(asked, shares, "ending", "left").groupBy(key).agg(F.min_by("share", F.when(F.col("share").isNotNull(), F.col("pos"))).alias("share"))
+    told = join_lookup(asked, shares, "ending", "left").groupBy(key).agg(F.min_by("share", F.when(F.col("share").isNotNull(), F.struct("unsure", "pos"))).alias("share"))
     late = told.where(F.coalesce("share", F.lit(0.0)) < least_share).select(key, F.lit(True).alias("late"))
     whole = judged.join(late, key, "left").select(key, F.when(F.col("late"), F.array_append("defects", F.lit("truncated"))).otherwise(F.col("defects")).alias("defects"))
     return whole.where("size(defects) > 0")
