@@ -59,7 +59,7 @@ TITLE = regex.compile(r"(?:\p{Lu}[\p{L}\-’']*(?:\s+(?:and|of|the|in|for|to)(?=
 
 # Words after which a sentence can't end.
 DANGLING_EN = set("a an the of and or but with into than between is are was were be been has had would could may might must should its their your our his these those every because while where until per via".split())
-DANGLING_ZH = regex.compile(r"(?:和|与|及|或|由|把|被|从|以|于|向|将|让|使|给|跟|按|因|并|且|但|而|若|如|则|至|到|第|共|其|该|每|各|以及|或者|因为|所以|如果|虽然|但是|并且|而且|通过|根据|按照|关于)$")
+DANGLING_ZH = regex.compile(r"(?:以及|或者|因为|所以|如果|虽然|但是|并且|而且|通过|根据|按照|关于)$")
 PAIRS = {"《": "》", "（": "）", "(": ")", "【": "】", "[": "]", "“": "”", "「": "」", "『": "』", "{": "}"}
 FINAL = "。！？!?."
 ELLIPSIS = regex.compile(r"(?:…|\.{2,}|。{2,})+$")
