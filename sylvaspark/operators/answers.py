@@ -15,6 +15,7 @@ from sylvaspark.functions import text as X
 from sylvaspark.operators import lexical
 from sylvaspark.operators.fields import clean_sql, column_sql, key_sql
 from sylvaspark.operators.graphs import _E, _P, part_edges
+from sylvaspark.operators.metrics import _REF
 from sylvaspark.operators.vectors import _CON, _PAIR, _VOTE, _vectors, _votes, concepts, cosine_pairs, o106_linear_fusion, o170_concept_pairs, top_cosine
 from sylvaspark.plans.inputs import BLK, CAT, LOG, OFF, SYL, blocks, catalog, log, offerings, syllabi
 
@@ -391,6 +392,96 @@ def o204_structure_answer(spark, sf_dir):
     return q.join(b, ["course_code", "chapter"], "left").select("query_id", "chapter", F.when(F.col("there"), "chapter").otherwise("unknown_chapter").alias("reaction"))
 
 
+def o3_header_rows(spark, sf_dir):
+    """Header detection, joined header rows and column places on the plan sheets of the offerings, flattened to rows of cells."""
+    from sylvaspark.sources import office
+
+    o = offerings(spark, sf_dir).where("source_file is not null")
+    body = o.select(F.col("source_file").alias("path"), F.col("sheet_name").alias("sheet"), (F.row_number().over(Window.partitionBy("source_file", "sheet_name").orderBy("offering_id")) + 3).alias("row"), F.array("course_code", "course_category", "credits", "theory_credits").alias("cells"))
+    sheets = body.select("path", "sheet").distinct()
+    head = sheets.select("path", "sheet", F.lit(2).alias("row"), F.array(*map(F.lit, ("课程代码", "课程 名称", "学分", ""))).alias("cells"))
+    second = sheets.where(F.length("path") % 2 == 0).select("path", "sheet", F.lit(3).alias("row"), F.array(*map(F.lit, ("", "", "总计", "理论"))).alias("cells"))
+    h = office.header_rows(body.unionByName(head).unionByName(second))
+    return h.select("path", "sheet", "row", "first", F.array_join("names", ",").alias("names"), office.column_index(F.col("names"), ["学分"]).alias("credits_at"))
+
+
+def o67_fact_gate(spark, sf_dir):
+    """Fact questions: answered from the plans where they record the field, else from documents of the course, else refused."""
+    q = log(spark, sf_dir).where("query_type = 'fact'")
+    c = offerings(spark, sf_dir).where("course_code is not null").select(F.upper(F.trim("course_code")).alias("course_code")).distinct().withColumn("planned", F.lit(True))
+    d = table(spark, sf_dir, "documents").where("course_code is not null").select("course_code").distinct().withColumn("written", F.lit(True))
+    j = q.join(c, "course_code", "left").join(d, "course_code", "left")
+    return j.select("query_id", F.when(F.col("planned"), "plans").when(F.col("written"), "documents").otherwise("refused").alias("branch"))
+
+
+def o187_relation(spark, sf_dir):
+    """Relation of the pair of courses in each question that names two: a chain within three links either way, or none."""
+    from sylvaspark.operators.graphs import distances
+    from sylvaspark.operators.hierarchy import parent_links
+    from sylvaspark.operators.linking import course_names, mentions
+
+    m = mentions(log(spark, sf_dir), course_names(catalog(spark, sf_dir)))
+    two = m.groupBy("query_id").agg(F.min_by("code", "start").alias("a"), F.max_by("code", "start").alias("b"), F.count("*").alias("n")).where("n = 2")
+    d = Steps(spark).write(distances(parent_links(table(spark, sf_dir, "course_catalog"))[1].select(F.col("parent").alias("src"), F.col("code").alias("dst"))))
+    fwd, back = d.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("distance").alias("f")), d.select(F.col("dst").alias("a"), F.col("src").alias("b"), F.col("distance").alias("r"))
+    return two.join(fwd, ["a", "b"], "left").join(back, ["a", "b"], "left").select("query_id", F.when(F.col("f").isNotNull(), "before").when(F.col("r").isNotNull(), "after").otherwise("none").alias("relation"), F.coalesce("f", "r").alias("links"))
+
+
+def o189_locate(spark, sf_dir):
+    """Courses whose name holds a topic of the reference list."""
+    t = table(spark, sf_dir, "course_reference").select(F.substring("course_name", 3, 4).alias("topic")).where("length(topic) = 4").distinct()
+    c = catalog(spark, sf_dir).where("course_name is not null").select("course_code", "course_name")
+    grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(2), F.lit(6)), lambda n: F.when(F.length("course_name") >= n, F.transform(F.sequence(F.lit(1), F.length("course_name") - n + 1), lambda i: F.substring(F.col("course_name"), i, n))).otherwise(F.array().cast("array<string>")))))
+    return c.select("course_code", F.explode(grams).alias("topic")).join(t, "topic").groupBy("topic").agg(F.count("*").alias("courses"), F.min("course_code").alias("first"))
+
+
+def o196_schedule_prefix(spark, sf_dir):
+    """The deepest heading of each line's path that announces a schedule, else the heading above."""
+    from sylvaspark.operators.doctree import _lines, heading_path
+
+    p = heading_path(_lines(spark, sf_dir)).where("size(path) > 0")
+    hit = F.filter("path", lambda x: x.rlike("周次|进度|安排"))
+    return p.select("doc_id", "pos", F.coalesce(F.get(F.reverse(hit), F.lit(0)), F.element_at("path", -1)).alias("prefix"))
+
+
+def o243_graded_answers(spark, sf_dir):
+    """All measures of each answer side by side."""
+    from sylvaspark.operators.metrics import covers, is_refusal
+
+    a = log(spark, sf_dir)
+    return a.select("query_id", is_refusal(F.col("answer")).alias("refused"), covers(F.col("answer"), ["学分|credits"]).alias("covered"), F.coalesce(F.col("answer").contains("《"), F.lit(False)).alias("cited"), F.coalesce(F.length("answer"), F.lit(0)).alias("length"))
+
+
+def o254_multi_intent(spark, sf_dir):
+    """Sections of the questions of two intents, in order of precedence."""
+    from sylvaspark.operators.linking import classify
+
+    c = classify(log(spark, sf_dir)).where("size(labels) >= 2")
+    return c.select("query_id", F.posexplode(F.slice("labels", 1, 2)).alias("place", "section"))
+
+
+def o261_parent_excerpt(spark, sf_dir):
+    """Block texts cut at 1,200 characters with their title in front (an excerpt is the feature here)."""
+    b = blocks(spark, sf_dir).where("text is not null and title is not null")
+    return b.select("node_id", F.concat("title", F.lit("\n"), F.substring("text", 1, 1200)).alias("excerpt"))
+
+
+def o269_coverage_gate(spark, sf_dir):
+    """Share of documents from which a concept was extracted, by source, and whether it passes the gate of one half."""
+    d = table(spark, sf_dir, "documents").where("text is not null and source is not null")
+    has = F.size(F.regexp_extract_all("text", F.lit("([一-鿿]{2,6}(?:理论|原理|方法|模型|系统))"), 1)) > 0
+    g = d.groupBy("source").agg(F.count("*").alias("docs"), F.round(F.avg(has.cast("double")), 6).alias("coverage"))
+    return g.withColumn("passed", F.col("coverage") >= 0.5)
+
+
+def o126_pairs(spark, sf_dir):
+    """Gold pairs of courses that share no end: of each course's links the first, each end used once, in order."""
+    l = o170_concept_pairs(spark, sf_dir).where("rank = 1 and target <> source")
+    once = l.withColumn("r", row_rank(["source"], F.col("confidence").desc(), F.col("target"))).where("r = 1")
+    ends = once.select(F.col("target").alias("source")).distinct()
+    return once.join(ends, "source", "left_anti").select("target", "source")
+
+
 _T = lexical.TOKENS
 _C = "upper(trim(course_code))"
 _CN = "(case when regexp_full_match(t, '\\d{1,6}') then t::int when regexp_full_match(t, '[一二两三四五六七八九]') then case when t = '两' then 2 else instr('一二三四五六七八九', t) end when t = '十' then 10 end)"
@@ -415,6 +506,12 @@ SQL = {
     "o178_official_semester": f"with {OFF}, o as (select {_C} as code, offering_id, program_name, {column_sql('semester')} as s from off where course_code is not null) select code, arg_min(s, (not coalesce(contains(program_name, '软件工程'), false), offering_id)) as semester from o where s is not null group by 1",
     "o208_merge_unique": f"with {BLK}, c as (select document_hash, chunk_id, min((node_id, i)) as o from (select document_hash, node_id, generate_subscripts(chunk_ids, 1) as i, unnest(chunk_ids) as chunk_id from blk) group by all), g as (select document_hash, count(*)::int as n, arg_min(chunk_id, o) as first from c group by 1) select document_hash, coalesce(n, 0)::int as n, first from (select distinct document_hash from blk where chunk_ids is not null) left join g using (document_hash)",
     "o209_share": f"with {OFF}, o as (select {_C} as code, program_name, offering_id, string_split(instructor, '、') as n from off where course_code is not null and program_name is not null and instructor is not null), l as (select offering_id, n, lag(offering_id) over w as before, lag(n) over w as bn from o window w as (partition by code, program_name order by offering_id)) select offering_id, before, list_has_any(n, bn) as shared from l where before is not null",
+    "o67_fact_gate": f"with {LOG}, {OFF} select query_id, case when course_code in (select {_C} from off where course_code is not null) then 'plans' when course_code in (select course_code from documents where course_code is not null) then 'documents' else 'refused' end as branch from lg where query_type = 'fact'",
+    "o189_locate": f"with {CAT}, t as (select distinct substring(course_name, 3, 4) as topic from course_reference) select topic, count(*) as courses, min(course_code) as first from t join cat on contains(course_name, topic) where length(topic) = 4 group by 1",
+    "o261_parent_excerpt": f"with {BLK} select node_id, title || chr(10) || substring(text, 1, 1200) as excerpt from blk where text is not null and title is not null",
+    "o269_coverage_gate": "with g as (select source, count(*) as docs, round(avg((len(regexp_extract_all(text, '([一-鿿]{2,6}(?:理论|原理|方法|模型|系统))', 1)) > 0)::int::double), 6) as coverage from documents where text is not null and source is not null group by 1) select *, coverage >= 0.5 as passed from g",
+    "o126_pairs": f"with {_PAIR}, l as (select * from pr where rank = 1 and target <> source qualify row_number() over (partition by source order by confidence desc, target) = 1) select target, source from l where source not in (select target from l)",
+    "o243_graded_answers": f"with {LOG} select query_id, {_REF} as refused, coalesce(contains(answer, '学分') or contains(answer, 'credits'), false) as covered, coalesce(contains(answer, '《'), false) as cited, coalesce(length(answer), 0)::int as length from lg",
     "o139_canonical_name": f"with {CAT}, g as (select english_name, course_name, count(*) as n from cat where english_name <> '' and course_name is not null group by all) select english_name, arg_min(course_name, (-n, not regexp_matches(course_name, '[一-鿿]'), length(course_name), course_name)) as name from g group by 1",
     "o279_resolve_alias": f"with {SYL}, {CAT}, n as (select {key_sql('course_name')} as key, min(course_name) as canonical from cat group by 1), s as (select entry_id, (generate_subscripts(prerequisites, 1) - 1)::int as pos, unnest(prerequisites) as raw from syl) select entry_id, pos, canonical from s left join (select * from n where key <> '') m on m.key = {key_sql('raw')} where raw is not null",
     "o176_enrich": f"with {BLK} select document_hash, array_to_string(list_sort(list(distinct course_code)), ',') as courses from blk where course_code is not null group by 1",
