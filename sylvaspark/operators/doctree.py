@@ -165,7 +165,7 @@ def o205_week(spark, sf_dir):
 
 def o146_basic_info(spark, sf_dir):
     """Labelled lines of documents as canonical fields: the first value of each field that is no placeholder."""
-    l = lines(table(spark, sf_dir, "documents")).select("doc_id", "pos", F.regexp_extract("line", "^([^：:]{1,12})[：:](.+)$", 1).alias("k"), F.regexp_extract("line", "^([^：:]{1,12})[：:](.+)$", 2).alias("v"))
+    l = lines(table(spark, sf_dir, "documents")).select("doc_id", "pos", F.regexp_extract("line", r"^([^：:]{1,12})[：:]([^\n]+)\z", 1).alias("k"), F.regexp_extract("line", r"^([^：:]{1,12})[：:]([^\n]+)\z", 2).alias("v"))
     field = F.when(F.lower("k").isin("课程名称", "course"), "name").when(F.col("k").contains("学分"), "credits").when(F.col("k").contains("学时"), "hours").when(F.lower("k").isin("问", "q"), "question").when(F.lower("k").isin("答", "a"), "answer")
     f = l.select("doc_id", "pos", field.alias("field"), X.clean(F.col("v")).alias("value")).where("field is not null and value <> ''")
     return f.groupBy("doc_id", "field").agg(F.min_by("value", "pos").alias("value"))
@@ -236,7 +236,7 @@ def o155_fallback_answer(spark, sf_dir):
 def o284_schedule_rows(spark, sf_dir):
     """Weekly rows of schedules: week and topic."""
     l = lines(table(spark, sf_dir, "documents").where("doc_kind = 'schedule'"))
-    p = "^第([0-9]{1,3})周[\\t ]*(.*)$"
+    p = r"^第([0-9]{1,3})周[\t ]*([^\n]*)\z"
     return l.select("doc_id", "pos", F.regexp_extract("line", p, 1).try_cast("int").alias("week"), F.regexp_extract("line", p, 2).alias("topic")).where("week is not null")
 
 
@@ -265,7 +265,7 @@ _PATH = f"{_L}, x as (select *, " + ", ".join(f"max(case when level = {n} then p
 _NUM = cn_sql("regexp_extract(title, '第\\s*([一二两三四五六七八九十百\\d]+)\\s*[章讲节周]', 1)")
 _B = f"{BLK}, b as (select *, coalesce(chapter_no::int, {_NUM}) as chapter from blk)"
 _LAT = f"{_B}, la as (select course_code, arg_max(document_hash, (coalesce(try_cast(regexp_extract(source_year, '^(\\d+)', 1) as int), 0), coalesce(try_cast(regexp_extract(source_year, '^\\d+-(\\d+)', 1) as int), 0), document_hash)) as document_hash from b where course_code is not null group by 1), ch as (select b.* from b join la using (course_code, document_hash) where kind = 'chapter')"
-_PAT = "'^([^：:]{1,12})[：:](.+)$'"
+_PAT = r"'^([^：:]{1,12})[：:]([^\n]+)\z'"
 _INFO = f"{_A}, kv as (select doc_id, pos, regexp_extract(line, {_PAT}, 1) as k, regexp_extract(line, {_PAT}, 2) as v from l), fl as (select doc_id, pos, case when lower(k) in ('课程名称', 'course') then 'name' when contains(k, '学分') then 'credits' when contains(k, '学时') then 'hours' when lower(k) in ('问', 'q') then 'question' when lower(k) in ('答', 'a') then 'answer' end as field, {clean_sql('v')} as value from kv), bi as (select doc_id, field, arg_min(value, pos) as value from fl where field is not null and value <> '' group by all)"
 SQL = {
     "o42_heading_level": f"with {_L} select doc_id, pos, level from l where level is not null",
@@ -291,6 +291,6 @@ SQL = {
     "o114_select": f"with {_B}, r as (select *, row_number() over (partition by course_code order by node_id)::int as r from b where course_code is not null), s as (select course_code, min(r) as sr, arg_min(node_id, r) as sn from r where kind = 'schedule' group by 1) select course_code, r, case when r = 10 and sr > 10 then sn else node_id end as node_id from r left join s using (course_code) where r <= 10",
     "o263_citations": f"with {_B}, c as (select course_code, source_year, kind, min(node_id) as f from b where course_code is not null group by all) select course_code, source_year, kind, row_number() over (partition by course_code order by f)::int as place from c",
     "o155_fallback_answer": f"with {_B}, o as (select course_code, kind, arg_min(text, node_id) as t, min(node_id) as n from b where course_code is not null and text is not null and text <> '' group by all), r as (select *, row_number() over (partition by course_code order by n) as r from o qualify r <= 3) select course_code, sum(length(substring(t, 1, 140)))::bigint as chars, count(*) as bullets from r group by 1",
-    "o284_schedule_rows": "with " + _LINES.format(" and doc_kind = 'schedule'") + ", x as (select doc_id, pos, try_cast(regexp_extract(line, '^第([0-9]{1,3})周[\\t ]*(.*)$', 1) as int) as week, regexp_extract(line, '^第([0-9]{1,3})周[\\t ]*(.*)$', 2) as topic from ln where trim(line, ' ') <> '') select * from x where week is not null",
+    "o284_schedule_rows": "with " + _LINES.format(" and doc_kind = 'schedule'") + ", x as (select doc_id, pos, try_cast(regexp_extract(line, '^第([0-9]{1,3})周[\\t ]*([^\\n]*)\\z', 1) as int) as week, regexp_extract(line, '^第([0-9]{1,3})周[\\t ]*([^\\n]*)\\z', 2) as topic from ln where trim(line, ' ') <> '') select * from x where week is not null",
 }
 QUERIES = {k: v for k, v in globals().items() if k[:1] == "o" and k[1:2].isdigit()}
