@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sylvaspark.common import Steps, row_rank, table
 from sylvaspark.functions import text as X
@@ -33,7 +34,7 @@ def alias_key(df: DataFrame, text: str) -> DataFrame:
             b["alias_key"] = [unicodedata.normalize("NFKC", t).casefold() if t is not None else None for t in b[text]]
             yield b
 
-    out = df.mapInPandas(run, df.withColumn("alias_key", F.lit("")).schema)
+    out = df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField("alias_key", T.StringType())]))
     words = "|".join(sorted(MODIFIERS, key=lambda w: (-len(w), w)))
     bare = F.regexp_replace("alias_key", r"[\p{P}\p{S}\s]+", "")
     return out.withColumn("alias_key", F.regexp_replace(F.regexp_replace(bare, f"(?<=.)(?:{words})+$", ""), "的", ""))
@@ -62,7 +63,7 @@ def first_json(df: DataFrame, text: str) -> DataFrame:
             b["json"] = [find(t) for t in b[text]]
             yield b
 
-    return df.mapInPandas(run, df.withColumn("json", F.lit("")).schema)
+    return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField("json", T.StringType())]))
 
 
 def o138_alias_key(spark, sf_dir):
