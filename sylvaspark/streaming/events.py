@@ -27,8 +27,8 @@ def window_counts(stream: DataFrame, at: str = "ts", kind: str = "event_type", w
     return stream.withWatermark(at, late).groupBy(F.window(at, width).alias("w"), kind).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), kind, "n")
 
 
-def rate_limit(stream: DataFrame, client: str = "user_id", at: str = "ts", limit: int = LIMIT, window_s: int = WINDOW_S) -> DataFrame:
-    """Events with `allowed`, by the same rule as the batch operator; the state of a client is its open window, and ends when idle."""
+def rate_limit(stream: DataFrame, client: str = "user_id", at: str = "ts", limit: int = LIMIT, window_s: int = WINDOW_S, late: str = "1 hour") -> DataFrame:
+    """Events with `allowed`, by the same rule as the batch operator; the state of a client is its open window. It ends when the watermark, `late` behind the newest event, has passed it by ten windows."""
     kind = dict(stream.dtypes)[client]
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -46,8 +46,8 @@ def rate_limit(stream: DataFrame, client: str = "user_id", at: str = "ts", limit
                 open_.append(s)
             out.append(ok)
         state.update((open_,))
-        state.setTimeoutDuration(10 * window_s * 1000)
+        state.setTimeoutTimestamp(int(max(rows["at"].iloc[-1].timestamp() + 10 * window_s, state.getCurrentWatermarkMs() / 1000 + 1) * 1000))
         yield pd.DataFrame({"client": key[0], "at": rows["at"].to_numpy(), "allowed": out})
 
-    s = stream.select(F.col(client).alias("client"), F.col(at).alias("at"))
-    return s.groupBy("client").applyInPandasWithState(step, f"client {kind}, at timestamp, allowed boolean", "open array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    s = stream.select(F.col(client).alias("client"), F.col(at).alias("at")).withWatermark("at", late)
+    return s.groupBy("client").applyInPandasWithState(step, f"client {kind}, at timestamp, allowed boolean", "open array<double>", "append", GroupStateTimeout.EventTimeTimeout)
