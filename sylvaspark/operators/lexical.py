@@ -33,14 +33,17 @@ def idf(df, n):
     return F.greatest(F.lit(0.0), F.log(1 + (n - df + 0.5) / (df + 0.5)))
 
 
-def matches(posts: DataFrame, queries: DataFrame, query: str = "query_id", key: str = "doc_id") -> DataFrame:
-    """(query, key, score, ceiling) of every pair that shares a term. `queries`: (query, term), distinct."""
+def matches(posts: DataFrame, queries: DataFrame, query: str = "query_id", key: str = "doc_id", among: DataFrame | None = None) -> DataFrame:
+    """(query, key, score, ceiling) of every pair that shares a term. `queries`: (query, term), distinct.
+
+    `among`: the keys that may be found. Their postings alone are matched; statistics are those of all documents."""
     stats = posts.groupBy("term").agg(F.count("*").alias("df"))
     n = corpus_size(posts, key)
     weighted = queries.join(stats, "term", "left").crossJoin(F.broadcast(n)).withColumn("idf", idf(F.coalesce("df", F.lit(0)), F.col("n_docs")))  # one row of sizes
     ceiling = weighted.groupBy(query).agg((F.sum("idf") * (K1 + 1)).alias("ceiling"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    scores = weighted.where("df is not null").join(posts, "term").groupBy(query, key).agg(F.sum(part).alias("score"))
+    found = posts if among is None else posts.join(among.select(key), key, "left_semi")
+    scores = weighted.where("df is not null").join(found, "term").groupBy(query, key).agg(F.sum(part).alias("score"))
     return scores.join(ceiling, query)
 
 
@@ -85,9 +88,10 @@ def o131_idf(spark, sf_dir):
     return p.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(corpus_size(p))).select("term", F.round(idf(F.col("df"), F.col("n_docs")), 6).alias("idf"))
 
 
-def _ranked(spark, sf_dir, normal=False):
+def _ranked(spark, sf_dir, normal=False, among=None, asking=None):
     p = _posts(spark, sf_dir)
-    m = matches(p, query_terms(p))
+    q = query_terms(p)
+    m = matches(p, q if asking is None else q.join(asking, "query_id", "left_semi"), among=among)
     score = F.when(F.col("ceiling") > 0, F.col("score") / F.col("ceiling")).otherwise(0.0) if normal else F.col("score")
     return m.select("query_id", "doc_id", F.round(score, 6).alias("score"))
 
@@ -114,7 +118,7 @@ def o135_overlap_topk(spark, sf_dir):
 def o34_filtered_search(spark, sf_dir):
     """BM25 with a filter on document attributes that is applied before the top five but leaves idf global."""
     d = table(spark, sf_dir, "documents").where((F.col("source") == "syllabus_portal") & F.col("doc_kind").isin("notes", "faq")).select("doc_id")
-    return top(_ranked(spark, sf_dir).join(d, "doc_id", "left_semi").select("query_id", "doc_id", "score"))
+    return top(_ranked(spark, sf_dir, among=d))
 
 
 def o134_scorer_schemes(spark, sf_dir):

@@ -90,10 +90,9 @@ def _ranked_lists(spark, sf_dir):
     """Dense and lexical lists of 20 of each query: documents and vectors share ids."""
     v = _vectors(spark, sf_dir)
     dense = top_cosine(v.where("vec_id % 50 = 0"), v, 20).select("query_id", F.col("id").alias("doc_id"), F.col("cosine").alias("vec"), F.col("rank").alias("dense_rank"))
-    bm = lexical._ranked(spark, sf_dir, True)
     known = v.select(F.col("vec_id").alias("doc_id"))
-    bm = bm.join(known, "doc_id", "left_semi").join(known.withColumnRenamed("doc_id", "query_id"), "query_id", "left_semi")
-    bm = lexical.top(bm.select("query_id", "doc_id", "score"), 20).select("query_id", "doc_id", F.col("score").alias("lex"), F.col("rank").alias("lex_rank"))
+    bm = lexical._ranked(spark, sf_dir, True, among=known, asking=known.withColumnRenamed("doc_id", "query_id"))
+    bm = lexical.top(bm, 20).select("query_id", "doc_id", F.col("score").alias("lex"), F.col("rank").alias("lex_rank"))
     return dense, bm
 
 
