@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A key is hot when it holds more than one in HOT_SHARE rows, so at most HOT_SHARE keys are hot: the bound of what `join_lookup` broadcasts.
 HOT_SHARE = 1000
+#: Fewer rows than this never make a key hot.
+HOT_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,9 +74,11 @@ def join_lookup(left: DataFrame, right: DataFrame, key: str, how: str = "left",
     Keys with more than one in HOT_SHARE rows (HOT_SHARE keys at most) are joined by broadcast, all others by shuffle. Null keys match nothing; with `how="left"` their rows are kept, and never shuffled."""
     if how not in ("left", "inner"):
         raise ValueError(how)
-    counts = left.where(F.col(key).isNotNull()).groupBy(key).count()
     total = left.count() if total is None else total
-    hot = [r[0] for r in counts.where(F.col("count") > max(total / HOT_SHARE, 1000)).select(key).collect()]
+    hot = []
+    if total > HOT_ROWS:  # in fewer rows no key can be hot
+        counts = left.where(F.col(key).isNotNull()).groupBy(key).count()
+        hot = [r[0] for r in counts.where(F.col("count") > max(total / HOT_SHARE, HOT_ROWS)).select(key).collect()]
     added = [F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema if f.name != key]
     parts = [left.where(F.col(key).isNotNull() & ~F.col(key).isin(hot) if hot else F.col(key).isNotNull()).join(right, key, how)]
     if hot:
