@@ -22,6 +22,8 @@ SAMPLES = 20_000
 #: A gram of the corpus lexicon stands in this share of the statements without a vote, at least, so the lexicon is bounded by their length over it.
 SUPPORT = 1e-4
 PURITY = 0.9
+#: An entry learned from the samples stays if this share of its places in the corpus, in documents of one clear subject, agrees.
+SOUND = 0.7
 #: Share of the statements from which on a second subject counts, and their least number.
 SECOND_SHARE, SECOND_COUNT = 0.27, 2
 
@@ -86,7 +88,7 @@ class Lexicon:
 
         self.automaton = ahocorasick.Automaton()
         for g, s in entries.items():
-            self.automaton.add_word(g, (len(g.strip()), s))
+            self.automaton.add_word(g, (len(g.strip()), s, g))
         if entries:
             self.automaton.make_automaton()
 
@@ -95,11 +97,15 @@ class Lexicon:
         if not len(self.automaton):
             return ""
         found: Counter = Counter()
-        for _, (n, s) in self.automaton.iter(plain(statement)):
+        for _, (n, s, _) in self.automaton.iter(plain(statement)):
             found[s] += n
         return min(found.items(), key=lambda x: (-x[1], x[0]))[0] if found else ""
 
 
+    def matched(self, statement: str) -> set[str]:
+        return {g for _, (_, _, g) in self.automaton.iter(plain(statement))} if len(self.automaton) else set()
+
+
 def majority(votes: Counter) -> str:
     return min(votes.items(), key=lambda x: (-x[1], x[0]))[0] if votes else ""
 
@@ -181,7 +187,10 @@ def assign(docs: DataFrame, samples: DataFrame, areas: DataFrame) -> tuple[DataF
                 for key in (k for k in places(text, code, source, kind) if k):
                     seen["place", key, top] += 1
                 for s, v in zip(parts, votes):
-                    if not v:
+                    if v:
+                        for g in lexicon.matched(s):
+                            seen["entry", g, top] += 1
+                    else:
                         seen["all", "", ""] += 1
                         for g in grams(s):
                             seen["gram", g, top] += 1
@@ -191,10 +200,13 @@ def assign(docs: DataFrame, samples: DataFrame, areas: DataFrame) -> tuple[DataF
     unvoted = by_key.where("kind = 'all'").agg(F.sum("n")).first()[0] or 0
     least = max(5.0, SUPPORT * unvoted)
     held = by_key.where("kind <> 'all'").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.max_by("subject", F.struct("n", "subject")).alias("subject"), F.max("n").alias("k"))
-    kept = held.where((F.col("n") >= least) & (F.col("k") >= F.when(F.col("kind") == "gram", PURITY).otherwise(0.3) * F.col("n"))).collect()
+    # Entries of the sample lexicon that stand with other subjects in the corpus are chance finds in the samples.
+    seen_with = {r["key"]: (r["n"], r["subject"], r["k"]) for r in held.where("kind = 'entry'").collect()}
+    sound = {g: s for g, s in entries.items() if g not in seen_with or seen_with[g][0] < 5 or seen_with[g][1] == s and seen_with[g][2] >= SOUND * seen_with[g][0]}
+    kept = held.where(F.col("kind") != "entry").where((F.col("n") >= least) & (F.col("k") >= F.when(F.col("kind") == "gram", PURITY).otherwise(0.3) * F.col("n"))).collect()
     more = {r["key"]: r["subject"] for r in kept if r["kind"] == "gram"}
     placed = {r["key"]: r["subject"] for r in kept if r["kind"] == "place"}
-    shared = spark.sparkContext.broadcast((entries, more, placed))
+    shared = spark.sparkContext.broadcast((sound, more, placed))
 
     def patterns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lexicon, corpus, where = Lexicon(shared.value[0]), Lexicon(shared.value[1]), shared.value[2]
