@@ -91,8 +91,8 @@ def children(text: str, kind: str, span: Span) -> tuple[str, list[Span]]:
     return "character", cuts(GRAPHEME, text, span)
 
 
-def tree_pack(text: str, limit: int, kind: str = "text", span: Span | None = None) -> list[Span]:
-    """Consecutive spans of at most `limit` characters that cover the text."""
+def tree_pack(text: str, limit: int, kind: str = "text", span: Span | None = None, glue: bool = True) -> list[Span]:
+    """Consecutive spans of at most `limit` characters that cover the text. `glue`: whether headings are moved to what they head."""
     span = span or (0, len(text))
     if span[1] - span[0] <= limit:
         return [span]
@@ -101,15 +101,23 @@ def tree_pack(text: str, limit: int, kind: str = "text", span: Span | None = Non
         return [(i, min(i + limit, span[1])) for i in range(span[0], span[1], limit)]
     out: list[Span] = []
     for p in parts:
-        for s in tree_pack(text, limit, made, p) if p[1] - p[0] > limit else [p]:
+        for s in tree_pack(text, limit, made, p, glue) if p[1] - p[0] > limit else [p]:
             if out and s[1] - out[-1][0] <= limit:
                 out[-1] = (out[-1][0], s[1])
             else:
                 out.append(s)
-    for i in range(len(out) - 1):  # a heading goes with what it heads
-        line = out[i][0] + text[slice(*out[i])].rstrip().rfind("\n") + 1
-        if line > out[i][0] and heading_level(text[line : out[i][1]]) and out[i + 1][1] - line <= limit:
-            out[i], out[i + 1] = (out[i][0], line), (line, out[i + 1][1])
+    i = 0
+    while glue and i < len(out) - 1:  # a heading goes with what it heads, or with its first sentences
+        start, end = out[i]
+        line = start + text[start:end].rstrip().rfind("\n") + 1
+        if end - line <= limit // 2 and heading_level(text[line:end]):
+            rest = (line, out[i + 1][1])
+            made_of = [rest] if rest[1] - line <= limit else tree_pack(text, limit, "line", rest, False)
+            if made_of[0][1] > end:
+                out[i : i + 2] = [(start, line), *made_of] if line > start else made_of
+                if line == start:
+                    continue
+        i += 1
     return out
 
 
