@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sylvaspark.common import first_by, row_rank, table
+from sylvaspark.common import Steps, first_by, row_rank, table
 from sylvaspark.functions import text as X
 from sylvaspark.operators.fields import PLAN_TYPES, clean_sql, column_sql, core_sql
 from sylvaspark.operators.hierarchy import parent_links
@@ -282,22 +282,41 @@ def o236_quota(spark, sf_dir):
     return r.select("event_type", (1 + F.col("base") + (F.col("place") <= F.col("left")).cast("long")).alias("seats"))
 
 
+# Where a text is cut into candidates (white space, marks, particles, verbs of instruction), what a candidate is, and what is none.
+CUT = r"(?U)[\s、,，;；。!！?？:：/|()（）\[\]【】]+|(?:以及|包括|涉及|掌握|了解|熟悉|理解|能够|要求|运用|应用于|等|与|和|及|的|并|或)"
+CANDIDATE = "[一-鿿A-Za-z][一-鿿A-Za-z0-9]{1,15}"
+STRUCTURAL = r"^(第[一二三四五六七八九十百千零\d]+[章节讲课周部单元次]|复习|答疑|绪论|导论|小结|总结|习题|案例分析|课堂讨论)"
+NOISE = "教学进度表 成绩评定 参考书目 参考书 文档概览 课程基本信息 考核方式 教材 本课程 课程 学生 教学内容 教学目标 课程目标 课程简介 教学方法 教学要求 教学安排 学时 学分 章节 作业 考试 期末 期中 平时成绩 课堂 讲授 实验 掌握 了解 熟悉 理解 能够 要求 培养 重点 难点 内容 方法 主要 基本 相关 教师 专业 学院 大学 教研室 先修课程".split()
+FRAGMENTS = "掌握|了解|熟悉|能够|要求|重点|难点|学时|学分|考核|成绩|作业|本章|本节"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Documents under their course; those without one under their source."""
+    return docs.withColumn("course", F.coalesce(F.nullif("course_code", F.lit("")), "source", F.lit("unknown")))
+
+
+def candidate_counts(docs: DataFrame) -> DataFrame:
+    """(course, phrase, tf): candidates in the texts of each course, without structure marks and words of instruction."""
+    found = F.flatten(F.transform(F.split("text", CUT), lambda x: F.regexp_extract_all(x, F.lit(CANDIDATE), F.lit(0))))
+    p = docs.where("text is not null").select("course", F.explode(found).alias("phrase"))
+    x = F.col("phrase")
+    return p.where(~x.isin(NOISE) & ~x.rlike(STRUCTURAL) & ~x.rlike(FRAGMENTS)).groupBy("course", "phrase").agg(F.count("*").alias("tf"))
+
+
 def o86_phrases(spark, sf_dir):
-    """Candidate phrases of the English documents by source: two neighbouring words, without stop words."""
-    w = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: F.length(x) > 2)
-    d = table(spark, sf_dir, "documents").where("lang = 'en' and text is not null").select("doc_id", "source", w.alias("w")).where("size(w) > 1")
-    p = d.select("doc_id", "source", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1)))).alias("phrase"))
-    return p.where(~F.col("phrase").rlike("\\b(the|and|for|with|are|you)\\b")).groupBy("source", "phrase").agg(F.count("*").alias("tf"))
+    """Candidate phrases of all documents by course."""
+    return candidate_counts(_keyed(table(spark, sf_dir, "documents")))
 
 
 def o87_ranked_phrases(spark, sf_dir):
-    """The ten best phrases of each source by frequency times rarity over sources; phrases of most sources are left out."""
-    p = o86_phrases(spark, sf_dir)
+    """The ten best phrases of each course by frequency times rarity over courses; phrases of most courses are left out."""
+    d = _keyed(table(spark, sf_dir, "documents"))
+    p = Steps(spark).write(candidate_counts(d))
     df = p.groupBy("phrase").agg(F.count("*").alias("df"))
-    n = p.agg(F.countDistinct("source").alias("n"))
-    s = p.join(df, "phrase").crossJoin(F.broadcast(n)).where("df <= 0.5 * n")  # one row
-    s = s.select("source", "phrase", F.round(F.col("tf") * (F.log(F.col("n") / F.col("df")) + 1), 6).alias("score"))
-    return s.withColumn("rank", row_rank(["source"], F.col("score").desc(), F.col("phrase"))).where("rank <= 10")
+    n = d.agg(F.countDistinct("course").alias("n"))
+    s = p.join(df, "phrase").crossJoin(F.broadcast(n)).where("n = 1 or df / n <= 0.5")  # one row
+    s = s.select("course", "phrase", (F.col("tf") * (F.log(F.col("n") / F.col("df")) + 1)).alias("score"))
+    return s.withColumn("rank", row_rank(["course"], F.col("score").desc(), F.col("phrase"))).where("rank <= 10").withColumn("score", F.round("score", 6))
 
 
 _O = f"{OFF}, o as (select *, {_CODE} as code from off where course_code is not null)"

@@ -259,19 +259,21 @@ def _signed(words: pd.Series, dims: int, name: str) -> list:
 
 
 def hash_embedding(df: DataFrame, key: str, text: str, dims: int = 384, name: str = "sha256") -> DataFrame:
-    """(key, embedding): signed feature hashing of words; a text without words has zeros."""
+    """(key, embedding): signed feature hashing of words, for sha256 in lower case; a text without words has zeros."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({key: b[key], "embedding": _signed(b["w"], dims, name)})
+            w = b["w"].map(lambda t: t.lower().split()) if name == "sha256" else b["w"]
+            yield pd.DataFrame({key: b[key], "embedding": _signed(w, dims, name)})
 
-    words = df.select(key, F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda x: x != "").alias("w"))
+    t = F.coalesce(text, F.lit(""))
+    words = df.select(key, (t if name == "sha256" else F.filter(F.split(t, r"\s+"), lambda x: x != "")).alias("w"))
     return words.mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, embedding array<double>")
 
 
 def o167_hash_embedding(spark, sf_dir):
-    """Hash vectors of the English documents: their size, and the number of places in use."""
-    d = table(spark, sf_dir, "documents").where("lang = 'en'")
+    """Hash vectors of all documents: their size, and the number of places in use."""
+    d = table(spark, sf_dir, "documents")
     e = hash_embedding(d, "doc_id", "text")
     return e.select("doc_id", F.size("embedding").alias("dims"), F.size(F.filter("embedding", lambda x: x != 0)).alias("used"))
 

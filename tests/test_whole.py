@@ -1,6 +1,8 @@
 """Operators read all of their input: no language, id or place is left out."""
 
-from sylvaspark.operators import answers, doctree
+import numpy as np
+
+from sylvaspark.operators import answers, doctree, programs, vectors
 
 
 def write(spark, path, name, rows, schema):
@@ -17,3 +19,30 @@ def test_lines_of_every_language(spark, tmp_path):
         assert {r.doc_id for r in f(spark, d).collect()} == every, f.__name__
     assert {r.kind: r.n for r in doctree.o44_section_type(spark, d).collect()} == {"objectives": 5}
     assert len(answers.o196_schedule_prefix(spark, d).collect()) > 0
+
+
+def test_candidates_of_every_language(spark, tmp_path):
+    docs = [
+        (1, "zh", "web", "C1", "掌握概率密度和约束极值，第3章 绪论\n学时 考试 Bayes网络"),
+        (2, None, "web", "C1", "概率密度；矩阵"),
+        (3, "EN", "web", None, "Graph theory, graph (Theory)"),
+        (4, "zh", "web", "C2", "概率密度"), (5, "zh", "web", "C3", None), (6, "zh", "web", "C4", "本章 学分"),
+    ]
+    d = write(spark, tmp_path, "documents", docs, "doc_id long, lang string, source string, course_code string, text string")
+    got = {(r.course, r.phrase): r.tf for r in programs.o86_phrases(spark, d).collect()}
+    c1 = {"概率密度": 2, "约束极值": 1, "Bayes网络": 1, "矩阵": 1}
+    assert got == {("C1", k): n for k, n in c1.items()} | {("web", k): 1 for k in ("Graph", "theory", "graph", "Theory")} | {("C2", "概率密度"): 1}
+    best = {(r.course, r.phrase): (r.score, r["rank"]) for r in programs.o87_ranked_phrases(spark, d).collect()}
+    # five courses, those without candidates included; the phrase of two of them stays
+    assert best["C1", "概率密度"] == (round(2 * (np.log(5 / 2) + 1), 6), 1) and best["C2", "概率密度"][0] == round(np.log(5 / 2) + 1, 6)
+
+
+def test_phrases_of_a_single_course(spark, tmp_path):
+    d = write(spark, tmp_path, "documents", [(1, "zh", "web", "C1", "矩阵")], "doc_id long, lang string, source string, course_code string, text string")
+    assert [(r.phrase, r.score) for r in programs.o87_ranked_phrases(spark, d).collect()] == [("矩阵", 1.0)]
+
+
+def test_hash_vectors_of_every_language(spark, tmp_path):
+    rows = [(1, "zh", "概率　密度"), (2, None, "a A"), (3, "en", None)]
+    d = write(spark, tmp_path, "documents", rows, "doc_id long, lang string, text string")
+    assert {r.doc_id: r.used for r in vectors.o167_hash_embedding(spark, d).collect()} == {1: 2, 2: 1, 3: 0}
