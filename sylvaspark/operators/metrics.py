@@ -169,17 +169,17 @@ def o224_structure(spark, sf_dir):
 
 
 def o225_instructors(spark, sf_dir):
-    """Whether two records of a course in a plan name the same set of instructors."""
+    """Whether all records of a course in a plan name the same set of instructors."""
     from sylvaspark.plans.inputs import offerings
 
     o = offerings(spark, sf_dir).where("program_name is not null and course_code is not null and instructor is not null")
-    o = o.select(F.upper(F.trim("course_code")).alias("code"), "program_name", "offering_id", F.array_sort(F.array_distinct(F.split("instructor", "、"))).alias("n")).withColumn("r", row_rank(["code", "program_name"], F.col("offering_id"))).where("r <= 2")
-    g = o.groupBy("code", "program_name").agg(F.max(F.when(F.col("r") == 1, F.array_join("n", "、"))).alias("a"), F.max(F.when(F.col("r") == 2, F.array_join("n", "、"))).alias("b"))
-    return g.where("b is not null").select("code", "program_name", (F.col("a") == F.col("b")).alias("same"))
+    o = o.select(F.upper(F.trim("course_code")).alias("code"), "program_name", F.array_join(F.array_sort(F.array_distinct(F.split("instructor", "、"))), "、").alias("n"))
+    g = o.groupBy("code", "program_name").agg(F.count("*").alias("records"), F.count_distinct("n").alias("sets"))
+    return g.where("records > 1").select("code", "program_name", (F.col("sets") == 1).alias("same"))
 
 
 def o226_instructor_report(spark, sf_dir):
-    """Share of pairs with the same instructors."""
+    """Share of courses in plans whose records all name the same instructors."""
     return o225_instructors(spark, sf_dir).agg(F.count("*").alias("items"), rate(F.col("same")).alias("accuracy"))
 
 

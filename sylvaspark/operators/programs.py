@@ -66,10 +66,9 @@ def o69_latest_profile(spark, sf_dir):
 
 
 def o70_conflicts(spark, sf_dir):
-    """Fields in which the first two records of a course disagree."""
-    o = _off(spark, sf_dir).withColumn("r", F.row_number().over(Window.partitionBy("code", "program_name").orderBy("offering_id"))).where("r <= 2 and program_name is not null")
-    g = o.groupBy("code", "program_name").agg(*[F.max(F.when(F.col("r") == i, X.clean(F.col(c)))).alias(f"{c}{i}") for c in ("credits", "hours") for i in (1, 2)])
-    found = F.array_compact(F.array(*[F.when((F.col(f"{c}1") != "") & (F.col(f"{c}2") != "") & (F.col(f"{c}1") != F.col(f"{c}2")), F.lit(c)) for c in ("credits", "hours")]))
+    """Fields in which any two records of a course in a plan disagree."""
+    g = _off(spark, sf_dir).where("program_name is not null").groupBy("code", "program_name").agg(*[F.count_distinct(F.nullif(X.clean(F.col(c)), F.lit(""))).alias(c) for c in ("credits", "hours")])
+    found = F.array_compact(F.array(*[F.when(F.col(c) > 1, F.lit(c)) for c in ("credits", "hours")]))
     return g.select("code", "program_name", F.array_join(found, ",").alias("conflicts")).where("conflicts <> ''")
 
 

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from sylvaspark.operators import answers, doctree, programs, vectors
+from sylvaspark.operators import answers, doctree, metrics, programs, vectors
 
 
 def write(spark, path, name, rows, schema):
@@ -46,3 +46,15 @@ def test_hash_vectors_of_every_language(spark, tmp_path):
     rows = [(1, "zh", "概率　密度"), (2, None, "a A"), (3, "en", None)]
     d = write(spark, tmp_path, "documents", rows, "doc_id long, lang string, text string")
     assert {r.doc_id: r.used for r in vectors.o167_hash_embedding(spark, d).collect()} == {1: 2, 2: 1, 3: 0}
+
+
+def test_conflicts_of_all_records(spark, tmp_path):
+    rows = [
+        (1, "A1", "P", "3", "48", "x、y"), (2, "a1 ", "P", "3", "", "y、x"), (3, "A1", "P", "4", "48", "x"), (4, "A1", "P", "", "32", "x、y"),
+        (5, "B1", "P", "2", "16", "x、y"), (6, "B1", "P", "2", "16", "y、x"), (7, "B1", "P", None, "", "x、y"), (8, "C1", "P", "2", "16", "x"),
+    ]
+    schema = "offering_id long, course_code string, program_name string, credits string, hours string, instructor string, ingested_at string"
+    d = write(spark, tmp_path, "course_offerings", [(*r, "t") for r in rows], schema)
+    assert {r.code: r.conflicts for r in programs.o70_conflicts(spark, d).collect()} == {"A1": "credits,hours"}
+    assert {r.code: r.same for r in metrics.o225_instructors(spark, d).collect()} == {"A1": False, "B1": True}
+    assert [tuple(r) for r in metrics.o226_instructor_report(spark, d).collect()] == [(2, 0.5)]
