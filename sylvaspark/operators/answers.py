@@ -163,10 +163,10 @@ def o251_votes(spark, sf_dir):
 
 
 def o274_signals(spark, sf_dir):
-    """Rule, order and Bloom signals of the pairs of the first concepts."""
-    c = concepts(_vectors(spark, sf_dir)).where("vec_id < 40")
+    """Rule, order and Bloom signals of every pair of concepts, those that Bloom levels forbid included."""
+    c = concepts(_vectors(spark, sf_dir))
     t = c.select(F.col("vec_id").alias("target"), F.col("discipline").alias("td"), F.col("bloom").alias("tb"), F.col("semester").alias("ts"))
-    p = t.join(c, F.col("target") % 4 == F.col("vec_id") % 4).where("target <> vec_id")
+    p = t.join(c, F.col("target") != F.col("vec_id"))
     allowed = F.col("bloom") <= F.col("tb")
     return p.select("target", F.col("vec_id").alias("source"), allowed.alias("bloom_allowed"), F.when(~allowed, 0.0).when(F.col("discipline") == F.col("td"), 1.0).otherwise(0.5).alias("rule"), F.when(F.coalesce(F.col("semester") < F.col("ts"), F.lit(False)), 0.3).otherwise(0.0).alias("structure"))
 

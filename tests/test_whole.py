@@ -58,3 +58,16 @@ def test_conflicts_of_all_records(spark, tmp_path):
     assert {r.code: r.conflicts for r in programs.o70_conflicts(spark, d).collect()} == {"A1": "credits,hours"}
     assert {r.code: r.same for r in metrics.o225_instructors(spark, d).collect()} == {"A1": False, "B1": True}
     assert [tuple(r) for r in metrics.o226_instructor_report(spark, d).collect()] == [(2, 0.5)]
+
+
+def vector_table(spark, path, ids):
+    r = np.random.default_rng(7)
+    rows = [(i, [float(x) for x in r.normal(size=4)], "ab"[i % 2]) for i in ids]
+    return write(spark, path, "embeddings", rows, "vec_id long, embedding array<float>, label string")
+
+
+def test_signals_of_all_pairs(spark, tmp_path):
+    ids = [3, 41, 63, 101, 120]
+    got = {(r.target, r.source): (r.bloom_allowed, r.rule, r.structure) for r in answers.o274_signals(spark, vector_table(spark, tmp_path, [*ids, 117])).collect()}
+    assert set(got) == {(a, b) for a in ids for b in ids if a != b}
+    assert got[101, 41] == (True, 1.0, 0.3) and got[120, 101] == (False, 0.0, 0.0)
