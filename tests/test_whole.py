@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from sylvaspark.operators import answers, doctree, metrics, programs, vectors
+from sylvaspark.operators import answers, doctree, graphs, metrics, programs, vectors
 
 
 def write(spark, path, name, rows, schema):
@@ -71,3 +71,15 @@ def test_signals_of_all_pairs(spark, tmp_path):
     got = {(r.target, r.source): (r.bloom_allowed, r.rule, r.structure) for r in answers.o274_signals(spark, vector_table(spark, tmp_path, [*ids, 117])).collect()}
     assert set(got) == {(a, b) for a in ids for b in ids if a != b}
     assert got[101, 41] == (True, 1.0, 0.3) and got[120, 101] == (False, 0.0, 0.0)
+
+
+def test_scores_of_every_match(spark, tmp_path):
+    rows = [(50, "graph theory"), (7, "graph"), (90, "theory of sets"), (51, "algebra"), (100, "sets")]
+    d = write(spark, tmp_path, "documents", [(i, "en", t) for i, t in rows], "doc_id long, lang string, text string")
+    assert {(r.query_id, r.doc_id) for r in answers.o136_pair_score(spark, d).collect()} == {(50, 50), (50, 7), (50, 90), (100, 100), (100, 90)}
+
+
+def test_chains_from_every_course(spark, monkeypatch):
+    e = spark.createDataFrame([(20, 30), (30, 50), (60, 20), (70, 60), (50, 51)], "src long, dst long")
+    monkeypatch.setattr(graphs, "part_edges", lambda *_: e)
+    assert {(r.src, r.dst, r.distance) for r in graphs.o186_relation_chain(spark, "").collect()} == {(30, 50, 1), (20, 50, 2), (60, 50, 3)}
