@@ -144,9 +144,9 @@ def o270_candidate_links(spark, sf_dir):
 
 
 def o271_verify_links(spark, sf_dir):
-    """Links to verify: those not in the cache, by confidence, within a budget of 40; cached ones are free."""
+    """Links to verify: those not in the cache, by confidence, within a budget of 3,000; cached ones are free."""
     p = o170_concept_pairs(spark, sf_dir).withColumn("cached", (F.col("source") + F.col("target")) % 3 == 0)
-    new = p.where("not cached").orderBy(F.col("confidence").desc(), "target", "source").limit(40)
+    new = p.where("not cached").orderBy(F.col("confidence").desc(), "target", "source").limit(3000)
     return p.where("cached").unionByName(new).select("target", "source", "cached")
 
 

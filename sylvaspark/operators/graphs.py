@@ -199,9 +199,9 @@ def _three(spark, sf_dir):
 
 
 def o117_paths(spark, sf_dir):
-    """Paths of one to three links to each target, the ten of the best mean confidence."""
+    """Paths of one to three links to each target, the hundred of the best mean confidence."""
     p = _three(spark, sf_dir)
-    return p.withColumn("place", row_rank(["target"], F.col("mean").desc(), F.col("path"))).where("place <= 10")
+    return p.withColumn("place", row_rank(["target"], F.col("mean").desc(), F.col("path"))).where("place <= 100")
 
 
 def o98_aggregated(spark, sf_dir):

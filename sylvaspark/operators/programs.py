@@ -308,14 +308,14 @@ def o86_phrases(spark, sf_dir):
 
 
 def o87_ranked_phrases(spark, sf_dir):
-    """The ten best phrases of each course by frequency times rarity over courses; phrases of most courses are left out."""
+    """The forty best phrases of each course by frequency times rarity over courses; phrases of most courses are left out."""
     d = _keyed(table(spark, sf_dir, "documents"))
     p = Steps(spark).write(candidate_counts(d))
     df = p.groupBy("phrase").agg(F.count("*").alias("df"))
     n = d.agg(F.countDistinct("course").alias("n"))
     s = p.join(df, "phrase").crossJoin(F.broadcast(n)).where("n = 1 or df / n <= 0.5")  # one row
     s = s.select("course", "phrase", (F.col("tf") * (F.log(F.col("n") / F.col("df")) + 1)).alias("score"))
-    return s.withColumn("rank", row_rank(["course"], F.col("score").desc(), F.col("phrase"))).where("rank <= 10").withColumn("score", F.round("score", 6))
+    return s.withColumn("rank", row_rank(["course"], F.col("score").desc(), F.col("phrase"))).where("rank <= 40").withColumn("score", F.round("score", 6))
 
 
 _O = f"{OFF}, o as (select *, {_CODE} as code from off where course_code is not null)"

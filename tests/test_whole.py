@@ -83,3 +83,16 @@ def test_chains_from_every_course(spark, monkeypatch):
     e = spark.createDataFrame([(20, 30), (30, 50), (60, 20), (70, 60), (50, 51)], "src long, dst long")
     monkeypatch.setattr(graphs, "part_edges", lambda *_: e)
     assert {(r.src, r.dst, r.distance) for r in graphs.o186_relation_chain(spark, "").collect()} == {(30, 50, 1), (20, 50, 2), (60, 50, 3)}
+
+
+def test_limits_of_the_reference(spark, tmp_path, monkeypatch):
+    d = vector_table(spark, tmp_path, range(1, 300))
+    new = vectors.o170_concept_pairs(spark, d).where("(source + target) % 3 <> 0").count()
+    assert answers.o271_verify_links(spark, d).where("not cached").count() == new > 40
+    e = spark.createDataFrame([(i, 50) for i in range(100, 220)], "src long, dst long")
+    monkeypatch.setattr(graphs, "part_edges", lambda *_: e)
+    assert graphs.o117_paths(spark, d).count() == 100
+    assert graphs.o191_mermaid(spark, d).collect()[0].diagram.count("-->") == 100
+    text = " ".join(f"{a}{b}x" for a in "abcdefg" for b in "abcdefg")
+    write(spark, tmp_path, "documents", [(1, "en", "web", "C1", text)], "doc_id long, lang string, source string, course_code string, text string")
+    assert programs.o87_ranked_phrases(spark, d).count() == 40
