@@ -20,11 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of `spark.checkpoint.dir`; only where that is unset, as in tests, a temporary folder takes its place."""
+    """The folder of `spark.checkpoint.dir`. Where that is unset, a session on one machine (local master, as in tests) gets a temporary folder; a cluster gets an error, as its machines share no such folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if not hasattr(spark, "_own_dir"):
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         spark._own_dir = "file://" + tempfile.mkdtemp(prefix="steps-")
         spark.sparkContext.setCheckpointDir(spark._own_dir)
     return spark._own_dir

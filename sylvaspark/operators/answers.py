@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sylvaspark.common import Steps, row_rank, table
+from sylvaspark.common import Steps, join_lookup, row_rank, table
 from sylvaspark.functions import text as X
 from sylvaspark.operators import lexical
 from sylvaspark.operators.fields import clean_sql, column_sql, key_sql
@@ -78,15 +78,14 @@ def o156_json(spark, sf_dir):
 
 def o136_pair_score(spark, sf_dir):
     """BM25 of each query document against every document that shares a term with it."""
-    return lexical._ranked(spark, sf_dir)
+    return lexical.ranked(spark, sf_dir, None).drop("kind")
 
 
 def o132_score_terms(spark, sf_dir):
     """Parts of the BM25 score of each query document against itself, term by term, the ten largest."""
-    p = lexical._posts(spark, sf_dir)
-    n = lexical.corpus_size(p)
-    df = p.groupBy("term").agg(F.count("*").alias("df"))
-    own = p.where("doc_id % 50 = 0").join(df, "term").crossJoin(F.broadcast(n))  # one row of sizes
+    d = table(spark, sf_dir, "documents")
+    own = lexical.postings(d.where("doc_id % 50 = 0"))
+    own = join_lookup(Steps(spark).write(own), lexical.document_frequency(d), "term", "inner").crossJoin(F.broadcast(lexical.corpus_size(d)))  # one row of sizes
     part = lexical.idf(F.col("df"), F.col("n_docs")) * F.col("tf") * 2.5 / (F.col("tf") + 1.5 * (0.25 + 0.75 * F.col("len") / F.col("avg_len")))
     s = own.select("doc_id", "term", F.round(part, 6).alias("part"))
     return s.withColumn("rank", row_rank(["doc_id"], F.col("part").desc(), F.col("term"))).where("rank <= 10")
@@ -95,21 +94,20 @@ def o132_score_terms(spark, sf_dir):
 def o268_recall(spark, sf_dir):
     """The twenty lexical candidates of each query among documents of its own language."""
     d = table(spark, sf_dir, "documents")
-    r = lexical._ranked(spark, sf_dir).join(d.select("doc_id", F.col("lang").alias("dl")), "doc_id").join(d.select(F.col("doc_id").alias("query_id"), "lang"), "query_id").where("dl = lang")
+    r = lexical.ranked(spark, sf_dir, 20, group=F.col("lang")).join(d.where("lang is not null").select(F.col("doc_id").alias("query_id"), "lang"), "query_id").where("kind = lang")
     return lexical.top(r.select("query_id", "doc_id", "score"), 20)
 
 
 def o108_bm25_arm(spark, sf_dir):
     """BM25 alone with a boost for one source."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "source")
-    r = lexical._ranked(spark, sf_dir).join(d, "doc_id").select("query_id", "doc_id", F.round(F.col("score") + F.when(F.col("source") == "course_wiki", 0.08).otherwise(0.0), 6).alias("score"))
+    r = lexical.ranked(spark, sf_dir, 5, group=F.col("source"))
+    r = r.select("query_id", "doc_id", F.round(F.col("score") + F.when(F.col("kind") == "course_wiki", 0.08).otherwise(0.0), 6).alias("score"))
     return lexical.top(r, 5)
 
 
 def o110_two_branch(spark, sf_dir):
     """Two filtered searches, syllabi and notes, put together: each document once, from the first branch that has it."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "doc_kind")
-    r = Steps(spark).write(lexical._ranked(spark, sf_dir).join(d, "doc_id"))
+    r = Steps(spark).write(lexical.ranked(spark, sf_dir, 5, group=F.col("doc_kind")).withColumnRenamed("kind", "doc_kind"))
     a = lexical.top(r.where("doc_kind = 'syllabus'").select("query_id", "doc_id", "score"), 5).withColumn("branch", F.lit(1))
     b = lexical.top(r.where("doc_kind in ('notes', 'syllabus')").select("query_id", "doc_id", "score"), 5).withColumn("branch", F.lit(2))
     u = a.unionByName(b).withColumn("k", row_rank(["query_id", "doc_id"], F.col("branch"), F.col("rank"))).where("k = 1")
@@ -324,7 +322,7 @@ def o264_hit_citations(spark, sf_dir):
 def o241_graded(spark, sf_dir):
     """First rank of a hit of the query's own course, for all queries at once."""
     d = table(spark, sf_dir, "documents").select("doc_id", "course_code")
-    t = lexical.top(lexical._ranked(spark, sf_dir).where("query_id <> doc_id"), 10)
+    t = lexical.top(lexical.ranked(spark, sf_dir, 11).drop("kind").where("query_id <> doc_id"), 10)  # one more than ten, as the query finds itself
     j = t.join(d, "doc_id").join(d.select(F.col("doc_id").alias("query_id"), F.col("course_code").alias("gold")), "query_id")
     return j.groupBy("query_id").agg(F.min(F.when(F.col("course_code") == F.col("gold"), F.col("rank"))).alias("first"))
 
@@ -486,7 +484,7 @@ _T = lexical.TOKENS
 _C = "upper(trim(course_code))"
 _CN = "(case when regexp_full_match(t, '\\d{1,6}') then t::int when regexp_full_match(t, '[一二两三四五六七八九]') then case when t = '两' then 2 else instr('一二三四五六七八九', t) end when t = '十' then 10 end)"
 SQL = {
-    "o136_pair_score": f"with {_T} select * from raw where doc_id - query_id between 0 and 1",
+    "o136_pair_score": f"with {_T} select * from raw",
     "o132_score_terms": f"with {_T}, s as (select doc_id, term, round(greatest(0.0, ln(1 + (n_docs - df + 0.5) / (df + 0.5))) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avg_len)), 6) as part from post join dfs using (term), n where doc_id % 50 = 0) select *, row_number() over (partition by doc_id order by part desc, term)::int as rank from s qualify rank <= 10",
     "o268_recall": f"with {_T}, x as (select r.* from raw r join documents a on a.doc_id = r.doc_id join documents b on b.doc_id = r.query_id where a.lang = b.lang) select *, row_number() over (partition by query_id order by score desc, doc_id)::int as rank from x qualify rank <= 20",
     "o108_bm25_arm": f"with {_T}, x as (select query_id, doc_id, round(score + case when source = 'course_wiki' then 0.08::double else 0 end, 6) as score from raw join documents using (doc_id)) select *, row_number() over (partition by query_id order by score desc, doc_id)::int as rank from x qualify rank <= 5",
@@ -494,8 +492,8 @@ SQL = {
     "o251_votes": f"with {_VOTE} select vote::int as vote, count(*) as n, count(*) filter (requires) as yes from vt group by 1",
     "o273_normal_votes": f"with {_VOTE} select target, source, vote::int as vote, coalesce(requires, false) as requires, round(greatest(0.0, least(1.0, confidence * 1.25::double)), 6) as confidence from vt",
     "o270_candidate_links": f"with {_PAIR} select target, count(*) as links, max(confidence) as best from pr group by 1",
-    "o271_verify_links": f"with {_PAIR}, p as (select target, source, confidence, (source + target) % 3 = 0 as cached from pr), n as (select * from p where not cached order by confidence desc, target, source limit 40) select target, source, cached from p where cached union all select target, source, cached from n",
-    "o274_signals": f"with {_CON}, k as (select * from c where vec_id < 40) select t.vec_id as target, s.vec_id as source, s.b <= t.b as bloom_allowed, (case when s.b > t.b then 0 when s.d = t.d then 1 else 0.5 end)::double as rule, (case when coalesce(s.s < t.s, false) then 0.3 else 0 end)::double as structure from k t, k s where t.vec_id % 4 = s.vec_id % 4 and t.vec_id <> s.vec_id",
+    "o271_verify_links": f"with {_PAIR}, p as (select target, source, confidence, (source + target) % 3 = 0 as cached from pr), n as (select * from p where not cached order by confidence desc, target, source limit 3000) select target, source, cached from p where cached union all select target, source, cached from n",
+    "o274_signals": f"with {_CON} select t.vec_id as target, s.vec_id as source, s.b <= t.b as bloom_allowed, (case when s.b > t.b then 0 when s.d = t.d then 1 else 0.5 end)::double as rule, (case when coalesce(s.s < t.s, false) then 0.3 else 0 end)::double as structure from c t, c s where t.vec_id <> s.vec_id",
     "o277_public": f"with {CAT} select course_code, regexp_matches(course_code, '^(TY|PE|MA)') as public from cat",
     "o272_concept_types": f"with {CAT} select case " + " ".join(f"when regexp_matches(course_name, '(?:{p})$') then '{n}'" for n, p in SUFFIX_TYPES) + " else 'concept' end as type, count(*) as n from cat where course_name is not null group by 1",
     "o142_fallback_concepts": "with t as (select doc_id, unnest(list_distinct(regexp_extract_all(text, '([一-鿿]{2,6}(?:理论|原理|方法|模型|系统))', 1))) as term from documents where text is not null) select term, count(*) as docs from t group by 1",

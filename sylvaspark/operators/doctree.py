@@ -258,7 +258,7 @@ def o84_concept_evidence(spark, sf_dir):
 
 _LINES = "ln as (select doc_id, (generate_subscripts(a, 1) - 1)::int as pos, unnest(a) as line from (select doc_id, string_split(text, chr(10)) as a from documents where text is not null{0}))"
 _LV = "case when length(line) < 40 and not regexp_matches(line, '[。！？；.!?;]$') then case " + " ".join(f"when regexp_matches(line, '{p}') then {n}" for n, p in LEVELS) + " end end"
-_L = _LINES.format(" and lang = 'zh'") + f", l as (select *, {_LV} as level from ln where trim(line, ' ') <> '')"
+_L = _LINES.format("") + f", l as (select *, {_LV} as level from ln where trim(line, ' ') <> '')"
 _A = _LINES.format("") + ", l as (select * from ln where trim(line, ' ') <> '')"
 _W = "over (partition by doc_id order by pos rows unbounded preceding)"
 _PATH = f"{_L}, x as (select *, " + ", ".join(f"max(case when level = {n} then pos end) {_W} as p{n}, last_value(case when level = {n} then line end ignore nulls) {_W} as t{n}" for n in (1, 2, 3, 4)) + " from l), pa as (select doc_id, pos, line, [z for z in [case when p1 > -1 then t1 end, case when p2 > coalesce(p1, -1) then t2 end, case when p3 > greatest(coalesce(p1, -1), coalesce(p2, -1)) then t3 end, case when p4 > greatest(coalesce(p1, -1), coalesce(p2, -1), coalesce(p3, -1)) then t4 end] if z is not null] as path from x)"

@@ -239,7 +239,7 @@ _CL = f"{_E}, cl as (select target, target as node, 0 as distance from t union s
 _LA = f"{_E}, ll as (select src as node, 0 as layer from e where src not in (select dst from e) union select e.dst, ll.layer + 1 from ll join e on e.src = ll.node), la as (select node, max(layer)::int as layer from ll group by node)"
 _D = f"{_E}, dd as (select src, dst, 1 as d from e union select dd.src, e.dst, d + 1 from dd join e on e.src = dd.dst where d < 3), di as (select src, dst, min(d)::int as distance from dd where src <> dst group by all)"
 _W = f"{_E}, b as (select src as x, dst as y, src || '-' || dst as e from e union all select dst, src, src || '-' || dst from e), one as (select target, y, b.e from t join b on b.x = target), two as (select o.target, b.y from one o join b on b.x = o.y where b.e <> o.e), w as (select target, node, min(h)::int as hops, count(*) as walks from (select target, y as node, 1 as h from one union all select target, y, 2 from two) group by all)"
-_P = f"{_E}, pa as (select dst as target, src as node, src || '>' || dst as path, ((src * 7 + dst * 3) % 100) / 100 as s, 1 as n from e where dst % 50 = 0 union all select pa.target, e.src, e.src || '>' || path, s + ((e.src * 7 + e.dst * 3) % 100) / 100, n + 1 from pa join e on e.dst = pa.node where n < 3), p as (select target, node, path, round(s / n, 6) as mean, n::int as links from pa), top as (select *, row_number() over (partition by target order by mean desc, path)::int as place from p qualify place <= 10), ag as (select target, node, count(*) as paths, max(mean) as best from p group by all)"
+_P = f"{_E}, pa as (select dst as target, src as node, src || '>' || dst as path, ((src * 7 + dst * 3) % 100) / 100 as s, 1 as n from e where dst % 50 = 0 union all select pa.target, e.src, e.src || '>' || path, s + ((e.src * 7 + e.dst * 3) % 100) / 100, n + 1 from pa join e on e.dst = pa.node where n < 3), p as (select target, node, path, round(s / n, 6) as mean, n::int as links from pa), top as (select *, row_number() over (partition by target order by mean desc, path)::int as place from p qualify place <= 100), ag as (select target, node, count(*) as paths, max(mean) as best from p group by all)"
 SQL = {
     "o177_closure": f"with recursive {_CL} select * from c",
     "o177_layers": f"with recursive {_LA} select * from la",
@@ -247,7 +247,7 @@ SQL = {
     "o179_cycle_nodes": f"with recursive {_E}, f as (select src, dst from e union select max(dst), 1 from e), r as (select 1::bigint as node union select f.dst from r join f on f.src = r.node) select node from r",
     "o182_would_cycle": f"with recursive {_CL}, pr as (select distinct target, unnest([target // 6, target // 5]) as \"to\" from t) select target, \"to\", (target, \"to\") in (select (target, node) from c) as cycle from pr where \"to\" > 0",
     "o184_longest_chain": f"with recursive {_LA} select layer, count(*) as courses, min(node) as first from la group by layer",
-    "o186_relation_chain": f"with recursive {_D} select * from di where src <= 10 and dst % 50 = 0",
+    "o186_relation_chain": f"with recursive {_D} select * from di where dst % 50 = 0",
     "o193_distances": f"with recursive {_D} select least(src, dst) as a, greatest(src, dst) as b, min(distance) as distance from di group by all",
     "o181_walks": f"with {_W} select * from w",
     "o180_pruned": f"with {_W}, r as (select *, row_number() over (partition by target order by hops, walks desc, node)::int as place, count(*) over (partition by target) as total from w) select target, node, hops, place, total > 30 as truncated from r where place <= 30",

@@ -1,124 +1,229 @@
 """Lexical statistics, BM25 and overlap search.
 
-Queries are the documents whose id is divisible by 50, each with its whole text; postings hold all documents. idf always comes from the whole corpus, before any filter."""
+Queries are the documents whose id is divisible by 50, each with its whole text; all documents are searched. Tokens are counted within the row that holds the text, so only document frequencies are shuffled. A search cuts documents into shards and queries into blocks: each pair of a shard and a block is scored as one small sparse product and keeps its own best, so pairs of documents that can't be among the best never leave a task. idf always comes from the whole corpus, before any filter."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sylvaspark.common import Steps, row_rank, table
+from sylvaspark.common import Steps, join_lookup, row_rank, spread, table
 from sylvaspark.functions import text as X
 
 K1, B, TOP = 1.5, 0.75, 5
+#: Documents in a shard and queries in a block.
+SHARD, BLOCK = 1024, 256
+_LATIN, _NOT_HAN = re.compile("[a-z][a-z0-9]+"), re.compile("[^一-鿿]+")
+
+
+def count_tokens(text: str | None) -> Counter:
+    """Counts of the tokens of one text; the same tokens as `functions.text.tokens`."""
+    low = (text or "").lower()
+    han = _NOT_HAN.sub("", low)
+    found = Counter(_LATIN.findall(low))
+    found.update(map("".join, zip(han, han[1:])))
+    return found
 
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, term, tf, len): term counts per document, with the document's length in tokens."""
-    t = docs.select(key, X.tokens(F.col(text)).alias("_t"))
-    return t.select(key, F.size("_t").alias("len"), F.explode("_t").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, SHARD):
+                b = whole.slice(at, SHARD)
+                counts = [count_tokens(t) for t in b.column(1).to_pylist()]
+                n = [len(c) for c in counts]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array([t for c in counts for t in c], pa.string()), pa.array([k for c in counts for k in c.values()], pa.int64()), pa.array(np.repeat([c.total() for c in counts], n).astype(np.int64))],
+                    names=[key, "term", "tf", "len"])
+
+    out = T.StructType([docs.schema[key], T.StructField("term", T.StringType()), T.StructField("tf", T.LongType()), T.StructField("len", T.LongType())])
+    return spread(docs.select(key, text)).mapInArrow(run, out)
 
 
-def lexical_stats(posts: DataFrame, least: int = 2) -> DataFrame:
+def document_frequency(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(term, df): in how many documents each term stands; counted per task before the shuffle."""
+    terms = spread(docs.select(text)).select(F.explode(F.array_distinct(X.tokens(F.col(text)))).alias("term"))
+    return terms.groupBy("term").agg(F.count("*").alias("df"))
+
+
+def lexical_stats(df: DataFrame, least: int = 2) -> DataFrame:
     """(term, df) of terms in `least` documents or more."""
-    return posts.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= least)
+    return df.where(F.col("df") >= least)
 
 
-def corpus_size(posts: DataFrame, key: str = "doc_id") -> DataFrame:
+def corpus_size(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row: documents with at least one token, and their mean length."""
-    return posts.groupBy(key).agg(F.first("len").alias("len")).agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
+    n = docs.select(F.size(X.tokens(F.col(text))).alias("len")).where("len > 0")
+    return n.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
 
 
 def idf(df, n):
     return F.greatest(F.lit(0.0), F.log(1 + (n - df + 0.5) / (df + 0.5)))
 
 
-def matches(posts: DataFrame, queries: DataFrame, query: str = "query_id", key: str = "doc_id", among: DataFrame | None = None) -> DataFrame:
-    """(query, key, score, ceiling) of every pair that shares a term. `queries`: (query, term), distinct.
-
-    `among`: the keys that may be found. Their postings alone are matched; statistics are those of all documents."""
-    stats = posts.groupBy("term").agg(F.count("*").alias("df"))
-    n = corpus_size(posts, key)
-    weighted = queries.join(stats, "term", "left").crossJoin(F.broadcast(n)).withColumn("idf", idf(F.coalesce("df", F.lit(0)), F.col("n_docs")))  # one row of sizes
-    ceiling = weighted.groupBy(query).agg((F.sum("idf") * (K1 + 1)).alias("ceiling"))
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    found = posts if among is None else posts.join(among.select(key), key, "left_semi")
-    scores = weighted.where("df is not null").join(found, "term").groupBy(query, key).agg(F.sum(part).alias("score"))
-    return scores.join(ceiling, query)
+def _strings(lists) -> pa.Array:
+    return lists.flatten() if isinstance(lists, pa.ListArray) else pa.concat_arrays([x.flatten() for x in lists.chunks])
+
+
+def _packed(docs: DataFrame, key: str, text: str, group: Column | None, size: int) -> DataFrame:
+    """(ids, lens, kinds, n, terms, tfs): token counts of up to `size` documents in one row. No shuffle: each batch packs its own rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, size):
+                b = whole.slice(at, size)
+                counts = [count_tokens(t) for t in b.column(1).to_pylist()]
+                row = [b.column(0).to_pylist(), [c.total() for c in counts], b.column(2).to_pylist(), [len(c) for c in counts], [t for c in counts for t in c], [k for c in counts for k in c.values()]]
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64())))], names=["ids", "lens", "kinds", "n", "terms", "tfs"])
+
+    kind = F.lit("") if group is None else F.coalesce(group.cast("string"), F.lit(""))
+    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), text, kind.alias("_kind"))
+    return spread(rows).mapInArrow(run, "ids array<long>, lens array<long>, kinds array<string>, n array<long>, terms array<string>, tfs array<long>")
+
+
+def _query_blocks(weighted: DataFrame) -> DataFrame:
+    """(qids, full, qn, qterms, w): up to BLOCK queries in one row, from (query_id, full, terms)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, BLOCK):
+                b = whole.slice(at, BLOCK)
+                lists = b.column(2).to_pylist()
+                row = [b.column(0).to_pylist(), b.column(1).to_pylist(), [len(x) for x in lists], [y["term"] for x in lists for y in x], [y["w"] for x in lists for y in x]]
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.float64())))], names=["qids", "full", "qn", "qterms", "w"])
+
+    return weighted.select("query_id", "full", "terms").mapInArrow(run, "qids array<long>, full array<double>, qn array<long>, qterms array<string>, w array<double>")
+
+
+def _best(scores: np.ndarray, k: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the k best positive scores of each row, with all that tie with the last of them at six decimals."""
+    if k is not None and scores.shape[1] > k:
+        bar = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+        return np.nonzero((scores > 0) & (scores >= bar - 1e-6))
+    return np.nonzero(scores > 0)
+
+
+def search(docs: DataFrame, k: int | None, scheme: str = "bm25", among: DataFrame | None = None, group: Column | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(query_id, doc_id, score, kind): of every shard the k best documents per query and `group` (all that share a term if k is None), scores rounded.
+
+    `scheme`: bm25; normalized, BM25 as a share of what a document of all query terms could reach; overlap, the share of the query's distinct terms. `among`: the documents that may be found (default: all); statistics are those of all. A boost that is the same for all documents of a group can be added afterwards without losing any of the best. Documents with a null id or without tokens are neither queries nor found."""
+    steps = Steps(docs.sparkSession)
+    asked = postings(docs.where(F.col(key) % 50 == 0), key, text).select(F.col(key).cast("long").alias("query_id"), "term")
+    size = corpus_size(spread(docs.select(text)), text).first()
+    n_docs, avg = size["n_docs"], size["avg_len"] or 1.0
+    if scheme == "overlap":
+        weighted = asked.withColumn("w", F.lit(1.0))
+    else:
+        stats = steps.write(document_frequency(docs, text))
+        weighted = join_lookup(steps.write(asked), stats, "term", "inner").withColumn("w", idf(F.col("df"), F.lit(n_docs)))
+    full = F.sum("w") * ((K1 + 1) if scheme == "normalized" else 1.0)
+    queries = weighted.groupBy("query_id").agg(full.alias("full"), F.collect_list(F.struct("term", "w")).alias("terms"))  # the terms of one text
+    queries = steps.write(_query_blocks(queries))
+    shards = _packed(docs if among is None else among, key, text, group, SHARD)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(whole.num_rows):
+                b = whole.slice(i, 1)
+                ids, lens, n, tfs, qids, full_, qn, w = (_strings(b.column(c)).to_numpy(zero_copy_only=False) for c in ("ids", "lens", "n", "tfs", "qids", "full", "qn", "w"))
+                kinds = np.array(_strings(b.column("kinds")).to_pylist(), dtype=object)
+                qterms, terms = _strings(b.column("qterms")), _strings(b.column("terms"))
+                vocabulary = pc.unique(qterms)
+                of = pc.fill_null(pc.index_in(terms, value_set=vocabulary), -1).to_numpy(zero_copy_only=False)
+                qof = pc.index_in(qterms, value_set=vocabulary).to_numpy(zero_copy_only=False)
+                there = np.flatnonzero(of >= 0)
+                there = there[np.argsort(of[there], kind="stable")]
+                row, tf = np.repeat(np.arange(len(ids)), n)[there], tfs[there].astype(float)
+                part = np.ones(len(there)) if scheme == "overlap" else tf * (K1 + 1) / (tf + K1 * (1 - B + B * lens[row] / avg))
+                order = np.argsort(qof, kind="stable")
+                qrow, w = np.repeat(np.arange(len(qids)), qn)[order], w[order]
+                bounds = np.arange(len(vocabulary) + 1)
+                d_at, q_at = np.searchsorted(of[there], bounds), np.searchsorted(qof[order], bounds)
+                scores = np.zeros((len(qids), len(ids)))
+                for t in np.flatnonzero(np.diff(d_at)):
+                    q = slice(q_at[t], q_at[t + 1])
+                    d = slice(d_at[t], d_at[t + 1])
+                    scores[np.ix_(qrow[q], row[d])] += np.outer(w[q], part[d])
+                if scheme != "bm25":
+                    scores = np.divide(scores, full_[:, None], out=np.zeros_like(scores), where=full_[:, None] > 0)
+                for kind in sorted(set(kinds)):
+                    at = np.flatnonzero(kinds == kind)
+                    r, c = _best(scores[:, at], k)
+                    yield pa.RecordBatch.from_arrays([pa.array(qids[r]), pa.array(ids[at[c]]), pa.array(scores[r, at[c]]), pa.array([kind] * len(r), pa.string())], names=["query_id", "doc_id", "score", "kind"])
+
+    pairs = shards.join(queries, F.lit(True))  # blocks of queries against shards
+    return pairs.mapInArrow(run, "query_id long, doc_id long, score double, kind string").withColumn("score", F.round("score", 6))
 
 
 def top(scored: DataFrame, k: int = TOP, query: str = "query_id", key: str = "doc_id") -> DataFrame:
     return scored.withColumn("rank", row_rank([query], F.col("score").desc(), F.col(key))).where(F.col("rank") <= k)
 
 
-def query_terms(posts: DataFrame, key: str = "doc_id") -> DataFrame:
-    return posts.where(F.col(key) % 50 == 0).select(F.col(key).alias("query_id"), "term")
-
-
-def _posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Postings of the documents, written once: statistics, query terms and matching all read them."""
-    return Steps(spark).write(postings(table(spark, sf_dir, "documents")))
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
 
 
 def o129_tokens(spark, sf_dir):
     """Latin words and Han bigrams with their counts."""
-    return _posts(spark, sf_dir).select("doc_id", "term", "tf")
+    return postings(_docs(spark, sf_dir)).select("doc_id", "term", "tf")
 
 
 def o130_term_set(spark, sf_dir):
     """Distinct tokens of each document."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(F.array_distinct(X.tokens(F.col("text")))).alias("n_terms"))
+    return _docs(spark, sf_dir).select("doc_id", F.size(F.array_distinct(X.tokens(F.col("text")))).alias("n_terms"))
 
 
 def o85_lexical_stats(spark, sf_dir):
     """Document frequency of terms in two documents or more."""
-    return lexical_stats(_posts(spark, sf_dir))
+    return lexical_stats(document_frequency(_docs(spark, sf_dir)))
 
 
 def o85_corpus_size(spark, sf_dir):
     """Documents, mean length and vocabulary."""
-    p = _posts(spark, sf_dir)
-    vocabulary = p.agg(F.countDistinct("term").alias("vocabulary"))
-    return corpus_size(p).crossJoin(vocabulary).select("n_docs", F.round("avg_len", 6).alias("avg_len"), "vocabulary")  # one row each
+    d = _docs(spark, sf_dir)
+    vocabulary = document_frequency(d).agg(F.count("*").alias("vocabulary"))
+    return corpus_size(d).crossJoin(vocabulary).select("n_docs", F.round("avg_len", 6).alias("avg_len"), "vocabulary")  # one row each
 
 
 def o131_idf(spark, sf_dir):
     """Inverse document frequency of every term."""
-    p = _posts(spark, sf_dir)
-    return p.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(corpus_size(p))).select("term", F.round(idf(F.col("df"), F.col("n_docs")), 6).alias("idf"))
+    d = _docs(spark, sf_dir)
+    return document_frequency(d).crossJoin(F.broadcast(corpus_size(d))).select("term", F.round(idf(F.col("df"), F.col("n_docs")), 6).alias("idf"))  # one row of sizes
 
 
-def _ranked(spark, sf_dir, normal=False, among=None, asking=None):
-    p = _posts(spark, sf_dir)
-    q = query_terms(p)
-    m = matches(p, q if asking is None else q.join(asking, "query_id", "left_semi"), among=among)
-    score = F.when(F.col("ceiling") > 0, F.col("score") / F.col("ceiling")).otherwise(0.0) if normal else F.col("score")
-    return m.select("query_id", "doc_id", F.round(score, 6).alias("score"))
+def ranked(spark, sf_dir, k=TOP, scheme="bm25", among=None, group=None):
+    return search(_docs(spark, sf_dir), k, scheme, among, group)
 
 
 def o128_bm25_topk(spark, sf_dir):
     """The five best documents of each query by BM25 (also the per-document score and the scorer choice)."""
-    return top(_ranked(spark, sf_dir))
+    return top(ranked(spark, sf_dir).drop("kind"))
 
 
 def o133_bm25_normalized(spark, sf_dir):
     """BM25 as a share of the score that a document of all query terms could reach."""
-    return top(_ranked(spark, sf_dir, True))
+    return top(ranked(spark, sf_dir, scheme="normalized").drop("kind"))
 
 
 def o135_overlap_topk(spark, sf_dir):
     """Share of the distinct query terms that a document holds."""
-    p = _posts(spark, sf_dir)
-    q = query_terms(p)
-    n = q.groupBy("query_id").agg(F.count("*").alias("n"))
-    shared = q.join(p, "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("k"))
-    return top(shared.join(n, "query_id").select("query_id", "doc_id", F.round(F.col("k") / F.col("n"), 6).alias("score")))
+    return top(ranked(spark, sf_dir, scheme="overlap").drop("kind"))
 
 
 def o34_filtered_search(spark, sf_dir):
     """BM25 with a filter on document attributes that is applied before the top five but leaves idf global."""
-    d = table(spark, sf_dir, "documents").where((F.col("source") == "syllabus_portal") & F.col("doc_kind").isin("notes", "faq")).select("doc_id")
-    return top(_ranked(spark, sf_dir, among=d))
+    d = _docs(spark, sf_dir).where((F.col("source") == "syllabus_portal") & F.col("doc_kind").isin("notes", "faq"))
+    return top(ranked(spark, sf_dir, among=d).drop("kind"))
 
 
 def o134_scorer_schemes(spark, sf_dir):
@@ -130,10 +235,9 @@ def o134_scorer_schemes(spark, sf_dir):
 
 def o124_topk_ids(spark, sf_dir):
     """The ids of the best five, in order, per query and source boost: each boost prefers one source."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "source")
     boosts = spark.createDataFrame([("student", "faq_export", 0.1), ("teacher", "syllabus_portal", 0.1), ("visitor", "course_wiki", 0.1)], "persona string, boosted string, boost double")
-    m = _ranked(spark, sf_dir, True).join(d, "doc_id").crossJoin(F.broadcast(boosts))  # three rows
-    s = m.withColumn("score", F.round(F.col("score") + F.when(F.col("source") == F.col("boosted"), F.col("boost")).otherwise(0.0), 6))
+    m = ranked(spark, sf_dir, scheme="normalized", group=F.col("source")).crossJoin(F.broadcast(boosts))  # three rows
+    s = m.withColumn("score", F.round(F.col("score") + F.when(F.col("kind") == F.col("boosted"), F.col("boost")).otherwise(0.0), 6))
     r = s.withColumn("rank", row_rank(["persona", "query_id"], F.col("score").desc(), F.col("doc_id"))).where(F.col("rank") <= TOP)
     return r.groupBy("persona", "query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"]).alias("ids"))
 

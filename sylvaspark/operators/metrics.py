@@ -303,7 +303,7 @@ def _arm(n: int) -> str:
     return f"(select query_id, id, relevant, row_number() over (partition by query_id order by rank) as rank from r where id % {n} = 0)"
 
 
-_INS = f"{OFF}, o as (select upper(trim(course_code)) as code, program_name, array_to_string(list_sort(list_distinct(string_split(instructor, '、'))), '、') as n, row_number() over (partition by upper(trim(course_code)), program_name order by offering_id) as r from off where program_name is not null and course_code is not null and instructor is not null qualify r <= 2), g as (select code, program_name, max(n) filter (r = 1) as a, max(n) filter (r = 2) as b from o group by all)"
+_INS = f"{OFF}, o as (select upper(trim(course_code)) as code, program_name, array_to_string(list_sort(list_distinct(string_split(instructor, '、'))), '、') as n from off where program_name is not null and course_code is not null and instructor is not null), g as (select code, program_name, count(distinct n) = 1 as same from o group by all having count(*) > 1)"
 _FIRST = f"coalesce([y for y in [{strip_sql('x')} for x in string_split_regex(answer, '\\r\\n|[\\n\\r]')] if y <> ''][1], '')"
 _TOPIC = f"{LOG}, l as (select query_id, query_type, answer, {_FIRST} as line from lg where answer is not null), tp as (select query_id, query_type, case when regexp_matches(answer, '(?m)^[\\s\\-\\*•#>\\d\\.、]*第\\s*[一二三四五六七八九十百零\\d]+\\s*章') then false else regexp_matches(case when instr(line, '。') > 0 then substring(line, 1, instr(line, '。')) else line end, '课程|course') end as on_topic from l)"
 _COV = "coalesce((contains(answer, '学分') or contains(answer, '学时') or contains(answer, 'credits') or contains(answer, 'hours')){}, false)"
@@ -323,8 +323,8 @@ SQL = {
     "o218_generation": f"with {LOG} select query_type, count(*) as items, round(avg({_COV.format('')}::int::double), 4) as coverage, round(avg((not contains(answer, '《'))::int::double), 4) as uncited, round(avg(length(answer)), 4) as length from lg where answer is not null group by 1",
     "o223_order": f"with {LOG}, p as (select query_id, [x for x in [instr(answer, i || '. ') for i in range(1, 6)] if x > 0] as p from lg where answer is not null) select query_id, case when len(p) >= 2 then p = list_sort(p) end as in_order from p",
     "o224_structure": f"with {LOG}, p as (select query_id, [x for x in [instr(answer, i || '. ') for i in range(1, 6)] if x > 0] as p from lg where answer is not null) select count(*) as items, round(avg((p = list_sort(p))::int::double), 4) as in_order from p where len(p) >= 2",
-    "o225_instructors": f"with {_INS} select code, program_name, a = b as same from g where b is not null",
-    "o226_instructor_report": f"with {_INS} select count(*) as items, round(avg((a = b)::int::double), 4) as accuracy from g where b is not null",
+    "o225_instructors": f"with {_INS} select code, program_name, same from g",
+    "o226_instructor_report": f"with {_INS} select count(*) as items, round(avg(same::int::double), 4) as accuracy from g",
     "o228_on_topic": f"with {_TOPIC} select * from tp",
     "o229_relevance": f"with {_TOPIC} select query_type, count(*) as items, round(avg(on_topic::int::double), 4) as on_topic from tp where query_type is not null group by rollup (query_type)",
     "o227_semester_answer": f"with {LOG}, x as (select query_id, answer, try_cast(regexp_extract(answer, '第\\s*(\\d)\\s*学期', 1) as int) as n from lg where answer is not null) select query_id, contains(answer, '大' || substring('{YEARS}', (n + 1) // 2, 1) || case when n % 2 = 1 then '上' else '下' end) as \"both\" from x where n between 1 and 9",

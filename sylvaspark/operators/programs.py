@@ -323,14 +323,15 @@ _LINK = r"nodes as (select distinct upper(trim(course_code)) as code from course
 _GATE = f"{_VOTE}, ve as (select target, source, bool_and(requires) as requires, avg(confidence) as confidence, case when source % 4 = 0 then 'rule' when source % 4 = 1 then 'human' else 'llm' end as origin from vt group by target, source)"
 _FLOW = f"{_GATE}, fl as (select source % 50 as from_course, target % 50 as to_course, count(distinct (source, target)) as n from ve where requires and source % 50 <> target % 50 group by all)"
 _LABEL = r"^(\d+)\s*[-–~～至]\s*(\d+)$"
-_PHR = "w as (select doc_id, source, [x for x in string_split_regex(lower(text), '[^a-z]+') if length(x) > 2] as w from documents where lang = 'en' and text is not null), ph as (select source, w[i] || ' ' || w[i + 1] as phrase from w, range(1, 20000) r(i) where i < len(w)), tf as (select source, phrase, count(*) as tf from ph where not regexp_matches(phrase, '\\b(the|and|for|with|are|you)\\b') group by all)"
+_CUT = CUT.replace("(?U)", "").replace(r"[\s、", r"[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}、")
+_PHR = f"dk as (select coalesce(nullif(course_code, ''), source, 'unknown') as course, text from documents), ph as (select course, unnest(flatten(list_transform(string_split_regex(text, '{_CUT}'), lambda x: regexp_extract_all(x, '{CANDIDATE}')))) as phrase from dk where text is not null), tf as (select course, phrase, count(*) as tf from ph where phrase not in {X.sql_list(NOISE)} and not regexp_matches(phrase, '{STRUCTURAL}') and not regexp_matches(phrase, '{FRAGMENTS}') group by all)"
 SQL = {
     "o13_merge_catalog": f"with {_O} select code, arg_min(source_file, offering_id) as source_file, arg_min(course_category, offering_id) as course_category, count(distinct program_name)::int as n_programs, count(distinct (program_name, semester, coalesce(credits, ''), coalesce(instructor, ''))) filter (program_name is not null) as n_offerings from o where semester is not null group by code",
     "o14_plan_chunks": f"with {_O} select offering_id, sha256(concat_ws('|', source_file, code)) as chunk_id, concat_ws(chr(10), " + ", ".join(f"case when {clean_sql(c)} <> '' then '{n}：' || ({clean_sql(c)}) end" for c, n in (("program_name", "培养方案"), ("credits", "学分"), ("hours", "学时"), ("semester", "学期"), ("instructor", "教师"))) + ") as chunk from o",
     "o17_unique_keys": f"with {OFF}, {CAT} select label, key, count(*) as n from (select 'course' as label, course_code as key from cat union all select 'offering', offering_id::varchar from off union all select 'document', doc_id::varchar from documents) group by all having count(*) > 1",
     "o19_inventory": f"with {OFF}, {SYL} select regexp_extract(f, '\\.([a-z]+)$', 1) as kind, regexp_extract(f, '^(\\d{{4}}-\\d)', 1) as term, count(*) as files from (select source_file as f from off union select source_file from syl) where f is not null group by all",
     "o69_latest_profile": f"with {SYL}, {CAT}, l as (select course_name, arg_max(entry_id, (coalesce(source_year, ''), entry_id)) as entry_id, arg_max(coalesce(source_year, '~'), (coalesce(source_year, ''), entry_id)) as y from syl where course_name is not null group by 1) select course_code, entry_id, coalesce(nullif(english_name, ''), nullif(y, '~')) as detail from cat left join l using (course_name)",
-    "o70_conflicts": f"with {_O}, r as (select *, {clean_sql('credits')} as c, {clean_sql('hours')} as h, row_number() over (partition by code, program_name order by offering_id) as r from o where program_name is not null qualify r <= 2), g as (select code, program_name, max(c) filter (r = 1) as c1, max(c) filter (r = 2) as c2, max(h) filter (r = 1) as h1, max(h) filter (r = 2) as h2 from r group by all) select code, program_name, concat_ws(',', case when c1 <> '' and c2 <> '' and c1 <> c2 then 'credits' end, case when h1 <> '' and h2 <> '' and h1 <> h2 then 'hours' end) as conflicts from g where (c1 <> '' and c2 <> '' and c1 <> c2) or (h1 <> '' and h2 <> '' and h1 <> h2)",
+    "o70_conflicts": f"with {_O}, g as (select code, program_name, count(distinct nullif({clean_sql('credits')}, '')) as c, count(distinct nullif({clean_sql('hours')}, '')) as h from o where program_name is not null group by all) select code, program_name, concat_ws(',', case when c > 1 then 'credits' end, case when h > 1 then 'hours' end) as conflicts from g where c > 1 or h > 1",
     "o72_course_links": f"with {_GATE}, x as (select source % 50 as from_course, target % 50 as to_course, source || '>' || target as x from ve where requires and origin in ('llm', 'human') and confidence >= 0.3) select from_course, to_course, count(distinct x) as links, array_to_string(list_sort(list(distinct x))[1:3], ',') as examples from x where from_course <> to_course group by all",
     "o73_course_flows": f"with {_FLOW} select * from fl",
     "o116_top_flows": f"with {_FLOW} select * from fl where from_course % 2 = 0 and to_course % 2 = 0 order by n desc, from_course, to_course limit 30",
@@ -358,6 +359,6 @@ SQL = {
     "o125_spread": f"with {OFF}, r as (select offering_id, program_name, row_number() over (partition by program_name order by offering_id) as r from off where program_name is not null) select offering_id, program_name from r order by r > 1, offering_id limit 40",
     "o236_quota": "with g as (select event_type, count(*) as n from events group by 1), q as (select *, (100 - count(*) over ()) * n / sum(n) over () as exact, count(*) over () as k from g), b as (select *, floor(exact) as base, row_number() over (order by exact - floor(exact) desc, event_type) as place from q) select event_type, (1 + base + (place <= (100 - k) - sum(base) over ())::int)::bigint as seats from b",
     "o86_phrases": f"with {_PHR} select * from tf",
-    "o87_ranked_phrases": f"with {_PHR}, df as (select phrase, count(*) as df from tf group by 1), n as (select count(distinct source) as n from tf), s as (select source, phrase, round(tf * (ln(n / df) + 1), 6) as score from tf join df using (phrase), n where df <= 0.5 * n) select *, row_number() over (partition by source order by score desc, phrase)::int as rank from s qualify rank <= 10",
+    "o87_ranked_phrases": f"with {_PHR}, df as (select phrase, count(*) as df from tf group by 1), n as (select count(distinct course) as n from dk), s as (select course, phrase, tf * (ln(n / df) + 1) as score from tf join df using (phrase), n where n = 1 or df / n <= 0.5) select course, phrase, round(score, 6) as score, row_number() over (partition by course order by score desc, phrase)::int as rank from s qualify rank <= 40",
 }
 QUERIES = {k: v for k, v in globals().items() if k[:1] == "o" and k[1:2].isdigit()}

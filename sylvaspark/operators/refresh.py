@@ -206,10 +206,10 @@ def o163_history(spark, sf_dir):
 
 def o165_index_version(spark, sf_dir):
     """What a new index version holds: vectors and lexical statistics in one row."""
-    from sylvaspark.operators.lexical import _posts, corpus_size
+    from sylvaspark.operators.lexical import corpus_size
 
     v = table(spark, sf_dir, "embeddings").agg(F.count("*").alias("vectors"))
-    n = corpus_size(_posts(spark, sf_dir)).select("n_docs", F.round("avg_len", 6).alias("avg_len"))
+    n = corpus_size(table(spark, sf_dir, "documents")).select("n_docs", F.round("avg_len", 6).alias("avg_len"))
     return v.crossJoin(n)  # one row each
 
 

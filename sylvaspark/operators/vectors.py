@@ -87,12 +87,10 @@ def o12_vector_index(spark, sf_dir):
 
 
 def _ranked_lists(spark, sf_dir):
-    """Dense and lexical lists of 20 of each query: documents and vectors share ids."""
+    """Dense and lexical lists of 20 of each query: documents and vectors share ids. Queries and documents without a vector are in the lexical lists only."""
     v = _vectors(spark, sf_dir)
     dense = top_cosine(v.where("vec_id % 50 = 0"), v, 20).select("query_id", F.col("id").alias("doc_id"), F.col("cosine").alias("vec"), F.col("rank").alias("dense_rank"))
-    known = v.select(F.col("vec_id").alias("doc_id"))
-    bm = lexical._ranked(spark, sf_dir, True, among=known, asking=known.withColumnRenamed("doc_id", "query_id"))
-    bm = lexical.top(bm, 20).select("query_id", "doc_id", F.col("score").alias("lex"), F.col("rank").alias("lex_rank"))
+    bm = lexical.top(lexical.ranked(spark, sf_dir, 20, "normalized").drop("kind"), 20).select("query_id", "doc_id", F.col("score").alias("lex"), F.col("rank").alias("lex_rank"))
     return dense, bm
 
 
@@ -111,23 +109,24 @@ def o107_rrf_fusion(spark, sf_dir):
 
 
 def _backfilled(spark, sf_dir):
+    """Candidates of both lists; lexical-only ones get their true cosine, null where the query or the document has no vector."""
     v = _vectors(spark, sf_dir)
     j = _fused(spark, sf_dir)
     q = v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qe"))
     e = v.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("de"))
-    full = j.join(e, "doc_id").join(q, "query_id").withColumn("vec", F.coalesce("vec", F.round(cosine(F.col("de"), F.col("qe")), 6)))
+    full = j.join(e, "doc_id", "left").join(q, "query_id", "left").withColumn("vec", F.coalesce("vec", F.when(F.col("de").isNotNull() & F.col("qe").isNotNull(), F.round(cosine(F.col("de"), F.col("qe")), 6))))
     return full.select("query_id", "doc_id", "vec", F.coalesce("lex", F.lit(0.0)).alias("lex"), F.coalesce("section", F.lit(0.0)).alias("section"), F.col("dense_rank").isNull().alias("lexical_only"))
 
 
 def o106_linear_fusion(spark, sf_dir):
-    """Weighted vector, lexical and section scores of the candidates of both lists; lexical-only ones get their true cosine."""
-    j = _backfilled(spark, sf_dir).withColumn("score", F.round(VECTOR * F.col("vec") + LEXICAL * F.col("lex") + BOOST * F.col("section"), 8))
+    """Weighted vector, lexical and section scores of the candidates of both lists; lexical-only ones get their true cosine, 0 where there is no vector to compare."""
+    j = _backfilled(spark, sf_dir).withColumn("score", F.round(VECTOR * F.coalesce("vec", F.lit(0.0)) + LEXICAL * F.col("lex") + BOOST * F.col("section"), 8))
     return lexical.top(j.select("query_id", "doc_id", "score", "lexical_only"), 10)
 
 
 def o267_lexical_only(spark, sf_dir):
-    """Hits that only the lexical list has, with their cosine."""
-    return _backfilled(spark, sf_dir).where("lexical_only").select("query_id", "doc_id", "vec", "lex")
+    """Hits that only the lexical list has, with their cosine; those without a vector are dropped."""
+    return _backfilled(spark, sf_dir).where("lexical_only and vec is not null").select("query_id", "doc_id", "vec", "lex")
 
 
 def _gold(spark, sf_dir):
@@ -136,12 +135,12 @@ def _gold(spark, sf_dir):
 
 
 def o239_weight_sweep(spark, sf_dir):
-    """Recall at 5 and mean reciprocal rank of 100 weightings, all in one job; a hit is relevant if it has the query's label."""
+    """Recall at 5 and mean reciprocal rank of 100 weightings, all in one job, over the queries that have a label; a hit is relevant if it has the same."""
     grid = [(v, x, s) for v in (0.55, 0.65, 0.75, 0.85, 0.95) for x in (0.05, 0.15, 0.25, 0.35, 0.45) for s in (0.0, 0.04, 0.08, 0.12)]
     ql, dl = _gold(spark, sf_dir)
-    j = Steps(spark).write(_backfilled(spark, sf_dir).join(ql, "query_id").join(dl, "doc_id").where("query_id <> doc_id"))
+    j = Steps(spark).write(_backfilled(spark, sf_dir).join(ql, "query_id").join(dl, "doc_id", "left").where("query_id <> doc_id"))
     g = spark.createDataFrame(grid, "wv double, wl double, ws double")
-    s = j.join(F.broadcast(g), F.lit(True)).withColumn("score", F.round(F.col("wv") * F.col("vec") + F.col("wl") * F.col("lex") + F.col("ws") * F.col("section"), 8))  # 100 rows
+    s = j.join(F.broadcast(g), F.lit(True)).withColumn("score", F.round(F.col("wv") * F.coalesce("vec", F.lit(0.0)) + F.col("wl") * F.col("lex") + F.col("ws") * F.col("section"), 8))  # 100 rows
     r = s.withColumn("rank", row_rank(["wv", "wl", "ws", "query_id"], F.col("score").desc(), F.col("doc_id")))
     hit = r.groupBy("wv", "wl", "ws", "query_id").agg(F.min(F.when(F.col("ql") == F.col("dl"), F.col("rank"))).alias("first"))
     return hit.groupBy("wv", "wl", "ws").agg(F.round(F.avg(F.coalesce((F.col("first") <= 5).cast("double"), F.lit(0.0))), 6).alias("recall5"), F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
@@ -289,17 +288,17 @@ _CON = "c as (select vec_id, embedding::double[] as e, label as d, vec_id % 3 as
 _PAIR = f"{_CON}, sc as (select t.vec_id as target, s.vec_id as source, greatest(0.0, list_cosine_similarity(t.e, s.e)) as cs, case when s.d = t.d then 1.0 else 0.5 end as rule, case when coalesce(s.s < t.s, false) then 0.3 else 0.0 end as ord, case when s.d = t.d then 1.0 else 0.85 end as decay from c t, c s where t.vec_id % 10 = 0 and t.k <> s.k and s.b <= t.b and not coalesce(s.s > t.s, false)), cf as (select target, source, round(cs, 6) as cosine, round((cs + ord::double + rule::double) / 3 * decay::double, 6) as confidence from sc), pr as (select *, row_number() over (partition by target order by confidence desc, cosine desc, source)::int as rank from cf where confidence >= 0.45 qualify rank <= 5)"
 _VOTE = f"{_PAIR}, vt as (select target, source, vote, (source * 31 + target * 17 + vote) % 5 < 4 as requires, ((source + target * 3 + vote * 7) % 100) / 100 as confidence, 'r' || ((source + vote) % 3) as reason from pr, range(0, 3) r(vote))"
 _LISTS = f"""{lexical.TOKENS}, {_VEC}, dn as (select q.vec_id as query_id, d.vec_id as doc_id, round(list_cosine_similarity(q.e, d.e), 6) as vec from v q, v d where q.vec_id % 50 = 0), dense as (select *, row_number() over (partition by query_id order by vec desc, doc_id) as dense_rank from dn qualify dense_rank <= 20),
-bmx as (select query_id, doc_id, score as lex from nrm where doc_id in (select vec_id from v) and query_id in (select vec_id from v)), bm as (select *, row_number() over (partition by query_id order by lex desc, doc_id) as lex_rank from bmx qualify lex_rank <= 20),
+bmx as (select query_id, doc_id, score as lex from nrm), bm as (select *, row_number() over (partition by query_id order by lex desc, doc_id) as lex_rank from bmx qualify lex_rank <= 20),
 fu as (select f.*, coalesce((doc_kind = 'syllabus')::int::double, 0.0) as section from (select * from dense full join bm using (query_id, doc_id)) f left join documents using (doc_id)),
-bf as (select query_id, doc_id, coalesce(vec, round(list_cosine_similarity(q.e, d.e), 6)) as vec, coalesce(lex, 0.0) as lex, section, dense_rank is null as lexical_only from fu join v q on q.vec_id = query_id join v d on d.vec_id = doc_id)"""
-_SWEEP = f"""{_LISTS}, grid as (select a::double as wv, b::double as wl, s::double as ws from unnest([0.55, 0.65, 0.75, 0.85, 0.95]) x(a), unnest([0.05, 0.15, 0.25, 0.35, 0.45]) y(b), unnest([0.0, 0.04, 0.08, 0.12]) z(s)), jj as (select bf.*, q.label = d.label as rel from bf join v q on q.vec_id = query_id join v d on d.vec_id = doc_id where query_id <> doc_id),
-rk as (select wv, wl, ws, query_id, rel, row_number() over (partition by wv, wl, ws, query_id order by round(wv * vec + wl * lex + ws * section, 8) desc, doc_id) as rank from jj, grid), ft as (select wv, wl, ws, query_id, min(rank) filter (rel) as first from rk group by all), sw as (select wv, wl, ws, round(avg(coalesce((first <= 5)::int::double, 0)), 6) as recall5, round(avg(coalesce(1 / first, 0)), 6) as mrr from ft group by all)"""
+bf as (select query_id, doc_id, coalesce(vec, round(list_cosine_similarity(q.e, d.e), 6)) as vec, coalesce(lex, 0.0) as lex, section, dense_rank is null as lexical_only from fu left join v q on q.vec_id = query_id left join v d on d.vec_id = doc_id)"""
+_SWEEP = f"""{_LISTS}, grid as (select a::double as wv, b::double as wl, s::double as ws from unnest([0.55, 0.65, 0.75, 0.85, 0.95]) x(a), unnest([0.05, 0.15, 0.25, 0.35, 0.45]) y(b), unnest([0.0, 0.04, 0.08, 0.12]) z(s)), jj as (select bf.*, coalesce(q.label = d.label, false) as rel from bf join v q on q.vec_id = query_id left join v d on d.vec_id = doc_id where query_id <> doc_id),
+rk as (select wv, wl, ws, query_id, rel, row_number() over (partition by wv, wl, ws, query_id order by round(wv * coalesce(vec, 0) + wl * lex + ws * section, 8) desc, doc_id) as rank from jj, grid), ft as (select wv, wl, ws, query_id, min(rank) filter (rel) as first from rk group by all), sw as (select wv, wl, ws, round(avg(coalesce((first <= 5)::int::double, 0)), 6) as recall5, round(avg(coalesce(1 / first, 0)), 6) as mrr from ft group by all)"""
 SQL = {
     "o169_dense_topk": f"with {_VEC}, s as (select q.vec_id as query_id, d.vec_id as id, round(list_cosine_similarity(q.e, d.e), 6) as cosine from v q, v d where q.vec_id % 50 = 0) select *, row_number() over (partition by query_id order by cosine desc, id)::int as rank from s qualify rank <= 10",
     "o12_vector_index": f"with {_VEC} select vec_id, len(e)::int as dims, round(sqrt(list_dot_product(e, e)), 5) as norm, label from v",
     "o107_rrf_fusion": f"with {_LISTS}, s as (select query_id, doc_id, round(coalesce(1 / (60 + dense_rank), 0) + coalesce(1 / (60 + lex_rank), 0) + 0.008::double * section, 6) as score, case when lex_rank is null then 'dense' when dense_rank is null then 'bm25' else 'both' end as found_by from fu) select *, row_number() over (partition by query_id order by score desc, doc_id)::int as rank from s qualify rank <= 10",
-    "o106_linear_fusion": f"with {_LISTS}, s as (select query_id, doc_id, round(0.75::double * vec + 0.15::double * lex + 0.08::double * section, 8) as score, lexical_only from bf) select *, row_number() over (partition by query_id order by score desc, doc_id)::int as rank from s qualify rank <= 10",
-    "o267_lexical_only": f"with {_LISTS} select query_id, doc_id, vec, lex from bf where lexical_only",
+    "o106_linear_fusion": f"with {_LISTS}, s as (select query_id, doc_id, round(0.75::double * coalesce(vec, 0) + 0.15::double * lex + 0.08::double * section, 8) as score, lexical_only from bf) select *, row_number() over (partition by query_id order by score desc, doc_id)::int as rank from s qualify rank <= 10",
+    "o267_lexical_only": f"with {_LISTS} select query_id, doc_id, vec, lex from bf where lexical_only and vec is not null",
     "o239_weight_sweep": f"with {_SWEEP} select * from sw",
     "o240_sensitivity": f"with {_SWEEP}, b as (select * from sw order by mrr desc, recall5 desc, wv, wl, ws limit 1) select sw.* from sw, b where (sw.wv = b.wv)::int + (sw.wl = b.wl)::int + (sw.ws = b.ws)::int >= 2",
     "o170_concept_pairs": f"with {_PAIR} select * from pr",
