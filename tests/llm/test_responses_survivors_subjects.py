@@ -80,3 +80,27 @@ def test_subjects(spark):
     assert set(accuracy) == set(J.FUNCTIONS) and out.count() == out.select("doc_id", "subject").distinct().count()
     assert J.assign(docs.limit(0), samples, areas)[0].count() == 0
     assert out.where(F.col("share") > 1).count() == 0
+
+
+def test_subject_model_recovers_planted_rates():
+    """Votes drawn from known rates: the model finds them from agreement alone, and what it assigns differs from what its first values assign."""
+    import numpy as np
+
+    r, k, n = np.random.default_rng(5), 3, 60_000
+    true = r.choice(k + 1, n, p=[0.3, 0.25, 0.15, 0.3])
+    right, quiet = np.array([0.7, 0.85, 0.6]), np.array([0.1, 0.05, 0.3])
+    u = r.random(n)
+    other = (true + 1 + r.integers(0, k - 1, n)) % k
+    known = np.minimum(true, k - 1)
+    lex = np.where(true == k, np.where(u < 0.03, r.integers(0, k, n), -1), np.where(u < right[known], true, np.where(u < right[known] + quiet[known], -1, other)))
+    agrees = lambda p: np.where(r.random(n) < 0.3, -1, np.where((true < k) & (r.random(n) < p), true, r.integers(0, k, n)))
+    votes, count = np.unique(np.column_stack([lex, agrees(0.8), agrees(0.5), agrees(0.0)]), axis=0, return_counts=True)
+    m = J.Model(votes, count.astype(float), k)
+    before = m.posterior().argmax(1)
+    m.learn(rounds=3000)
+    assert 1 < m.rounds < 3000
+    assert np.abs(m.right - right).max() < 0.06 and np.abs(m.quiet[:k] - quiet).max() < 0.08 and np.abs(m.prior - [0.3, 0.25, 0.15, 0.3]).max() < 0.05
+    acc = m.accuracies()
+    assert acc["lexicon"] > acc["address"] > acc["source"] and acc["section"] > acc["address"]
+    assert (before != m.posterior().argmax(1)).any()
+    assert np.allclose(m.posterior().sum(1), 1)
