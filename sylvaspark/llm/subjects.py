@@ -240,17 +240,18 @@ def assign(docs: DataFrame, samples: DataFrame, areas: DataFrame, em: bool = Tru
                     continue
                 parts = statements(text)
                 found = [lexicon.found(s) for _, s in parts]
-                told = Counter(v for f in found if f and (v := vote(f, every)) >= 0)
+                votes = [vote(f, every) if f else -1 for f in found]
+                told = Counter(v for v in votes if v >= 0)
                 top = majority(told)
                 clear = top if top >= 0 and told[top] >= 0.8 * told.total() else None
-                rows.append((doc, [n for n, _ in parts], [j for j, f in enumerate(found) for _ in f], [i for f in found for i in f], clear, *places(text, code, source, kind)))
-            yield pd.DataFrame(rows, columns=["doc_id", "section", "at", "entry", "clear", "address", "origin"]).astype({"clear": "Int32"})
+                rows.append((doc, [n for n, _ in parts], votes, [j for j, f in enumerate(found) for _ in f], [i for f in found for i in f], clear, *places(text, code, source, kind)))
+            yield pd.DataFrame(rows, columns=["doc_id", "section", "vote", "at", "entry", "clear", "address", "origin"]).astype({"clear": "Int32"})
 
     longs = T.ArrayType(T.IntegerType())
-    schema = T.StructType([docs.schema["doc_id"], *[T.StructField(c, longs) for c in ("section", "at", "entry")], T.StructField("clear", T.IntegerType()), T.StructField("address", T.StringType()), T.StructField("origin", T.StringType())])
+    schema = T.StructType([docs.schema["doc_id"], *[T.StructField(c, longs) for c in ("section", "vote", "at", "entry")], T.StructField("clear", T.IntegerType()), T.StructField("address", T.StringType()), T.StructField("origin", T.StringType())])
     if not subjects:
         return spark.createDataFrame([], T.StructType([docs.schema["doc_id"], T.StructField("subject", T.StringType()), T.StructField("share", T.DoubleType())])), {}
-    seen = steps.write(d.mapInPandas(read, schema))
+    seen = steps.write(d.mapInPandas(read, schema))  # one reading of the texts; all else works on places of entries
     # Entries of the lexicon that stand with other subjects in the corpus are chance finds in the samples. One count per entry and subject.
     sound = np.ones(len(entries), dtype=bool)
     held: dict[int, Counter] = defaultdict(Counter)
@@ -270,18 +271,20 @@ def assign(docs: DataFrame, samples: DataFrame, areas: DataFrame, em: bool = Tru
     def patterns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for doc, section, at, entry, address, origin in zip(b["doc_id"], b["section"], b["at"], b["entry"], b["by_address"].fillna(-1).astype(int), b["by_origin"].fillna(-1).astype(int)):
-                found: list[list[int]] = [[] for _ in section]
-                for j, i in zip(at, entry):
-                    found[j].append(i)
-                votes = [vote(f, sound) if f else -1 for f in found]
+            for doc, section, votes, at, entry, address, origin in zip(b["doc_id"], b["section"], b["vote"], b["at"], b["entry"], b["by_address"].fillna(-1).astype(int), b["by_origin"].fillna(-1).astype(int)):
+                if not sound[entry].all():
+                    found: dict[int, list[int]] = defaultdict(list)
+                    for j, i in zip(at.tolist(), entry.tolist()):
+                        found[j].append(i)
+                    votes = np.array([vote(found[j], sound) for j in range(len(section))])
+                same = Counter(zip(section.tolist(), votes.tolist()))
                 around: dict[int, Counter] = defaultdict(Counter)
-                for n, v in zip(section, votes):
+                for (n, v), c in same.items():
                     if v >= 0:
-                        around[n][v] += 1
+                        around[n][v] = c
                 counts: Counter = Counter()
-                for n, v in zip(section, votes):
-                    counts[f"{v} {agreed(around[n], v)} {address} {origin}"] += 1
+                for (n, v), c in same.items():
+                    counts[f"{v} {agreed(around[n], v)} {address} {origin}"] += c
                 if not counts:
                     counts[f"-1 -1 {address} {origin}"] = 1
                 rows.append((doc, list(counts), list(counts.values())))
