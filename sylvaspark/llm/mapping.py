@@ -1,6 +1,6 @@
 """Freely typed values mapped to the closest entry of a reference list, or reported as unmatched.
 
-Distinct values are normalised and cut into character n-grams. Candidates come from an inverted index over the reference forms: only as many of a value's grams are looked up, rarest first, as any entry above the threshold must share at least one of (what is left out can't reach the threshold), so no entry is missed. Candidates are scored by the cosine of gram weights and accepted above a threshold and a margin to the next entry."""
+Distinct values are normalised and cut into character n-grams. Candidates come from an inverted index over the reference forms, one row per gram and form: only as many of a value's grams are looked up, heaviest first, as any entry that matters must share at least one of. An entry matters if it can reach the threshold less the margin, as it then can be the next best; what is left out can't, so no decision misses an entry. Candidates are scored by the cosine of gram weights and accepted above the threshold and a margin to the next entry. Values that stay unmatched are scored against every form that shares a gram, so their best score is the true one."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sylvaspark.common import Steps, first_by, join_lookup, table, trimmed
+from sylvaspark.common import HOT_ROWS, HOT_SHARE, Steps, first_by, join_lookup, row_rank, table, trimmed
 
 THRESHOLD, MARGIN = 0.45, 0.1
 # No value at all.
@@ -68,10 +68,22 @@ def _vectors(steps: Steps, names: DataFrame, weights: DataFrame, rare: float) ->
     return steps.write(w.withColumn("w", F.col("w") / size))
 
 
-def map_values(spark: SparkSession, values: DataFrame, reference: DataFrame, code: str, forms: list[str], threshold: float = THRESHOLD, margin: float = MARGIN) -> DataFrame:
+def join_grams(steps: Steps, left: DataFrame, right: DataFrame, total: int) -> DataFrame:
+    """Inner join of two tables of grams on `gram`. A gram that many rows of the left hold is dealt out over several tasks, with its rows of the right in each."""
+    busy = left.groupBy("gram").count().where(F.col("count") > max(total / HOT_SHARE, HOT_ROWS)) if total > HOT_ROWS else None
+    if busy is None or not (busy := {r["gram"]: r["count"] for r in busy.collect()}):  # HOT_SHARE grams at most
+        return left.join(right, "gram")
+    shares = left.sparkSession.createDataFrame([(g, int(min(-(-n * HOT_SHARE // total), HOT_SHARE))) for g, n in busy.items()], "gram string, _n int")
+    deal = lambda d: d.join(F.broadcast(shares), "gram", "left").withColumn("_n", F.coalesce("_n", F.lit(1)))
+    a = deal(left).withColumn("_s", F.pmod(F.xxhash64("name"), "_n").cast("int"))
+    b = deal(right).withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    return a.drop("_n").join(b.drop("_n"), ["gram", "_s"]).drop("_s")
+
+
+def map_values(spark: SparkSession, values: DataFrame, reference: DataFrame, code: str, forms: list[str], threshold: float = THRESHOLD, margin: float = MARGIN, full_scores: bool = False) -> DataFrame:
     """(value) -> (value, ref_code, score): the entry each distinct value means, '' and its best score if none.
 
-    `reference`: `code` and columns of names `forms`; null and blank names are left out. A value that holds the code of an entry and no name that is accepted means that entry; a name is preferred. Two entries within `margin` of each other leave the value unmatched, so ties do too. An empty list leaves all unmatched."""
+    `reference`: `code` and columns of names `forms`; null and blank names are left out. A value that holds the code of an entry and no name that is accepted means that entry; a name is preferred. Two entries within `margin` of each other leave the value unmatched, so ties do too. An empty list leaves all unmatched. With `full_scores` the score of values without an accepted name is that of the best of all entries (0 if none shares a gram), else null where it is under `threshold` less `margin`."""
     steps = Steps(spark)
     named = steps.write(values.where(F.col("value").isNotNull()).select("value").distinct().mapInPandas(_named, "value string, codes array<string>, name string"))
     listed = reference.where(F.col(code).isNotNull()).select(F.col(code).alias("ref_code"), F.explode(F.array(*forms)).alias("value")).where("value is not null").distinct()
@@ -80,27 +92,35 @@ def map_values(spark: SparkSession, values: DataFrame, reference: DataFrame, cod
     form_grams = steps.write(listed.select("name").distinct().mapInPandas(_grams, "name string, gram string, tf double"))
     weights = steps.write(form_grams.groupBy("gram").agg(F.log(1 + n / F.count("*")).alias("idf")))
     rare = float(math.log(1 + 2 * max(n, 1)))
-    entry = _vectors(steps, listed.select("name").distinct(), weights, rare)
+    entry = _vectors(steps, listed.select("name").distinct(), weights, rare).select(F.col("name").alias("entry"), "gram", F.col("w").alias("v"))
     typed = _vectors(steps, named.where("name <> ''").select("name").distinct(), weights, rare)
-    # Grams in order of weight; those after the point where the rest is shorter than the threshold need no lookup.
+    total = typed.count()
+    least = threshold - margin
+    # Grams in order of weight; those after the point where the rest is shorter than the least score need no lookup.
     rest = F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("name").orderBy("w", "gram").rowsBetween(Window.unboundedPreceding, 0))
-    looked_up = typed.withColumn("rest", rest).where(F.col("rest") >= threshold * threshold - 1e-9).select("name", "gram")
-    postings = entry.groupBy("gram").agg(F.collect_set("name").alias("entries"))
-    pairs = join_lookup(looked_up, postings, "gram", "inner").select("name", F.explode("entries").alias("entry")).distinct()
-    own = typed.groupBy("name").agg(F.collect_list(F.struct("gram", "w")).alias("own"))
-    theirs = entry.groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("gram", "w"))).alias("theirs")).withColumnRenamed("name", "entry")
-    scored = join_lookup(steps.write(pairs.join(own, "name")), theirs, "entry", "inner")
-    scored = scored.select("name", "entry", F.expr("aggregate(own, 0D, (a, x) -> a + x.w * coalesce(try_element_at(theirs, x.gram), 0D))").alias("score"))
-    scored = scored.where(F.col("score") >= threshold - margin)
+    marked = steps.write(typed.withColumn("rest", rest).withColumn("ask", F.col("rest") >= least * least - 1e-9))
+    asked = marked.where("ask").select("name", "gram", "w")
+    other = marked.groupBy("name").agg(F.sqrt(F.coalesce(F.sum(F.when(~F.col("ask"), F.col("w") * F.col("w"))), F.lit(0.0))).alias("other"))
+    # One partial score per candidate from the grams that were looked up; the rest adds no more than the product of the two remaining lengths.
+    partial = join_grams(steps, asked, entry, total).groupBy("name", "entry").agg(F.sum(F.col("w") * F.col("v")).alias("part"), F.sum(F.col("v") * F.col("v")).alias("used"))
+    partial = partial.join(other, "name").where(F.col("part") + F.col("other") * F.sqrt(F.greatest(1 - F.col("used"), F.lit(0.0))) >= least - 1e-9)
+    partial = steps.write(partial.select("name", "entry", "part"))
+    tail = marked.where("not ask").select("name", "gram", "w")
+    more = partial.select("name", "entry").join(tail, "name").join(entry, ["entry", "gram"]).groupBy("name", "entry").agg(F.sum(F.col("w") * F.col("v")).alias("more"))
+    scored = partial.join(more, ["name", "entry"], "left").select("name", "entry", (F.col("part") + F.coalesce("more", F.lit(0.0))).alias("score")).where(F.col("score") >= least)
     by_code = scored.join(listed.withColumnRenamed("name", "entry"), "entry").groupBy("name", "ref_code").agg(F.max(F.round("score", 9)).alias("score"))
-    best = by_code.groupBy("name").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", "ref_code")), False), 1, 2).alias("top"))
-    first, second = F.col("top")[0], F.try_element_at("top", F.lit(2))
-    clear = (first["score"] >= threshold) & (first["score"] - F.coalesce(second["score"], F.lit(0.0)) >= margin)
-    chosen = best.select("name", F.when(clear, first["ref_code"]).alias("by_name"), first["score"].alias("score"))
+    two = by_code.withColumn("place", row_rank(["name"], F.col("score").desc(), F.col("ref_code").desc())).where("place <= 2")
+    best = two.groupBy("name").agg(F.max(F.when(F.col("place") == 1, F.struct("score", "ref_code"))).alias("first"), F.max(F.when(F.col("place") == 2, F.col("score"))).alias("second"))
+    clear = (F.col("first.score") >= threshold) & (F.col("first.score") - F.coalesce("second", F.lit(0.0)) >= margin)
+    chosen = steps.write(best.select("name", F.when(clear, F.col("first.ref_code")).alias("by_name"), F.col("first.score").alias("score")))
     codes = reference.where(F.col(code).isNotNull()).select(F.lower(F.col(code)).alias("c"), F.col(code).alias("by_code")).dropDuplicates(["c"])
     coded = named.select("value", F.explode("codes").alias("c")).join(codes, "c").groupBy("value").agg(F.min("by_code").alias("by_code"))
     out = named.select("value", "name").join(chosen, "name", "left").join(coded, "value", "left")
-    return steps.write(out.select("value", F.coalesce("by_name", "by_code", F.lit("")).alias("ref_code"), F.coalesce("score", F.lit(0.0)).alias("score")))
+    if full_scores:
+        open_ = typed.join(chosen.where("by_name is not null").select("name"), "name", "left_anti")
+        every = join_grams(steps, open_, entry, total).groupBy("name", "entry").agg(F.sum(F.col("w") * F.col("v")).alias("s")).groupBy("name").agg(F.round(F.max("s"), 9).alias("full"))
+        out = out.join(every, "name", "left").withColumn("score", F.coalesce("score", "full", F.lit(0.0))).drop("full")
+    return steps.write(out.select("value", F.coalesce("by_name", "by_code", F.lit("")).alias("ref_code"), "score"))
 
 
 def typed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,9 +132,9 @@ def typed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.where(F.col("value").isNotNull() & ~F.lower(trimmed(F.col("value"))).isin(PLACEHOLDERS))
 
 
-def _mapped(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _mapped(spark: SparkSession, sf_dir: str, full_scores: bool = False) -> tuple[DataFrame, DataFrame]:
     rows = Steps(spark).write(typed_values(spark, sf_dir))
-    return rows, map_values(spark, rows, table(spark, sf_dir, "course_reference"), "course_code", ["course_name", "english_name"])
+    return rows, map_values(spark, rows, table(spark, sf_dir, "course_reference"), "course_code", ["course_name", "english_name"], full_scores=full_scores)
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,8 +144,8 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Values that mean no entry, with their number of rows and best score."""
-    rows, known = _mapped(spark, sf_dir)
+    """Values that mean no entry, with their number of rows and the score of the best of all entries."""
+    rows, known = _mapped(spark, sf_dir, True)
     return rows.groupBy("value").agg(F.count("*").alias("n")).join(known.where("ref_code = ''"), "value").select("value", "n", F.round("score", 6).alias("score"))
 
 

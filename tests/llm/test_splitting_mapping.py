@@ -69,3 +69,40 @@ def test_mapping_empty_tables(spark):
     ref = spark.createDataFrame([], "code string, name string")
     got = M.map_values(spark, spark.createDataFrame([("x",)], "value string"), ref, "code", ["name"]).collect()
     assert [(r["value"], r["ref_code"]) for r in got] == [("x", "")]
+
+
+def test_mapping_against_brute_force(spark, monkeypatch):
+    """Every decision and every best score equals that of scoring each value against each entry, with busy grams dealt out."""
+    import math
+    import random
+
+    r = random.Random(11)
+    letters = "数据结构算法分析理论导概率统计线性代"
+    names = sorted({"".join(r.choice(letters) for _ in range(r.randint(2, 6))) for _ in range(60)})
+    ref = [(f"C{i:03d}", x) for i, x in enumerate(names)]
+    typed = sorted({x for n in names for x in (n, n[:-1], n[::-1], n + r.choice(letters), r.choice(letters) + n[1:])} | {"".join(r.choice(letters) for _ in range(r.randint(1, 7))) for _ in range(200)})
+    df = {}
+    for n in names:
+        for g in M.grams(n):
+            df[g] = df.get(g, 0) + 1
+
+    def vector(x):
+        v = {g: (1 + math.log(k)) * (math.log(1 + len(names) / df[g]) if g in df else math.log(1 + 2 * len(names))) for g, k in M.grams(x).items()}
+        size = math.sqrt(sum(w * w for w in v.values()))
+        return {g: w / size for g, w in v.items()}
+
+    entries = {c: vector(n) for c, n in ref}
+    monkeypatch.setattr(M, "HOT_ROWS", 5)
+    for threshold, margin in ((0.45, 0.1), (0.7, 0.3)):
+        got = {x["value"]: (x["ref_code"], x["score"]) for x in M.map_values(spark, spark.createDataFrame([(v,) for v in typed], "value string"), spark.createDataFrame(ref, "code string, name string"), "code", ["name"], threshold, margin, True).collect()}
+        near = 0
+        for x in typed:
+            v = vector(M.normalise(x)[1])
+            scores = sorted(((round(sum(w * e.get(g, 0) for g, w in v.items()), 9), c) for c, e in entries.items()), reverse=True)
+            (a, code), (b, _) = scores[0], scores[1]
+            if abs(a - b - margin) < 1e-6 or abs(a - threshold) < 1e-6:
+                continue
+            near += threshold - margin <= b < threshold <= a
+            assert got[x][0] == (code if a >= threshold and a - b >= margin else ""), x
+            assert abs(got[x][1] - a) < 1e-6, x
+        assert near > 5
