@@ -1,6 +1,6 @@
 """Items of varying size into containers of fixed capacity with little unused space.
 
-The plan works on the histogram of sizes alone, at most one count per size up to the capacity, whatever the number of items: take the largest size left, look up one, two or three available sizes whose sum is exactly the gap, and use that combination as often as the counts allow; where no sum fits, take the best-fitting size and look again. Items then find their container by their rank within their size, so nothing but the histogram reaches the driver."""
+The plan works on the histogram of sizes alone, at most one count per size up to the capacity, whatever the number of items. Sums of one, two and three sizes are indexed: take the largest size left, look up a combination whose sum is exactly the gap, and use it as often as the counts allow; where no sum fits, take the best-fitting size and look again. Items then find their container by their rank within their size, so nothing but the histogram reaches the driver."""
 
 from __future__ import annotations
 
@@ -19,79 +19,94 @@ from sylvaspark.llm.encoding import encode
 CAPACITY = 4096
 
 
-def exact_fill(left: np.ndarray, gap: int) -> tuple[int, ...]:
-    """Up to three available sizes with the sum `gap`, large ones first; () if there are none. `left`: count by size."""
-    if left[gap]:
-        return (gap,)
-    there = left[: gap + 1] > 0
-    sizes = np.flatnonzero(there)[::-1]
-
-    def pair(total: int, top: int) -> tuple[int, int] | None:
-        """Two sizes of at most `top` with the sum `total`, the larger as large as can be."""
-        low, high = max(1, total - top), min(top, total - 1)
-        if high < low:
-            return None
-        half = (total + 1) // 2
-        big = np.flatnonzero(there[half : high + 1] & there[total - high : total - half + 1][::-1]) + half
-        for a in big[::-1]:
-            if a * 2 != total or left[a] > 1:
-                return int(a), int(total - a)
-        return None
-
-    if found := pair(gap, gap - 1):
-        return found
-    for a in sizes:
-        if a * 3 < gap:
-            break
-        if a <= gap - 2:
-            left[a] -= 1
-            there[a] = left[a] > 0
-            found = pair(gap - int(a), int(a))
-            left[a] += 1
-            there[a] = True
-            if found:
-                return (int(a), *found)
-    return ()
+class Sums:
+    """Index of the sums of one, two and three sizes: for each sum the combinations that make it, large sizes first.
+
+    A sum's combinations are listed when it is first asked for, from the sizes there are by then: for two sizes the larger ones, for three the largest ones whose rest is a sum of two. Counts only fall, so a combination of which a size is used up is taken off its list for good, and every list is gone through once over all questions. At most one list of each kind per sum up to the capacity."""
+
+    def __init__(self, counts: dict[int, int], capacity: int):
+        self.left = [0] * (capacity + 1)
+        for s, n in counts.items():
+            self.left[s] += n
+        self.there = np.array(self.left) > 0
+        self.pairs: dict[int, np.ndarray] = {}
+        self.triples: dict[int, list[int]] = {}
+
+    def use(self, sizes: Counter, times: int) -> None:
+        for s, k in sizes.items():
+            self.left[s] -= k * times
+            if not self.left[s]:
+                self.there[s] = False
+
+    def two(self, total: int) -> np.ndarray:
+        """The larger sizes of the pairs with this sum, the largest last; those used up are taken off when the largest is."""
+        got = self.pairs.get(total)
+        if got is None:
+            got = np.flatnonzero(self.there[(total + 1) // 2 : max(total, 1)]) + (total + 1) // 2
+        elif not len(got) or self.there[got[-1]] and self.there[total - got[-1]] and (got[-1] * 2 != total or self.left[got[-1]] > 1):
+            return got
+        got = got[self.there[got] & self.there[total - got]]
+        if len(got) and got[0] * 2 == total and self.left[got[0]] < 2:
+            got = got[1:]
+        self.pairs[total] = got
+        return got
+
+    def three(self, total: int) -> list[int]:
+        """The largest sizes of the triples with this sum, the largest last."""
+        if total not in self.triples:
+            first = np.flatnonzero(self.there[: max(total - 1, 0)])
+            self.triples[total] = first[first * 3 >= total].tolist()
+        return self.triples[total]
+
+    def spare(self, sizes: tuple[int, ...], taken: Counter) -> bool:
+        return all(self.left[s] - taken[s] >= sizes.count(s) for s in sizes)
+
+    def fill(self, gap: int, taken: Counter) -> tuple[int, ...]:
+        """One to three sizes with the sum `gap`, beside those that are taken already; () if there are none."""
+        if self.left[gap] > taken[gap]:
+            return (gap,)
+        for a in self.two(gap)[::-1].tolist():
+            if self.spare((a, gap - a), taken):
+                return a, gap - a
+        firsts = self.three(gap)
+        for i in range(len(firsts) - 1, -1, -1):
+            a = firsts[i]
+            rest = self.two(gap - a) if self.there[a] else ()
+            if not len(rest):
+                del firsts[i]
+                continue
+            for b in rest[: np.searchsorted(rest, a, side="right")][::-1].tolist():
+                if self.spare((a, b, gap - a - b), taken):
+                    return a, b, gap - a - b
+        return ()
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Combinations of sizes and how many containers each fills. Sizes are 1 to `capacity`."""
-    left = np.zeros(capacity + 1, dtype=np.int64)
-    for s, n in counts.items():
-        left[s] += n
+    sums = Sums(counts, capacity)
     out = []
     top = capacity
     while True:
-        while top and not left[top]:
+        while top and not sums.left[top]:
             top -= 1
         if not top:
             return out
-        taken: list[int] = []
-        gap = capacity
-
-        def take(s: int) -> None:
-            nonlocal gap
-            taken.append(s)
-            left[s] -= 1
-            gap -= s
-
-        take(top)
+        taken, gap = Counter({top: 1}), capacity - top
+        order = [top]
         while gap:
-            for s in exact_fill(left, gap):
-                take(s)
-            if not gap:
-                break
-            fitting = np.flatnonzero(left[1 : gap + 1])
-            if not len(fitting):
-                break
-            take(int(fitting[-1]) + 1)
-        uses = Counter(taken)
-        for s in taken:
-            left[s] += 1
-        times = min(int(left[s]) // n for s, n in uses.items())
-        for s, n in uses.items():
-            left[s] -= n * times
-        out.append((tuple(taken), times))
+            found = sums.fill(gap, taken)
+            if not found:  # the best fit, then look again
+                fitting = np.flatnonzero(sums.there[: gap + 1])[::-1].tolist()
+                size = next((s for s in fitting if sums.left[s] > taken[s]), 0)
+                if not size:
+                    break
+                found = (size,)
+            taken.update(found)
+            order += found
+            gap -= sum(found)
+        times = min(sums.left[s] // n for s, n in taken.items())
+        sums.use(taken, times)
+        out.append((tuple(order), times))
 
 
 def pack(sized: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity: int = CAPACITY) -> DataFrame:

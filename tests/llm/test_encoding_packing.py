@@ -48,6 +48,27 @@ def test_plan_uses_each_item_once():
         assert not any(left.values())
 
 
+def test_sums_against_search():
+    """A gap is filled exactly whenever one, two or three sizes in stock have that sum."""
+    from collections import Counter
+    from itertools import combinations_with_replacement
+
+    r = random.Random(8)
+    for _ in range(60):
+        cap = r.randint(3, 40)
+        counts = {s: r.randint(1, 3) for s in r.sample(range(1, cap + 1), r.randint(1, min(cap, 9)))}
+        sums = P.Sums(counts, cap)
+        left = Counter(counts)
+        while +left:
+            for gap in range(1, cap + 1):
+                possible = any(sum(c) == gap and not Counter(c) - left for k in (1, 2, 3) for c in combinations_with_replacement(sorted(+left), k))
+                found = sums.fill(gap, Counter())
+                assert bool(found) == possible and (not found or sum(found) == gap and not Counter(found) - left), (left, gap, found)
+            gone = Counter([r.choice(sorted((+left).elements()))])
+            sums.use(gone, 1)
+            left -= gone
+
+
 def test_pack(spark):
     r = random.Random(9)
     rows = [(i, r.randint(1, 30), "a") for i in range(500)] + [(500, 0, "a"), (501, None, "a"), (502, 95, "a"), (503, 20, None), (503, 20, None)]
