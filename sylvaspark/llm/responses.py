@@ -54,6 +54,13 @@ WORDS = {
     "de": "der die das und ist ein eine mit von zu im den dem des nicht auf für wird werden sich auch als am zum zur es sind einer drei er".split(),
     "es": "el los las y es una un del para con por que se en al son su más como no lo está curso".split(),
 }
+WORDS = {k: frozenset(v) for k, v in WORDS.items()}
+HAN_RUN, LATIN_RUN, TWO_HAN = regex.compile(r"\p{Han}+"), regex.compile(r"\p{Latin}+"), regex.compile(r"\p{Han}{2,}")
+SCRIPTS = {"kana": regex.compile(r"[\p{Hiragana}\p{Katakana}]"), "hangul": regex.compile(r"\p{Hangul}"), "cyr": regex.compile(r"\p{Cyrillic}"), "arab": regex.compile(r"\p{Arabic}"), "latin": regex.compile(r"\p{Latin}")}
+RARE = regex.compile(r"[\p{Hiragana}\p{Katakana}\p{Hangul}\p{Cyrillic}\p{Arabic}]")
+# Words by which a prompt shows its language.
+ENGLISH = regex.compile(r"\b(?:what|which|how|when|where|who|why|can|could|is|are|does|do|please|list|summari[sz]e|tell|explain|give|describe|taught|in|of|the|for|what's)\b", regex.I)
+ASKING = regex.compile(r"[吗呢么？的是什哪谁几多]")
 NAMED = regex.compile(r"《[^》]*》|“[^”]*”|「[^」]*」|『[^』]*』|\"[^\"]*\"|‘[^’]*’")
 TITLE = regex.compile(r"(?:\p{Lu}[\p{L}\-’']*(?:\s+(?:and|of|the|in|for|to)(?=\s+\p{Lu}))?[\s:,&–-]*){2,}")
 
@@ -71,30 +78,51 @@ ITEM = regex.compile(r"(?:^|(?<=[\s。；;.:：，,]))[（(]?(\d{1,2}|[一二三
 BULLET = regex.compile(r"(?m)^\s*[-*•·]\s*\S")
 
 
+NO_LETTER = regex.compile(r"[^\p{L}\p{N}]+")
+
+
 def bare(text: str) -> str:
     """Letters and digits only, folded."""
-    return regex.sub(r"[^\p{L}\p{N}]+", "", unicodedata.normalize("NFKC", text)).casefold()
+    return NO_LETTER.sub("", unicodedata.normalize("NFKC", text)).casefold()
+
+
+TAGGED = regex.compile(r"[<&`]")
 
 
 def is_empty(answer: str | None) -> bool:
     if answer is None:
         return True
+    if not TAGGED.search(answer) and sum(map(str.isalnum, answer[:100])) > 20:
+        return False  # more letters than any of NOTHING has
     t = TAGS.sub(" ", answer)
     core = regex.sub(r"[\s\p{Cf}\p{Cc}]+", " ", unicodedata.normalize("NFKC", t)).strip().strip(":：\"'`*_#.。-—~=…{}[]()<>/|\\!?！？,，、 ").casefold()
     return core in NOTHING or not regex.search(r"[\p{L}\p{N}]", core)
 
 
+#: Share of a prompt that a copy cut short still covers.
+COPIED = 0.6
+
+
 def is_copy(query: str | None, answer: str) -> bool:
-    """The answer is the prompt, whole, once or again and again, with nothing but a label before it."""
+    """The answer is nothing but a copied prefix: after a label or greeting it repeats the prompt, whole, once or again and again, up to any cut in the last repetition; or it is the prompt itself cut short, with COPIED of it left. What follows a repetition and states nothing (a label, a placeholder) doesn't make it an answer."""
     q = bare(query or "")
     a = answer.strip()
     if len(q) < 4:
         return False
-    forms = {q, bare(GREETING.sub("", (query or "").strip()))}
-    for t in (a, ECHO.sub("", a), GREETING.sub("", a), ECHO.sub("", GREETING.sub("", a))):
+    forms = {q, bare(GREETING.sub("", (query or "").strip()))} - {""}
+    shortest = min(map(len, forms))
+    for t in {a, ECHO.sub("", a), GREETING.sub("", a), ECHO.sub("", GREETING.sub("", a))}:
+        head = bare(t[: 64 + 2 * len(q)])
+        if len(head) > shortest and not any(head.startswith(f[: len(head)]) for f in forms):
+            continue  # starts with something else
         b = bare(t)
-        if any(f and b and len(b) % len(f) == 0 and b == f * (len(b) // len(f)) for f in forms):
-            return True
+        for f in forms:
+            at = 0
+            while b.startswith(f, at):
+                at += len(f)
+            rest = b[at:]
+            if at and (f.startswith(rest) or rest in NOTHING) or not at and len(b) >= max(4, COPIED * len(f)) and f.startswith(b):
+                return True
     return False
 
 
@@ -114,36 +142,43 @@ def is_refusal(answer: str, query: str | None) -> bool:
     return any(REFUSAL.search(s) for s in said[:2])
 
 
+def _unmarked(text: str) -> str:
+    return TAGS.sub(" ", text) if "<" in text or "&" in text or "```" in text else text
+
+
 def language(text: str) -> str:
     """Language of a text by script and frequent words; '' if it can't be told (numbers, names)."""
-    t = NAMED.sub(" ", TAGS.sub(" ", text))
-    n = {s: len(regex.findall(p, t)) for s, p in (("han", r"\p{Han}"), ("kana", r"[\p{Hiragana}\p{Katakana}]"), ("hangul", r"\p{Hangul}"), ("cyr", r"\p{Cyrillic}"), ("arab", r"\p{Arabic}"), ("latin", r"\p{Latin}"))}
-    if n["kana"] > 1 and n["kana"] * 8 >= n["han"]:
-        return "ja"
-    if n["hangul"] > 1:
-        return "ko"
-    if n["cyr"] > 3 and n["cyr"] >= n["latin"]:
-        return "ru"
-    if n["arab"] > 3:
-        return "ar"
-    words = [w.casefold() for w in regex.findall(r"\p{Latin}+", t)]
-    plain = [w.casefold() for w in regex.findall(r"\p{Latin}+", TITLE.sub(" ", t))]
+    t = NAMED.sub(" ", _unmarked(text))
+    han = sum(map(len, HAN_RUN.findall(t)))
+    if RARE.search(t):
+        n = {k: len(p.findall(t)) for k, p in SCRIPTS.items()}
+        if n["kana"] > 1 and n["kana"] * 8 >= han:
+            return "ja"
+        if n["hangul"] > 1:
+            return "ko"
+        if n["cyr"] > 3 and n["cyr"] >= n["latin"]:
+            return "ru"
+        if n["arab"] > 3:
+            return "ar"
+    if not LATIN_RUN.search(t):
+        return "zh" if han else ""
+    plain = [w.casefold() for w in LATIN_RUN.findall(TITLE.sub(" ", t))]
     scores = {k: sum(w in v for w in plain) for k, v in WORDS.items()}
     best = max(scores, key=scores.get)
-    if n["han"] and n["han"] >= 2 * len(plain):
+    if han and han >= 2 * len(plain):
         return "zh"
     if best != "en" and scores[best] >= 2 and scores[best] > scores["en"]:
         return best
-    if scores["en"] or len(words) and not n["han"]:
+    if scores["en"] or not han:
         return "en"
-    return "zh" if n["han"] else ""
+    return "zh"
 
 
 def asked_language(query: str) -> str:
     """Language of a prompt. Course names in it don't count; a single question word decides for English."""
     t = NAMED.sub(" ", query)
-    english = regex.findall(r"\b(?:what|which|how|when|where|who|why|can|could|is|are|does|do|please|list|summari[sz]e|tell|explain|give|describe|taught|in|of|the|for|what's)\b", t, regex.I)
-    if len(english) >= 2 or english and not regex.search(r"[吗呢么？的是什哪谁几多]", t):
+    english = ENGLISH.findall(t)
+    if len(english) >= 2 or english and not ASKING.search(t):
         return "en"
     return language(t)
 
@@ -155,7 +190,7 @@ def is_other_language(query: str | None, answer: str) -> bool:
         return False
     wanted = next((k for k, p in ASKS if p.search(q)), None) or asked_language(q)
     t = answer
-    for name in {*NAMED.findall(q), *(regex.findall(r"\p{Han}{2,}", q) if wanted == "en" else [m.group().strip() for m in TITLE.finditer(q)])}:
+    for name in {*NAMED.findall(q), *(TWO_HAN.findall(q) if wanted == "en" else [m.group().strip() for m in TITLE.finditer(q)])}:
         t = t.replace(name, " ")
     got = language(t)
     return bool(got and wanted) and got != wanted and not names_only(answer, q)
@@ -164,9 +199,9 @@ def is_other_language(query: str | None, answer: str) -> bool:
 def names_only(answer: str, query: str) -> bool:
     """Whether an answer holds nothing but a name: no sentence mark, no frequent word, or only Latin title words."""
     t = answer.strip().rstrip(".。")
-    if regex.search(r"\p{Han}", t):
+    if HAN_RUN.search(t):
         return bool(regex.fullmatch(r"《[^》]*》", answer.strip()))
-    words = regex.findall(r"\p{Latin}+", t)
+    words = LATIN_RUN.findall(t)
     return len(words) > 1 and all(w[0].isupper() or w in ("and", "of", "the", "in", "for") for w in words) and not any(w.casefold() in ("yes", "no", "semester", "not") for w in words)
 
 
@@ -201,6 +236,9 @@ def missing_items(text: str) -> bool:
 
 
 ENDS = (6, 4, 3, 2)
+DIGIT = regex.compile(r"\d")
+#: Shortest keys of undecided endings that are sent to all tasks; where there are more, all endings are counted.
+WANTED = 200_000
 WORD_OR_HAN = regex.compile(r"([^\W\p{Han}]+(?:['’-][^\W\p{Han}]+)*%?)|\p{Han}+")
 
 
@@ -209,24 +247,29 @@ def word_keys(word: str, before: str) -> list[str]:
     return [f" {before} {word} ", f" {word} "] if before else [f" {word} "]
 
 
-def endings(text: str) -> Iterator[tuple[str, bool]]:
-    """Each place in a text where a word or a Han character ends, as (key, whether a final mark follows). Keys of Han text are the last two to six characters of any kind."""
-    t = regex.sub(r"\d", "0", text)
+def endings(text: str, wanted: set[str] | None = None) -> Iterator[tuple[str, bool]]:
+    """Each place in a text where a word or a Han character ends, as (key, whether a final mark follows). Keys of Han text are the last two to six characters of any kind. `wanted`: the shortest keys of the places to give, all if None."""
+    t = DIGIT.sub("0", text)
     before = ""
     for m in WORD_OR_HAN.finditer(t):
         start, end = m.span()
-        rest = t[end : end + 4].lstrip(TRAIL)
-        final = bool(rest) and rest[0] in FINAL and not ELLIPSIS.match(rest[:2]) and not (rest[0] == "." and len(rest) > 1 and rest[1].isdigit())
-        if word := m.group(1):
-            for k in word_keys(word, before):
-                yield k, final
-            before = word
+        word = m.group(1)
+        if word:
+            ends = (end,) if wanted is None or f" {word} " in wanted else ()
         else:
-            before = ""
-            for at in range(start + 1, end + 1):
-                for k in ENDS:
-                    if at >= k:
-                        yield t[at - k : at], final and at == end
+            ends = range(start + 1, end + 1) if wanted is None else [at for at in range(max(start + 1, 2), end + 1) if t[at - 2 : at] in wanted]
+        if ends:
+            rest = t[end : end + 4].lstrip(TRAIL)
+            final = bool(rest) and rest[0] in FINAL and not ELLIPSIS.match(rest[:2]) and not (rest[0] == "." and len(rest) > 1 and rest[1].isdigit())
+            for at in ends:
+                if word:
+                    for k in word_keys(word, before):
+                        yield k, final
+                else:
+                    for k in ENDS:
+                        if at >= k:
+                            yield t[at - k : at], final and at == end
+        before = word or ""
 
 
 def truncation(answer: str) -> bool | None:
@@ -256,7 +299,7 @@ def truncation(answer: str) -> bool | None:
 
 def last_endings(answer: str) -> list[str]:
     """The keys of the place where an answer ends, longest first."""
-    e = regex.sub(r"\d", "0", answer.rstrip().rstrip(TRAIL))
+    e = DIGIT.sub("0", answer.rstrip().rstrip(TRAIL))
     words = list(WORD_OR_HAN.finditer(e))
     if not words:
         return []
@@ -266,14 +309,15 @@ def last_endings(answer: str) -> list[str]:
     return [e[end - k : end] for k in ENDS if end >= k]
 
 
-def ending_table(answers: DataFrame, support: int = 5, sure: int = 20) -> DataFrame:
-    """(ending, share, unsure) of every ending seen `support` times or more, over all answers; those seen less than `sure` times are only used where there is no other."""
+def ending_table(answers: DataFrame, wanted: set[str] | None = None, support: int = 5, sure: int = 20) -> DataFrame:
+    """(ending, share, unsure) of every ending seen `support` times or more, over all answers; those seen less than `sure` times are only used where there is no other. `wanted` limits the endings to those that are asked for."""
+    shared = answers.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             counts: dict[str, list[int]] = {}
             for t in b["answer"]:
-                for e, final in endings(t):
+                for e, final in endings(t, shared.value):
                     c = counts.setdefault(e, [0, 0])
                     c[0] += 1
                     c[1] += final
@@ -318,7 +362,9 @@ def flag(df: DataFrame, key: str = "query_id", query: str = "query", answer: str
     schema = T.StructType([df.schema[key], T.StructField("defects", T.ArrayType(T.StringType())), T.StructField("ends", T.ArrayType(T.StringType()))])
     judged = steps.write(pairs.mapInPandas(rules, schema).where("size(defects) > 0 or size(ends) > 0"))
     asked = judged.where("size(ends) > 0").select(key, F.posexplode("ends").alias("pos", "ending"))
-    shares = steps.write(ending_table(pairs.where("answer is not null").select("answer")))
+    short = asked.groupBy(key).agg(F.max_by("ending", "pos").alias("ending")).select("ending").distinct().limit(WANTED + 1).collect()
+    wanted = {r["ending"] for r in short} if len(short) <= WANTED else None  # the same shares either way
+    shares = steps.write(ending_table(pairs.where("answer is not null").select("answer"), wanted))
     told = join_lookup(asked, shares, "ending", "left").groupBy(key).agg(F.min_by("share", F.when(F.col("share").isNotNull(), F.struct("unsure", "pos"))).alias("share"))
     late = told.where(F.coalesce("share", F.lit(0.0)) < least_share).select(key, F.lit(True).alias("late"))
     whole = judged.join(late, key, "left").select(key, F.when(F.col("late"), F.array_append("defects", F.lit("truncated"))).otherwise(F.col("defects")).alias("defects"))

@@ -104,3 +104,33 @@ def test_subject_model_recovers_planted_rates():
     assert acc["lexicon"] > acc["address"] > acc["source"] and acc["section"] > acc["address"]
     assert (before != m.posterior().argmax(1)).any()
     assert np.allclose(m.posterior().sum(1), 1)
+
+
+def test_copied_prefixes():
+    """A copy may be repeated, cut short or followed by what states nothing; an answer that goes on after the prompt is none."""
+    from sylvaspark.llm import responses as R
+
+    q = "线性代数是多少学分？"
+    for a in (q, "问题：线性代数是多少学分", q + q, q + "线性代数是多", "线性代数是多少学", "您好，" + q, q + " N/A", q + "\n答："):
+        assert R.is_copy(q, a), a
+    for a in (q + "3学分。", "线性代数", "线性代数为3学分。", "", "是多少学分？线性代数", q + "线性代数为3学分。"):
+        assert not R.is_copy(q, a), a
+    assert not R.is_copy(None, q) and not R.is_copy("x?", "x?") and R.is_copy("Who teaches algebra?", "You asked: who teaches algebra")
+    long = "学分" * 50_000
+    assert R.is_copy(long, long * 2) and not R.is_copy(long, long + "另外" + long)
+
+
+def test_endings_that_are_wanted():
+    """Counting only the places that are asked for gives the same counts for them."""
+    from collections import Counter
+
+    from sylvaspark.llm import responses as R
+
+    texts = ["课程共3学分。期末考试闭卷", "The course ends here. It has 2 tests and a final examination.", "共12学时（含实验）。a", "", "考试。"]
+    for t in texts:
+        every = Counter(R.endings(t))
+        for wanted in ({"学分", " here ", "闭卷"}, {" examination ", "考试"}, set()):
+            some = Counter(R.endings(t, wanted))
+            assert not some - every
+            asked = {k for k, _ in every if (k.startswith(" ") and f" {k.split()[-1]} " in wanted) or (not k.startswith(" ") and k[-2:] in wanted)}
+            assert {k: n for k, n in every.items() if k[0] in asked} == dict(some)
