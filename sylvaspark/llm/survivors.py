@@ -59,44 +59,54 @@ def claims(offerings: DataFrame, sources: DataFrame) -> DataFrame:
     return flat.groupBy("course_code", "program_name", "field", "source").agg(F.array_distinct(F.flatten(F.collect_set("values"))).alias("values"))
 
 
-def truths(spark: SparkSession, stated: DataFrame, keys: list[str], rounds: int = 20, prior: float = 0.5, multi: tuple[str, ...] = ("instructor",)) -> tuple[DataFrame, DataFrame]:
-    """Values with their probability, and sources with sensitivity and specificity by field.
+#: Prior observations of the model, whatever the size of the data: (true values stated, true values left out) and (false values left out, false values stated).
+SENSITIVITY, SPECIFICITY = (8.0, 2.0), (95.0, 5.0)
 
-    `stated`: keys, field, source, values. A source observes every value that any source states of the same key and field: as true if it states it, else as false. Fields in `multi` keep every value of probability 0.5 or more, others the most probable one; ties keep the smallest value. Sources number few, like the table that lists them; their qualities go to the driver, nothing else does."""
+
+def truths(spark: SparkSession, stated: DataFrame, keys: list[str], rounds: int = 200, prior: float = 0.5, multi: tuple[str, ...] = ("instructor",), moved: float = 5e-4) -> tuple[DataFrame, DataFrame]:
+    """Values with their probability, and sources with sensitivity and specificity by field, the rounds it took and whether the last one moved no rate by more than `moved`.
+
+    `stated`: keys, field, source, values. A source observes every value that any source states of the same key and field: as true if it states it, else as false. Fields in `multi` keep every value of probability 0.5 or more, others the most probable one; of these at most one is true, so their probabilities share 1 with the chance that none is; ties keep the smallest value. Sources number few, like the table that lists them; their qualities go to the driver, nothing else does."""
     steps = Steps(spark)
     group = [*keys, "field"]
-    seen = steps.write(stated.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("source", "values"))).alias("by_source")))
+    seen = steps.write(stated.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("source", "values"))).alias("by_source")))  # one entry a source
     facts = seen.withColumn("value", F.explode(F.array_distinct(F.flatten(F.col("by_source.values")))))
     facts = steps.write(facts.select(*group, "value", F.transform("by_source", lambda s: F.struct(s["source"].alias("source"), F.array_contains(s["values"], F.col("value")).alias("said"))).alias("pattern")))
-    patterns = steps.write(facts.groupBy("field", "pattern").agg(F.count("*").alias("n")))
-    quality = {(r[0], r[1]): (0.8, 0.9) for r in patterns.select("field", F.explode("pattern.source").alias("s")).distinct().collect()}
+    # One source alone shows nothing of its quality, and two that disagree don't show which is right; of all other groups the sets of patterns are counted.
+    sets = facts.where(F.size("pattern") > 2).groupBy(*group).agg(F.sort_array(F.collect_list("pattern")).alias("rivals"))
+    sets = steps.write(sets.groupBy("field", "rivals").agg(F.count("*").alias("n")))
+    quality = {(r[0], r[1]): (0.8, 0.9) for r in facts.select("field", F.explode("pattern.source").alias("s")).distinct().collect()}
 
-    def probability() -> Column:
+    def odds(pattern: Column) -> Column:
         def table_of(what) -> Column:
             return F.create_map(*[x for (f, s), q in sorted(quality.items()) for x in (F.lit(f"{f}\x01{s}"), F.lit(what(*q)))])
 
         yes, no = table_of(lambda a, b: math.log(a / (1 - b))), table_of(lambda a, b: math.log((1 - a) / b))
         key = lambda s: F.concat("field", F.lit("\x01"), s["source"])
-        odds = F.aggregate("pattern", F.lit(math.log(prior / (1 - prior))), lambda a, s: a + F.when(s["said"], yes[key(s)]).otherwise(no[key(s)]))
-        return 1 / (1 + F.exp(-odds))
-
-    for _ in range(rounds if quality else 0):
-        weighed = patterns.withColumn("p", probability()).select("field", "n", "p", F.explode("pattern").alias("s"))
+        return F.exp(F.aggregate(pattern, F.lit(math.log(prior / (1 - prior))), lambda a, s: a + F.when(s["said"], yes[key(s)]).otherwise(no[key(s)])))
+
+    several = F.col("field").isin(*multi)
+    done, converged = 0, not quality
+    while quality and done < rounds and not converged:
+        done += 1
+        rated = sets.select("field", "n", "rivals", F.transform("rivals", odds).alias("o")).withColumn("all", F.aggregate("o", F.lit(1.0), lambda a, x: a + x))
+        one = rated.select("field", "n", F.explode(F.zip_with("rivals", F.transform("o", lambda x: F.when(several, x / (1 + x)).otherwise(x / F.col("all"))), lambda r, p: F.struct(r.alias("pattern"), p.alias("p")))).alias("x"))
+        weighed = one.select("field", "n", F.col("x.p").alias("p"), F.explode("x.pattern").alias("s"))
         said = F.col("s.said").cast("double")
         sums = weighed.groupBy("field", F.col("s.source").alias("source")).agg(F.sum(F.col("n") * F.col("p")).alias("t"), F.sum(F.col("n") * F.col("p") * said).alias("ts"), F.sum(F.col("n") * (1 - F.col("p"))).alias("f"), F.sum(F.col("n") * (1 - F.col("p")) * (1 - said)).alias("fs")).collect()
-        new = {}
+        new = dict(quality)
         for r in sums:
-            weight = 0.5 * (r["t"] + r["f"])  # a strong belief that sources rarely state false values keeps true and false apart
-            new[r["field"], r["source"]] = (min(max((r["ts"] + 8) / (r["t"] + 10), 0.01), 0.99), min(max((r["fs"] + 0.95 * weight) / (r["f"] + weight), 0.01), 0.99))
-        moved = max(abs(a - b) for k in new for a, b in zip(new[k], quality[k]))
+            rate = lambda k, n, p: min(max((k + p[0]) / (n + sum(p)), 0.001), 0.999)
+            new[r["field"], r["source"]] = rate(r["ts"], r["t"], SENSITIVITY), rate(r["fs"], r["f"], SPECIFICITY)
+        converged = max(abs(a - b) for k in new for a, b in zip(new[k], quality[k])) < moved
         quality = new
-        if moved < 1e-4:
-            break
-    found = facts.withColumn("probability", probability() if quality else F.lit(0.0))
+    found = facts.withColumn("_o", odds(F.col("pattern")) if quality else F.lit(0.0))
+    sums = found.groupBy(*group).agg((F.lit(1.0) + F.sum("_o")).alias("_all"))
+    found = found.join(sums, group).withColumn("probability", F.when(several, F.col("_o") / (1 + F.col("_o"))).otherwise(F.col("_o") / F.col("_all")))
     top = found.groupBy(*group).agg(F.min_by("value", F.struct(-F.col("probability"), F.col("value"))).alias("_top"))
     kept = F.when(F.col("field").isin(*multi), (F.col("probability") >= 0.5) | (F.col("value") == F.col("_top"))).otherwise(F.col("value") == F.col("_top"))
     values = found.join(top, group).select(*group, "value", "probability", kept.alias("kept"))
-    qualities = spark.createDataFrame([(f, s, a, b) for (f, s), (a, b) in sorted(quality.items())], "field string, source string, sensitivity double, specificity double")
+    qualities = spark.createDataFrame([(f, s, a, b, done, converged) for (f, s), (a, b) in sorted(quality.items())], "field string, source string, sensitivity double, specificity double, rounds int, converged boolean")
     return values, qualities
 
 
@@ -116,7 +126,7 @@ def p3_truths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sensitivity and specificity of each source by field."""
+    """Sensitivity and specificity of each source by field, with the rounds of the model and whether it converged."""
     return truths(spark, claims(*_sources(spark, sf_dir)), ["course_code", "program_name"])[1]
 
 

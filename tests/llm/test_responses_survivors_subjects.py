@@ -134,3 +134,32 @@ def test_endings_that_are_wanted():
             assert not some - every
             asked = {k for k, _ in every if (k.startswith(" ") and f" {k.split()[-1]} " in wanted) or (not k.startswith(" ") and k[-2:] in wanted)}
             assert {k: n for k, n in every.items() if k[0] in asked} == dict(some)
+
+
+def test_planted_source_qualities(spark):
+    """Sources of known quality: the model finds their order and rates, for a field of one value and for one of several."""
+    import random
+
+    r = random.Random(4)
+    right = {"s1": 0.95, "s2": 0.85, "s3": 0.75, "s4": 0.6, "s5": 0.45}
+    rows = []
+    for g in range(3000):
+        who = r.sample(sorted(right), r.randint(1, 5))
+        team = [f"t{g}a", f"t{g}b"]
+        for s in who:
+            rows.append((g, "one", s, ["true" if r.random() < right[s] else f"false{r.randint(1, 3)}"]))
+            said = [x for x in team if r.random() < right[s]] + ([f"other{g}{r.randint(1, 2)}"] if r.random() > right[s] else [])
+            if said:
+                rows.append((g, "many", s, said))
+    values, quality = V.truths(spark, spark.createDataFrame(rows, "k long, field string, source string, values array<string>"), ["k"], multi=("many",))
+    q = {(x["field"], x["source"]): x for x in quality.collect()}
+    assert all(x["converged"] for x in q.values())
+    for s, p in right.items():
+        assert abs(q["one", s]["sensitivity"] - p) < 0.08 and abs(q["many", s]["sensitivity"] - p) < 0.15, (s, q["one", s], q["many", s])
+    for f in ("one", "many"):
+        order = sorted(right, key=lambda s: -q[f, s]["sensitivity"])
+        assert order == sorted(right)
+        assert q[f, "s1"]["specificity"] > q[f, "s4"]["specificity"]
+    several = {x["k"] for x in spark.createDataFrame(rows, "k long, field string, source string, values array<string>").where("field = 'one'").groupBy("k").count().where("count >= 3").collect()}
+    kept = {x["k"]: x["value"] for x in values.where("field = 'one' and kept").collect() if x["k"] in several}
+    assert sum(v == "true" for v in kept.values()) >= 0.9 * len(kept)
