@@ -43,12 +43,12 @@ def script(c: str) -> str:
 
 
 class Model:
-    """Classes and rewriting tables for one inventory of code points. `counts`: code point -> occurrences in the corpus."""
+    """Classes and rewriting tables for one inventory of code points. `counts`: code point -> occurrences in the corpus. `numeric`: the classes of values made of numbers, where letters stand for the digits that they look like, instead of the classes of letters."""
 
-    def __init__(self, counts: dict[str, int]):
+    def __init__(self, counts: dict[str, int], numeric: bool = False):
         self.counts = counts
         self.up: dict[str, str] = {}
-        groups = [*LETTERS.split(), *HAN.split()]
+        groups = [*(DIGITS if numeric else LETTERS).split(), *HAN.split()]
         listed = set("".join(groups))
         self.listed = listed
         for g in groups:
@@ -63,7 +63,6 @@ class Model:
         self.members: dict[str, list[str]] = defaultdict(list)
         for c in {*self.up, *counts}:
             self.members[self.find(c)].append(c)
-        self.digit = {c: g[0] for g in DIGITS.split() for c in g[1:]}
         radicals = dict(p for p in RADICALS.split())
         self.neutral = {}
         for c in counts:
@@ -90,8 +89,8 @@ class Model:
         self.up[b] = a
 
     def best(self, c: str, target: str) -> str | None:
-        """The most frequent single letter of the script in c's class; ties go to the smallest code point."""
-        ranked = sorted((-self.counts.get(m, 0), m) for m in self.members.get(self.find(c), ()) if len(m) == 1 and script(m) == target and unicodedata.normalize("NFKC", m) == m)
+        """The most frequent single letter of the script (or ASCII digit) in c's class; ties go to the smallest code point."""
+        ranked = sorted((-self.counts.get(m, 0), m) for m in self.members.get(self.find(c), ()) if len(m) == 1 and ("0" <= m <= "9" if target == "digit" else script(m) == target) and unicodedata.normalize("NFKC", m) == m)
         return ranked[0][1] if ranked else None
 
     def rewrite(self, text: str, name: str) -> str:
@@ -101,6 +100,10 @@ class Model:
 
             if name == "neutral":
                 pairs = self.neutral
+            elif name == "digit":
+                pairs = {c: b for c in self.listed if script(c) not in ("", "Han", "Katakana") and (b := self.best(c, "digit"))}
+            elif name == "numeral":
+                pairs = {c: b for c in self.listed if (script(c) == "Katakana" or c in "○◯") and (b := self.best(c, "Han"))}
             else:
                 letters = {c for c in {*self.listed, *(d for c in self.counts for d in unicodedata.normalize("NFD", c))} if script(c) not in ("", name)}
                 pairs = {c: b for c in letters if (b := self.best(c, name))}
@@ -144,14 +147,14 @@ class Model:
         return unicodedata.normalize("NFC", self.rewrite(base, goal))
 
     def number(self, text: str) -> str:
-        """Plain form of a value made of numbers: look-alikes of digits become digits, those of Chinese numerals become numerals."""
+        """Plain form of a value made of numbers: look-alikes of digits become the digit of their class, those of Chinese numerals the numeral. A value with a letter that looks like no digit keeps its letters."""
         t = self.tidy(text)
         t = regex.sub(r"(?<=\p{Han})-(?=\p{Han})", "一", t)
-        foreign = [c for c in t if script(c) not in ("", "Han", "Katakana")]
-        if all(c in self.digit for c in foreign):
-            t = "".join(self.digit.get(c, c) if script(c) not in ("", "Han", "Katakana") else c for c in t)
+        digits = self.rewrite(t, "digit")
+        if all(script(c) in ("", "Han", "Katakana") for c in digits):
+            t = digits
         if any(script(c) == "Han" for c in t) or len(t) == 1:
-            t = "".join(self.best(c, "Han") or c if script(c) == "Katakana" or c in "○◯" else c for c in t)
+            t = self.rewrite(t, "numeral")
         return t
 
     def skeleton(self, text: str) -> str:
@@ -173,13 +176,14 @@ def plain_forms(spark: SparkSession, values: DataFrame, numeric: list[str], spel
 
     Fields in `numeric` hold numbers, all others names, several of them apart by one of SEPARATORS. A name takes the spelling that is most frequent in its class of look-alike names, if that is `spelled` times as frequent as its own, or its own mixes scripts. Null values have no row, blank ones the plain form ''. Very long values are one text like any other."""
     steps = Steps(spark)
-    model = Model(inventory(values, "value", "n"))
+    counts = inventory(values, "value", "n")
+    model, numerals = Model(counts), Model(counts, numeric=True)
     cut = f"[^{SEPARATORS}]+|[{SEPARATORS}]"
     numbers, names = values.where(F.col("field_name").isin(numeric)), values.where(~F.col("field_name").isin(numeric))
 
     def of_numbers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b["plain"] = [model.number(v) for v in b["value"]]
+            b["plain"] = [numerals.number(v) for v in b["value"]]
             yield b
 
     def of_names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
