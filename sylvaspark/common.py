@@ -56,6 +56,23 @@ class Steps:
         return self.spark.read.schema(df.schema).parquet(self.path)
 
 
+class Grown:
+    """A table that grows by parts, each written once and never again."""
+
+    def __init__(self, steps: Steps, first: DataFrame):
+        self.steps, self.schema, self.paths = steps, first.schema, []
+        self.last = self.add(first)
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """The new part alone, read from where it was written."""
+        part = self.steps.write(df)
+        self.paths.append(self.steps.path)
+        return part
+
+    def all(self) -> DataFrame:
+        return self.steps.spark.read.schema(self.schema).parquet(*self.paths)
+
+
 def global_index(steps: Steps, df: DataFrame, *order: str, index: str = "idx", part: str = "pid") -> DataFrame:
     """Rows with their place (from 0) in the total order of the columns, and the range partition that holds them.
 

@@ -17,7 +17,7 @@ from sylvaspark.operators import lexical
 from sylvaspark.operators.fields import clean_sql, column_sql, key_sql
 from sylvaspark.operators.graphs import _E, _P, part_edges
 from sylvaspark.operators.metrics import _REF
-from sylvaspark.operators.vectors import _CON, _PAIR, _VOTE, _vectors, _votes, concepts, cosine_pairs, o106_linear_fusion, o170_concept_pairs, top_cosine
+from sylvaspark.operators.vectors import _CON, _PAIR, _VOTE, _vectors, _votes, concepts, cosine_deciles, o106_linear_fusion, o170_concept_pairs, top_cosine
 from sylvaspark.plans.inputs import BLK, CAT, LOG, OFF, SYL, blocks, catalog, log, offerings, syllabi
 
 # Trailing words that don't tell concepts apart, and how concept types are recognised by their ends.
@@ -126,8 +126,7 @@ def o109_dispatch(spark, sf_dir):
 def o74_pair_candidates(spark, sf_dir):
     """Concept pairs by decade of cosine, over all sources of the targets."""
     c = concepts(_vectors(spark, sf_dir))
-    p = cosine_pairs(c.where("vec_id % 10 = 0"), c, least=-2.0).where("query_id <> id")
-    return p.groupBy(F.floor(F.round("cosine", 6) * 10).alias("decile")).agg(F.count("*").alias("pairs"))
+    return cosine_deciles(c.where("vec_id % 10 = 0"), c)
 
 
 def o172_candidate_rows(spark, sf_dir):

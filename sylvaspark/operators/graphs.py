@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sylvaspark.common import Steps, row_rank, table
+from sylvaspark.common import Grown, Steps, row_rank, table
 from sylvaspark.operators.vectors import components
 
 
@@ -19,46 +19,49 @@ def part_edges(spark, sf_dir) -> DataFrame:
 
 
 def closure(edges: DataFrame, targets: DataFrame) -> DataFrame:
-    """(target, node, distance): every node before each target, itself with 0, by breadth first; ends on cycles too."""
-    steps = Steps(targets.sparkSession)
-    seen = steps.write(targets.select(F.col("target"), F.col("target").alias("node"), F.lit(0).alias("distance")))
-    front, d = seen, 0
+    """(target, node, distance): every node before each target, itself with 0, by breadth first; ends on cycles too. Each round writes its new pairs only."""
+    seen = Grown(Steps(targets.sparkSession), targets.select(F.col("target"), F.col("target").alias("node"), F.lit(0).alias("distance")))
+    front, d = seen.last, 0
     while True:
         d += 1
-        new = front.select("target", F.col("node").alias("dst")).join(edges, "dst").select("target", F.col("src").alias("node")).distinct().join(seen, ["target", "node"], "left_anti")
-        front = steps.write(new.withColumn("distance", F.lit(d)))
+        new = front.select("target", F.col("node").alias("dst")).join(edges, "dst").select("target", F.col("src").alias("node")).distinct().join(seen.all(), ["target", "node"], "left_anti")
+        front = seen.add(new.withColumn("distance", F.lit(d)))
         if not front.limit(1).count():
-            return seen
-        seen = steps.write(seen.unionByName(front))
+            return seen.all()
 
 
 def layers(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node, layer): the longest path that leads to a node, by repeated removal of nodes without open prerequisites; and the nodes that are never free, on or behind a cycle."""
+    """(node, layer): the longest path that leads to a node; and the nodes that are never free, on or behind a cycle.
+
+    A node is free once as many of its prerequisites are done as it has. Each round follows the links of the nodes that the last one freed, so every link is followed once, and writes only what is new."""
     steps = Steps(edges.sparkSession)
-    e = steps.write(edges.distinct())
-    left = steps.write(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct())
-    done, n = None, 0
+    e = steps.write(edges.select("src", "dst").distinct())
+    nodes = steps.write(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct())
+    needed = steps.write(e.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("needed")))
+    done = Grown(steps, nodes.join(needed, "node", "left_anti").withColumn("layer", F.lit(0)))
+    front, met, n = done.last, None, 0
     while True:
-        blocked = e.select(F.col("dst").alias("node")).distinct()
-        free = steps.write(left.join(blocked, "node", "left_anti").withColumn("layer", F.lit(n)))
-        if not free.limit(1).count():
-            return (done if done is not None else free), left
-        done = free if done is None else steps.write(done.unionByName(free))
-        left = steps.write(left.join(free, "node", "left_anti"))
-        e = steps.write(e.join(free.select(F.col("node").alias("src")), "src", "left_anti"))
         n += 1
+        new = e.join(front.select(F.col("node").alias("src")), "src").groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("met"))
+        if met is None:
+            met = Grown(steps, new)
+            new = met.last
+        else:
+            new = met.add(new)
+        sums = met.all().join(new.select("node"), "node", "left_semi").groupBy("node").agg(F.sum("met").alias("met"))
+        front = done.add(sums.join(needed, "node").where("met = needed").select("node", F.lit(n).alias("layer")))
+        if not front.limit(1).count():
+            return done.all(), nodes.join(done.all(), "node", "left_anti")
 
 
 def distances(edges: DataFrame, most: int = 3) -> DataFrame:
     """(src, dst, distance) of all pairs at most `most` links apart."""
-    steps = Steps(edges.sparkSession)
-    known = steps.write(edges.where("src <> dst").select("src", "dst", F.lit(1).alias("distance")).distinct())
-    front = known
+    known = Grown(Steps(edges.sparkSession), edges.where("src <> dst").select("src", "dst", F.lit(1).alias("distance")).distinct())
+    front = known.last
     for d in range(2, most + 1):
-        new = front.select("src", F.col("dst").alias("mid")).join(edges.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").where("src <> dst").distinct().join(known, ["src", "dst"], "left_anti")
-        front = steps.write(new.withColumn("distance", F.lit(d)))
-        known = steps.write(known.unionByName(front))
-    return known
+        new = front.select("src", F.col("dst").alias("mid")).join(edges.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").where("src <> dst").distinct().join(known.all(), ["src", "dst"], "left_anti")
+        front = known.add(new.withColumn("distance", F.lit(d)))
+    return known.all()
 
 
 def accept(candidates: DataFrame) -> DataFrame:

@@ -112,11 +112,15 @@ def hierarchy(spark: SparkSession, nodes: DataFrame, links: DataFrame) -> DataFr
 def with_paths(spark: SparkSession, h: DataFrame) -> DataFrame:
     """`hierarchy` rows with `path`, the codes from the root to the node.
 
-    A scan in tour order keeps the open intervals on a stack. Each range partition starts from the intervals that are open at its first row, which come with it as rows of their own: as many as that row is deep, not more than its path holds."""
+    A scan in tour order keeps the open intervals on a stack. Each range partition starts from the intervals that are open at its first row, which come with it as rows of their own: as many as that row is deep, not more than its path holds. They are found among the intervals that stay open at the end of the partition that holds them, as many a partition as its last row is deep."""
     steps = Steps(spark)
     order = steps.write(global_index(steps, h, "root_id", "entry"))
-    starts = order.groupBy("pid").agg(F.min(F.struct("root_id", "entry")).alias("_b")).select(F.col("pid").alias("at"), F.col("_b.root_id").alias("root_id"), F.col("_b.entry").alias("first"))
-    open_ = order.select("root_id", "code", "entry", "exit").join(F.broadcast(starts), "root_id").where("entry < first and first < exit").select("at", "code", "entry", "exit")
+    edge = F.struct("root_id", "entry")
+    bounds = steps.write(order.groupBy("pid").agg(F.min(edge).alias("_b"), F.max(edge).alias("_e")))  # one row a partition
+    ends = bounds.select("pid", F.col("_e.root_id").alias("root_id"), F.col("_e.entry").alias("last"))
+    held = order.select("pid", "root_id", "code", "entry", "exit").join(F.broadcast(ends), ["pid", "root_id"]).where("exit > last")
+    starts = bounds.select(F.col("pid").alias("at"), F.col("_b.root_id").alias("root_id"), F.col("_b.entry").alias("first"))
+    open_ = held.join(F.broadcast(starts), "root_id").where("pid < at and entry < first and first < exit").select("at", "code", "entry", "exit")
     columns = order.columns
     seeds = open_.select(*[(F.col("at").cast("int") if c == "pid" else F.col(c) if c in ("code", "entry", "exit") else F.lit(None).cast(dict(order.dtypes)[c])).alias(c) for c in columns], F.lit(0).alias("_kind"))
     rows = seeds.unionByName(order.withColumn("_kind", F.lit(1))).repartition("pid").sortWithinPartitions("pid", "_kind", "idx", "entry")

@@ -1,6 +1,6 @@
 """Questions to courses, intents and routes: mention linking, aliases, gates, intent labels, offering choice, catalogue answers.
 
-A batch of questions is a table; every step adds columns or joins by query id. Mentions are found by looking up substrings of the question in the table of names, so no question meets every course."""
+A batch of questions is a table; every step adds columns or joins by query id. Mentions are found in one pass over the question, so no question meets every course."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sylvaspark.common import join_lookup, row_rank
+from sylvaspark.common import Steps, join_lookup, row_rank
 from sylvaspark.functions import text as X
 from sylvaspark.operators.fields import PLAN_TYPES, clean_sql, column_sql, core_sql, key_sql
 from sylvaspark.plans.inputs import CAT, LOG, OFF, SYL, catalog, log, offerings, syllabi
@@ -58,19 +58,44 @@ def classify(df: DataFrame, query: str = "query") -> DataFrame:
     return out.withColumn("labels", F.when(F.size("labels") > 0, F.col("labels")).otherwise(F.array(F.lit("hybrid")))).drop("_q", *[f"_{n}" for n, _ in INTENTS])
 
 
-def mentions(queries: DataFrame, names: DataFrame, longest: int = 40) -> DataFrame:
-    """(query_id, code, name, start): names that a question mentions, longest first, on spans that no longer name claims.
+#: Names that are sent to every task as one automaton; longer lists are met by a join on the substrings of the questions.
+AUTOMATON = 500_000
 
-    `names`: (name, code, rank) with unique names. Candidates are the substrings of the question at the lengths that names have; the claims of one question are settled in order over its own few candidates."""
-    sizes = sorted(r[0] for r in names.select(F.length("name").alias("n")).where(F.col("n") <= longest).distinct().collect())  # `longest` lengths at most
-    q = queries.where("query is not null").select("query_id", F.lower("query").alias("q"))
-    none = F.array().cast("array<struct<start:int,name:string>>")
 
-    def of_size(n: int) -> Column:
-        return F.when(F.length("q") >= n, F.transform(F.sequence(F.lit(1), F.length("q") - n + 1), lambda i: F.struct(i.alias("start"), F.substring(F.col("q"), i, F.lit(n)).alias("name")))).otherwise(none)
+def _found_by_automaton(q: DataFrame, names: list) -> DataFrame:
+    import ahocorasick
+
+    shared = q.sparkSession.sparkContext.broadcast(names)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = ahocorasick.Automaton()
+        for name, code, rank in shared.value:
+            found.add_word(name, (name, code, rank))
+        if len(found):
+            found.make_automaton()
+        for b in batches:
+            rows = [(i, code, name, end - len(name) + 2, rank) for i, t in zip(b["query_id"], b["q"]) for end, (name, code, rank) in (found.iter(t) if len(found) else ())]
+            yield pd.DataFrame(rows, columns=["query_id", "code", "name", "start", "rank"])
+
+    kinds = dict(q.dtypes)
+    return q.mapInPandas(run, f"query_id {kinds['query_id']}, code string, name string, start int, rank int")
 
-    spans = F.flatten(F.array(*[of_size(n) for n in sizes])) if sizes else none
-    cand = join_lookup(q.select("query_id", F.explode(spans).alias("s")).select("query_id", "s.*"), names, "name", "inner")
+
+def _found_by_join(q: DataFrame, names: DataFrame) -> DataFrame:
+    sizes = [r[0] for r in names.select(F.length("name").alias("n")).distinct().collect()]  # one row per length in use
+    spans = F.flatten(F.transform(F.array(*map(F.lit, sorted(sizes))), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("q") - n + 1, F.lit(1))), lambda i: F.struct(i.alias("start"), F.substring(F.col("q"), i, n).alias("name"))))) if sizes else F.array().cast("array<struct<start:int,name:string>>")
+    left = Steps(q.sparkSession).write(q.select("query_id", F.explode(spans).alias("s")).select("query_id", "s.*").distinct())
+    return join_lookup(left, names, "name", "inner").select("query_id", "code", "name", "start", "rank")
+
+
+def mentions(queries: DataFrame, names: DataFrame) -> DataFrame:
+    """(query_id, code, name, start): names that a question mentions, longest first, on spans that no longer name claims.
+
+    `names`: (name, code, rank) with unique names of any length, none empty. The claims of one question are settled in order over its own few candidates."""
+    q = queries.where("query is not null").select("query_id", F.lower("query").alias("q"))
+    names = names.where("name is not null and name <> ''").select("name", F.col("code").cast("string").alias("code"), F.col("rank").cast("int").alias("rank"))
+    few = names.limit(AUTOMATON + 1).collect()
+    cand = _found_by_automaton(q, [tuple(r) for r in few]) if len(few) <= AUTOMATON else _found_by_join(q, names)
     ordered = cand.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct((-F.length("name")).alias("k"), "rank", "code", "start", "name"))).alias("c"))
     free = lambda a, x: ~F.exists(a, lambda y: (y["start"] < x["start"] + F.length(x["name"])) & (x["start"] < y["start"] + F.length(y["name"])) | (y["code"] == x["code"]))
     picked = F.aggregate("c", F.slice("c", 1, 0), lambda a, x: F.when(free(a, x), F.concat(a, F.array(x))).otherwise(a))

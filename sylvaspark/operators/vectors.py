@@ -160,17 +160,53 @@ def concepts(v: DataFrame) -> DataFrame:
     return v.select("vec_id", "embedding", F.col("label").alias("discipline"), (F.col("vec_id") % 3).alias("bloom"), F.when(F.col("vec_id") % 11 != 0, 1 + F.col("vec_id") % 8).alias("semester"), (F.col("vec_id") % 50).alias("course")).where("course % 17 <> 0")
 
 
-def pair_scores(c: DataFrame) -> DataFrame:
-    """(target, source, cosine, confidence) of every source for the targets whose id is divisible by 10: mean of cosine, order bonus and rule, less across disciplines, rounded before the threshold."""
-    scored = cosine_pairs(c.where("vec_id % 10 = 0"), c, least=-2.0).withColumn("cosine", F.greatest(F.lit(0.0), F.col("cosine")))
-    t = c.select(F.col("vec_id").alias("query_id"), F.col("discipline").alias("td"), F.col("bloom").alias("tb"), F.col("semester").alias("ts"), F.col("course").alias("tc"))
-    s = c.select(F.col("vec_id").alias("id"), "discipline", "bloom", "semester", "course")
-    j = scored.join(t, "query_id").join(s, "id").where("tc <> course and bloom <= tb and not coalesce(semester > ts, false)")
-    rule = F.when(F.col("discipline") == F.col("td"), 1.0).otherwise(0.5)
-    order = F.when(F.coalesce(F.col("semester") < F.col("ts"), F.lit(False)), ORDER_BONUS).otherwise(0.0)
-    decay = F.when(F.col("discipline") == F.col("td"), 1.0).otherwise(DECAY)
-    j = j.withColumn("confidence", F.round((F.col("cosine") + order + rule) / 3 * decay, 6)).where(F.col("confidence") >= CONFIDENCE)
-    return j.select(F.col("query_id").alias("target"), F.col("id").alias("source"), F.round("cosine", 6).alias("cosine"), "confidence")
+def half_up(x: np.ndarray, digits: int = 6) -> np.ndarray:
+    """Rounded as Spark rounds: halves go away from zero."""
+    return np.copysign(np.floor(np.abs(x) * 10**digits + 0.5) / 10**digits, x)
+
+
+def _concept_blocks(c: DataFrame) -> DataFrame:
+    """Blocks of concepts with their attributes; -1 stands for no semester."""
+    x = F.struct(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"), F.col("discipline").cast("string").alias("d"), "bloom", F.coalesce("semester", F.lit(-1)).alias("s"), "course")
+    g = c.where("embedding is not null").groupBy(F.expr(f"div(vec_id, {BLOCK})").alias("b")).agg(F.collect_list(x).alias("x"))
+    return g.select(F.col("x.id").alias("ids"), F.flatten("x.v").alias("flat"), F.col("x.d").alias("d"), F.col("x.bloom").alias("bloom"), F.col("x.s").alias("s"), F.col("x.course").alias("course"))
+
+
+def pair_scores(c: DataFrame, k: int = TOP) -> DataFrame:
+    """(target, source, cosine, confidence) of the k best sources, and those that tie with them, of every pair of blocks for the targets whose id is divisible by 10: mean of cosine, order bonus and rule, less across disciplines, rounded before the threshold. What Bloom levels, semesters and courses exclude never leaves a task."""
+    t = _concept_blocks(c.where("vec_id % 10 = 0"))
+    t = t.select(*[F.col(x).alias(f"t_{x}") for x in t.columns])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.to_dict("records"):
+                ti, si = np.asarray(r["t_ids"]), np.asarray(r["ids"])
+                a = {x: (np.asarray(r[f"t_{x}"])[:, None], np.asarray(r[x])[None, :]) for x in ("bloom", "s", "course", "d")}
+                cos = np.maximum(np.clip(_matrix(ti, r["t_flat"]) @ _matrix(si, r["flat"]).T, -1, 1), 0)
+                same, known = a["d"][0] == a["d"][1], (a["s"][0] >= 0) & (a["s"][1] >= 0)
+                score = (cos + np.where(known & (a["s"][1] < a["s"][0]), ORDER_BONUS, 0.0) + np.where(same, 1.0, 0.5)) / 3 * np.where(same, 1.0, DECAY)
+                fits = (a["course"][0] != a["course"][1]) & (a["bloom"][1] <= a["bloom"][0]) & ~(known & (a["s"][1] > a["s"][0])) & (score >= CONFIDENCE - 1e-6)
+                score = np.where(fits, score, -1.0)
+                bar = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k] if score.shape[1] > k else -1.0
+                i, j = np.nonzero((score >= bar - 1e-6) & (score > 0))
+                yield pd.DataFrame({"target": ti[i], "source": si[j], "cosine": cos[i, j], "confidence": score[i, j]})
+
+    pairs = _concept_blocks(c).join(t, F.lit(True)).mapInPandas(run, "target long, source long, cosine double, confidence double")
+    return pairs.select("target", "source", F.round("cosine", 6).alias("cosine"), F.round("confidence", 6).alias("confidence")).where(F.col("confidence") >= CONFIDENCE)
+
+
+def cosine_deciles(queries: DataFrame, vectors: DataFrame, key: str = "vec_id") -> DataFrame:
+    """(decile, pairs): different pairs by tenth of their rounded cosine; each pair of blocks gives its counts only."""
+    q = blocks(queries, key).select(F.col("ids").alias("qi"), F.col("flat").alias("qf"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for qi, qf, ids, flat in zip(b["qi"], b["qf"], b["ids"], b["flat"]):
+                c = half_up(np.clip(_matrix(qi, qf) @ _matrix(ids, flat).T, -1, 1))[np.asarray(qi)[:, None] != np.asarray(ids)[None, :]]
+                d, n = np.unique(np.floor(c * 10).astype(np.int64), return_counts=True)
+                yield pd.DataFrame({"decile": d, "pairs": n})
+
+    return blocks(vectors, key).select("ids", "flat").join(q, F.lit(True)).mapInPandas(run, "decile long, pairs long").groupBy("decile").agg(F.sum("pairs").alias("pairs"))
 
 
 def o170_concept_pairs(spark, sf_dir):

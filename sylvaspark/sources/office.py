@@ -72,9 +72,14 @@ def files(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
     return f.where(~F.element_at(F.split("path", "/"), -1).startswith("~$"))
 
 
+def archives(f: DataFrame) -> DataFrame:
+    """Files that begin as ZIP archives, of any size."""
+    return f.where(F.hex(F.substring("content", 1, 4)) == "504B0304")
+
+
 def valid_uploads(f: DataFrame, largest: int = 50 << 20) -> DataFrame:
-    """Files of allowed size that begin as ZIP archives."""
-    return f.where((F.col("length") > 0) & (F.col("length") <= largest) & (F.hex(F.substring("content", 1, 4)) == "504B0304"))
+    """Uploads of allowed size that begin as ZIP archives. What is stored already is read whatever its size."""
+    return archives(f.where((F.col("length") > 0) & (F.col("length") <= largest)))
 
 
 def read_workbooks(spark: SparkSession, folder: str) -> DataFrame:
@@ -85,7 +90,7 @@ def read_workbooks(spark: SparkSession, folder: str) -> DataFrame:
             for path, content in zip(b["path"], b["content"]):
                 yield pd.DataFrame([(path, *r) for r in sheet_rows(bytes(content))], columns=["path", "sheet", "row", "cells"])
 
-    return valid_uploads(files(spark, folder, ".xlsx")).select("path", "content").mapInPandas(run, CELLS)
+    return archives(files(spark, folder, ".xlsx")).select("path", "content").mapInPandas(run, CELLS)
 
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -96,7 +101,7 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
             for path, content in zip(b["path"], b["content"]):
                 yield pd.DataFrame([(path, i, *r) for i, r in enumerate(document_blocks(bytes(content)))], columns=["path", "pos", "kind", "style", "text"])
 
-    return valid_uploads(files(spark, folder, ".docx")).select("path", "content").mapInPandas(run, BLOCKS)
+    return archives(files(spark, folder, ".docx")).select("path", "content").mapInPandas(run, BLOCKS)
 
 
 def holds(cells, words: list[str]):

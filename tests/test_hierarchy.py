@@ -44,3 +44,23 @@ def test_long_ring_below_one_window(spark):
     got = run(spark, rows)
     assert all(r["ring"] == "on" and r["root_code"] == "N000" for r in got.values())
     assert sum(F is not None for F in got) == 70
+
+
+def test_paths_over_many_partitions(spark):
+    """A deep chain with bushes spans many range partitions: open intervals come over every seam."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        up = {i: i - 1 for i in range(1, 120)} | {1000 + i: i % 120 for i in range(600)} | {2000 + i: 1000 + i % 50 for i in range(100)}
+        nodes = spark.createDataFrame([(f"{i:05d}",) for i in [0, *up]], "code string")
+        links = spark.createDataFrame([(f"{a:05d}", f"{b:05d}") for a, b in up.items()], "code string, parent string")
+        got = {r["code"]: list(r["path"]) for r in H.with_paths(spark, H.hierarchy(spark, nodes, links)).collect()}
+        for i in [0, *up]:
+            want, at = [], i
+            while at is not None:
+                want.insert(0, f"{at:05d}")
+                at = up.get(at)
+            assert got[f"{i:05d}"] == want
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")

@@ -183,3 +183,24 @@ def test_search_shards_and_groups(spark, monkeypatch):
     by = lexical.search(docs, 2, group=F.col("kind")).where("query_id = 0").collect()
     assert {r["kind"] for r in by} == {"a", "b"}
     assert lexical.search(docs.limit(0), 5).count() == 0
+
+
+def test_mentions_both_ways(spark, monkeypatch):
+    """An automaton and a join on substrings find the same names, however long."""
+    long = "超长课程名称" * 30
+    names = spark.createDataFrame([("高等数学", "M1", 0), ("数学", "M2", 0), ("线性代数", "M3", 0), (long, "L1", 0), (None, "N", 0), ("", "E", 0)], "name string, code string, rank int")
+    q = spark.createDataFrame([(1, "高等数学和线性代数"), (2, f"请问{long}难吗，数学呢"), (3, None), (4, ""), (5, "数学数学")], "query_id int, query string")
+    one = {tuple(r) for r in linking.mentions(q, names).collect()}
+    monkeypatch.setattr(linking, "AUTOMATON", 0)
+    assert one == {tuple(r) for r in linking.mentions(q, names).collect()} == {(1, "M1", "高等数学", 1), (1, "M3", "线性代数", 6), (2, "L1", long, 3), (2, "M2", "数学", 3 + len(long) + 3), (5, "M2", "数学", 1)}
+    assert linking.mentions(q, names.limit(0)).count() == 0
+
+
+def test_layers_and_closure_on_cycles(spark):
+    e = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (3, 4), (5, 6), (6, 5), (6, 7), (8, 8), (1, 2), (4, 7)], "src long, dst long")
+    done, stuck = graphs.layers(e)
+    assert {tuple(r) for r in done.collect()} == {(1, 0), (2, 1), (3, 2), (4, 3)} and {r[0] for r in stuck.collect()} == {5, 6, 7, 8}
+    c = graphs.closure(e, spark.createDataFrame([(4,), (5,), (9,)], "target long"))
+    assert {tuple(r) for r in c.collect()} == {(4, 4, 0), (4, 3, 1), (4, 2, 2), (4, 1, 2), (5, 5, 0), (5, 6, 1), (9, 9, 0)}
+    done, stuck = graphs.layers(e.limit(0))
+    assert done.count() == stuck.count() == 0
