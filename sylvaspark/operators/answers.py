@@ -15,7 +15,7 @@ from sylvaspark.common import Steps, join_lookup, row_rank, table
 from sylvaspark.functions import text as X
 from sylvaspark.operators import lexical
 from sylvaspark.operators.fields import clean_sql, column_sql, key_sql
-from sylvaspark.operators.graphs import _E, _P, part_edges
+from sylvaspark.operators.graphs import _E, part_edges
 from sylvaspark.operators.metrics import _REF
 from sylvaspark.operators.vectors import _CON, _PAIR, _VOTE, _vectors, _votes, concepts, cosine_deciles, o106_linear_fusion, o170_concept_pairs, top_cosine
 from sylvaspark.plans.inputs import BLK, CAT, LOG, OFF, SYL, blocks, catalog, log, offerings, syllabi
@@ -367,13 +367,6 @@ def o298_predictions(spark, sf_dir):
     return c.select("course_code", F.explode(F.array(F.substring("course_name", 1, 2), F.substring("course_name", 3, 4))).alias("concept")).groupBy("concept").agg(F.count("*").alias("courses"))
 
 
-def o192_dependency_answer(spark, sf_dir):
-    """Targets whose paths lead to another group, with the number of sources."""
-    from sylvaspark.operators.graphs import _three
-
-    return _three(spark, sf_dir).where("target % 7 <> node % 7").groupBy("target").agg(F.countDistinct("node").alias("sources"), F.round(F.max("mean"), 6).alias("best"))
-
-
 def o77_edge_pairs(spark, sf_dir):
     """Course pair of each selected edge, by its label if it has one (also the selection itself)."""
     v = _votes(spark, sf_dir).where("requires and vote = 0")
@@ -525,7 +518,6 @@ SQL = {
     "o294_catalog_items": f"with {OFF}, g as (select program_name, count(distinct {_C}) filter (contains(concat_ws(' ', course_category, course_subcategory), '必修')) as r, count(distinct {_C}) as o from off where program_name is not null and course_code is not null group by 1) select program_name, case when r > 0 then r else o end as items from g",
     "o297_template": f"with {_PAIR}, p as (select *, (target % 3) || '-' || (source % 3) as stratum from pr), s as (select stratum, row_number() over (partition by stratum order by sha256(target || ':' || source)) as r from p) select stratum, count(*) as population, count(*) filter (r <= 3) as selected from s group by 1",
     "o298_predictions": f"with {CAT} select concept, count(*) as courses from (select unnest([substring(course_name, 1, 2), substring(course_name, 3, 4)]) as concept from cat where course_name is not null) group by 1",
-    "o192_dependency_answer": f"with recursive {_P} select target, count(distinct node) as sources, round(max(mean), 6) as best from p where target % 7 <> node % 7 group by 1",
     "o77_edge_pairs": f"with {_VOTE} select target, source, (source % 50) || '->' || (target % 50) as pair from vt where requires and vote = 0",
     "o204_structure_answer": f"with {LOG}, {BLK}, q as (select query_id, course_code, regexp_extract(query, '第\\s*([一二两三四五六七八九十百\\d]+)\\s*[章讲节周]', 1) as t from lg where course_code is not null), b as (select distinct course_code, coalesce(chapter_no::int, (select {_CN} from (select regexp_extract(title, '第\\s*([一二两三四五六七八九十百\\d]+)\\s*[章讲节周]', 1) as t))) as chapter from blk) select query_id, {_CN}::int as chapter, case when exists (select 1 from b where b.course_code = q.course_code and b.chapter = {_CN}) then 'chapter' else 'unknown_chapter' end as reaction from q where {_CN} is not null",
     "o74_pair_candidates": f"with {_CON} select floor(round(list_cosine_similarity(t.e, s.e), 6) * 10)::bigint as decile, count(*) as pairs from c t, c s where t.vec_id % 10 = 0 and t.vec_id <> s.vec_id group by 1",
