@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -167,9 +168,16 @@ def o274_signals(spark, sf_dir):
     return p.select("target", F.col("vec_id").alias("source"), allowed.alias("bloom_allowed"), F.when(~allowed, 0.0).when(F.col("discipline") == F.col("td"), 1.0).otherwise(0.5).alias("rule"), F.when(F.coalesce(F.col("semester") < F.col("ts"), F.lit(False)), 0.3).otherwise(0.0).alias("structure"))
 
 
+# How codes of courses that all students take begin.
+PUBLIC = ("TY", "PE", "MA")
+
+
 def o277_public(spark, sf_dir):
-    """Courses that all students take, by prefix of their code."""
-    return catalog(spark, sf_dir).select("course_code", F.col("course_code").rlike("^(TY|PE|MA)").alias("public"))
+    """Whether a concept belongs to a course that all students take: any code of its courses has one of the prefixes. Block titles without their number stand for concepts."""
+    b = blocks(spark, sf_dir).where("title is not null").select(F.regexp_replace("title", "^第[一二三四五六七八九十0-9]+[章讲节周]\\s*", "").alias("concept"), F.upper(F.trim("course_code")).alias("code"))
+    g = b.groupBy("concept").agg(F.collect_set("code").alias("codes"))
+    starts = lambda c: F.coalesce(F.exists(c, lambda x: x.rlike(f"^(?:{'|'.join(PUBLIC)})")), F.lit(False))
+    return g.select("concept", starts(F.col("codes")).alias("public"))
 
 
 def o272_concept_types(spark, sf_dir):
@@ -241,18 +249,42 @@ def o209_share(spark, sf_dir):
     return o.select("offering_id", F.lag("offering_id").over(w).alias("before"), F.arrays_overlap("n", F.lag("n").over(w)).alias("shared")).where("before is not null")
 
 
+PART, OVERLAP = 700, 80
+
+
+def split_content(text: str | None, most: int = PART, overlap: int = OVERLAP) -> list[str]:
+    """Sentences and lines packed in order into parts of at most `most` characters, each part but the first starting with the end of the one before, which comes on top where a whole sentence follows; longer sentences are cut. A text within the limit is one part; a null or blank one gives none."""
+    text = (text or "").strip()
+    if len(text) <= most:
+        return [text] if text else []
+    parts, now = [], ""
+    for unit in (u.strip() for u in re.split(r"(?<=[。！？；])|\n+", text)):
+        if not unit:
+            continue
+        while len(unit) > most:
+            if now:
+                parts.append(now)
+                now = now[-overlap:]
+            room = most - len(now)
+            now, unit = now + unit[:room], unit[room:]
+        joined = f"{now}\n{unit}".strip() if now else unit
+        if len(joined) > most:
+            parts.append(now)
+            joined = f"{now[-overlap:]}\n{unit}".strip()
+        now = joined
+    return [*parts, now] if now else parts
+
+
 def o144_split(spark, sf_dir):
-    """Sentences of blocks packed in order into parts of at most 700 characters, longer sentences alone: the parts of each block."""
-    b = blocks(spark, sf_dir).where("text is not null and text <> ''")
-    s = F.regexp_extract_all("text", F.lit("([^。！？]+[。！？]?)"), 1)
-    start = F.struct(F.lit(0).alias("parts"), F.lit(0).alias("used"))
+    """The parts of each block's text, in order."""
 
-    def add(a, x):
-        n = F.length(x)
-        fits = (a["parts"] > 0) & (a["used"] + n <= 700)
-        return F.when(fits, F.struct(a["parts"].alias("parts"), (a["used"] + n).alias("used"))).otherwise(F.struct((a["parts"] + 1).alias("parts"), n.alias("used")))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(n, i, p) for n, t in zip(b["node_id"], b["text"]) for i, p in enumerate(split_content(t))]
+            yield pd.DataFrame(rows, columns=["node_id", "part", "text"])
 
-    return b.select("node_id", F.aggregate(s, start, add)["parts"].alias("parts"))
+    b = blocks(spark, sf_dir).where("text is not null").select("node_id", "text")
+    return b.mapInPandas(run, "node_id string, part int, text string")
 
 
 def o159_markdown(spark, sf_dir):
@@ -270,10 +302,10 @@ def o283_chunk_records(spark, sf_dir):
 
 
 def o178_official_semester(spark, sf_dir):
-    """Semester of a course in one plan, else in any."""
+    """Semester of a course in each plan that offers it (of its first record there), and, under no plan, its earliest one in any."""
     o = offerings(spark, sf_dir).where("course_code is not null").withColumn("code", F.upper(F.trim("course_code"))).withColumn("s", X.semester_column(F.col("semester")))
-    here = F.coalesce(F.col("program_name").contains("软件工程"), F.lit(False))
-    return o.where("s is not null").groupBy("code").agg(F.min_by("s", F.struct(~here, "offering_id")).alias("semester"))
+    own = o.where("program_name is not null").groupBy("code", "program_name").agg(F.min_by(F.struct("s"), "offering_id")["s"].alias("semester"))
+    return own.unionByName(o.groupBy("code").agg(F.min("s").alias("semester")).withColumn("program_name", F.lit("")))
 
 
 def o255_dependency(spark, sf_dir):
@@ -486,14 +518,14 @@ SQL = {
     "o270_candidate_links": f"with {_PAIR} select target, count(*) as links, max(confidence) as best from pr group by 1",
     "o271_verify_links": f"with {_PAIR}, p as (select target, source, confidence, (source + target) % 3 = 0 as cached from pr), n as (select * from p where not cached order by confidence desc, target, source limit 3000) select target, source, cached from p where cached union all select target, source, cached from n",
     "o274_signals": f"with {_CON} select t.vec_id as target, s.vec_id as source, s.b <= t.b as bloom_allowed, (case when s.b > t.b then 0 when s.d = t.d then 1 else 0.5 end)::double as rule, (case when coalesce(s.s < t.s, false) then 0.3 else 0 end)::double as structure from c t, c s where t.vec_id <> s.vec_id",
-    "o277_public": f"with {CAT} select course_code, regexp_matches(course_code, '^(TY|PE|MA)') as public from cat",
+    "o277_public": f"with {BLK} select regexp_replace(title, '^第[一二三四五六七八九十0-9]+[章讲节周]\\s*', '') as concept, coalesce(bool_or(regexp_matches(upper(trim(course_code)), '^(?:{'|'.join(PUBLIC)})')), false) as public from blk where title is not null group by 1",
     "o272_concept_types": f"with {CAT} select case " + " ".join(f"when regexp_matches(course_name, '(?:{p})$') then '{n}'" for n, p in SUFFIX_TYPES) + " else 'concept' end as type, count(*) as n from cat where course_name is not null group by 1",
     "o142_fallback_concepts": "with t as (select doc_id, unnest(list_distinct(regexp_extract_all(text, '([一-鿿]{2,6}(?:理论|原理|方法|模型|系统))', 1))) as term from documents where text is not null) select term, count(*) as docs from t group by 1",
     "o141_field_only": "select doc_id, not contains(regexp_replace(text, '(?m)^(?:重点|难点|考核内容|考核方式)[^\\n。]*', '', 'g'), '考核') as field_only from documents where text like '%考核%'",
     "o143_noise": "with t as (select distinct unnest(regexp_extract_all(text, '([一-鿿]{2,6}(?:理论|原理|方法|模型|系统))', 1)) as term from documents where text is not null) select term, length(term) between 3 and 8 and not regexp_matches(term, '^(的|了|和|与|在)|本课程|以下') as kept from t",
     "o140_evidence_sentence": f"with {BLK}, b as (select node_id, text, regexp_replace(title, '^第[一二三四五六七八九十0-9]+[章讲节周]\\s*', '') as topic from blk where text is not null and title is not null), s as (select node_id, [x for x in string_split_regex(text, '[。！？\\n]') if length(x) > 0 and contains(x, topic)] as l from b where topic <> '') select node_id, l[1] as sentence from s where len(l) > 0",
     "o159_markdown": "with r as (select doc_id, [x for x in string_split(text, chr(10)) if trim(x, ' ') <> ''] as l from documents where doc_kind = 'schedule' and text is not null) select doc_id, len(l)::int as rows, '| ' || replace(l[1], chr(9), ' | ') || ' |' as first from r",
-    "o178_official_semester": f"with {OFF}, o as (select {_C} as code, offering_id, program_name, {column_sql('semester')} as s from off where course_code is not null) select code, arg_min(s, (not coalesce(contains(program_name, '软件工程'), false), offering_id)) as semester from o where s is not null group by 1",
+    "o178_official_semester": f"with {OFF}, o as (select {_C} as code, offering_id, program_name, {column_sql('semester')} as s from off where course_code is not null) select code, program_name, nullif(arg_min(coalesce(s, -1), offering_id), -1) as semester from o where program_name is not null group by all union all select code, '', min(s) from o group by 1",
     "o208_merge_unique": f"with {BLK}, c as (select document_hash, chunk_id, min((node_id, i)) as o from (select document_hash, node_id, generate_subscripts(chunk_ids, 1) as i, unnest(chunk_ids) as chunk_id from blk) group by all), g as (select document_hash, count(*)::int as n, arg_min(chunk_id, o) as first from c group by 1) select document_hash, coalesce(n, 0)::int as n, first from (select distinct document_hash from blk where chunk_ids is not null) left join g using (document_hash)",
     "o209_share": f"with {OFF}, o as (select {_C} as code, program_name, offering_id, string_split(instructor, '、') as n from off where course_code is not null and program_name is not null and instructor is not null), l as (select offering_id, n, lag(offering_id) over w as before, lag(n) over w as bn from o window w as (partition by code, program_name order by offering_id)) select offering_id, before, list_has_any(n, bn) as shared from l where before is not null",
     "o67_fact_gate": f"with {LOG}, {OFF} select query_id, case when course_code in (select {_C} from off where course_code is not null) then 'plans' when course_code in (select course_code from documents where course_code is not null) then 'documents' else 'refused' end as branch from lg where query_type = 'fact'",

@@ -158,9 +158,10 @@ def o203_coverage(spark, sf_dir):
 
 
 def o205_week(spark, sf_dir):
-    """The first chapter of each document that mentions the fifth week."""
-    b = _blk(spark, sf_dir).where("text is not null").where(F.col("text").rlike("第\\s*(5|五)\\s*周"))
-    return b.groupBy("document_hash").agg(F.min_by("node_id", F.struct(F.coalesce("chapter", F.lit(999)), "node_id")).alias("node_id"))
+    """For every week that a document's blocks mention, the first chapter that does."""
+    b = _blk(spark, sf_dir).where("text is not null").select("document_hash", "node_id", "chapter", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"第\s*([一二两三四五六七八九十百\d]+)\s*周"), 1))).alias("w"))
+    b = b.withColumn("week", X.chinese_number(F.col("w"))).where("week is not null")
+    return b.groupBy("document_hash", "week").agg(F.min_by("node_id", F.struct(F.coalesce("chapter", F.lit(999)), "node_id")).alias("node_id"))
 
 
 def o146_basic_info(spark, sf_dir):
@@ -284,7 +285,7 @@ SQL = {
     "o200_order_key": f"with {_B}, x as (select node_id, coalesce(course_code, '') as course, (generate_subscripts(chunk_ids, 1) - 1)::int as i, unnest(chunk_ids) as chunk_id from b) select chunk_id, arg_min(course, (course, node_id, i)) as course, arg_min(i, (course, node_id, i)) as i from x group by 1",
     "o202_header_chunks": f"with {_B} select document_hash, node_id, chunk_ids[1] as header from b where kind = 'section' and len(chunk_ids) > 0",
     "o203_coverage": f"with {_LAT}, c as (select course_code, node_id, trim(regexp_replace(title, '^第[一二三四五六七八九十0-9]+[章讲节周]', '')) as topic from ch), j as (select c.course_code, node_id, max(coalesce(contains(text, topic), false)::int) as hit from c left join (select course_code, text from documents where course_code is not null and text is not null) d using (course_code) where topic <> '' group by all) select course_code, sum(hit)::bigint as covered, count(*) as total from j group by 1",
-    "o205_week": f"with {_B} select document_hash, arg_min(node_id, (coalesce(chapter, 999), node_id)) as node_id from b where regexp_matches(text, '第\\s*(5|五)\\s*周') group by 1",
+    "o205_week": f"with {_B}, wk as (select document_hash, node_id, chapter, unnest(list_distinct(regexp_extract_all(text, '第\\s*([一二两三四五六七八九十百\\d]+)\\s*周', 1))) as w from b where text is not null), nw as (select *, {cn_sql('w')} as week from wk) select document_hash, week, arg_min(node_id, (coalesce(chapter, 999), node_id)) as node_id from nw where week is not null group by all",
     "o146_basic_info": f"with {_INFO} select * from bi",
     "o147_profile": f"with {_INFO} select doc_id, max(value) filter (field = 'name') as name, count(*) as fields from bi group by 1",
     "o113_order": f"with {_B} select document_hash, node_id, row_number() over (partition by document_hash order by case kind when 'section' then 0 when 'schedule' then 1 else 2 end, coalesce(chapter, 999), node_id)::int as place from b",

@@ -235,12 +235,19 @@ def o61_program_type(spark, sf_dir):
     return n.groupBy("program_name").agg(F.min_by("program_type", F.struct(F.when(named, -F.length("program_type")).otherwise(0), -F.col("n"), "first")).alias("program_type"))
 
 
+def select_offering(offers: DataFrame, keyword: str = "keyword", kind: str = "wanted_type") -> DataFrame:
+    """(code, keyword, wanted_type, offering_id): of a course's offerings those of plans whose title holds the keyword if there are any, of these the ones of the wanted type if there are any, of these the first. `offers`: code, program_name, program_type, offering_id, keyword, wanted_type; a null or blank wish leaves all."""
+    said = F.coalesce((F.col(keyword) != "") & F.col("program_name").contains(F.col(keyword)), F.lit(False))
+    typed = F.coalesce(F.col("program_type") == F.col(kind), F.lit(False))
+    return offers.groupBy("code", keyword, kind).agg(F.min_by("offering_id", F.struct(~said, ~typed, "offering_id")).alias("offering_id"))
+
+
 def o55_select_offering(spark, sf_dir):
-    """One offering per course for readers of law: of a plan with that word if there is any, of the main type if there is any, the first of these."""
-    o = offerings(spark, sf_dir).withColumn("code", F.upper(F.trim("course_code"))).where("code is not null")
-    kw = F.coalesce(F.col("program_name").contains("法学"), F.lit(False))
-    o = o.withColumn("kw", kw).withColumn("main", F.coalesce(F.col("program_type") == "主修专业类", F.lit(False)))
-    return o.groupBy("code").agg(F.min_by("offering_id", F.struct(~F.col("kw"), ~F.col("main"), "offering_id")).alias("offering_id"))
+    """One offering per course for readers of each type of plan, with and without the core programme of the course's first plan as their keyword."""
+    o = _programs(spark, sf_dir).withColumn("code", F.upper(F.trim("course_code"))).where("code is not null").select("code", "program_name", "program_type", "offering_id", "core")
+    first = o.groupBy("code").agg(F.max_by("core", "offering_id").alias("core"))
+    wishes = first.select("code", F.explode(F.array(F.col("core"), F.lit(""))).alias("keyword")).distinct().crossJoin(F.broadcast(spark.createDataFrame([(t,) for t in PLAN_TYPES], "wanted_type string")))  # a handful of types
+    return select_offering(o.drop("core").join(wishes, "code"))
 
 
 def o56_same_name(spark, sf_dir):
@@ -352,7 +359,7 @@ SQL = {
     "o51_unrecorded_gate": f"with {LOG} select * from (select query_id, course_code, case " + " ".join(f"when regexp_matches(query, '{p}') then '{n}'" for n, p in UNRECORDED) + " end as field from lg where course_code is not null) where field is not null",
     "o52_pattern_hits": f"with {LOG}, x as (select query_id, regexp_replace(lower(query), '《[^》]*》', '《》', 'g') as q from lg where query is not null) select query_id, {_hits('q', DEPENDENCY)} as dependency, {_hits('q', CATALOG)} as catalog, {_hits('q', FACT)} as fact from x",
     "o61_program_type": f"with {OFF}, n as (select program_name, program_type, count(*) as n, min(offering_id) as f from off where program_name is not null and program_type is not null group by all) select program_name, arg_min(program_type, (case when contains(program_name, program_type) then -length(program_type) else 0 end, -n, f)) as program_type from n group by 1",
-    "o55_select_offering": f"with {OFF} select {_CODE} as code, arg_min(offering_id, (not coalesce(contains(program_name, '法学'), false), not coalesce(program_type = '主修专业类', false), offering_id)) as offering_id from off where course_code is not null group by 1",
+    "o55_select_offering": f"with {OFF}, o as (select {_CODE} as code, program_name, program_type, offering_id, {core_sql(_TITLE)} as core from off where course_code is not null and program_name is not null), f as (select code, arg_max(core, offering_id) as core from o group by 1), w as (select distinct code, unnest([core, '']) as keyword from f), ty as (select unnest({PLAN_TYPES}::varchar[]) as wanted_type) select o.code, keyword, wanted_type, arg_min(offering_id, (not coalesce(keyword <> '' and contains(program_name, keyword), false), not coalesce(program_type = wanted_type, false), offering_id)) as offering_id from o join w using (code), ty group by all",
     "o56_same_name": f"with {SYL} select * from (select {key_sql('course_name')} as key, list_sort(list(distinct entry_id)) as entries from syl group by 1) where key <> '' and len(entries) > 1",
     "o68_resolve": f"with {SYL}, {CAT}, {_IDX}, s as (select distinct entry_id, {_CODE} as own, unnest(prerequisites) as raw from syl), k as (select *, {key_sql('raw')} as key from s where raw is not null), g as (select entry_id, raw, count(case when i.course_code is distinct from own then i.course_code end) as n, min(case when i.course_code is distinct from own then i.course_code end) as c from k left join idx i using (key) where key <> '' group by all) select entry_id, raw, case when n = 1 then 'edge' when n > 1 then 'ambiguous' else 'not_found' end as status, case when n = 1 then c end as code from g",
     "o45_match_metadata": f"with {SYL}, {CAT}, nm as (select lower(course_name) as n1, min(course_code) as c2 from cat where course_name is not null group by 1), s as (select entry_id, {_CODE} as c1, lower(trim(course_name, ' ')) as n1 from syl) select entry_id, case when c1 in (select course_code from cat) then c1 else c2 end as course_code, case when c1 in (select course_code from cat) then 'code' when c2 is not null then 'name' else 'none' end as matched_by from s left join nm using (n1)",

@@ -145,9 +145,21 @@ def covers(answer, keys: list[str]):
     return F.coalesce(out, F.lit(False))
 
 
+# What a question asks about, and the alternatives of which its answer must hold one.
+ASKED_KEYS = [("学分|credit", "学分|credits"), ("学时|课时|hours", "学时|hours"), ("学期|什么时候|when", "学期|semester"), ("考核|考试|assess|exam", "考试|考核|examination|homework"), ("谁|老师|teach", "教师|老师|负责|taught")]
+
+
+def covers_keys(answer, keys):
+    """Every key of an array has an alternative, apart by |, that the answer holds; no keys are not covered."""
+    one = lambda k: F.exists(F.split(k, "\\|"), lambda a: (a != "") & answer.contains(a))
+    return F.coalesce((F.size(keys) > 0) & F.forall(keys, one), F.lit(False))
+
+
 def o215_key_coverage(spark, sf_dir):
-    """Answers that hold a unit and a number word."""
-    return log(spark, sf_dir).select("query_id", covers(F.col("answer"), ["学分|学时|credits|hours", "共|为|carries"]).alias("covered"))
+    """Whether an answer holds an alternative of every key of what its question asks."""
+    q = F.lower(F.coalesce("query", F.lit("")))
+    keys = F.array_compact(F.array(*[F.when(q.rlike(p), F.lit(k)) for p, k in ASKED_KEYS]))
+    return log(spark, sf_dir).withColumn("keys", keys).select("query_id", F.size("keys").alias("keys"), covers_keys(F.col("answer"), F.col("keys")).alias("covered"))
 
 
 def o218_generation(spark, sf_dir):
@@ -319,7 +331,7 @@ SQL = {
     "o221_refusals": f"with {_ANS} select query_id from a where refused",
     "o219_refusal": f"with {_ANS} select {_RATES} from a",
     "o220_refusal_subsets": f"with {_ANS} select persona, {_RATES} from a group by 1",
-    "o215_key_coverage": f"with {LOG} select query_id, {_COV.format(chr(32) + 'and (contains(answer, ' + chr(39) + '共' + chr(39) + ') or contains(answer, ' + chr(39) + '为' + chr(39) + ') or contains(answer, ' + chr(39) + 'carries' + chr(39) + '))')} as covered from lg",
+    "o215_key_coverage": f"with {LOG}, k as (select query_id, answer, [x for x in [" + ", ".join(f"case when regexp_matches(lower(coalesce(query, '')), '{p}') then '{k}' end" for p, k in ASKED_KEYS) + "] if x is not null] as keys from lg) select query_id, len(keys)::int as keys, coalesce(len(keys) > 0 and len([x for x in keys if len([y for y in string_split(x, '|') if y <> '' and contains(answer, y)]) = 0]) = 0 and answer is not null, false) as covered from k",
     "o218_generation": f"with {LOG} select query_type, count(*) as items, round(avg({_COV.format('')}::int::double), 4) as coverage, round(avg((not contains(answer, '《'))::int::double), 4) as uncited, round(avg(length(answer)), 4) as length from lg where answer is not null group by 1",
     "o223_order": f"with {LOG}, p as (select query_id, [x for x in [instr(answer, i || '. ') for i in range(1, 6)] if x > 0] as p from lg where answer is not null) select query_id, case when len(p) >= 2 then p = list_sort(p) end as in_order from p",
     "o224_structure": f"with {LOG}, p as (select query_id, [x for x in [instr(answer, i || '. ') for i in range(1, 6)] if x > 0] as p from lg where answer is not null) select count(*) as items, round(avg((p = list_sort(p))::int::double), 4) as in_order from p where len(p) >= 2",

@@ -10,7 +10,7 @@ from sylvaspark.functions import text as X
 from sylvaspark.operators.fields import PLAN_TYPES, clean_sql, column_sql, core_sql
 from sylvaspark.operators.hierarchy import parent_links
 from sylvaspark.operators.linking import _CODE, _TITLE
-from sylvaspark.operators.vectors import _VOTE, _votes
+from sylvaspark.operators.vectors import _VOTE, _vectors, _votes, concepts
 from sylvaspark.plans.inputs import CAT, OFF, SYL, catalog, offerings, syllabi
 
 
@@ -100,10 +100,17 @@ def o73_course_flows(spark, sf_dir):
     return e.groupBy("from_course", "to_course").agg(F.count_distinct("source", "target").alias("n"))
 
 
+def top_flows(flows: DataFrame, allowed: DataFrame, k: int = 30) -> DataFrame:
+    """The k largest flows (from_course, to_course, n) of which both ends are allowed (course); ties go to the smallest ends."""
+    ends = allowed.select("course").where("course is not null").distinct()
+    inside = flows.join(ends.withColumnRenamed("course", "from_course"), "from_course", "left_semi").join(ends.withColumnRenamed("course", "to_course"), "to_course", "left_semi")
+    return inside.orderBy(F.col("n").desc(), "from_course", "to_course").limit(k)
+
+
 def o116_top_flows(spark, sf_dir):
-    """The thirty largest flows between courses of even number."""
-    f = o73_course_flows(spark, sf_dir).where("from_course % 2 = 0 and to_course % 2 = 0")
-    return f.orderBy(F.col("n").desc(), "from_course", "to_course").limit(30)
+    """The thirty largest flows between courses that teach concepts in the first four semesters."""
+    early = concepts(_vectors(spark, sf_dir)).where("semester <= 4").select("course")
+    return top_flows(o73_course_flows(spark, sf_dir), early)
 
 
 def o94_reason(spark, sf_dir):
@@ -155,9 +162,10 @@ def o96_overview(spark, sf_dir):
 
 
 def o97_major_courses(spark, sf_dir):
-    """Set of courses of each type of plan and year, as a size and a hash of its codes."""
-    o = _off(spark, sf_dir).where("program_type is not null")
-    return o.groupBy("program_type", F.regexp_extract("program_name", r"（(\d{4})级", 1).alias("year")).agg(F.countDistinct("code").alias("courses"), F.min("code").alias("first"), F.max("code").alias("last"))
+    """Courses of each core major and type of plan, in order of their codes."""
+    o = _off(spark, sf_dir).where("program_name is not null")
+    core = X.core_program(F.regexp_replace("program_name", "（[^（）]*）$", ""), PLAN_TYPES)
+    return o.groupBy(core.alias("core"), "program_type").agg(F.array_join(F.array_sort(F.collect_set("code")), ",").alias("codes"))
 
 
 def o99_summary(spark, sf_dir):
@@ -334,7 +342,7 @@ SQL = {
     "o70_conflicts": f"with {_O}, g as (select code, program_name, count(distinct nullif({clean_sql('credits')}, '')) as c, count(distinct nullif({clean_sql('hours')}, '')) as h from o where program_name is not null group by all) select code, program_name, concat_ws(',', case when c > 1 then 'credits' end, case when h > 1 then 'hours' end) as conflicts from g where c > 1 or h > 1",
     "o72_course_links": f"with {_GATE}, x as (select source % 50 as from_course, target % 50 as to_course, source || '>' || target as x from ve where requires and origin in ('llm', 'human') and confidence >= 0.3) select from_course, to_course, count(distinct x) as links, array_to_string(list_sort(list(distinct x))[1:3], ',') as examples from x where from_course <> to_course group by all",
     "o73_course_flows": f"with {_FLOW} select * from fl",
-    "o116_top_flows": f"with {_FLOW} select * from fl where from_course % 2 = 0 and to_course % 2 = 0 order by n desc, from_course, to_course limit 30",
+    "o116_top_flows": f"with {_FLOW}, al as (select distinct k from c where s <= 4) select * from fl where from_course in (select k from al) and to_course in (select k from al) order by n desc, from_course, to_course limit 30",
     "o94_reason": "with q as (select distinct * exclude (received_at) from query_log where course_code is not null and status is not null), g as (select course_code, status, count(*) as n from q group by all) select course_code, arg_min(status, (-n, -length(status), status)) as status from g group by 1",
     "o89_majority": f"with {_O}, g as (select code, course_category as c, count(*) as n, min(offering_id) as f from o where course_category is not null group by all) select code, arg_min(c, (-n, f)) as category from g group by 1",
     "o90_unique_values": f"with {_O}, g as (select code, {clean_sql('semester')} as s, min(offering_id) as f from o group by all) select code, string_agg(s, '|' order by f) as semesters from g where s <> '' group by 1",
@@ -342,7 +350,7 @@ SQL = {
     "o95_program_catalog": f"with {_O}, g as (select program_name, count(distinct code) as courses, min(program_type) as program_type from o where program_name is not null group by 1), x as (select coalesce(nullif(regexp_extract(trim(program_name), '^(.*?学院)', 1), ''), '未标注学院') as college, {core_sql(_TITLE)} as core, * from g) select *, row_number() over (partition by college, core order by coalesce(nullif(coalesce(list_position({PLAN_ORDER}, program_type), 0), 0), 99), program_type nulls first, program_name)::int as place from x",
     "o71_upsert": f"with {CAT}, {SYL}, c as (select lower(course_name) as name, min(course_code) as course_code, arg_min(coalesce(prerequisites, []), course_code) as a from cat where course_name is not null group by 1), s as (select lower(course_name) as name, min(entry_id) as entry_id, arg_min(coalesce(prerequisites, []), entry_id) as b from syl where course_name is not null group by 1) select name, course_code, entry_id, (len(list_distinct(list_concat(coalesce(a, []), coalesce(b, [])))) + (len(list_filter(list_concat(coalesce(a, []), coalesce(b, [])), lambda x: x is null)) > 0)::int)::int as prerequisites from c full join s using (name)",
     "o96_overview": f"with {_O}, {_LINK} select count(distinct o.code) as offered, count(distinct program_name) as plans, count(distinct program_type) as types, (select count(*) from nodes) as courses, (select count(*) from link) as prerequisites from o",
-    "o97_major_courses": f"with {_O} select program_type, regexp_extract(program_name, '（(\\d{{4}})级', 1) as year, count(distinct code) as courses, min(code) as first, max(code) as last from o where program_type is not null group by all",
+    "o97_major_courses": f"with {_O} select {core_sql(_TITLE)} as core, program_type, string_agg(distinct code, ',' order by code) as codes from o where program_name is not null group by all",
     "o99_summary": "with q as (select distinct * exclude (received_at) from query_log) select query_type, status, count(*) as n, grouping_id(query_type, status) as level from q group by rollup (query_type, status)",
     "o103_existence_details": f"with {_O}, v as (select code, program_name, unnest(['semester', 'category']) as field, unnest([{clean_sql('semester')}, {clean_sql('course_category')}]) as value from o where program_name is not null) select code, field, value, count(distinct program_name) as plans from v where value <> '' group by all",
     "o119_home_offering": f"with {_O} select code, arg_min(offering_id, (coalesce({column_sql('semester')}, 99), offering_id)) as offering_id from o group by 1",

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sylvaspark.common import Steps, row_rank, table
 from sylvaspark.functions import text as X
+from sylvaspark.operators.vectors import _VOTE
 from sylvaspark.operators.doctree import lines
 from sylvaspark.operators.lexical import TOKENS
 from sylvaspark.operators.fields import strip_sql
@@ -157,9 +158,12 @@ def o78_review_samples(spark, sf_dir):
 
 
 def o248_uncertain(spark, sf_dir):
-    """Events whose properties hold an uncertain value."""
-    e = table(spark, sf_dir, "events")
-    return e.select("event_type", F.col("props").rlike("[0-9]+").alias("numbered")).groupBy("event_type", "numbered").agg(F.count("*").alias("n"))
+    """Records of which any verification label is neutral or a contradiction: the votes of a link, labelled by what they say."""
+    from sylvaspark.operators.vectors import _votes
+
+    label = F.when(~F.col("requires"), "contradiction").when(F.col("confidence") < 0.3, "neutral (weak)").otherwise("entailment")
+    g = _votes(spark, sf_dir).groupBy("target", "source").agg(F.collect_list(label).alias("labels"))
+    return g.select("target", "source", F.exists("labels", lambda x: F.lower(x).rlike("neutral|contradiction")).alias("uncertain"))
 
 
 def o166_apply(spark, sf_dir):
@@ -293,7 +297,7 @@ SQL = {
     "o81_corrections": "select doc_id, case when doc_id % 9 = 0 then 'xx' else lang end as lang from documents",
     "o82_edge_fixes": "with k as (select p_partkey::bigint as k from part where p_partkey > 1), e as (select distinct src, dst from (select unnest([k // 2, k // 3]) as src, k as dst from k) where src > 0) select src, dst, 'PREREQUISITE_OF' as type from e where dst % 5 <> 0 union select src, dst, 'RELATED_TO' from e where dst % 20 = 0",
     "o78_review_samples": f"with {LOG}, r as (select query_id, concat_ws(',', case when latency_ms > 3000 then 'negative_feedback' end, case when status in ('degraded', 'fallback') then 'uncertain_verification' end) as reasons from lg) select * from r where reasons <> ''",
-    "o248_uncertain": "select event_type, regexp_matches(props, '[0-9]+') as numbered, count(*) as n from events group by all",
+    "o248_uncertain": f"with {_VOTE} select target, source, bool_or(not requires or confidence < 0.3) as uncertain from vt group by all",
     "o166_apply": f"with {LOG} select issue, count(*) as n, issue <> 'graph' as rebuild from (select case when query_type in ('content', 'structure') then 'chunking' when query_type = 'dependency' then 'graph' else 'embedding' end as issue from lg) group by 1",
     "o162_parse_version": f"with {_VN} select name, version from vv",
     "o161_next_version": f"with {_VN} select base, base || '_v' || (max(version) + 1) as next_name from vv where version is not null group by base",

@@ -204,3 +204,17 @@ def test_layers_and_closure_on_cycles(spark):
     assert {tuple(r) for r in c.collect()} == {(4, 4, 0), (4, 3, 1), (4, 2, 2), (4, 1, 2), (5, 5, 0), (5, 6, 1), (9, 9, 0)}
     done, stuck = graphs.layers(e.limit(0))
     assert done.count() == stuck.count() == 0
+
+
+def test_split_content():
+    assert answers.split_content(None) == answers.split_content(" \n") == [] and answers.split_content(" 短。 ") == ["短。"]
+    text = "".join(f"{i:03d}" + "字" * 46 + "。" for i in range(40))
+    parts = answers.split_content(text)
+    assert all(len(p) <= 700 + 81 for p in parts) and len(parts) == 4
+    for a, b in zip(parts, parts[1:]):
+        assert b.startswith(a[-80:] + "\n")
+    whole = "".join([parts[0], *(p[81:] for p in parts[1:])]).replace("\n", "")
+    assert whole == text
+    run = answers.split_content("长" * 2000)
+    assert [len(p) for p in run] == [700, 700, 700, 140] or sum(map(len, run)) >= 2000
+    assert "".join([run[0], *(p[80:] for p in run[1:])]).replace("\n", "") == "长" * 2000
