@@ -107,6 +107,19 @@ def join_lookup(left: DataFrame, right: DataFrame, key: str, how: str = "left",
     return reduce(DataFrame.unionByName, parts)
 
 
+def join_dealt(left: DataFrame, right: DataFrame, on: list[str], by: str) -> DataFrame:
+    """Inner join on `on`, of which the first column may have hot keys on the left: their rows are dealt out by a hash of `by` over several tasks, with the matching rows of the right in each."""
+    total = left.count()
+    hot = left.where(F.col(on[0]).isNotNull()).groupBy(on[0]).count().where(F.col("count") > max(total / HOT_SHARE, HOT_ROWS)).collect() if total > HOT_ROWS else []  # HOT_SHARE keys at most
+    if not hot:
+        return left.join(right, on)
+    shares = left.sparkSession.createDataFrame([(r[0], int(-(-r[1] * HOT_SHARE // total))) for r in hot], f"{on[0]} {dict(left.dtypes)[on[0]]}, _n int")
+    deal = lambda d: d.join(F.broadcast(shares), on[0], "left").withColumn("_n", F.coalesce("_n", F.lit(1)))
+    a = deal(left).withColumn("_s", F.pmod(F.xxhash64(by), "_n").cast("int")).drop("_n")
+    b = deal(right).withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
+    return a.join(b, [*on, "_s"]).drop("_s")
+
+
 def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """One row per key, the first in the given order; as an aggregate, so it combines before the shuffle and takes hot keys."""
     rest = [c for c in df.columns if c not in keys]

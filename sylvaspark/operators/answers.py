@@ -308,36 +308,6 @@ def o178_official_semester(spark, sf_dir):
     return own.unionByName(o.groupBy("code").agg(F.min("s").alias("semester")).withColumn("program_name", F.lit("")))
 
 
-def o255_dependency(spark, sf_dir):
-    """Answer source of dependency questions: the catalogue's prerequisites, else documents that say so, else none."""
-    q = log(spark, sf_dir).where("query_type = 'dependency' and course_code is not null")
-    c = catalog(spark, sf_dir).where("size(prerequisites) > 0").select("course_code").distinct().withColumn("listed", F.lit(True))
-    d = table(spark, sf_dir, "documents").where("text like '%先修%' or text like '%rerequisite%'").select("course_code").distinct().withColumn("said", F.lit(True))
-    return q.join(c, "course_code", "left").join(d, "course_code", "left").select("query_id", F.when(F.col("listed"), "catalog").when(F.col("said"), "documents").otherwise("none").alias("branch"))
-
-
-def o256_content(spark, sf_dir):
-    """Content questions with the number of their course's documents and characters of evidence within the budget; without any, the citation is suppressed."""
-    q = log(spark, sf_dir).where("query_type = 'content'")
-    d = table(spark, sf_dir, "documents").where("text is not null and course_code is not null").groupBy("course_code").agg(F.count("*").alias("docs"), F.least(F.sum(F.length("text")), F.lit(4200)).alias("chars"))
-    return q.join(d, "course_code", "left").select("query_id", F.coalesce("docs", F.lit(0)).alias("docs"), F.coalesce("chars", F.lit(0)).alias("chars"), F.when(F.col("docs").isNull(), "refused").otherwise("answered").alias("state"))
-
-
-def o257_hybrid(spark, sf_dir):
-    """Other questions with documents and listed prerequisites of their course."""
-    q = log(spark, sf_dir).where("query_type is null and course_code is not null")
-    d = table(spark, sf_dir, "documents").where("course_code is not null").groupBy("course_code").agg(F.count("*").alias("docs"))
-    p = catalog(spark, sf_dir).select("course_code", F.greatest(F.coalesce(F.size("prerequisites"), F.lit(0)), F.lit(0)).alias("paths"))
-    return q.join(d, "course_code", "left").join(p, "course_code", "left").select("query_id", F.coalesce("docs", F.lit(0)).alias("docs"), F.coalesce("paths", F.lit(0)).alias("paths"))
-
-
-def o259_fact_search(spark, sf_dir):
-    """Fact questions with the fields of their course that some plan records."""
-    q = log(spark, sf_dir).where("query_type = 'fact' and course_code is not null")
-    o = offerings(spark, sf_dir).where("course_code is not null").groupBy(F.upper(F.trim("course_code")).alias("course_code")).agg(*[F.max((X.clean(F.col(c)) != "").cast("int")).alias(c) for c in ("credits", "hours", "semester", "instructor")])
-    return q.join(o, "course_code", "left").select("query_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("credits", "hours", "semester", "instructor")])
-
-
 def o260_evidence_items(spark, sf_dir):
     """Hits as evidence: source, kind and size of the best five documents of each query."""
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "doc_kind", "n_chars")
@@ -427,15 +397,6 @@ def o3_header_rows(spark, sf_dir):
     return h.select("path", "sheet", "row", "first", F.array_join("names", ",").alias("names"), office.column_index(F.col("names"), ["学分"]).alias("credits_at"))
 
 
-def o67_fact_gate(spark, sf_dir):
-    """Fact questions: answered from the plans where they record the field, else from documents of the course, else refused."""
-    q = log(spark, sf_dir).where("query_type = 'fact'")
-    c = offerings(spark, sf_dir).where("course_code is not null").select(F.upper(F.trim("course_code")).alias("course_code")).distinct().withColumn("planned", F.lit(True))
-    d = table(spark, sf_dir, "documents").where("course_code is not null").select("course_code").distinct().withColumn("written", F.lit(True))
-    j = q.join(c, "course_code", "left").join(d, "course_code", "left")
-    return j.select("query_id", F.when(F.col("planned"), "plans").when(F.col("written"), "documents").otherwise("refused").alias("branch"))
-
-
 def o187_relation(spark, sf_dir):
     """Relation of the pair of courses in each question that names two: a chain within three links either way, or none."""
     from sylvaspark.operators.graphs import distances
@@ -474,14 +435,6 @@ def o243_graded_answers(spark, sf_dir):
     return a.select("query_id", is_refusal(F.col("answer")).alias("refused"), covers(F.col("answer"), ["学分|credits"]).alias("covered"), F.coalesce(F.col("answer").contains("《"), F.lit(False)).alias("cited"), F.coalesce(F.length("answer"), F.lit(0)).alias("length"))
 
 
-def o254_multi_intent(spark, sf_dir):
-    """Sections of the questions of two intents, in order of precedence."""
-    from sylvaspark.operators.linking import classify
-
-    c = classify(log(spark, sf_dir)).where("size(labels) >= 2")
-    return c.select("query_id", F.posexplode(F.slice("labels", 1, 2)).alias("place", "section"))
-
-
 def o261_parent_excerpt(spark, sf_dir):
     """Block texts cut at 1,200 characters with their title in front (an excerpt is the feature here)."""
     b = blocks(spark, sf_dir).where("text is not null and title is not null")
@@ -528,7 +481,6 @@ SQL = {
     "o178_official_semester": f"with {OFF}, o as (select {_C} as code, offering_id, program_name, {column_sql('semester')} as s from off where course_code is not null) select code, program_name, nullif(arg_min(coalesce(s, -1), offering_id), -1) as semester from o where program_name is not null group by all union all select code, '', min(s) from o group by 1",
     "o208_merge_unique": f"with {BLK}, c as (select document_hash, chunk_id, min((node_id, i)) as o from (select document_hash, node_id, generate_subscripts(chunk_ids, 1) as i, unnest(chunk_ids) as chunk_id from blk) group by all), g as (select document_hash, count(*)::int as n, arg_min(chunk_id, o) as first from c group by 1) select document_hash, coalesce(n, 0)::int as n, first from (select distinct document_hash from blk where chunk_ids is not null) left join g using (document_hash)",
     "o209_share": f"with {OFF}, o as (select {_C} as code, program_name, offering_id, string_split(instructor, '、') as n from off where course_code is not null and program_name is not null and instructor is not null), l as (select offering_id, n, lag(offering_id) over w as before, lag(n) over w as bn from o window w as (partition by code, program_name order by offering_id)) select offering_id, before, list_has_any(n, bn) as shared from l where before is not null",
-    "o67_fact_gate": f"with {LOG}, {OFF} select query_id, case when course_code in (select {_C} from off where course_code is not null) then 'plans' when course_code in (select course_code from documents where course_code is not null) then 'documents' else 'refused' end as branch from lg where query_type = 'fact'",
     "o189_locate": f"with {CAT}, t as (select distinct substring(course_name, 3, 4) as topic from course_reference) select topic, count(*) as courses, min(course_code) as first from t join cat on contains(course_name, topic) where length(topic) = 4 group by 1",
     "o261_parent_excerpt": f"with {BLK} select node_id, title || chr(10) || substring(text, 1, 1200) as excerpt from blk where text is not null and title is not null",
     "o269_coverage_gate": "with g as (select source, count(*) as docs, round(avg((len(regexp_extract_all(text, '([一-鿿]{2,6}(?:理论|原理|方法|模型|系统))', 1)) > 0)::int::double), 6) as coverage from documents where text is not null and source is not null group by 1) select *, coverage >= 0.5 as passed from g",
@@ -538,10 +490,6 @@ SQL = {
     "o279_resolve_alias": f"with {SYL}, {CAT}, n as (select {key_sql('course_name')} as key, min(course_name) as canonical from cat group by 1), s as (select entry_id, (generate_subscripts(prerequisites, 1) - 1)::int as pos, unnest(prerequisites) as raw from syl) select entry_id, pos, canonical from s left join (select * from n where key <> '') m on m.key = {key_sql('raw')} where raw is not null",
     "o176_enrich": f"with {BLK} select document_hash, array_to_string(list_sort(list(distinct course_code)), ',') as courses from blk where course_code is not null group by 1",
     "o283_chunk_records": f"with {BLK}, c as (select document_hash, node_id, (generate_subscripts(chunk_ids, 1) - 1)::int as i, unnest(chunk_ids) as chunk_id from blk) select *, lag(chunk_id) over w as before, lead(chunk_id) over w as after, (row_number() over w - 1)::int as chunk_index from c window w as (partition by document_hash order by node_id, i)",
-    "o255_dependency": f"with {LOG}, {CAT} select query_id, case when course_code in (select course_code from cat where len(prerequisites) > 0) then 'catalog' when course_code in (select course_code from documents where course_code is not null and (text like '%先修%' or text like '%rerequisite%')) then 'documents' else 'none' end as branch from lg where query_type = 'dependency' and course_code is not null",
-    "o256_content": f"with {LOG}, d as (select course_code, count(*) as docs, least(sum(length(text)), 4200)::bigint as chars from documents where text is not null and course_code is not null group by 1) select query_id, coalesce(docs, 0) as docs, coalesce(chars, 0) as chars, case when docs is null then 'refused' else 'answered' end as state from lg left join d using (course_code) where query_type = 'content'",
-    "o257_hybrid": f"with {LOG}, {CAT}, d as (select course_code, count(*) as docs from documents where course_code is not null group by 1), p as (select course_code, coalesce(len(prerequisites), 0)::int as paths from cat) select query_id, coalesce(docs, 0) as docs, coalesce(paths, 0) as paths from lg left join d using (course_code) left join p using (course_code) where query_type is null and course_code is not null",
-    "o259_fact_search": f"with {LOG}, {OFF}, o as (select {_C} as course_code, " + ", ".join(f"max(({clean_sql(c)} <> '')::int) as {c}" for c in ("credits", "hours", "semester", "instructor")) + " from off where course_code is not null group by 1) select query_id, " + ", ".join(f"coalesce({c}, 0) as {c}" for c in ("credits", "hours", "semester", "instructor")) + " from lg left join o using (course_code) where query_type = 'fact' and course_code is not null",
     "o260_evidence_items": f"with {_T}, hits as ({lexical._top('raw')}) select query_id, rank, doc_id, source, doc_kind, n_chars from hits join documents using (doc_id)",
     "o264_hit_citations": f"with {_T}, hits as ({lexical._top('raw')}), e as (select query_id, source, min(rank) as f from hits join documents using (doc_id) group by all) select query_id, string_agg(source, ',' order by f) as sources from e group by 1",
     "o241_graded": f"with {_T}, hits as (select *, row_number() over (partition by query_id order by score desc, doc_id)::int as rank from raw where query_id <> doc_id qualify rank <= 10) select query_id, min(rank) filter (a.course_code = b.course_code) as first from hits h join documents a on a.doc_id = h.doc_id join documents b on b.doc_id = h.query_id group by 1",

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sylvaspark.common import Steps, join_lookup, row_rank
+from sylvaspark.common import Steps, join_lookup, row_rank, table
 from sylvaspark.functions import text as X
 from sylvaspark.operators.fields import PLAN_TYPES, clean_sql, column_sql, core_sql, key_sql
 from sylvaspark.plans.inputs import CAT, LOG, OFF, SYL, catalog, log, offerings, syllabi
@@ -265,14 +265,36 @@ def o68_resolve(spark, sf_dir):
     return g.select("entry_id", "raw", F.when(F.col("n") == 1, "edge").when(F.col("n") > 1, "ambiguous").otherwise("not_found").alias("status"), F.when(F.col("n") == 1, F.col("code")).alias("code"))
 
 
+CODE_PATTERN = r"(?<![A-Za-z0-9])([A-Za-z]{2}\d{6,10})(?![A-Za-z0-9])"
+
+
+def match_metadata(files: DataFrame, courses: DataFrame) -> DataFrame:
+    """(file_id, course_code, matched_by) of every file: by a known code in its name; by a code in its name that no course has (a stub of its own); by its title as a course's exact name; by the first known code in its text; by the longest course name that its text holds; else none.
+
+    `files`: file_id, name, title, text. `courses`: course_code, course_name. Names in texts are found in one pass over each text; of courses with one name the smallest code counts."""
+    steps = Steps(files.sparkSession)
+    known = courses.select(F.upper("course_code").alias("code")).where("code is not null").distinct()
+    first = steps.write(files.select("file_id", F.upper(F.regexp_extract("name", CODE_PATTERN, 1)).alias("in_name"), X.course_key(F.col("title")).alias("key"), F.transform(F.regexp_extract_all("text", F.lit(CODE_PATTERN), 1), F.upper).alias("in_text")))
+    by_name = courses.select(X.course_key(F.col("course_name")).alias("key"), "course_code").where("key <> ''").groupBy("key").agg(F.min("course_code").alias("exact"))
+    codes = first.select("file_id", F.posexplode("in_text").alias("pos", "code"))
+    by_text = join_lookup(codes, known.withColumn("there", F.lit(True)), "code", "inner").groupBy("file_id").agg(F.min_by("code", "pos").alias("said"))
+    names = courses.where("length(course_name) > 1").groupBy(F.lower("course_name").alias("name")).agg(F.min("course_code").alias("code")).withColumn("rank", F.lit(0))
+    held = mentions(files.select(F.col("file_id").alias("query_id"), F.col("text").alias("query")), names).groupBy(F.col("query_id").alias("file_id")).agg(F.min_by("code", F.struct(-F.length("name"), "code")).alias("held"))
+    j = first.join(known.select(F.col("code").alias("in_name"), F.lit(True).alias("listed")), "in_name", "left").join(by_name, "key", "left").join(by_text, "file_id", "left").join(held, "file_id", "left")
+    steps_ = [(F.col("listed"), F.col("in_name"), "file_code"), (F.col("in_name") != "", F.col("in_name"), "stub"), (F.col("exact").isNotNull(), F.col("exact"), "name"), (F.col("said").isNotNull(), F.col("said"), "text_code"), (F.col("held").isNotNull(), F.col("held"), "text_name")]
+    code, how = F.lit(None).cast("string"), F.lit("none")
+    for when, value, label in reversed(steps_):
+        code, how = F.when(when, value).otherwise(code), F.when(when, label).otherwise(how)
+    return j.select("file_id", code.alias("course_code"), how.alias("matched_by"))
+
+
 def o45_match_metadata(spark, sf_dir):
-    """Course of a syllabus entry: by declared code, else by exact name, else none."""
-    c = catalog(spark, sf_dir)
-    codes = c.select(F.col("course_code").alias("c1")).distinct()
-    names = c.select(F.lower("course_name").alias("n1"), "course_code").where("n1 is not null").groupBy("n1").agg(F.min("course_code").alias("c2"))
-    s = syllabi(spark, sf_dir).select("entry_id", F.upper(F.trim("course_code")).alias("c1"), F.lower(F.trim("course_name")).alias("n1"))
-    j = s.join(codes.withColumn("known", F.lit(True)), "c1", "left").join(names, "n1", "left")
-    return j.select("entry_id", F.when(F.col("known"), F.col("c1")).otherwise(F.col("c2")).alias("course_code"), F.when(F.col("known"), "code").when(F.col("c2").isNotNull(), "name").otherwise("none").alias("matched_by"))
+    """Courses of documents as syllabus files: every third is named after its course's code, every twelfth of these after a code that no course has; the title is the labelled name of the course."""
+    d = table(spark, sf_dir, "documents").where("text is not null")
+    code = F.when(F.col("doc_id") % 12 == 0, F.concat(F.lit("ZZ"), F.lpad(F.col("doc_id").cast("string"), 8, "0"))).otherwise(F.col("course_code"))
+    name = F.concat(F.when(F.col("doc_id") % 3 == 0, F.coalesce(code, F.lit("syllabus"))).otherwise("syllabus"), F.lit("_"), "source")
+    title = F.regexp_extract("text", r"(?m)^课程名称[：:](.+)$", 1)
+    return match_metadata(d.select(F.col("doc_id").alias("file_id"), name.alias("name"), title.alias("title"), "text"), catalog(spark, sf_dir))
 
 
 def o64_fact_answer(spark, sf_dir):
@@ -362,7 +384,12 @@ SQL = {
     "o55_select_offering": f"with {OFF}, o as (select {_CODE} as code, program_name, program_type, offering_id, {core_sql(_TITLE)} as core from off where course_code is not null and program_name is not null), f as (select code, arg_max(core, offering_id) as core from o group by 1), w as (select distinct code, unnest([core, '']) as keyword from f), ty as (select unnest({PLAN_TYPES}::varchar[]) as wanted_type) select o.code, keyword, wanted_type, arg_min(offering_id, (not coalesce(keyword <> '' and contains(program_name, keyword), false), not coalesce(program_type = wanted_type, false), offering_id)) as offering_id from o join w using (code), ty group by all",
     "o56_same_name": f"with {SYL} select * from (select {key_sql('course_name')} as key, list_sort(list(distinct entry_id)) as entries from syl group by 1) where key <> '' and len(entries) > 1",
     "o68_resolve": f"with {SYL}, {CAT}, {_IDX}, s as (select distinct entry_id, {_CODE} as own, unnest(prerequisites) as raw from syl), k as (select *, {key_sql('raw')} as key from s where raw is not null), g as (select entry_id, raw, count(case when i.course_code is distinct from own then i.course_code end) as n, min(case when i.course_code is distinct from own then i.course_code end) as c from k left join idx i using (key) where key <> '' group by all) select entry_id, raw, case when n = 1 then 'edge' when n > 1 then 'ambiguous' else 'not_found' end as status, case when n = 1 then c end as code from g",
-    "o45_match_metadata": f"with {SYL}, {CAT}, nm as (select lower(course_name) as n1, min(course_code) as c2 from cat where course_name is not null group by 1), s as (select entry_id, {_CODE} as c1, lower(trim(course_name, ' ')) as n1 from syl) select entry_id, case when c1 in (select course_code from cat) then c1 else c2 end as course_code, case when c1 in (select course_code from cat) then 'code' when c2 is not null then 'name' else 'none' end as matched_by from s left join nm using (n1)",
+    "o45_match_metadata": f"""with {CAT}, fl as (select doc_id as file_id, text, (case when doc_id % 3 = 0 then coalesce(case when doc_id % 12 = 0 then 'ZZ' || lpad(doc_id::varchar, 8, '0') else course_code end, 'syllabus') else 'syllabus' end) || '_' || source as name, regexp_extract(text, '(?m)^课程名称[：:](.+)$', 1) as title from documents where text is not null),
+f1 as (select file_id, text, upper(regexp_extract(' ' || name, '[^A-Za-z0-9]([A-Za-z]{{2}}\\d{{6,10}})([^A-Za-z0-9]|$)', 1)) as in_name, {key_sql('title')} as key, regexp_extract_all(replace(' ' || text, ' ', '  '), '[^A-Za-z0-9]([A-Za-z]{{2}}\\d{{6,10}})(?:[^A-Za-z0-9]|$)', 1) as codes from fl),
+nm as (select {key_sql('course_name')} as key, min(course_code) as exact from cat group by 1), tc as (select file_id, u.code, u.pos from (select file_id, unnest(codes) as code, generate_subscripts(codes, 1) as pos from f1) u), ts as (select file_id, arg_min(upper(code), pos) as said from tc where upper(code) in (select upper(course_code) from cat) group by 1),
+ln as (select lower(course_name) as name, min(course_code) as code from cat where length(course_name) > 1 group by 1), hd as (select file_id, arg_min(ln.code, (-length(ln.name), ln.code)) as held from fl join ln on contains(lower(text), ln.name) group by 1)
+select file_id, case when in_name in (select upper(course_code) from cat) then in_name when in_name <> '' then in_name when exact is not null then exact when said is not null then said else held end as course_code, case when in_name in (select upper(course_code) from cat) then 'file_code' when in_name <> '' then 'stub' when exact is not null then 'name' when said is not null then 'text_code' when held is not null then 'text_name' else 'none' end as matched_by from f1 left join (select * from nm where key <> '') nm using (key) left join ts using (file_id) left join hd using (file_id)""",
+    "o47_best_link": f"with {LOG}, {CAT}, nm as (select lower(v) as name, min(course_code) as code from (select course_code, unnest([course_name, course_code]) as v from cat) where length(v) > 1 group by 1) select query_id, arg_min(code, (-length(name), code)) as code from lg join nm on contains(lower(query), name) group by 1",
     "o64_fact_answer": f"with {OFF}, v as (select {_CODE} as code, unnest(['credits', 'hours', 'semester']) as field, unnest([{clean_sql('credits')}, {clean_sql('hours')}, {clean_sql('semester')}]) as value from off where course_code is not null) select code, field, array_to_string(list_sort(list(distinct value)), ' | ') as recorded, count(distinct value) > 1 as conflict from v where value <> '' group by all",
     "o65_instructor_answer": f"with {OFF}, v as (select {_CODE} as code, unnest(string_split({clean_sql('instructor')}, '、')) as name from off where course_code is not null), g as (select code, array_to_string(list_sort(list(distinct nullif(trim(name, ' '), '')) filter (trim(name, ' ') <> '')), '、') as names from v group by 1) select code, case when coalesce(names, '') = '' then '培养方案与教学大纲均未记录该课程的任课教师' else names end as answer from g",
     "o115_catalog_answer": f"with {OFF}, x as (select *, {_CODE} as code, concat_ws(' ', course_category, course_subcategory) as c from off where program_name is not null and course_code is not null), t as (select *, case when contains(c, '核心') then 0 when contains(c, '专业必修') then 1 else 2 end as tier from x), b as (select program_name, min(tier) as tier from t group by 1), o as (select program_name, code, min(offering_id) as offering_id, arg_min(case when semester is null then '' else semester end, offering_id) as semester from t join b using (program_name, tier) group by all) select program_name, code, offering_id, row_number() over (partition by program_name order by coalesce({column_sql('semester')}, 99), code)::int as place from o",

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sylvaspark.operators import answers, doctree, fields, graphs, hierarchy, lexical, linking, metrics, programs, refresh, vectors
+from sylvaspark.operators import answers, doctree, fields, graphs, handlers, hierarchy, lexical, linking, metrics, programs, refresh, vectors
 
-MODULES = [hierarchy, lexical, fields, linking, vectors, graphs, programs, doctree, metrics, refresh, answers]
+MODULES = [hierarchy, lexical, fields, linking, vectors, graphs, programs, doctree, metrics, refresh, answers, handlers]
 
 
 def queries() -> dict:
