@@ -18,7 +18,8 @@ from sylvaspark.operators import lexical
 from sylvaspark.operators.fields import clean_sql, column_sql, key_sql
 from sylvaspark.operators.graphs import _E, part_edges
 from sylvaspark.operators.metrics import _REF
-from sylvaspark.operators.vectors import _CON, _PAIR, _VOTE, _vectors, _votes, concepts, cosine_deciles, o106_linear_fusion, o170_concept_pairs, top_cosine
+from sylvaspark.operators.doctree import _PATH
+from sylvaspark.operators.vectors import _CON, _LISTS, _PAIR, _VOTE, _vectors, _votes, concepts, cosine_deciles, o106_linear_fusion, o170_concept_pairs, top_cosine
 from sylvaspark.plans.inputs import BLK, CAT, LOG, OFF, SYL, blocks, catalog, log, offerings, syllabi
 
 # Trailing words that don't tell concepts apart, and how concept types are recognised by their ends.
@@ -500,6 +501,8 @@ SQL = {
     "o298_predictions": f"with {CAT} select concept, count(*) as courses from (select unnest([substring(course_name, 1, 2), substring(course_name, 3, 4)]) as concept from cat where course_name is not null) group by 1",
     "o77_edge_pairs": f"with {_VOTE} select target, source, (source % 50) || '->' || (target % 50) as pair from vt where requires and vote = 0",
     "o204_structure_answer": f"with {LOG}, {BLK}, q as (select query_id, course_code, regexp_extract(query, '第\\s*([一二两三四五六七八九十百\\d]+)\\s*[章讲节周]', 1) as t from lg where course_code is not null), b as (select distinct course_code, coalesce(chapter_no::int, (select {_CN} from (select regexp_extract(title, '第\\s*([一二两三四五六七八九十百\\d]+)\\s*[章讲节周]', 1) as t))) as chapter from blk) select query_id, {_CN}::int as chapter, case when exists (select 1 from b where b.course_code = q.course_code and b.chapter = {_CN}) then 'chapter' else 'unknown_chapter' end as reaction from q where {_CN} is not null",
+    "o109_dispatch": f"with {_LISTS}, x as (select query_id, doc_id, row_number() over (partition by query_id order by score desc, doc_id) as r from raw), y as (select query_id, doc_id, row_number() over (partition by query_id order by round(0.75::double * coalesce(vec, 0) + 0.15::double * lex + 0.08::double * section, 8) desc, doc_id) as r from bf) select query_id, doc_id, 'bm25' as mode from x where r = 1 union all select query_id, doc_id, 'dense' from dense where dense_rank = 1 union all select query_id, doc_id, 'linear' from y where r = 1",
+    "o196_schedule_prefix": f"with {_PATH} select doc_id, pos, coalesce([z for z in list_reverse(path) if regexp_matches(z, '周次|进度|安排')][1], path[-1]) as prefix from pa where len(path) > 0",
     "o74_pair_candidates": f"with {_CON} select floor(round(list_cosine_similarity(t.e, s.e), 6) * 10)::bigint as decile, count(*) as pairs from c t, c s where t.vec_id % 10 = 0 and t.vec_id <> s.vec_id group by 1",
 }
 _OWN = {"o106_linear_fusion", "o170_concept_pairs"}

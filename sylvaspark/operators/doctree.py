@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sylvaspark.common import row_rank, table
+from sylvaspark.common import Steps, row_rank, table
 from sylvaspark.functions import text as X
-from sylvaspark.operators.fields import clean_sql, cn_sql
-from sylvaspark.plans.inputs import BLK, blocks
+from sylvaspark.operators.fields import clean_sql, cn_sql, strip_sql
+from sylvaspark.plans.inputs import BLK, SYL, blocks
 
 # What makes a line a heading, with its level, in order.
 LEVELS = [(1, "^第[一二三四五六七八九十0-9]+(章|部分)"), (2, "^[一二三四五六七八九十]+、"), (3, "^（[一二三四五六七八九十]+）|^[0-9]+[.][0-9]+"), (4, "^[0-9]+[.、]")]
@@ -242,19 +242,30 @@ def o284_schedule_rows(spark, sf_dir):
 
 
 def o285_explicit_prerequisites(spark, sf_dir):
-    """Names on labelled prerequisite lines."""
-    l = lines(table(spark, sf_dir, "documents"))
-    return l.select("doc_id", "pos", X.strip(F.regexp_extract("line", "^(?:先修课程|先修|Prerequisites?)[：:](.+)$", 1)).alias("name")).where("name <> ''")
+    """Names on labelled prerequisite lines, of documents and of the entries of syllabi set as such lines (doc_id below 0)."""
+    from sylvaspark.plans.inputs import syllabi
 
+    l = lines(table(spark, sf_dir, "documents")).select("doc_id", "pos", "line")
+    e = syllabi(spark, sf_dir).where("size(prerequisites) > 0").select((-1 - F.col("entry_id")).alias("doc_id"), F.lit(0).alias("pos"), F.concat(F.when(F.col("entry_id") % 2 == 0, "先修课程：").otherwise("Prerequisite:"), F.array_join("prerequisites", "、")).alias("line"))
+    said = l.unionByName(e).select("doc_id", "pos", F.regexp_extract("line", r"^(?:先修课程|先修|Prerequisites?)[：:]([^\n]+)", 1).alias("names")).where("names <> ''")
+    return said.select("doc_id", "pos", F.explode(F.filter(F.transform(F.split("names", "、"), X.strip), lambda x: x != "")).alias("name"))
 
-def o84_concept_evidence(spark, sf_dir):
-    """The first statement of each course's documents that holds a word of its name."""
-    from sylvaspark.plans.inputs import catalog
 
-    c = catalog(spark, sf_dir).select("course_code", F.substring("course_name", 3, 4).alias("word")).where("length(word) = 4")
-    d = table(spark, sf_dir, "documents").where("course_code is not null and text is not null")
-    s = d.join(c, "course_code").where(F.col("text").contains(F.col("word"))).select("course_code", "doc_id", "word", F.posexplode(F.regexp_extract_all("text", F.lit("([^。！？\\n]+)"), 1)).alias("pos", "s"))
-    return s.where(F.col("s").contains(F.col("word"))).groupBy("course_code").agg(F.min_by("s", F.struct("doc_id", "pos")).alias("evidence"))
+def o84_concept_evidence(spark, sf_dir):
+    """For each block's concept (its title without the number) the first statement that holds it: of its own text, else of another block of the document, else of a document of its course; with the tier it comes from."""
+    b = blocks(spark, sf_dir).where("title is not null").select("node_id", "document_hash", "course_code", "text", F.regexp_replace("title", r"^第[一二三四五六七八九十0-9]+[章讲节周]\s*", "").alias("term")).where("term <> ''")
+    b = Steps(spark).write(b)
+    here = lambda d, tier, at: d.where(F.col("t").contains(F.col("term"))).select("node_id", "term", F.lit(tier).alias("tier"), at.cast("string").alias("at"), F.posexplode(F.regexp_extract_all("t", F.lit(r"([^。！？\n]+)"), 1)).alias("pos", "s")).where(F.col("s").contains(F.col("term"))).groupBy("node_id").agg(F.min_by(F.struct("tier", "s"), F.struct("tier", "at", "pos")).alias("e"))
+    own = here(b.withColumn("t", F.col("text")), 1, F.col("node_id"))
+    left = Steps(spark).write(b.join(own, "node_id", "left_anti").select("node_id", "document_hash", "course_code", "term"))
+    near = here(left.join(b.select("document_hash", F.col("node_id").alias("other"), F.col("text").alias("t")), "document_hash").where("other <> node_id"), 2, F.col("other"))
+    last = Steps(spark).write(left.join(near, "node_id", "left_anti").where("course_code is not null"))
+    # The terms of one course are looked for together, so a text meets the different terms of its course, not every block.
+    d = table(spark, sf_dir, "documents").where("course_code is not null and text is not null").select("course_code", "doc_id", F.col("text").alias("t"))
+    terms = last.groupBy("course_code").agg(F.collect_set("term").alias("terms"))
+    hit = d.join(terms, "course_code").withColumn("term", F.explode(F.filter("terms", lambda x: F.col("t").contains(x)))).select("course_code", "term", "doc_id", F.get(F.filter(F.regexp_extract_all("t", F.lit(r"([^。！？\n]+)"), 1), lambda x: x.contains(F.col("term"))), F.lit(0)).alias("s")).where("s is not null").groupBy("course_code", "term").agg(F.min_by("s", "doc_id").alias("s"))
+    far = last.join(hit, ["course_code", "term"]).select("node_id", F.struct(F.lit(3).alias("tier"), "s").alias("e"))
+    return own.unionByName(near).unionByName(far).select("node_id", "e.tier", F.col("e.s").alias("sentence"))
 
 
 _LINES = "ln as (select doc_id, (generate_subscripts(a, 1) - 1)::int as pos, unnest(a) as line from (select doc_id, string_split(text, chr(10)) as a from documents where text is not null{0}))"
@@ -292,6 +303,8 @@ SQL = {
     "o114_select": f"with {_B}, r as (select *, row_number() over (partition by course_code order by node_id)::int as r from b where course_code is not null), s as (select course_code, min(r) as sr, arg_min(node_id, r) as sn from r where kind = 'schedule' group by 1) select course_code, r, case when r = 10 and sr > 10 then sn else node_id end as node_id from r left join s using (course_code) where r <= 10",
     "o263_citations": f"with {_B}, c as (select course_code, source_year, kind, min(node_id) as f from b where course_code is not null group by all) select course_code, source_year, kind, row_number() over (partition by course_code order by f)::int as place from c",
     "o155_fallback_answer": f"with {_B}, o as (select course_code, kind, arg_min(text, node_id) as t, min(node_id) as n from b where course_code is not null and text is not null and text <> '' group by all), r as (select *, row_number() over (partition by course_code order by n) as r from o qualify r <= 3) select course_code, sum(length(substring(t, 1, 140)))::bigint as chars, count(*) as bullets from r group by 1",
+    "o285_explicit_prerequisites": f"with {_A}, {SYL}, ll as (select doc_id, pos, line from l union all select -1 - entry_id, 0, (case when entry_id % 2 = 0 then '先修课程：' else 'Prerequisite:' end) || array_to_string(prerequisites, '、') from syl where len(prerequisites) > 0), sd as (select doc_id, pos, regexp_extract(line, '^(?:先修课程|先修|Prerequisites?)[：:]([^\\n]+)', 1) as names from ll), sp as (select doc_id, pos, unnest(string_split(names, '、')) as raw from sd where names <> '') select doc_id, pos, {strip_sql('raw')} as name from sp where {strip_sql('raw')} <> ''",
+    "o84_concept_evidence": f"with {BLK}, b as (select node_id, document_hash, course_code, text, regexp_replace(title, '^第[一二三四五六七八九十0-9]+[章讲节周]\\s*', '') as term from blk where title is not null), c as (select b.node_id, term, 1 as tier, node_id as wh, text as t from b where term <> '' and contains(text, term) union all select b.node_id, b.term, 2, o.node_id, o.text from b join b o using (document_hash) where b.term <> '' and b.node_id <> o.node_id and contains(o.text, b.term) union all select b.node_id, term, 3, lpad(doc_id::varchar, 12, '0'), d.text from b join documents d using (course_code) where term <> '' and contains(d.text, term)), s as (select node_id, term, tier, wh, generate_subscripts(l, 1) as pos, unnest(l) as s from (select *, regexp_extract_all(t, '([^。！？\\n]+)', 1) as l from c)), f as (select node_id, arg_min((tier, s), (tier, wh, pos)) as e from s where contains(s, term) group by 1) select node_id, e[1] as tier, e[2] as sentence from f",
     "o284_schedule_rows": "with " + _LINES.format(" and doc_kind = 'schedule'") + ", x as (select doc_id, pos, try_cast(regexp_extract(line, '^第([0-9]{1,3})周[\\t ]*([^\\n]*)\\z', 1) as int) as week, regexp_extract(line, '^第([0-9]{1,3})周[\\t ]*([^\\n]*)\\z', 2) as topic from ln where trim(line, ' ') <> '') select * from x where week is not null",
 }
 QUERIES = {k: v for k, v in globals().items() if k[:1] == "o" and k[1:2].isdigit()}

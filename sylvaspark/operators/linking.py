@@ -130,8 +130,19 @@ def o47_best_link(spark, sf_dir):
     return m.groupBy("query_id").agg(F.min_by("code", F.struct(-F.length("name"), "code")).alias("code"))
 
 
+# Questions that the log doesn't hold, asked of every course of the catalogue; {} stands for its name.
+TEMPLATES = ["有没有{}这门课？", "《{}进阶》是几学分？", "《{}》在哪个教室上课？", "{}的期末考试具体日期是哪天？", "{}去年的平均分是多少？", "学{}之前需要什么基础？主要讲什么内容？", "第三章讲什么，先修课是什么？{}", "你们开设了的{}存在吗？"]
+
+
+def questions(spark, sf_dir):
+    """(query_id, query, course_code): the log, and the questions of TEMPLATES on every course."""
+    c = catalog(spark, sf_dir).where("course_name is not null").select("course_code", "course_name", F.posexplode(F.array(*map(F.lit, TEMPLATES))).alias("i", "t"))
+    asked = c.select(F.concat_ws("-", "course_code", "i").alias("query_id"), F.replace("t", F.lit("{}"), F.col("course_name")).alias("query"), "course_code")
+    return log(spark, sf_dir).select("query_id", "query", "course_code").unionByName(asked)
+
+
 def _bracketed(spark, sf_dir):
-    b = log(spark, sf_dir).select("query_id", F.explode(F.regexp_extract_all("query", F.lit("《([^《》]+)》"), 1)).alias("name"))
+    b = questions(spark, sf_dir).select("query_id", F.explode(F.regexp_extract_all("query", F.lit("《([^《》]+)》"), 1)).alias("name"))
     return b.select("query_id", "name", X.course_key(F.col("name")).alias("key"))
 
 
@@ -180,7 +191,7 @@ def o50_clarify(spark, sf_dir):
 
 def o51_unrecorded_gate(spark, sf_dir):
     """Questions about a linked course's fields that are never recorded: the first such field."""
-    q = log(spark, sf_dir)
+    q = questions(spark, sf_dir)
     label = F.lit(None).cast("string")
     for name, p in reversed(UNRECORDED):
         label = F.when(F.col("query").rlike(p), name).otherwise(label)
@@ -200,14 +211,14 @@ def o52_pattern_hits(spark, sf_dir):
 
 def o54_mergeable(spark, sf_dir):
     """Questions whose first two intents are answered together."""
-    c = classify(log(spark, sf_dir))
+    c = classify(questions(spark, sf_dir))
     pair = F.array_join(F.slice("labels", 1, 2), "+")
     return c.select("query_id", pair.alias("pair")).where(F.col("pair").isin(MERGED))
 
 
 def o57_existence_fragment(spark, sf_dir):
     """The name that a question of existence asks for, by the first pattern that matches, without words of address and measure."""
-    q = log(spark, sf_dir)
+    q = questions(spark, sf_dir)
     found = F.coalesce(*[F.nullif(F.regexp_extract("query", p, 1), F.lit("")) for p in EXISTENCE])
     bare = F.regexp_replace(F.regexp_replace(found, "^(?:本科生?|研究生|专业|学院|学校|你们|咱们|的|开设了?|开了?)+", ""), "(?:这(?:一)?门|这个|的)+$", "")
     return q.select("query_id", found.alias("fragment"), X.strip(bare).alias("name")).where("fragment is not null")
@@ -375,10 +386,11 @@ def _hits(c: str, patterns: list[str]) -> str:
     return "(" + " + ".join(f"regexp_matches({c}, '{p}')::int" for p in patterns) + ")"
 
 
+_ASKED = f"{LOG}, {CAT}, aq as (select query_id, query, course_code from lg union all select course_code || '-' || (i - 1), replace(t[i], '{{}}', course_name), course_code from (select cat.*, {TEMPLATES} as t from cat where course_name is not null), range(1, {len(TEMPLATES) + 1}) r(i))"
 SQL = {
     "o48_alias_index": f"with {CAT}, {_IDX} select key, list_sort(list(distinct course_code)) as codes from idx group by key",
-    "o49_name_gate": f"with {LOG}, {CAT}, {_IDX}, b as (select query_id, unnest(regexp_extract_all(query, '《([^《》]+)》', 1)) as name from lg) select query_id, name from b where {key_sql('name')} not in (select key from idx)",
-    "o51_unrecorded_gate": f"with {LOG} select * from (select query_id, course_code, case " + " ".join(f"when regexp_matches(query, '{p}') then '{n}'" for n, p in UNRECORDED) + " end as field from lg where course_code is not null) where field is not null",
+    "o49_name_gate": f"with {_ASKED}, {_IDX}, b as (select query_id, unnest(regexp_extract_all(query, '《([^《》]+)》', 1)) as name from aq) select query_id, name from b where {key_sql('name')} not in (select key from idx)",
+    "o51_unrecorded_gate": f"with {_ASKED} select * from (select query_id, course_code, case " + " ".join(f"when regexp_matches(query, '{p}') then '{n}'" for n, p in UNRECORDED) + " end as field from aq where course_code is not null) where field is not null",
     "o52_pattern_hits": f"with {LOG}, x as (select query_id, regexp_replace(lower(query), '《[^》]*》', '《》', 'g') as q from lg where query is not null) select query_id, {_hits('q', DEPENDENCY)} as dependency, {_hits('q', CATALOG)} as catalog, {_hits('q', FACT)} as fact from x",
     "o61_program_type": f"with {OFF}, n as (select program_name, program_type, count(*) as n, min(offering_id) as f from off where program_name is not null and program_type is not null group by all) select program_name, arg_min(program_type, (case when contains(program_name, program_type) then -length(program_type) else 0 end, -n, f)) as program_type from n group by 1",
     "o55_select_offering": f"with {OFF}, o as (select {_CODE} as code, program_name, program_type, offering_id, {core_sql(_TITLE)} as core from off where course_code is not null and program_name is not null), f as (select code, arg_max(core, offering_id) as core from o group by 1), w as (select distinct code, unnest([core, '']) as keyword from f), ty as (select unnest({PLAN_TYPES}::varchar[]) as wanted_type) select o.code, keyword, wanted_type, arg_min(offering_id, (not coalesce(keyword <> '' and contains(program_name, keyword), false), not coalesce(program_type = wanted_type, false), offering_id)) as offering_id from o join w using (code), ty group by all",

@@ -36,12 +36,17 @@ def o14_plan_chunks(spark, sf_dir):
     return _off(spark, sf_dir).select("offering_id", F.sha2(F.concat_ws("|", "source_file", "code"), 256).alias("chunk_id"), F.array_join(F.array_compact(F.array(*facts)), "\n").alias("chunk"))
 
 
+def duplicated(keyed: DataFrame) -> DataFrame:
+    """(label, key, n) of the keys that occur more than once under their label; no rows if the constraint holds. Null keys break it too."""
+    return keyed.groupBy("label", "key").agg(F.count("*").alias("n")).where("n > 1 or key is null")
+
+
 def o17_unique_keys(spark, sf_dir):
-    """Keys that occur more than once after repeated deliveries are taken out; empty if the constraint holds."""
-    a = catalog(spark, sf_dir).select(F.lit("course").alias("label"), F.col("course_code").alias("key"))
-    b = offerings(spark, sf_dir).select(F.lit("offering"), F.col("offering_id").cast("string"))
-    c = table(spark, sf_dir, "documents").select(F.lit("document"), F.col("doc_id").cast("string"))
-    return a.union(b).union(c).groupBy("label", "key").agg(F.count("*").alias("n")).where("n > 1")
+    """Keys that break the constraints of the graph: of courses, offerings and documents as they were delivered, where repeated deliveries do, and after these are taken out, where nothing should."""
+    key = lambda d, label, c: d.select(F.lit(label).alias("label"), F.col(c).cast("string").alias("key"))
+    raw = key(table(spark, sf_dir, "course_catalog"), "course as delivered", "course_code").union(key(table(spark, sf_dir, "course_offerings"), "offering as delivered", "offering_id"))
+    clean = key(catalog(spark, sf_dir), "course", "course_code").union(key(offerings(spark, sf_dir), "offering", "offering_id")).union(key(table(spark, sf_dir, "documents"), "document", "doc_id"))
+    return duplicated(raw.union(clean))
 
 
 def o19_inventory(spark, sf_dir):
@@ -336,7 +341,8 @@ _PHR = f"dk as (select coalesce(nullif(course_code, ''), source, 'unknown') as c
 SQL = {
     "o13_merge_catalog": f"with {_O} select code, arg_min(source_file, offering_id) as source_file, arg_min(course_category, offering_id) as course_category, count(distinct program_name)::int as n_programs, count(distinct (program_name, semester, coalesce(credits, ''), coalesce(instructor, ''))) filter (program_name is not null) as n_offerings from o where semester is not null group by code",
     "o14_plan_chunks": f"with {_O} select offering_id, sha256(concat_ws('|', source_file, code)) as chunk_id, concat_ws(chr(10), " + ", ".join(f"case when {clean_sql(c)} <> '' then '{n}：' || ({clean_sql(c)}) end" for c, n in (("program_name", "培养方案"), ("credits", "学分"), ("hours", "学时"), ("semester", "学期"), ("instructor", "教师"))) + ") as chunk from o",
-    "o17_unique_keys": f"with {OFF}, {CAT} select label, key, count(*) as n from (select 'course' as label, course_code as key from cat union all select 'offering', offering_id::varchar from off union all select 'document', doc_id::varchar from documents) group by all having count(*) > 1",
+    "o17_unique_keys": f"with {OFF}, {CAT} select label, key, count(*) as n from (select 'course as delivered' as label, course_code as key from course_catalog union all select 'offering as delivered', offering_id::varchar from course_offerings union all select 'course', course_code from cat union all select 'offering', offering_id::varchar from off union all select 'document', doc_id::varchar from documents) group by all having count(*) > 1 or key is null",
+    "o20_safe_names": f"with {OFF}, f as (select distinct source_file from off where source_file is not null), b as (select source_file, regexp_replace(string_split_regex(source_file, '[/\\\\]')[-1], '[<>:\"|?*\\x00-\\x1f\\s]+', '_', 'g') as base from f) select source_file, substring(regexp_replace(base, '^[.]+', ''), 1, 150) as safe from b",
     "o19_inventory": f"with {OFF}, {SYL} select regexp_extract(f, '\\.([a-z]+)$', 1) as kind, regexp_extract(f, '^(\\d{{4}}-\\d)', 1) as term, count(*) as files from (select source_file as f from off union select source_file from syl) where f is not null group by all",
     "o69_latest_profile": f"with {SYL}, {CAT}, l as (select course_name, arg_max(entry_id, (coalesce(source_year, ''), entry_id)) as entry_id, arg_max(coalesce(source_year, '~'), (coalesce(source_year, ''), entry_id)) as y from syl where course_name is not null group by 1) select course_code, entry_id, coalesce(nullif(english_name, ''), nullif(y, '~')) as detail from cat left join l using (course_name)",
     "o70_conflicts": f"with {_O}, g as (select code, program_name, count(distinct nullif({clean_sql('credits')}, '')) as c, count(distinct nullif({clean_sql('hours')}, '')) as h from o where program_name is not null group by all) select code, program_name, concat_ws(',', case when c > 1 then 'credits' end, case when h > 1 then 'hours' end) as conflicts from g where c > 1 or h > 1",

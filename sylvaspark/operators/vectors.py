@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from sylvaspark.common import Steps, row_rank, table
 from sylvaspark.functions import text as X
 from sylvaspark.operators import lexical
+from sylvaspark.operators.fields import key_sql
 
 BLOCK = 1024
 # Weights of fusion and pair scoring, thresholds and bonuses.
@@ -341,6 +342,7 @@ SQL = {
     "o92_merge_pairs": f"with {_PAIR}, both_ as (select target, source, cosine, confidence, 'a' as arm from pr union all select target, source, cosine * 0.9::double, confidence * 0.95::double, 'b' from pr where rank <= 3) select target, source, round(max(cosine), 6) as cosine, round(max(confidence), 6) as confidence, array_to_string(list_sort(list(distinct arm)), '') as arms, count(*) as n from both_ group by all",
     "o93_vote_verify": f"with {_VOTE}, g as (select target, source, bool_and(requires) as unanimous, avg(confidence) as mean, count(*) filter (requires) as yes, count(*) as n from vt group by all), r as (select target, source, arg_min(reason, (-k, -length(reason), reason)) as reason from (select target, source, reason, count(*) as k from vt group by all) group by all) select target, source, unanimous, round(mean, 6) as mean, unanimous and mean >= 0.6 as strict, yes * 2 > n as majority, reason from g join r using (target, source)",
     "o101_merged_status": f"with {_VOTE}, s as (select *, case when not requires then 5 when confidence < 0.3 then 2 when confidence < 0.6 then 1 else 0 end as sev from vt) select target, case max(sev) when 5 then 'refused' when 2 then 'pruned' when 1 then 'rewritten' else 'passed' end as status, count(*) as attempts, bool_and(requires) as verified from s group by target",
+    "o88_canonical": f"with s as (select distinct entry_id, course_name from syllabus_courses where course_name is not null), g as (select {key_sql('course_name')} as key, course_name, count(*) as n, min(entry_id) as f from s group by all) select 'concept_' || substring(sha256(key), 1, 16) as id, arg_min(course_name, (-n, f)) as canonical, count(*)::int as n_aliases, sum(n)::bigint as n from g where key <> '' group by key",
     "o137_clusters": f"with recursive {_VEC}, e as (select a.vec_id as a, b.vec_id as b from v a, v b where a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.94 - 1e-9), r as (select vec_id as id, vec_id as root from v union select e.b, r.root from r join e on e.a = r.id) select id, min(root) as root from r group by id",
 }
 QUERIES = {k: v for k, v in globals().items() if k[:1] == "o" and k[1:2].isdigit()}
