@@ -15,10 +15,11 @@ from pyspark.sql import types as T
 from sylvaspark.common import Steps, join_lookup, row_rank, table
 from sylvaspark.functions import text as X
 from sylvaspark.operators import lexical
-from sylvaspark.operators.fields import clean_sql, column_sql, key_sql
+from sylvaspark.operators.fields import clean_sql, cn_sql, column_sql, key_sql
 from sylvaspark.operators.graphs import _E, part_edges
 from sylvaspark.operators.metrics import _REF
-from sylvaspark.operators.doctree import _PATH
+from sylvaspark.operators.programs import _GATE, _LINK
+from sylvaspark.operators.doctree import _LAT, _PATH
 from sylvaspark.operators.vectors import _CON, _LISTS, _PAIR, _VOTE, _vectors, _votes, concepts, cosine_deciles, o106_linear_fusion, o170_concept_pairs, top_cosine
 from sylvaspark.plans.inputs import BLK, CAT, LOG, OFF, SYL, blocks, catalog, log, offerings, syllabi
 
@@ -131,10 +132,20 @@ def o74_pair_candidates(spark, sf_dir):
     return cosine_deciles(c.where("vec_id % 10 = 0"), c)
 
 
+def _paired(spark, sf_dir) -> DataFrame:
+    """The best pairs with the attributes of both ends."""
+    c = concepts(_vectors(spark, sf_dir)).drop("embedding")
+    t = c.select(F.col("vec_id").alias("target"), F.col("discipline").alias("td"), F.col("semester").alias("ts"))
+    return o170_concept_pairs(spark, sf_dir).join(t, "target").join(c.withColumnRenamed("vec_id", "source"), "source")
+
+
 def o172_candidate_rows(spark, sf_dir):
-    """Candidate links with their four evidence records."""
-    p = o170_concept_pairs(spark, sf_dir)
-    return p.select("target", "source", F.concat_ws("; ", F.concat(F.lit("vector="), F.format_number("cosine", 4)), F.concat(F.lit("confidence="), F.format_number("confidence", 4)), F.concat(F.lit("rank="), "rank"), F.concat(F.lit("order="), (F.col("source") < F.col("target")).cast("string"))).alias("evidence"))
+    """The four evidence records of each candidate link: vector, rule, structure and what they come to."""
+    same = F.col("discipline") == F.col("td")
+    later = F.coalesce(F.col("semester") < F.col("ts"), F.lit(False))
+    record = lambda kind, score: F.struct(F.lit(kind).alias("kind"), score.alias("score"))
+    e = F.array(record("vector", F.col("cosine")), record("rule", F.when(same, 1.0).otherwise(0.5)), record("structure", F.when(later, 0.3).otherwise(0.0)), record("confidence", F.col("confidence")))
+    return _paired(spark, sf_dir).select("target", "source", F.inline(e))
 
 
 def o270_candidate_links(spark, sf_dir):
@@ -337,9 +348,10 @@ def o242_routing_items(spark, sf_dir):
 
 
 def o286_concept_stage(spark, sf_dir):
-    """Chunks of some kinds with one row per concept and course."""
-    b = blocks(spark, sf_dir).where("kind in ('chapter', 'section')").select("node_id", "kind", F.explode_outer("chunk_ids").alias("chunk_id"))
-    return b.groupBy("kind").agg(F.count("*").alias("rows"), F.count("chunk_id").alias("chunks"))
+    """Chunks of the three kinds of blocks, with what was extracted merged back by id: one row per chunk, its concept (null where its block has no text or names none) and course."""
+    c = blocks(spark, sf_dir).where("kind in ('chapter', 'section', 'schedule')").select("node_id", "kind", "course_code", F.explode_outer("chunk_ids").alias("chunk_id"))
+    found = _concept_names(spark, sf_dir).where("text is not null and text <> ''").select("node_id", "concept")
+    return c.join(found, "node_id", "left").select("node_id", "kind", "chunk_id", "concept", "course_code")
 
 
 def o287_manifest(spark, sf_dir):
@@ -358,16 +370,21 @@ def o294_catalog_items(spark, sf_dir):
 
 
 def o297_template(spark, sf_dir):
-    """Population and sample of verified links by discipline pair."""
-    p = o170_concept_pairs(spark, sf_dir).withColumn("stratum", F.concat_ws("-", F.col("target") % 3, F.col("source") % 3))
+    """Population and sample of candidate links by pair of disciplines: three of each, in the order of a hash."""
+    p = _paired(spark, sf_dir).withColumn("stratum", F.concat_ws("-", "discipline", "td"))
     s = p.withColumn("r", row_rank(["stratum"], F.sha2(F.concat_ws(":", "target", "source"), 256)))
     return s.groupBy("stratum").agg(F.count("*").alias("population"), F.count_if(F.col("r") <= 3).alias("selected"))
 
 
+def _concept_names(spark, sf_dir) -> DataFrame:
+    """Blocks with the concept that their title names."""
+    b = blocks(spark, sf_dir).where("title is not null").withColumn("concept", F.regexp_replace("title", r"^第[一二三四五六七八九十0-9]+[章讲节周]\s*", ""))
+    return b.where("concept <> ''")
+
+
 def o298_predictions(spark, sf_dir):
-    """Concept names by course code: courses of each subject word."""
-    c = catalog(spark, sf_dir).where("course_name is not null")
-    return c.select("course_code", F.explode(F.array(F.substring("course_name", 1, 2), F.substring("course_name", 3, 4))).alias("concept")).groupBy("concept").agg(F.count("*").alias("courses"))
+    """Concept names by the code of each course that teaches them, each once."""
+    return _concept_names(spark, sf_dir).where("course_code is not null").select(F.upper(F.trim("course_code")).alias("course_code"), "concept").distinct()
 
 
 def o77_edge_pairs(spark, sf_dir):
@@ -376,13 +393,32 @@ def o77_edge_pairs(spark, sf_dir):
     return v.select("target", "source", F.concat_ws("->", (F.col("source") % 50).cast("string"), (F.col("target") % 50).cast("string")).alias("pair"))
 
 
-def o204_structure_answer(spark, sf_dir):
-    """Structure questions: whether the chapter they name exists in their course's blocks."""
-    from sylvaspark.operators.doctree import _blk
+# Questions on structure that the log doesn't hold, asked of every course; {} stands for its name.
+STRUCTURE_TEMPLATES = ["{}的大纲有哪些章节？", "{}第5周讲什么？", "{}第九十章讲什么？"]
+WEEK_ASKED = r"第\s*([一二两三四五六七八九十百\d]+)\s*周|\b[Ww]eek (\d+)"
+CHAPTER_ASKED = r"第\s*([一二两三四五六七八九十百\d]+)\s*[章讲节]|\b[Cc]hapter (\d+)"
 
-    q = log(spark, sf_dir).where("course_code is not null").select("query_id", "course_code", X.chapter_number(F.col("query")).alias("chapter")).where("chapter is not null")
-    b = _blk(spark, sf_dir).where("chapter is not null").select("course_code", "chapter").distinct().withColumn("there", F.lit(True))
-    return q.join(b, ["course_code", "chapter"], "left").select("query_id", "chapter", F.when(F.col("there"), "chapter").otherwise("unknown_chapter").alias("reaction"))
+
+def o204_structure_answer(spark, sf_dir):
+    """Structure questions of the log and of the templates, answered from the latest document of the course: the chapter or the week that they name (the first chapter whose text mentions it), refused where there is none; else the outline, with its number of chapters."""
+    from sylvaspark.operators.doctree import _latest_chapters
+
+    c = catalog(spark, sf_dir).where("course_name is not null").select("course_code", "course_name", F.posexplode(F.array(*map(F.lit, STRUCTURE_TEMPLATES))).alias("i", "t"))
+    q = c.select(F.concat_ws("-s", "course_code", "i").alias("query_id"), F.replace("t", F.lit("{}"), F.col("course_name")).alias("query"), "course_code")
+    q = log(spark, sf_dir).where("course_code is not null").select("query_id", "query", "course_code").unionByName(q)
+    said = lambda p: X.chinese_number(F.coalesce(F.nullif(F.regexp_extract("query", p, 1), F.lit("")), F.nullif(F.regexp_extract("query", p, 2), F.lit(""))))
+    q = q.withColumn("chapter", said(CHAPTER_ASKED)).withColumn("week", said(WEEK_ASKED)).withColumn("outline", F.col("query").rlike("章节|大纲|目录|[Oo]utline"))
+    q = Steps(spark).write(q.where("chapter is not null or week is not null or outline"))
+    ch = Steps(spark).write(_latest_chapters(spark, sf_dir).select("course_code", "node_id", "chapter", "text"))
+    place = F.struct(F.coalesce("chapter", F.lit(999)), "node_id")
+    by_chapter = ch.where("chapter is not null").groupBy("course_code", "chapter").agg(F.min("node_id").alias("of_chapter"))
+    weeks = ch.select("course_code", "node_id", "chapter", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"第\s*([一二两三四五六七八九十百\d]+)\s*周"), 1))).alias("w")).withColumn("week", X.chinese_number(F.col("w"))).where("week is not null")
+    by_week = weeks.groupBy("course_code", "week").agg(F.min_by("node_id", place).alias("of_week"))
+    size = ch.groupBy("course_code").agg(F.count("*").alias("chapters"))
+    j = q.join(by_chapter, ["course_code", "chapter"], "left").join(by_week, ["course_code", "week"], "left").join(size, "course_code", "left")
+    n = F.coalesce("chapters", F.lit(0))
+    reaction = F.when(F.col("chapter").isNotNull(), F.when(F.col("of_chapter").isNotNull(), "chapter").otherwise("unknown_chapter")).when(F.col("week").isNotNull(), F.when(F.col("of_week").isNotNull(), "week").otherwise("unknown_week")).when(n > 0, "outline").otherwise("no_outline")
+    return j.select("query_id", reaction.alias("reaction"), F.when(F.col("chapter").isNotNull(), F.col("of_chapter")).when(F.col("week").isNotNull(), F.col("of_week")).alias("node_id"), n.alias("chapters"))
 
 
 def o3_header_rows(spark, sf_dir):
@@ -398,17 +434,37 @@ def o3_header_rows(spark, sf_dir):
     return h.select("path", "sheet", "row", "first", F.array_join("names", ",").alias("names"), office.column_index(F.col("names"), ["学分"]).alias("credits_at"))
 
 
+EXAMPLES = 3
+# What an answer on two courses says.
+BEFORE, NO_RELATION = "先修", "未找到关系"
+
+
 def o187_relation(spark, sf_dir):
-    """Relation of the pair of courses in each question that names two: a chain within three links either way, or none."""
-    from sylvaspark.operators.graphs import distances
+    """What each question that names two courses is answered with: the chain of at most three prerequisites in either direction, else up to three verified links between their concepts in either direction, else a refusal."""
     from sylvaspark.operators.hierarchy import parent_links
     from sylvaspark.operators.linking import course_names, mentions
+    from sylvaspark.operators.programs import o72_course_links
 
     m = mentions(log(spark, sf_dir), course_names(catalog(spark, sf_dir)))
     two = m.groupBy("query_id").agg(F.min_by("code", "start").alias("a"), F.max_by("code", "start").alias("b"), F.count("*").alias("n")).where("n = 2")
-    d = Steps(spark).write(distances(parent_links(table(spark, sf_dir, "course_catalog"))[1].select(F.col("parent").alias("src"), F.col("code").alias("dst"))))
-    fwd, back = d.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("distance").alias("f")), d.select(F.col("dst").alias("a"), F.col("src").alias("b"), F.col("distance").alias("r"))
-    return two.join(fwd, ["a", "b"], "left").join(back, ["a", "b"], "left").select("query_id", F.when(F.col("f").isNotNull(), "before").when(F.col("r").isNotNull(), "after").otherwise("none").alias("relation"), F.coalesce("f", "r").alias("links"))
+    two = Steps(spark).write(two.drop("n"))
+    up = Steps(spark).write(parent_links(table(spark, sf_dir, "course_catalog"))[1].select(F.col("code"), F.col("parent")))
+    one = up.select(F.col("code").alias("below"), F.col("parent").alias("top"), F.array("parent", "code").alias("chain"))
+    more = lambda d: d.select("below", F.col("top").alias("code"), "chain").join(up, "code").where(~F.array_contains("chain", F.col("parent"))).select("below", F.col("parent").alias("top"), F.concat(F.array("parent"), "chain").alias("chain"))
+    second = more(one)
+    chains = one.unionByName(second).unionByName(more(second)).groupBy("below", "top").agg(F.min_by("chain", F.size("chain")).alias("chain"))
+    chains = Steps(spark).write(chains)
+    number = lambda c: F.regexp_extract(c, r"(\d+)$", 1).cast("long") % 50
+    links = Steps(spark).write(o72_course_links(spark, sf_dir).select("from_course", "to_course", "examples"))
+    j = two
+    for x, y, c, e in (("b", "a", "c1", "e1"), ("a", "b", "c2", "e2")):
+        j = j.join(chains.select(F.col("below").alias(x), F.col("top").alias(y), F.array_join("chain", ">").alias(c)), [x, y], "left")
+        j = j.withColumn("_f", number(F.col(y))).withColumn("_t", number(F.col(x))).join(links.select(F.col("from_course").alias("_f"), F.col("to_course").alias("_t"), F.split("examples", ",").alias(e)), ["_f", "_t"], "left").drop("_f", "_t")
+    chain = F.concat_ws(";", "c1", "c2")
+    none = F.array().cast("array<string>")
+    known = F.slice(F.concat(F.coalesce("e1", none), F.coalesce("e2", none)), 1, EXAMPLES)
+    relation = F.when(chain != "", "prerequisite").when(F.size(known) > 0, "knowledge").otherwise("refused")
+    return j.select("query_id", relation.alias("relation"), F.when(relation == "prerequisite", F.concat(F.lit(f"{BEFORE}："), chain)).when(relation == "knowledge", F.array_join(known, "、")).otherwise(NO_RELATION).alias("answer"))
 
 
 def o189_locate(spark, sf_dir):
@@ -469,6 +525,7 @@ SQL = {
     "o110_two_branch": f"with {_T}, a as (select query_id, doc_id, score, 1 as branch from raw join documents using (doc_id) where doc_kind = 'syllabus' qualify row_number() over (partition by query_id order by score desc, doc_id) <= 5), b as (select query_id, doc_id, score, 2 as branch from raw join documents using (doc_id) where doc_kind in ('notes', 'syllabus') qualify row_number() over (partition by query_id order by score desc, doc_id) <= 5), u as (select * from a union all select * from b where (query_id, doc_id) not in (select (query_id, doc_id) from a)) select *, row_number() over (partition by query_id order by score desc, doc_id)::int as place from u",
     "o251_votes": f"with {_VOTE} select vote::int as vote, count(*) as n, count(*) filter (requires) as yes from vt group by 1",
     "o273_normal_votes": f"with {_VOTE} select target, source, vote::int as vote, coalesce(requires, false) as requires, round(greatest(0.0, least(1.0, confidence * 1.25::double)), 6) as confidence from vt",
+    "o172_candidate_rows": f"with {_PAIR}, x as (select pr.*, s.d = t.d as same, coalesce(s.s < t.s, false) as later from pr join c t on t.vec_id = target join c s on s.vec_id = source) select target, source, unnest(['vector', 'rule', 'structure', 'confidence']) as kind, unnest([cosine, case when same then 1.0::double else 0.5 end, case when later then 0.3::double else 0 end, confidence]) as score from x",
     "o270_candidate_links": f"with {_PAIR} select target, count(*) as links, max(confidence) as best from pr group by 1",
     "o271_verify_links": f"with {_PAIR}, p as (select target, source, confidence, (source + target) % 3 = 0 as cached from pr), n as (select * from p where not cached order by confidence desc, target, source limit 3000) select target, source, cached from p where cached union all select target, source, cached from n",
     "o274_signals": f"with {_CON} select t.vec_id as target, s.vec_id as source, s.b <= t.b as bloom_allowed, (case when s.b > t.b then 0 when s.d = t.d then 1 else 0.5 end)::double as rule, (case when coalesce(s.s < t.s, false) then 0.3 else 0 end)::double as structure from c t, c s where t.vec_id <> s.vec_id",
@@ -482,6 +539,11 @@ SQL = {
     "o178_official_semester": f"with {OFF}, o as (select {_C} as code, offering_id, program_name, {column_sql('semester')} as s from off where course_code is not null) select code, program_name, nullif(arg_min(coalesce(s, -1), offering_id), -1) as semester from o where program_name is not null group by all union all select code, '', min(s) from o group by 1",
     "o208_merge_unique": f"with {BLK}, c as (select document_hash, chunk_id, min((node_id, i)) as o from (select document_hash, node_id, generate_subscripts(chunk_ids, 1) as i, unnest(chunk_ids) as chunk_id from blk) group by all), g as (select document_hash, count(*)::int as n, arg_min(chunk_id, o) as first from c group by 1) select document_hash, coalesce(n, 0)::int as n, first from (select distinct document_hash from blk where chunk_ids is not null) left join g using (document_hash)",
     "o209_share": f"with {OFF}, o as (select {_C} as code, program_name, offering_id, string_split(instructor, '、') as n from off where course_code is not null and program_name is not null and instructor is not null), l as (select offering_id, n, lag(offering_id) over w as before, lag(n) over w as bn from o window w as (partition by code, program_name order by offering_id)) select offering_id, before, list_has_any(n, bn) as shared from l where before is not null",
+    "o187_relation": f"""with {LOG}, {CAT}, {_LINK}, {_GATE}, nm as (select lower(v) as name, min(course_code) as code from (select course_code, unnest([course_name, course_code]) as v from cat) where length(v) > 1 group by 1), mt as (select query_id, name, code, instr(lower(query), name) as st from lg join nm on contains(lower(query), name)), mm as (select query_id, code, min(st) as st from mt where not exists (select 1 from mt o where o.query_id = mt.query_id and length(o.name) > length(mt.name) and contains(o.name, mt.name)) group by all), tw as (select query_id, arg_min(code, st) as a, arg_max(code, st) as b from mm group by 1 having count(*) = 2),
+h1 as (select code as below, parent as top, parent || '>' || code as chain, 1 as k from link), h2 as (select h1.below, l.parent as top, l.parent || '>' || chain as chain, 2 as k from h1 join link l on l.code = h1.top where not contains(chain, l.parent)), h3 as (select h2.below, l.parent as top, l.parent || '>' || chain as chain, 3 as k from h2 join link l on l.code = h2.top where not contains(chain, l.parent)), hc as (select below, top, arg_min(chain, k) as chain from (select * from h1 union all select * from h2 union all select * from h3) group by all),
+xl as (select source % 50 as f, target % 50 as g, source || '>' || target as x from ve where requires and origin in ('llm', 'human') and confidence >= 0.3), el as (select f, g, list_sort(list(distinct x))[1:3] as ex from xl where f <> g group by all), nb as (select tw.*, try_cast(regexp_extract(a, '(\\d+)$', 1) as bigint) % 50 as na, try_cast(regexp_extract(b, '(\\d+)$', 1) as bigint) % 50 as nb from tw),
+j as (select nb.query_id, concat_ws(';', p.chain, q.chain) as ch, list_concat(coalesce(e.ex, []), coalesce(d.ex, []))[1:3] as ex from nb left join hc p on p.below = b and p.top = a left join hc q on q.below = a and q.top = b left join el e on e.f = na and e.g = nb.nb left join el d on d.f = nb.nb and d.g = na)
+select query_id, case when ch <> '' then 'prerequisite' when len(ex) > 0 then 'knowledge' else 'refused' end as relation, case when ch <> '' then '{BEFORE}：' || ch when len(ex) > 0 then array_to_string(ex, '、') else '{NO_RELATION}' end as answer from j""",
     "o189_locate": f"with {CAT}, t as (select distinct substring(course_name, 3, 4) as topic from course_reference) select topic, count(*) as courses, min(course_code) as first from t join cat on contains(course_name, topic) where length(topic) = 4 group by 1",
     "o261_parent_excerpt": f"with {BLK} select node_id, title || chr(10) || substring(text, 1, 1200) as excerpt from blk where text is not null and title is not null",
     "o269_coverage_gate": "with g as (select source, count(*) as docs, round(avg((len(regexp_extract_all(text, '([一-鿿]{2,6}(?:理论|原理|方法|模型|系统))', 1)) > 0)::int::double), 6) as coverage from documents where text is not null and source is not null group by 1) select *, coverage >= 0.5 as passed from g",
@@ -494,13 +556,16 @@ SQL = {
     "o260_evidence_items": f"with {_T}, hits as ({lexical._top('raw')}) select query_id, rank, doc_id, source, doc_kind, n_chars from hits join documents using (doc_id)",
     "o264_hit_citations": f"with {_T}, hits as ({lexical._top('raw')}), e as (select query_id, source, min(rank) as f from hits join documents using (doc_id) group by all) select query_id, string_agg(source, ',' order by f) as sources from e group by 1",
     "o241_graded": f"with {_T}, hits as (select *, row_number() over (partition by query_id order by score desc, doc_id)::int as rank from raw where query_id <> doc_id qualify rank <= 10) select query_id, min(rank) filter (a.course_code = b.course_code) as first from hits h join documents a on a.doc_id = h.doc_id join documents b on b.doc_id = h.query_id group by 1",
-    "o286_concept_stage": f"with {BLK} select kind, sum(greatest(coalesce(len(chunk_ids), 0), 1))::bigint as rows, sum(coalesce(len(chunk_ids), 0))::bigint as chunks from blk where kind in ('chapter', 'section') group by 1",
+    "o286_concept_stage": f"with {BLK}, x as (select node_id, kind, course_code, unnest(case when len(chunk_ids) > 0 then chunk_ids else [null] end) as chunk_id, case when text <> '' then nullif(regexp_replace(title, '^第[一二三四五六七八九十0-9]+[章讲节周]\\s*', ''), '') end as concept from blk where kind in ('chapter', 'section', 'schedule')) select node_id, kind, chunk_id, concept, course_code from x",
     "o287_manifest": f"with {_E} select count(*) as edges, count(distinct src) as sources, count(distinct dst) as targets, bool_and(src < dst) as ordered from e",
     "o294_catalog_items": f"with {OFF}, g as (select program_name, count(distinct {_C}) filter (contains(concat_ws(' ', course_category, course_subcategory), '必修')) as r, count(distinct {_C}) as o from off where program_name is not null and course_code is not null group by 1) select program_name, case when r > 0 then r else o end as items from g",
-    "o297_template": f"with {_PAIR}, p as (select *, (target % 3) || '-' || (source % 3) as stratum from pr), s as (select stratum, row_number() over (partition by stratum order by sha256(target || ':' || source)) as r from p) select stratum, count(*) as population, count(*) filter (r <= 3) as selected from s group by 1",
-    "o298_predictions": f"with {CAT} select concept, count(*) as courses from (select unnest([substring(course_name, 1, 2), substring(course_name, 3, 4)]) as concept from cat where course_name is not null) group by 1",
+    "o297_template": f"with {_PAIR}, p as (select pr.*, s.d || '-' || t.d as stratum from pr join c t on t.vec_id = target join c s on s.vec_id = source), s as (select stratum, row_number() over (partition by stratum order by sha256(target || ':' || source)) as r from p) select stratum, count(*) as population, count(*) filter (r <= 3) as selected from s group by 1",
+    "o298_predictions": f"with {BLK} select distinct upper(trim(course_code)) as course_code, regexp_replace(title, '^第[一二三四五六七八九十0-9]+[章讲节周]\\s*', '') as concept from blk where title is not null and course_code is not null and regexp_replace(title, '^第[一二三四五六七八九十0-9]+[章讲节周]\\s*', '') <> ''",
     "o77_edge_pairs": f"with {_VOTE} select target, source, (source % 50) || '->' || (target % 50) as pair from vt where requires and vote = 0",
-    "o204_structure_answer": f"with {LOG}, {BLK}, q as (select query_id, course_code, regexp_extract(query, '第\\s*([一二两三四五六七八九十百\\d]+)\\s*[章讲节周]', 1) as t from lg where course_code is not null), b as (select distinct course_code, coalesce(chapter_no::int, (select {_CN} from (select regexp_extract(title, '第\\s*([一二两三四五六七八九十百\\d]+)\\s*[章讲节周]', 1) as t))) as chapter from blk) select query_id, {_CN}::int as chapter, case when exists (select 1 from b where b.course_code = q.course_code and b.chapter = {_CN}) then 'chapter' else 'unknown_chapter' end as reaction from q where {_CN} is not null",
+    "o204_structure_answer": f"""with {LOG}, {CAT}, {_LAT}, aq as (select query_id, query, course_code from lg where course_code is not null union all select course_code || '-s' || (i - 1), replace(t[i], '{{}}', course_name), course_code from (select cat.*, {STRUCTURE_TEMPLATES} as t from cat where course_name is not null), range(1, 4) r(i)),
+x1 as (select *, coalesce(nullif(regexp_extract(query, '{CHAPTER_ASKED}', 1), ''), nullif(regexp_extract(query, '{CHAPTER_ASKED}', 2), '')) as cs, coalesce(nullif(regexp_extract(query, '{WEEK_ASKED}', 1), ''), nullif(regexp_extract(query, '{WEEK_ASKED}', 2), '')) as ws from aq), x2 as (select query_id, course_code, {cn_sql('cs')} as chapter, {cn_sql('ws')} as week, regexp_matches(query, '章节|大纲|目录|[Oo]utline') as ol from x1), x3 as (select * from x2 where chapter is not null or week is not null or ol),
+bc as (select course_code, chapter, min(node_id) as oc from ch where chapter is not null group by all), wk as (select course_code, node_id, chapter, unnest(list_distinct(regexp_extract_all(text, '第\\s*([一二两三四五六七八九十百\\d]+)\\s*周', 1))) as w from ch), bw as (select course_code, {cn_sql('w')} as week, arg_min(node_id, (coalesce(chapter, 999), node_id)) as ow from wk group by all having {cn_sql('w')} is not null), sz as (select course_code, count(*) as chapters from ch group by 1)
+select query_id, case when x3.chapter is not null then case when oc is not null then 'chapter' else 'unknown_chapter' end when x3.week is not null then case when ow is not null then 'week' else 'unknown_week' end when coalesce(chapters, 0) > 0 then 'outline' else 'no_outline' end as reaction, case when x3.chapter is not null then oc when x3.week is not null then ow end as node_id, coalesce(chapters, 0) as chapters from x3 left join bc on bc.course_code = x3.course_code and bc.chapter = x3.chapter left join bw on bw.course_code = x3.course_code and bw.week = x3.week left join sz on sz.course_code = x3.course_code""",
     "o109_dispatch": f"with {_LISTS}, x as (select query_id, doc_id, row_number() over (partition by query_id order by score desc, doc_id) as r from raw), y as (select query_id, doc_id, row_number() over (partition by query_id order by round(0.75::double * coalesce(vec, 0) + 0.15::double * lex + 0.08::double * section, 8) desc, doc_id) as r from bf) select query_id, doc_id, 'bm25' as mode from x where r = 1 union all select query_id, doc_id, 'dense' from dense where dense_rank = 1 union all select query_id, doc_id, 'linear' from y where r = 1",
     "o196_schedule_prefix": f"with {_PATH} select doc_id, pos, coalesce([z for z in list_reverse(path) if regexp_matches(z, '周次|进度|安排')][1], path[-1]) as prefix from pa where len(path) > 0",
     "o74_pair_candidates": f"with {_CON} select floor(round(list_cosine_similarity(t.e, s.e), 6) * 10)::bigint as decile, count(*) as pairs from c t, c s where t.vec_id % 10 = 0 and t.vec_id <> s.vec_id group by 1",
