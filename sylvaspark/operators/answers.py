@@ -200,17 +200,20 @@ def o272_concept_types(spark, sf_dir):
     return catalog(spark, sf_dir).where("course_name is not null").groupBy(out.alias("type")).agg(F.count("*").alias("n"))
 
 
-def o142_fallback_concepts(spark, sf_dir):
-    """Terms of documents that end as concepts of a type do, each once per document."""
-    d = table(spark, sf_dir, "documents").where("text is not null")
-    t = d.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("([一-鿿]{2,6}(?:理论|原理|方法|模型|系统))"), 1))).alias("term"))
-    return t.groupBy("term").agg(F.count("*").alias("docs"))
+def fallback_concepts(docs: DataFrame) -> DataFrame:
+    """(doc_id, type, term): Han runs of two to eight characters that end as concepts of a type do, of each compared key once per document; the first type that matches counts."""
+    runs = F.array_distinct(F.regexp_extract_all("text", F.lit("([一-鿿]{2,8})"), 1))
+    kind = F.lit(None).cast("string")
+    for name, p in reversed(SUFFIX_TYPES):
+        kind = F.when(F.col("term").rlike(f"(?:{p})$"), name).otherwise(kind)
+    t = docs.where("text is not null").select("doc_id", F.explode(runs).alias("term")).withColumn("type", kind).where("type is not null")
+    bare = F.regexp_replace("term", f"(?<=.)(?:{'|'.join(MODIFIERS)})+$|的", "")
+    return t.groupBy("doc_id", bare.alias("key")).agg(F.min(F.struct("term", "type")).alias("x")).select("doc_id", "x.type", "x.term")
 
 
-def o143_noise(spark, sf_dir):
-    """Candidate terms that are noise: too short or long, stop words, numbers or fragments."""
-    t = o142_fallback_concepts(spark, sf_dir)
-    return t.select("term", (F.length("term").between(3, 8) & ~F.col("term").rlike("^(的|了|和|与|在)|本课程|以下")).alias("kept"))
+def o142_fallback_concepts(spark, sf_dir):
+    """Concepts of documents by type, with the documents that hold them."""
+    return fallback_concepts(table(spark, sf_dir, "documents")).groupBy("type", "term").agg(F.count("*").alias("docs"))
 
 
 def o140_evidence_sentence(spark, sf_dir):
@@ -531,9 +534,8 @@ SQL = {
     "o274_signals": f"with {_CON} select t.vec_id as target, s.vec_id as source, s.b <= t.b as bloom_allowed, (case when s.b > t.b then 0 when s.d = t.d then 1 else 0.5 end)::double as rule, (case when coalesce(s.s < t.s, false) then 0.3 else 0 end)::double as structure from c t, c s where t.vec_id <> s.vec_id",
     "o277_public": f"with {BLK} select regexp_replace(title, '^第[一二三四五六七八九十0-9]+[章讲节周]\\s*', '') as concept, coalesce(bool_or(regexp_matches(upper(trim(course_code)), '^(?:{'|'.join(PUBLIC)})')), false) as public from blk where title is not null group by 1",
     "o272_concept_types": f"with {CAT} select case " + " ".join(f"when regexp_matches(course_name, '(?:{p})$') then '{n}'" for n, p in SUFFIX_TYPES) + " else 'concept' end as type, count(*) as n from cat where course_name is not null group by 1",
-    "o142_fallback_concepts": "with t as (select doc_id, unnest(list_distinct(regexp_extract_all(text, '([一-鿿]{2,6}(?:理论|原理|方法|模型|系统))', 1))) as term from documents where text is not null) select term, count(*) as docs from t group by 1",
+    "o142_fallback_concepts": f"with r as (select doc_id, unnest(list_distinct(regexp_extract_all(text, '([一-鿿]{{2,8}})', 1))) as term from documents where text is not null), t as (select *, case " + " ".join(f"when regexp_matches(term, '(?:{p})$') then '{n}'" for n, p in SUFFIX_TYPES) + " end as type from r), k as (select *, replace(case when length(regexp_replace(term, '(?:" + "|".join(MODIFIERS) + ")+$', '')) > 0 then regexp_replace(term, '(?:" + "|".join(MODIFIERS) + ")+$', '') else term end, '的', '') as key from t where type is not null), m as (select doc_id, key, min((term, type)) as x from k group by all) select x[2] as type, x[1] as term, count(*) as docs from m group by all",
     "o141_field_only": "select doc_id, not contains(regexp_replace(text, '(?m)^(?:重点|难点|考核内容|考核方式)[^\\n。]*', '', 'g'), '考核') as field_only from documents where text like '%考核%'",
-    "o143_noise": "with t as (select distinct unnest(regexp_extract_all(text, '([一-鿿]{2,6}(?:理论|原理|方法|模型|系统))', 1)) as term from documents where text is not null) select term, length(term) between 3 and 8 and not regexp_matches(term, '^(的|了|和|与|在)|本课程|以下') as kept from t",
     "o140_evidence_sentence": f"with {BLK}, b as (select node_id, text, regexp_replace(title, '^第[一二三四五六七八九十0-9]+[章讲节周]\\s*', '') as topic from blk where text is not null and title is not null), s as (select node_id, [x for x in string_split_regex(text, '[。！？\\n]') if length(x) > 0 and contains(x, topic)] as l from b where topic <> '') select node_id, l[1] as sentence from s where len(l) > 0",
     "o159_markdown": "with r as (select doc_id, [x for x in string_split(text, chr(10)) if trim(x, ' ') <> ''] as l from documents where doc_kind = 'schedule' and text is not null) select doc_id, len(l)::int as rows, '| ' || replace(l[1], chr(9), ' | ') || ' |' as first from r",
     "o178_official_semester": f"with {OFF}, o as (select {_C} as code, offering_id, program_name, {column_sql('semester')} as s from off where course_code is not null) select code, program_name, nullif(arg_min(coalesce(s, -1), offering_id), -1) as semester from o where program_name is not null group by all union all select code, '', min(s) from o group by 1",

@@ -205,11 +205,11 @@ def o227_semester_answer(spark, sf_dir):
 
 
 def o228_on_topic(spark, sf_dir):
-    """Whether the first statement answers; a chapter heading anywhere means it does not."""
+    """Whether the first statement holds what the question is about (the course that it names in brackets, else a word for courses); a chapter heading anywhere means it does not."""
     a = log(spark, sf_dir).where("answer is not null")
     line = F.get(F.filter(F.transform(F.split("answer", r"\r\n|[\n\r]"), X.strip), lambda x: x != ""), F.lit(0))
     first = F.when(F.instr(line, "。") > 0, F.substring(line, F.lit(1), F.instr(line, "。"))).otherwise(F.coalesce(line, F.lit("")))
-    return a.select("query_id", "query_type", F.when(F.col("answer").rlike(CHAPTER_LINE), False).otherwise(first.contains("课程") | first.contains("course")).alias("on_topic"))
+    return a.select("query_id", "query_type", F.when(F.col("answer").rlike(CHAPTER_LINE), False).otherwise(F.when(F.regexp_extract("query", "《([^》]+)》", 1) != "", first.contains(F.regexp_extract("query", "《([^》]+)》", 1))).otherwise(first.contains("课程") | first.contains("course"))).alias("on_topic"))
 
 
 def o229_relevance(spark, sf_dir):
@@ -317,7 +317,7 @@ def _arm(n: int) -> str:
 
 _INS = f"{OFF}, o as (select upper(trim(course_code)) as code, program_name, array_to_string(list_sort(list_distinct(string_split(instructor, '、'))), '、') as n from off where program_name is not null and course_code is not null and instructor is not null), g as (select code, program_name, count(distinct n) = 1 as same from o group by all having count(*) > 1)"
 _FIRST = f"coalesce([y for y in [{strip_sql('x')} for x in string_split_regex(answer, '\\r\\n|[\\n\\r]')] if y <> ''][1], '')"
-_TOPIC = f"{LOG}, l as (select query_id, query_type, answer, {_FIRST} as line from lg where answer is not null), tp as (select query_id, query_type, case when regexp_matches(answer, '(?m)^[\\s\\-\\*•#>\\d\\.、]*第\\s*[一二三四五六七八九十百零\\d]+\\s*章') then false else regexp_matches(case when instr(line, '。') > 0 then substring(line, 1, instr(line, '。')) else line end, '课程|course') end as on_topic from l)"
+_TOPIC = f"{LOG}, l as (select query_id, query_type, answer, regexp_extract(query, '《([^》]+)》', 1) as fo, {_FIRST} as line from lg where answer is not null), tp as (select query_id, query_type, case when regexp_matches(answer, '(?m)^[\\s\\-\\*•#>\\d\\.、]*第\\s*[一二三四五六七八九十百零\\d]+\\s*章') then false when fo <> '' then contains(case when instr(line, '。') > 0 then substring(line, 1, instr(line, '。')) else line end, fo) else regexp_matches(case when instr(line, '。') > 0 then substring(line, 1, instr(line, '。')) else line end, '课程|course') end as on_topic from l)"
 _COV = "coalesce((contains(answer, '学分') or contains(answer, '学时') or contains(answer, 'credits') or contains(answer, 'hours')){}, false)"
 SQL = {
     "o100_confusion": f"with {_RK} select gold, " + ", ".join(f"count(*) filter (predicted = {i}) as p{i}" for i in range(10)) + " from g group by gold",

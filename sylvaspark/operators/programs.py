@@ -218,12 +218,47 @@ def o296_fixed_semester(spark, sf_dir):
     return g.select("code", "s", row_rank(["s"], F.col("code")).alias("draw"))
 
 
+KNOWLEDGE = 150
+
+
+def program_graph(offers: DataFrame, edges: DataFrame, links: DataFrame, most: int = KNOWLEDGE) -> DataFrame:
+    """(program, kind, src, dst, external, weight): the links of every programme's network.
+
+    `offers`: program, node, semester. Prerequisites (src, dst) of its courses, also from courses outside of it (external). Knowledge (src, dst, weight) between its own courses: not where there is a prerequisite already, not back in time, not where both directions remain; the `most` of most weight, ties by src and dst."""
+    steps = Steps(offers.sparkSession)
+    o = steps.write(offers.groupBy("program", "node").agg(F.min("semester").alias("s")))
+    own = o.select("program", F.col("node").alias("src"), F.lit(False).alias("external"))
+    pre = o.select("program", F.col("node").alias("dst")).join(edges.distinct(), "dst").join(own, ["program", "src"], "left")
+    pre = steps.write(pre.select("program", F.lit("prerequisite").alias("kind"), "src", "dst", F.coalesce("external", F.lit(True)).alias("external"), F.lit(1).cast("long").alias("weight")))
+    k = o.select("program", F.col("node").alias("src"), F.col("s").alias("_a")).join(links, "src").join(o.select("program", F.col("node").alias("dst"), F.col("s").alias("_b")), ["program", "dst"]).where("src <> dst and not coalesce(_a > _b, false)")
+    k = steps.write(k.join(pre.select("program", "src", "dst"), ["program", "src", "dst"], "left_anti").select("program", "src", "dst", "weight"))
+    k = k.join(k.select("program", F.col("dst").alias("src"), F.col("src").alias("dst")), ["program", "src", "dst"], "left_anti")
+    k = k.withColumn("r", row_rank(["program"], F.col("weight").desc(), F.col("src"), F.col("dst"))).where(F.col("r") <= most)
+    return pre.unionByName(k.select("program", F.lit("knowledge").alias("kind"), "src", "dst", F.lit(False).alias("external"), "weight"))
+
+
+def _network(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    from sylvaspark.operators.graphs import _offers, part_edges
+
+    o = Steps(spark).write(_offers(spark, sf_dir))
+    links = o72_course_links(spark, sf_dir).select(F.col("from_course").cast("long").alias("src"), F.col("to_course").cast("long").alias("dst"), F.col("links").alias("weight"))
+    return o, program_graph(o, part_edges(spark, sf_dir), Steps(spark).write(links))
+
+
 def o185_program_graph(spark, sf_dir):
-    """Prerequisites of each plan's courses: within the plan or from outside, and in order of semester or not."""
-    o = _off(spark, sf_dir).where("program_name is not null").select("program_name", "code", X.semester_column(F.col("semester")).alias("s")).groupBy("program_name", "code").agg(F.min("s").alias("s"))
-    _, links = parent_links(table(spark, sf_dir, "course_catalog"))
-    e = o.join(links, "code").join(o.select("program_name", F.col("code").alias("parent"), F.col("s").alias("ps"), F.lit(True).alias("inside")), ["program_name", "parent"], "left")
-    return e.groupBy("program_name").agg(F.count("*").alias("links"), F.count_if("inside").alias("inside"), F.count_if(F.col("ps") >= F.col("s")).alias("late"))
+    """The links of the networks of all programmes: prerequisites with those from outside, and knowledge."""
+    return _network(spark, sf_dir)[1]
+
+
+def o185_stats(spark, sf_dir):
+    """Courses of each programme, those from outside, its links by kind and its courses with a prerequisite link."""
+    o, g = _network(spark, sf_dir)
+    g = Steps(spark).write(g)
+    n = g.groupBy("program").agg(F.count_distinct(F.when(F.col("external"), F.col("src"))).alias("external"), F.count_if(F.col("kind") == "prerequisite").alias("prerequisites"), F.count_if(F.col("kind") == "knowledge").alias("knowledge"))
+    ends = g.where("kind = 'prerequisite'").select("program", F.explode(F.array(F.col("dst"), F.when(~F.col("external"), F.col("src")))).alias("node")).where("node is not null").groupBy("program").agg(F.countDistinct("node").alias("linked"))
+    c = o.groupBy("program").agg(F.countDistinct("node").alias("courses"))
+    zero = lambda x: F.coalesce(x, F.lit(0)).alias(x)
+    return c.join(n, "program", "left").join(ends, "program", "left").select("program", "courses", *map(zero, ("external", "prerequisites", "knowledge", "linked")))
 
 
 def o83_graph_records(spark, sf_dir):
@@ -307,12 +342,26 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("course", F.coalesce(F.nullif("course_code", F.lit("")), "source", F.lit("unknown")))
 
 
+def is_noise(x):
+    """Too short, a word of instruction, a structure mark, or holding a fragment of either."""
+    return (F.length(x) < 2) | x.isin(NOISE) | x.rlike(STRUCTURAL) | x.rlike(FRAGMENTS)
+
+
+def candidates(text):
+    """Candidates of a text in order, noise included."""
+    return F.flatten(F.transform(F.split(text, CUT), lambda x: F.regexp_extract_all(x, F.lit(CANDIDATE), F.lit(0))))
+
+
 def candidate_counts(docs: DataFrame) -> DataFrame:
     """(course, phrase, tf): candidates in the texts of each course, without structure marks and words of instruction."""
-    found = F.flatten(F.transform(F.split("text", CUT), lambda x: F.regexp_extract_all(x, F.lit(CANDIDATE), F.lit(0))))
-    p = docs.where("text is not null").select("course", F.explode(found).alias("phrase"))
-    x = F.col("phrase")
-    return p.where(~x.isin(NOISE) & ~x.rlike(STRUCTURAL) & ~x.rlike(FRAGMENTS)).groupBy("course", "phrase").agg(F.count("*").alias("tf"))
+    p = docs.where("text is not null").select("course", F.explode(candidates(F.col("text"))).alias("phrase"))
+    return p.where(~is_noise(F.col("phrase"))).groupBy("course", "phrase").agg(F.count("*").alias("tf"))
+
+
+def o143_noise(spark, sf_dir):
+    """Every candidate of all documents with its number of occurrences, and whether it is noise."""
+    t = table(spark, sf_dir, "documents").where("text is not null").select(F.explode(candidates(F.col("text"))).alias("term"))
+    return t.groupBy("term").agg(F.count("*").alias("n")).select("term", "n", is_noise(F.col("term")).alias("noise"))
 
 
 def o86_phrases(spark, sf_dir):
@@ -335,6 +384,11 @@ _O = f"{OFF}, o as (select *, {_CODE} as code from off where course_code is not
 _LINK = r"nodes as (select distinct upper(trim(course_code)) as code from course_catalog), raw as (select distinct upper(trim(course_code)) as code, upper(regexp_replace(u.p, '^\s+|\s+$', '', 'g')) as parent from course_catalog, unnest(prerequisites) as u(p)), link as (select code, min(parent) as parent from raw where parent in (select code from nodes) group by code)"
 _GATE = f"{_VOTE}, ve as (select target, source, bool_and(requires) as requires, avg(confidence) as confidence, case when source % 4 = 0 then 'rule' when source % 4 = 1 then 'human' else 'llm' end as origin from vt group by target, source)"
 _FLOW = f"{_GATE}, fl as (select source % 50 as from_course, target % 50 as to_course, count(distinct (source, target)) as n from ve where requires and source % 50 <> target % 50 group by all)"
+_NET = f"""{_GATE}, cl as (select source % 50 as src, target % 50 as dst, count(distinct source || '>' || target) as weight from ve where requires and origin in ('llm', 'human') and confidence >= 0.3 and source % 50 <> target % 50 group by all),
+kk as (select p_partkey::bigint as k from part where p_partkey > 1), e as (select distinct src, dst from (select unnest([k // 2, k // 3]) as src, k as dst from kk) where src > 0), ofr as (select l_suppkey::bigint as program, l_partkey::bigint as node, min(l_linenumber) as s from lineitem group by all),
+pre as (select o.program, e.src, e.dst, (o.program, e.src) not in (select (program, node) from ofr) as external from ofr o join e on e.dst = o.node), kn as (select a.program, cl.src, cl.dst, weight from ofr a join cl on cl.src = a.node join ofr b on b.program = a.program and b.node = cl.dst where not coalesce(a.s > b.s, false) and (a.program, cl.src, cl.dst) not in (select (program, src, dst) from pre)),
+kt as (select * from kn where (program, dst, src) not in (select (program, src, dst) from kn) qualify row_number() over (partition by program order by weight desc, src, dst) <= {KNOWLEDGE}),
+net as (select program, 'prerequisite' as kind, src, dst, external, 1::bigint as weight from pre union all select program, 'knowledge', src, dst, false, weight from kt)"""
 _LABEL = r"^(\d+)\s*[-–~～至]\s*(\d+)$"
 _CUT = CUT.replace("(?U)", "").replace(r"[\s、", r"[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}、")
 _PHR = f"dk as (select coalesce(nullif(course_code, ''), source, 'unknown') as course, text from documents), ph as (select course, unnest(flatten(list_transform(string_split_regex(text, '{_CUT}'), lambda x: regexp_extract_all(x, '{CANDIDATE}')))) as phrase from dk where text is not null), tf as (select course, phrase, count(*) as tf from ph where phrase not in {X.sql_list(NOISE)} and not regexp_matches(phrase, '{STRUCTURAL}') and not regexp_matches(phrase, '{FRAGMENTS}') group by all)"
@@ -364,7 +418,8 @@ SQL = {
     "o278_semesters": f"with {_O} select code, min({column_sql('semester')}) as semester from o group by 1",
     "o173_concept_semester": f"with {_O}, s as (select code, min({column_sql('semester')}) as semester from o group by 1), p as (select distinct program_name, code from o where program_name is not null) select program_name, case when count(*) = count(semester) then min(semester) end as semester from p join s using (code) group by 1",
     "o296_fixed_semester": f"with {_O}, s as (select code, {column_sql('semester')} as s from o), g as (select code, count(*) as n, count(s) as k, min(s) as s, max(s) as t from s group by 1) select code, s, row_number() over (partition by s order by code)::int as draw from g where n = k and s = t and s <= 8",
-    "o185_program_graph": f"with {_O}, {_LINK}, p as (select program_name, code, min({column_sql('semester')}) as s from o where program_name is not null group by all) select a.program_name, count(*) as links, count(b.code) as inside, count(*) filter (b.s >= a.s) as late from p a join link using (code) left join p b on b.program_name = a.program_name and b.code = link.parent group by 1",
+    "o185_program_graph": f"with {_NET} select * from net",
+    "o185_stats": f"with {_NET}, n as (select program, count(distinct src) filter (external) as external, count(*) filter (kind = 'prerequisite') as prerequisites, count(*) filter (kind = 'knowledge') as knowledge from net group by 1), le as (select program, count(distinct node) as linked from (select program, dst as node from net where kind = 'prerequisite' union all select program, src from net where kind = 'prerequisite' and not external) group by 1), cs as (select program, count(*) as courses from ofr group by 1) select program, courses, coalesce(external, 0) as external, coalesce(prerequisites, 0) as prerequisites, coalesce(knowledge, 0) as knowledge, coalesce(linked, 0) as linked from cs left join n using (program) left join le using (program)",
     "o83_graph_records": f"with {_O}, {_LINK}, d as (select course_code from documents where course_code is not null), c as (select distinct course_code from course_catalog) select kind, count(*) as n from (select 'Course' as kind from c union all select 'Program' from (select distinct program_name from o where program_name is not null) union all select 'Document' from d union all select 'CONTAINS' from (select distinct program_name, code from o where program_name is not null and code in (select course_code from c)) union all select 'MENTIONS' from d where course_code in (select course_code from c) union all select 'PREREQUISITE_OF' from link) group by kind",
     "o16_replace_managed": "with n as (select doc_id, 'b2' as build from documents where doc_id % 10 <> 1), k as (select doc_id, 'manual' as build from documents where doc_id % 10 <> 0 and doc_id % 3 = 0 and doc_id not in (select doc_id from n)) select build, count(*) as n, sum(doc_id)::bigint as ids from (select * from n union all select * from k) group by 1",
     "o295_relation_items": f"with {_LINK}, e as (select code as a, parent as b from link), r as (select a, b, 1 as d from e union all select x.a, y.b, 2 from e x join e y on x.b = y.a union all select x.a, z.b, 3 from e x join e y on x.b = y.a join e z on y.b = z.a), m as (select a, b, min(d) as d from r where a <> b group by all) select case when d = 1 then 'direct' else 'indirect' end as relation, count(*) as n from m group by 1",
@@ -372,6 +427,7 @@ SQL = {
     "o123_part_number": "select l_orderkey, l_linenumber, row_number() over (partition by l_orderkey, l_returnflag order by l_linenumber)::int as part from lineitem",
     "o125_spread": f"with {OFF}, r as (select offering_id, program_name, row_number() over (partition by program_name order by offering_id) as r from off where program_name is not null) select offering_id, program_name from r order by r > 1, offering_id limit 40",
     "o236_quota": "with g as (select event_type, count(*) as n from events group by 1), q as (select *, (100 - count(*) over ()) * n / sum(n) over () as exact, count(*) over () as k from g), b as (select *, floor(exact) as base, row_number() over (order by exact - floor(exact) desc, event_type) as place from q) select event_type, (1 + base + (place <= (100 - k) - sum(base) over ())::int)::bigint as seats from b",
+    "o143_noise": f"with {_PHR} select phrase as term, count(*) as n, length(phrase) < 2 or phrase in {X.sql_list(NOISE)} or regexp_matches(phrase, '{STRUCTURAL}') or regexp_matches(phrase, '{FRAGMENTS}') as noise from ph group by 1",
     "o86_phrases": f"with {_PHR} select * from tf",
     "o87_ranked_phrases": f"with {_PHR}, df as (select phrase, count(*) as df from tf group by 1), n as (select count(distinct course) as n from dk), s as (select course, phrase, tf * (ln(n / df) + 1) as score from tf join df using (phrase), n where n = 1 or df / n <= 0.5) select course, phrase, round(score, 6) as score, row_number() over (partition by course order by score desc, phrase)::int as rank from s qualify rank <= 40",
 }

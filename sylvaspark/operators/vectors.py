@@ -265,10 +265,13 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def o137_clusters(spark, sf_dir):
-    """Vectors linked by cosines of 0.94 or more, each with the least id of its component."""
+    """Vectors of one exact key (their first ten values, rounded) or linked by cosines of 0.94 or more, each with the least id of its component. All vectors of a key are linked to the least of them, so copies don't pair up."""
     v = _vectors(spark, sf_dir)
+    key = F.array_join(F.transform(F.slice("embedding", 1, 10), lambda x: F.round(x, 3).cast("string")), ",")
+    keyed = v.where("embedding is not null").select("vec_id", key.alias("key"))
+    same = keyed.join(keyed.groupBy("key").agg(F.min("vec_id").alias("first")), "key").where("vec_id <> first").select(F.col("first").alias("a"), F.col("vec_id").alias("b"))
     pairs = cosine_pairs(v, v, least=CLUSTER - 1e-9).where("query_id < id").select(F.col("query_id").alias("a"), F.col("id").alias("b"))
-    return components(pairs, v.select(F.col("vec_id").alias("id")))
+    return components(pairs.unionByName(same), v.select(F.col("vec_id").alias("id")))
 
 
 def o88_canonical(spark, sf_dir):
@@ -343,6 +346,6 @@ SQL = {
     "o93_vote_verify": f"with {_VOTE}, g as (select target, source, bool_and(requires) as unanimous, avg(confidence) as mean, count(*) filter (requires) as yes, count(*) as n from vt group by all), r as (select target, source, arg_min(reason, (-k, -length(reason), reason)) as reason from (select target, source, reason, count(*) as k from vt group by all) group by all) select target, source, unanimous, round(mean, 6) as mean, unanimous and mean >= 0.6 as strict, yes * 2 > n as majority, reason from g join r using (target, source)",
     "o101_merged_status": f"with {_VOTE}, s as (select *, case when not requires then 5 when confidence < 0.3 then 2 when confidence < 0.6 then 1 else 0 end as sev from vt) select target, case max(sev) when 5 then 'refused' when 2 then 'pruned' when 1 then 'rewritten' else 'passed' end as status, count(*) as attempts, bool_and(requires) as verified from s group by target",
     "o88_canonical": f"with s as (select distinct entry_id, course_name from syllabus_courses where course_name is not null), g as (select {key_sql('course_name')} as key, course_name, count(*) as n, min(entry_id) as f from s group by all) select 'concept_' || substring(sha256(key), 1, 16) as id, arg_min(course_name, (-n, f)) as canonical, count(*)::int as n_aliases, sum(n)::bigint as n from g where key <> '' group by key",
-    "o137_clusters": f"with recursive {_VEC}, e as (select a.vec_id as a, b.vec_id as b from v a, v b where a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.94 - 1e-9), r as (select vec_id as id, vec_id as root from v union select e.b, r.root from r join e on e.a = r.id) select id, min(root) as root from r group by id",
+    "o137_clusters": f"with recursive {_VEC}, e as (select a.vec_id as a, b.vec_id as b from v a, v b where a.vec_id <> b.vec_id and (list_cosine_similarity(a.e, b.e) >= 0.94 - 1e-9 or [round(x, 3) for x in a.e[1:10]] = [round(x, 3) for x in b.e[1:10]])), r as (select vec_id as id, vec_id as root from v union select e.b, r.root from r join e on e.a = r.id) select id, min(root) as root from r group by id",
 }
 QUERIES = {k: v for k, v in globals().items() if k[:1] == "o" and k[1:2].isdigit()}
