@@ -153,8 +153,11 @@ def o203_coverage(spark, sf_dir):
     """Chapters of each course whose title none of its documents names, and the share that is covered."""
     c = _latest_chapters(spark, sf_dir).select("course_code", "node_id", X.strip(F.regexp_replace("title", "^第[一二三四五六七八九十0-9]+[章讲节周]", "")).alias("topic")).where("topic <> ''")
     d = table(spark, sf_dir, "documents").where("course_code is not null and text is not null").select("course_code", "text")
-    j = c.join(d, "course_code", "left").groupBy("course_code", "node_id").agg(F.max(F.coalesce(F.col("text").contains(F.col("topic")), F.lit(False)).cast("int")).alias("hit"))
-    return j.groupBy("course_code").agg(F.sum("hit").alias("covered"), F.count("*").alias("total"))
+    # A text meets the topics of its course once, as a set (those of one latest document), and only its hits go on.
+    topics = c.groupBy("course_code").agg(F.collect_set("topic").alias("topics"))
+    hits = d.join(topics, "course_code").select("course_code", F.explode(F.filter("topics", lambda x: F.col("text").contains(x))).alias("topic")).distinct().withColumn("hit", F.lit(1))
+    j = c.join(hits, ["course_code", "topic"], "left")
+    return j.groupBy("course_code").agg(F.sum(F.coalesce("hit", F.lit(0))).alias("covered"), F.count("*").alias("total"))
 
 
 def o205_week(spark, sf_dir):
@@ -305,6 +308,7 @@ SQL = {
     "o155_fallback_answer": f"with {_B}, o as (select course_code, kind, arg_min(text, node_id) as t, min(node_id) as n from b where course_code is not null and text is not null and text <> '' group by all), r as (select *, row_number() over (partition by course_code order by n) as r from o qualify r <= 3) select course_code, sum(length(substring(t, 1, 140)))::bigint as chars, count(*) as bullets from r group by 1",
     "o285_explicit_prerequisites": f"with {_A}, {SYL}, ll as (select doc_id, pos, line from l union all select -1 - entry_id, 0, (case when entry_id % 2 = 0 then '先修课程：' else 'Prerequisite:' end) || array_to_string(prerequisites, '、') from syl where len(prerequisites) > 0), sd as (select doc_id, pos, regexp_extract(line, '^(?:先修课程|先修|Prerequisites?)[：:]([^\\n]+)', 1) as names from ll), sp as (select doc_id, pos, unnest(string_split(names, '、')) as raw from sd where names <> '') select doc_id, pos, {strip_sql('raw')} as name from sp where {strip_sql('raw')} <> ''",
     "o84_concept_evidence": f"with {BLK}, b as (select node_id, document_hash, course_code, text, regexp_replace(title, '^第[一二三四五六七八九十0-9]+[章讲节周]\\s*', '') as term from blk where title is not null), c as (select b.node_id, term, 1 as tier, node_id as wh, text as t from b where term <> '' and contains(text, term) union all select b.node_id, b.term, 2, o.node_id, o.text from b join b o using (document_hash) where b.term <> '' and b.node_id <> o.node_id and contains(o.text, b.term) union all select b.node_id, term, 3, lpad(doc_id::varchar, 12, '0'), d.text from b join documents d using (course_code) where term <> '' and contains(d.text, term)), s as (select node_id, term, tier, wh, generate_subscripts(l, 1) as pos, unnest(l) as s from (select *, regexp_extract_all(t, '([^。！？\\n]+)', 1) as l from c)), f as (select node_id, arg_min((tier, s), (tier, wh, pos)) as e from s where contains(s, term) group by 1) select node_id, e[1] as tier, e[2] as sentence from f",
+    "o91_occurrences": f"with {_B}, c as (select *, regexp_replace(title, '^第[一二三四五六七八九十0-9]+[章讲节周]\\s*', '') as concept from b where title is not null and course_code is not null) select concept, course_code, chapter, count(*) as n, arg_min(text, node_id) filter (trim(text, ' ') <> '') as evidence, arg_min(chunk_ids[1], node_id) filter (len(chunk_ids) > 0) as chunk_id from c where concept <> '' group by all",
     "o284_schedule_rows": "with " + _LINES.format(" and doc_kind = 'schedule'") + ", x as (select doc_id, pos, try_cast(regexp_extract(line, '^第([0-9]{1,3})周[\\t ]*([^\\n]*)\\z', 1) as int) as week, regexp_extract(line, '^第([0-9]{1,3})周[\\t ]*([^\\n]*)\\z', 2) as topic from ln where trim(line, ' ') <> '') select * from x where week is not null",
 }
 QUERIES = {k: v for k, v in globals().items() if k[:1] == "o" and k[1:2].isdigit()}

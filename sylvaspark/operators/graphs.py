@@ -305,8 +305,10 @@ def o117_paths(spark, sf_dir):
 
 
 def o98_aggregated(spark, sf_dir):
-    """Sources of the paths to each target: number of paths, best mean."""
-    return _three(spark, sf_dir).groupBy("target", "node").agg(F.count("*").alias("paths"), F.max("mean").alias("best"))
+    """Sources of the paths to each target by the course and chapter that they belong to: the different sources in order, paths and best mean."""
+    at = _three(spark, sf_dir).withColumn("course", F.expr("div(node, 10)")).withColumn("chapter", F.col("node") % 10 % 3)
+    g = at.groupBy("target", "course", "chapter").agg(F.sort_array(F.collect_set("node")).alias("c"), F.count("*").alias("paths"), F.max("mean").alias("best"))
+    return g.select("target", "course", "chapter", F.array_join(F.transform("c", lambda x: x.cast("string")), ",").alias("concepts"), "paths", "best")
 
 
 def _connecting(spark, sf_dir) -> DataFrame:
@@ -395,7 +397,7 @@ SQL = {
     "o188_neighbours": f"with {_W} select target, node, row_number() over (partition by target order by hops, node)::int as place from w where node <> target qualify place <= 20",
     "o104_course_graph": f"with {_E} select target, (select count(*) from e where dst = target) as before, (select count(*) from e where src = target) as after from t",
     "o117_paths": f"with recursive {_P} select * from top",
-    "o98_aggregated": f"with recursive {_P} select * from ag",
+    "o98_aggregated": f"with recursive {_P} select target, node // 10 as course, node % 10 % 3 as chapter, array_to_string(list_sort(list(distinct node)), ',') as concepts, count(*) as paths, max(mean) as best from p group by all",
     "o190_connecting": f"with recursive {_P}, {_CX} select target, node, path, mean, links from cx",
     "o192_dependency_answer": f"with recursive {_P}, {_CX}, {_EX.format('cx')} select t.target, coalesce(sources, 0) as sources, coalesce(paths, 0)::bigint as paths, best, coalesce(phrase, '{NO_PATHS}') as phrase from t left join ex using (target)",
     "o191_mermaid": f"with recursive {_P}, l as (select target, a[i] || ' --> ' || a[i + 1] as l from (select target, string_split(path, '>') as a from top), range(1, 4) r(i) where i < len(a)) select target, array_to_string(list_sort(list(distinct l)), '; ') as diagram from l group by target",

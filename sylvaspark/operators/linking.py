@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import difflib
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -229,13 +230,24 @@ def _programs(spark, sf_dir):
     return o.withColumn("core", X.core_program(F.regexp_replace("program_name", "（[^（）]*）$", ""), PLAN_TYPES))
 
 
+def match_keyword(texts: DataFrame, aliases: DataFrame, cores: DataFrame, titles: DataFrame) -> DataFrame:
+    """(query_id, keyword): the programme that each text names: by an alias, else a core name, else a whole title, the longest first; an alias gives what it stands for.
+
+    `texts`: query_id, query. `aliases`: name, keyword. `cores`, `titles`: name."""
+    named = lambda d, step: d.where("name <> ''").select(F.lower("name").alias("name"), F.concat(F.lit(f"{step}|"), "keyword").alias("code"), F.lit(step).alias("rank"))
+    steps_ = (aliases, cores.select("name", F.col("name").alias("keyword")), titles.select("name", F.col("name").alias("keyword")))
+    found = reduce(DataFrame.unionByName, [mentions(texts, named(d, i).groupBy("name").agg(F.min("code").alias("code"), F.min("rank").alias("rank"))) for i, d in enumerate(steps_)])
+    best = found.groupBy("query_id").agg(F.min_by("code", F.struct(F.substring("code", 1, 1), -F.length("name"), "name")).alias("code"))
+    return best.select("query_id", F.substr(F.col("code"), F.lit(3)).alias("keyword"))
+
+
 def o60_program_keyword(spark, sf_dir):
-    """The core programme that a plan's title names: the longest core name that it holds."""
+    """The programme that texts name: titles of plans, their cores' short forms (first and third character, where that stands for one core) and whole titles of plans without a core."""
     p = _programs(spark, sf_dir).select("program_name", "core").distinct()
-    cores = p.select(F.col("core").alias("name")).where("core <> ''").distinct().withColumn("code", F.col("name")).withColumn("rank", F.lit(0))
-    q = p.select(F.col("program_name").alias("query_id"), F.col("program_name").alias("query")).distinct()
-    m = mentions(q, cores)
-    return m.groupBy("query_id").agg(F.min_by("name", F.struct(-F.length("name"), "name")).alias("keyword")).withColumnRenamed("query_id", "program_name")
+    cores = p.select(F.col("core").alias("name")).where("core <> ''").distinct()
+    short = cores.where("length(name) >= 4").select(F.concat(F.substring("name", 1, 1), F.substring("name", 3, 1)).alias("s"), "name").groupBy("s").agg(F.min("name").alias("keyword"), F.count("*").alias("n")).where("n = 1").select(F.concat(F.lit("简称"), "s").alias("name"), "keyword")
+    asked = p.select(F.col("program_name").alias("query")).union(short.select(F.concat("name", F.lit("的课程有哪些")))).distinct().select(F.col("query").alias("query_id"), "query")
+    return match_keyword(asked, short, cores, p.select(F.col("program_name").alias("name")).distinct()).withColumnRenamed("query_id", "text")
 
 
 def o61_program_type(spark, sf_dir):
@@ -410,5 +422,5 @@ select file_id, case when in_name in (select upper(course_code) from cat) then i
     "o258_vague": f"with {LOG}, x as (select query_id, course_code, coalesce(regexp_matches(query, '这门课|这课|难不难|难吗|难度|怎么样|好不好|值不值|值得|好学|好过|水课|给分|要学.{{0,8}}吗|需要学.{{0,8}}吗'), false) as v from lg) select query_id, case when v and course_code is null then 'clarify' when v then 'suggest' else 'answer' end as reaction from x",
 }
 SQL["o66_existence"] = f"with {OFF}, {CAT}, p as (select {_CODE} as course_code, count(distinct program_name) as plans from off where program_name is not null and contains({core_sql(_TITLE)}, '法学') group by 1) select distinct c.course_code, coalesce(plans, 0) as plans, plans is not null as opened from (select distinct course_code from cat) c left join p using (course_code)"
-SQL["o60_program_keyword"] = f"with {OFF}, p as (select distinct program_name, {core_sql(_TITLE)} as core from off where program_name is not null) select a.program_name, arg_min(lower(b.core), (-length(b.core), lower(b.core))) as keyword from p a join (select distinct core from p where core <> '') b on contains(lower(a.program_name), b.core) group by 1"
+SQL["o60_program_keyword"] = f"with {OFF}, p as (select distinct program_name, {core_sql(_TITLE)} as core from off where program_name is not null), co as (select distinct core from p where core <> ''), sh as (select '简称' || substring(core, 1, 1) || substring(core, 3, 1) as name, min(core) as keyword from co where length(core) >= 4 group by 1 having count(*) = 1), tx as (select program_name as text from p union select name || '的课程有哪些' from sh), al as (select text, 0 as step, name, keyword from tx join sh on contains(lower(text), lower(name)) union all select text, 1, core, core from tx join co on contains(lower(text), lower(core)) union all select text, 2, program_name, program_name from tx join (select distinct program_name from p) on contains(lower(text), lower(program_name))) select text, arg_min(keyword, (step, -length(name), lower(name))) as keyword from al group by 1"
 QUERIES = {k: v for k, v in globals().items() if k[:1] == "o" and k[1:2].isdigit()}

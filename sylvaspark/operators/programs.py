@@ -137,10 +137,12 @@ def o90_unique_values(spark, sf_dir):
 
 
 def o91_occurrences(spark, sf_dir):
-    """Occurrences of a course by programme, with the first instructor that is named."""
-    o = _off(spark, sf_dir).where("program_name is not null")
-    named = X.clean(F.col("instructor")) != ""
-    return o.groupBy("code", "program_name").agg(F.count("*").alias("n"), F.min_by("instructor", F.when(named, F.col("offering_id"))).alias("instructor"))
+    """Occurrences of a concept (a block's title without its number) by course and chapter, each once, with the first text and the first chunk that any of them has."""
+    from sylvaspark.operators.doctree import _blk
+
+    b = _blk(spark, sf_dir).where("title is not null and course_code is not null").withColumn("concept", F.regexp_replace("title", r"^第[一二三四五六七八九十0-9]+[章讲节周]\s*", "")).where("concept <> ''")
+    has_text, has_chunk = F.trim("text") != "", F.size("chunk_ids") > 0
+    return b.groupBy("concept", "course_code", "chapter").agg(F.count("*").alias("n"), F.min_by("text", F.when(has_text, F.col("node_id"))).alias("evidence"), F.min_by(F.get("chunk_ids", F.lit(0)), F.when(has_chunk, F.col("node_id"))).alias("chunk_id"))
 
 
 def o95_program_catalog(spark, sf_dir):
@@ -406,7 +408,6 @@ SQL = {
     "o94_reason": "with q as (select distinct * exclude (received_at) from query_log where course_code is not null and status is not null), g as (select course_code, status, count(*) as n from q group by all) select course_code, arg_min(status, (-n, -length(status), status)) as status from g group by 1",
     "o89_majority": f"with {_O}, g as (select code, course_category as c, count(*) as n, min(offering_id) as f from o where course_category is not null group by all) select code, arg_min(c, (-n, f)) as category from g group by 1",
     "o90_unique_values": f"with {_O}, g as (select code, {clean_sql('semester')} as s, min(offering_id) as f from o group by all) select code, string_agg(s, '|' order by f) as semesters from g where s <> '' group by 1",
-    "o91_occurrences": f"with {_O} select code, program_name, count(*) as n, arg_min(instructor, offering_id) filter ({clean_sql('instructor')} <> '') as instructor from o where program_name is not null group by all",
     "o95_program_catalog": f"with {_O}, g as (select program_name, count(distinct code) as courses, min(program_type) as program_type from o where program_name is not null group by 1), x as (select coalesce(nullif(regexp_extract(trim(program_name), '^(.*?学院)', 1), ''), '未标注学院') as college, {core_sql(_TITLE)} as core, * from g) select *, row_number() over (partition by college, core order by coalesce(nullif(coalesce(list_position({PLAN_ORDER}, program_type), 0), 0), 99), program_type nulls first, program_name)::int as place from x",
     "o71_upsert": f"with {CAT}, {SYL}, c as (select lower(course_name) as name, min(course_code) as course_code, arg_min(coalesce(prerequisites, []), course_code) as a from cat where course_name is not null group by 1), s as (select lower(course_name) as name, min(entry_id) as entry_id, arg_min(coalesce(prerequisites, []), entry_id) as b from syl where course_name is not null group by 1) select name, course_code, entry_id, (len(list_distinct(list_concat(coalesce(a, []), coalesce(b, [])))) + (len(list_filter(list_concat(coalesce(a, []), coalesce(b, [])), lambda x: x is null)) > 0)::int)::int as prerequisites from c full join s using (name)",
     "o96_overview": f"with {_O}, {_LINK} select count(distinct o.code) as offered, count(distinct program_name) as plans, count(distinct program_type) as types, (select count(*) from nodes) as courses, (select count(*) from link) as prerequisites from o",

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sylvaspark.common import Steps, row_rank, table
 from sylvaspark.functions import text as X
-from sylvaspark.operators.vectors import _VOTE
+from sylvaspark.operators.vectors import _PAIR, _VOTE
 from sylvaspark.operators.doctree import lines
 from sylvaspark.operators.lexical import TOKENS
 from sylvaspark.operators.fields import strip_sql
@@ -63,11 +63,21 @@ def o24_incremental(spark, sf_dir):
     return kept.unionByName(made)
 
 
+def path_matches(known: DataFrame, asked: DataFrame) -> DataFrame:
+    """(asked, path): for each asked path the known one that equals it, else the first that ends with it after a slash, else the first that it ends with after a slash; no row where none does. Paths meet by their tails, not all with all."""
+    tails = lambda d, c: d.select(c, F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split(c, "/"))), lambda i: F.array_join(F.slice(F.split(c, "/"), i, F.size(F.split(c, "/"))), "/"))).alias("tail"))
+    k, a = known.select("path").where("path is not null").distinct(), asked.select("asked").where("asked is not null").distinct()
+    whole_asked = tails(k, "path").join(a.withColumn("tail", F.col("asked")), "tail").select("asked", "path")
+    whole_known = tails(a, "asked").join(k.withColumn("tail", F.col("path")), "tail").select("asked", "path")
+    both = whole_asked.unionByName(whole_known).withColumn("how", F.when(F.col("path") == F.col("asked"), 0).when(F.length("path") > F.length("asked"), 1).otherwise(2))
+    return both.groupBy("asked").agg(F.min_by("path", F.struct("how", "path")).alias("path"))
+
+
 def o25_path_match(spark, sf_dir):
-    """Files whose path equals or ends with a shorter one, each way."""
-    p = syllabi(spark, sf_dir).select("source_file").where("source_file is not null").distinct()
-    short = p.select(F.element_at(F.split("source_file", "/"), -1).alias("tail")).distinct()
-    return p.select("source_file", F.element_at(F.split("source_file", "/"), -1).alias("tail")).join(short, "tail").groupBy("tail").agg(F.count("*").alias("files"))
+    """Files of syllabi asked for by their path, by its last part, below another folder and by a name that none has."""
+    p = syllabi(spark, sf_dir).select(F.col("source_file").alias("path")).where("source_file is not null").distinct()
+    asked = p.select(F.explode(F.array(F.col("path"), F.element_at(F.split("path", "/"), -1), F.concat(F.lit("archive/"), "path"), F.concat(F.lit("x"), "path"))).alias("asked"))
+    return path_matches(p, asked)
 
 
 def o26_groups(spark, sf_dir):
@@ -96,9 +106,14 @@ def o29_extraction_key(spark, sf_dir):
 
 
 def o30_validation_key(spark, sf_dir):
-    """Cache keys of validation: votes and both ends."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    return e.select("vec_id", F.sha2(F.concat_ws("\x1f", F.lit("votes=3"), F.col("vec_id").cast("string"), F.col("label").cast("string")), 256).alias("key"))
+    """Cache keys of validation: configuration of the votes and the records of both concepts."""
+    from sylvaspark.operators.vectors import _vectors, concepts, o170_concept_pairs
+
+    c = concepts(_vectors(spark, sf_dir))
+    record = F.concat_ws("|", F.col("vec_id").cast("string"), F.col("discipline").cast("string"), F.col("bloom").cast("string"), F.coalesce(F.col("semester").cast("string"), F.lit("-")), F.col("course").cast("string"))
+    r = c.select("vec_id", record.alias("r"))
+    j = o170_concept_pairs(spark, sf_dir).select("target", "source").join(r.select(F.col("vec_id").alias("source"), F.col("r").alias("sr")), "source").join(r.select(F.col("vec_id").alias("target"), F.col("r").alias("tr")), "target")
+    return j.select("target", "source", F.sha2(F.concat_ws("\x1f", F.lit("votes=3"), "sr", "tr"), 256).alias("key"))
 
 
 def o9_log_records(spark, sf_dir):
@@ -126,9 +141,14 @@ def o79_remap(spark, sf_dir):
 
 
 def o80_remap_counts(spark, sf_dir):
-    """Chunks that are unchanged, mapped and stale."""
-    m = o79_remap(spark, sf_dir)
-    return m.groupBy(F.when(F.col("new_id").isNull(), "stale").when(F.col("new_id") == F.col("old_id"), "unchanged").otherwise("mapped").alias("status")).agg(F.count("*").alias("n"))
+    """Chunks that are unchanged, mapped and stale, over records and the citations nested in them: each record cites itself and the lines before it of its document."""
+    m = Steps(spark).write(o79_remap(spark, sf_dir))
+    at = F.split("old_id", "#")
+    w = Window.partitionBy("doc").orderBy("pos").rowsBetween(-2, -1)
+    records = m.select("old_id", at[0].alias("doc"), at[1].cast("int").alias("pos")).withColumn("citations", F.collect_list("old_id").over(w))
+    ids = records.select(F.lit("record").alias("place"), "old_id").unionByName(records.select(F.lit("citation").alias("place"), F.explode("citations").alias("old_id")))
+    status = F.when(F.col("new_id").isNull(), "stale").when(F.col("new_id") == F.col("old_id"), "unchanged").otherwise("mapped")
+    return ids.join(m, "old_id").groupBy("place", status.alias("status")).agg(F.count("*").alias("n"))
 
 
 def o81_corrections(spark, sf_dir):
@@ -286,14 +306,14 @@ SQL = {
     "o22_manifest_diff": f"with {_MAN} select * from df",
     "o23_manifest_update": f"with {_MAN} select * from nm union all select * from om where path not in (select path from nm)",
     "o24_incremental": f"with {_MAN} select path, 'kept' as state from om where path not in (select path from df where change <> 'added') union all select path, 'parsed' from nm where path in (select path from df where change <> 'removed')",
-    "o25_path_match": f"with {SYL} select tail, count(*) as files from (select distinct source_file, string_split(source_file, '/')[-1] as tail from syl where source_file is not null) group by 1",
+    "o25_path_match": f"with {SYL}, p as (select distinct source_file as path from syl where source_file is not null), a as (select distinct unnest([path, string_split(path, '/')[-1], 'archive/' || path, 'x' || path]) as asked from p), j as (select asked, path, case when path = asked then 0 when length(path) > length(asked) then 1 else 2 end as how from a join p on path = asked or ends_with(path, '/' || asked) or ends_with(asked, '/' || path)) select asked, arg_min(path, (how, path)) as path from j group by 1",
     "o26_groups": f"with {SYL} select {_C} as code, source_year, count(*) as entries, max(source_file) as last_file from syl where course_code is not null and source_year <> '' group by all",
     "o27_profiles": f"with {SYL} select course_name, arg_max(entry_id, (source_file, entry_id)) as entry_id from syl where course_name in (select course_name from syl where entry_id % 3 = 0) group by 1",
     "o28_cache_misses": "select doc_id from documents where text is not null and sha256(text) not in (select sha256(text) from documents where text is not null and doc_id % 4 = 0)",
     "o29_extraction_key": "select doc_id, sha256(concat_ws(chr(31), 'v1', 'rules', course_code, doc_kind, text)) as key from documents where text is not null",
-    "o30_validation_key": "select vec_id, sha256(concat_ws(chr(31), 'votes=3', vec_id::varchar, label::varchar)) as key from embeddings",
+    "o30_validation_key": f"with {_PAIR}, r as (select vec_id, vec_id || '|' || d || '|' || b || '|' || coalesce(s::varchar, '-') || '|' || k as r from c) select target, source, sha256('votes=3' || chr(31) || a.r || chr(31) || b.r) as key from pr join r a on a.vec_id = source join r b on b.vec_id = target",
     "o79_remap": f"with {_CH} select * from mp",
-    "o80_remap_counts": f"with {_CH} select case when new_id is null then 'stale' when new_id = old_id then 'unchanged' else 'mapped' end as status, count(*) as n from mp group by 1",
+    "o80_remap_counts": f"with {_CH}, r as (select old_id, case when new_id is null then 'stale' when new_id = old_id then 'unchanged' else 'mapped' end as status, split_part(old_id, '#', 1) as doc, split_part(old_id, '#', 2)::int as pos from mp), ct as (select status, lead(old_id, 1) over w as a, lead(old_id, 2) over w as b from r window w as (partition by doc order by pos)) select place, status, sum(n)::bigint as n from (select 'record' as place, status, count(*) as n from r group by status union all select 'citation', status, (count(a) + count(b)) as n from ct group by status) group by all having sum(n) > 0",
     "o81_corrections": "select doc_id, case when doc_id % 9 = 0 then 'xx' else lang end as lang from documents",
     "o82_edge_fixes": "with k as (select p_partkey::bigint as k from part where p_partkey > 1), e as (select distinct src, dst from (select unnest([k // 2, k // 3]) as src, k as dst from k) where src > 0) select src, dst, 'PREREQUISITE_OF' as type from e where dst % 5 <> 0 union select src, dst, 'RELATED_TO' from e where dst % 20 = 0",
     "o78_review_samples": f"with {LOG}, r as (select query_id, concat_ws(',', case when latency_ms > 3000 then 'negative_feedback' end, case when status in ('degraded', 'fallback') then 'uncertain_verification' end) as reasons from lg) select * from r where reasons <> ''",

@@ -21,6 +21,10 @@ def con():
     return c
 
 
+#: Queries without SQL that the smallest tables give no rows; literal tests cover their rules.
+FEW: set[str] = set()
+
+
 def plain(v):
     if isinstance(v, float):
         return round(v, 9)
@@ -38,6 +42,7 @@ def test_query(spark, con, name):
     got = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr)
     sql = registry.oracle_sql().get(name)
     if sql is None:
+        assert got or name in FEW, "neither SQL nor rows"
         return
     r = con.execute(sql)
     names = [d[0] for d in r.description]
