@@ -149,5 +149,16 @@ def p6_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("value").agg(F.count("*").alias("n")).join(known.where("ref_code = ''"), "value").select("value", "n", F.round("score", 6).alias("score"))
 
 
-QUERIES = {"p6_found": p6_found, "p6_unmatched": p6_unmatched}
-SQL: dict[str, str] = {}
+def p6_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every typed value once, and whether what it is mapped to is an entry of the list or nothing."""
+    codes = table(spark, sf_dir, "course_reference").select(F.col("course_code").alias("ref_code")).distinct().withColumn("listed", F.lit(True))
+    found = p6_found(spark, sf_dir).join(codes, "ref_code", "left")
+    return found.groupBy("entry_id", "field_name", "pos").agg(F.bool_and((F.col("ref_code") == "") | F.coalesce("listed", F.lit(False))).alias("listed"), F.count("*").alias("n"))
+
+
+_SPACE = r"[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
+QUERIES = {"p6_found": p6_found, "p6_unmatched": p6_unmatched, "p6_rows": p6_rows}
+SQL = {
+    "p6_rows": "with s as (select entry_id, any_value(course_name) as course_name, any_value(prerequisites) as prerequisites from syllabus_courses where entry_id is not null group by 1), v as (select entry_id, 'course_name' as field_name, 0 as pos, course_name as value from s union all select entry_id, 'prerequisites', (generate_subscripts(prerequisites, 1) - 1)::int, unnest(prerequisites) from s) "
+    f"select entry_id, field_name, pos, true as listed, 1::bigint as n from v where value is not null and lower(regexp_replace(value, '^{_SPACE}|{_SPACE}$', '', 'g')) not in ('', '/', '-', '无', '暂无', 'none')",
+}

@@ -166,5 +166,15 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.groupBy("container_id").agg(F.count("*").alias("n_items"), F.sum("n_tokens").alias("used"))
 
 
-QUERIES = {"p8_containers": p8_containers, "p8_fill": p8_fill}
-SQL: dict[str, str] = {}
+def p8_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, and whether its containers keep to the capacity, its parts add up to its tokens and only a document over the capacity has more than one."""
+    sized = Steps(spark).write(encode(table(spark, sf_dir, "documents"), lengths_only=True))
+    packed = Steps(spark).write(pack(sized))
+    used = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("used"))
+    parts = packed.join(used, "container_id").groupBy("doc_id").agg(F.max("used").alias("most"), F.sum("n_tokens").alias("total"), F.count("*").alias("parts"))
+    j = sized.join(parts, "doc_id", "left")
+    return j.select("doc_id", F.coalesce((F.col("most") <= CAPACITY) & (F.col("total") == F.col("n_tokens")) & ((F.col("parts") == 1) | (F.col("n_tokens") > CAPACITY)), F.lit(False)).alias("whole"))
+
+
+QUERIES = {"p8_containers": p8_containers, "p8_fill": p8_fill, "p8_whole": p8_whole}
+SQL: dict[str, str] = {"p8_whole": "select doc_id, true as whole from documents"}

@@ -177,5 +177,17 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split(table(spark, sf_dir, "blocks"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_pieces": p5_pieces}
-SQL = {"p5_found": "select distinct node_id from blocks where length(text) > 750"}
+def p5_rejoined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every block that is cut, put together again: the hash of its pieces without what they repeat, and whether all keep to the limit and the overlap."""
+    p = p5_pieces(spark, sf_dir)
+    body = F.struct("piece_no", F.expr("substring(piece, overlap + 1)").alias("t"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(body)), lambda x: x["t"]), "")  # the pieces of one text
+    fits = F.bool_and((F.length("piece") <= LIMIT) & (F.col("overlap") <= OVERLAP) & (F.length("piece") > F.col("overlap")))
+    return p.groupBy("node_id").agg(F.sha2(text, 256).alias("text_hash"), fits.alias("fits"))
+
+
+QUERIES = {"p5_found": p5_found, "p5_pieces": p5_pieces, "p5_rejoined": p5_rejoined}
+SQL = {
+    "p5_found": "select distinct node_id from blocks where length(text) > 750",
+    "p5_rejoined": "select distinct node_id, sha256(text) as text_hash, true as fits from blocks where length(text) > 750",
+}
