@@ -20,7 +20,7 @@ from sylvaspark.functions import text as X
 
 K1, B, TOP = 1.5, 0.75, 5
 #: Documents in a shard and queries in a block.
-SHARD, BLOCK = 1024, 256
+SHARD, BLOCK = 2048, 1024
 _LATIN, _NOT_HAN = re.compile("[a-z][a-z0-9]+"), re.compile("[^一-鿿]+")
 
 
