@@ -218,3 +218,10 @@ def test_split_content():
     run = answers.split_content("长" * 2000)
     assert [len(p) for p in run] == [700, 700, 700, 140] or sum(map(len, run)) >= 2000
     assert "".join([run[0], *(p[80:] for p in run[1:])]).replace("\n", "") == "长" * 2000
+
+
+def test_clarify(spark):
+    unknown = spark.createDataFrame([("线性代数一",), ("高数",), ("完全不同",), ("",)], "key string")
+    names = spark.createDataFrame([("线性代数", "M1"), ("线性代数二", "M2"), ("高等数学", "M3"), ("线性规划", "M4"), ("大学物理", "P1")], "key string, course_code string")
+    got = [tuple(r) for r in linking.clarify(unknown, names).orderBy("key", "rank").select("key", "course_code", "score", "rank").collect()]
+    assert got == [("线性代数一", "M1", round(8 / 9, 6), 1), ("线性代数一", "M2", 0.8, 2), ("高数", "M3", round(4 / 6, 6), 1)]
