@@ -272,22 +272,20 @@ def split_content(text: str | None, most: int = PART, overlap: int = OVERLAP) ->
     text = (text or "").strip()
     if len(text) <= most:
         return [text] if text else []
-    parts, now = [], ""
-    for unit in (u.strip() for u in re.split(r"(?<=[。！？；])|\n+", text)):
-        if not unit:
-            continue
+    parts = [""]  # the last one is open
+    for unit in filter(None, map(str.strip, re.split(r"(?<=[。！？；])|\n+", text))):
         while len(unit) > most:
-            if now:
-                parts.append(now)
-                now = now[-overlap:]
-            room = most - len(now)
-            now, unit = now + unit[:room], unit[room:]
-        joined = f"{now}\n{unit}".strip() if now else unit
-        if len(joined) > most:
-            parts.append(now)
-            joined = f"{now[-overlap:]}\n{unit}".strip()
-        now = joined
-    return [*parts, now] if now else parts
+            if parts[-1]:
+                parts.append(parts[-1][-overlap:])
+            room = most - len(parts[-1])
+            parts[-1] += unit[:room]
+            unit = unit[room:]
+        longer = "\n".join(filter(None, (parts[-1], unit)))
+        if len(longer) <= most:
+            parts[-1] = longer
+        else:
+            parts.append(f"{parts[-1][-overlap:]}\n{unit}".strip())
+    return parts
 
 
 def o144_split(spark, sf_dir):
