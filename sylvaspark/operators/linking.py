@@ -27,7 +27,10 @@ STRUCTURE = [r"第\s*[一二三四五六七八九十百0-9]+\s*(章|节|讲|周|
 CONTENT = [r"(主要讲|主要学习|(?<!先)学什么|讲什么|内容|介绍|包括)"]
 _NAME = r"(?![哪什几多这那该本此怎如谁])(?!(?:专业)?(?:选修|必修|核心|基础|先修|前置|通识|公选|任选|实践|相关|其他|别的)(?:课|$))([^，。？?！!,；;\s]{1,20}?)"
 _TAIL, _END = r"(?:这(?:一)?门|这个)?课(?:程)?", r"(?=[，。？?！!,；;\s]|$)"
-EXISTENCE = [rf"(?<![所拥具含享还])(?:有(?:没有|无)|是否有|是否开设){_NAME}{_TAIL}(?:吗|么|嘛)?{_END}", rf"(?<![所拥具含享还])有{_NAME}{_TAIL}(?:吗|么|嘛|没有|不){_END}", rf"(?:开不开|开没开|有没有开){_NAME}(?:这(?:一)?门)?(?:课程|课)?{_END}", rf"开(?:设)?了{_NAME}{_TAIL}(?:吗|么|嘛){_END}", rf"{_NAME}(?:这(?:一)?门课(?:程)?|课程|课)?(?:存在吗|存不存在|存在不|有吗|开吗|开不开|开没开|是否开设){_END}"]
+_ASKED = rf"(?:存在吗|存不存在|存在不|有吗|开吗|开不开|开没开|是否开设){_END}"
+EXISTENCE = [rf"(?<![所拥具含享还])(?:有(?:没有|无)|是否有|是否开设){_NAME}{_TAIL}(?:吗|么|嘛)?{_END}", rf"(?<![所拥具含享还])有{_NAME}{_TAIL}(?:吗|么|嘛|没有|不){_END}", rf"(?:开不开|开没开|有没有开){_NAME}(?:这(?:一)?门)?(?:课程|课)?{_END}", rf"开(?:设)?了{_NAME}{_TAIL}(?:吗|么|嘛){_END}", rf"{_NAME}(?:这(?:一)?门课(?:程)?|课程|课)?{_ASKED}"]
+#: What a text must hold to match a pattern that tries a name at every place; far cheaper to look for.
+NEEDED = {EXISTENCE[4]: _ASKED}
 INTENTS = [("dependency", DEPENDENCY), ("existence", EXISTENCE), ("catalog", CATALOG), ("fact", FACT), ("structure", STRUCTURE), ("content", CONTENT)]
 PREREQUISITE_CUE = r"(先|之前|以前).{0,4}(学|修)"
 # Pairs of intents that are answered together; confidence under which one intent among several is not trusted.
@@ -137,7 +140,8 @@ TEMPLATES = ["有没有{}这门课？", "《{}进阶》是几学分？", "《{}
 
 def questions(spark, sf_dir):
     """(query_id, query, course_code): the log, and the questions of TEMPLATES on every course."""
-    c = catalog(spark, sf_dir).where("course_name is not null").select("course_code", "course_name", F.posexplode(F.array(*map(F.lit, TEMPLATES))).alias("i", "t"))
+    c = catalog(spark, sf_dir).where("course_name is not null").select("course_code", "course_name").repartition(3 * spark.sparkContext.defaultParallelism)  # names are few bytes, their questions much work
+    c = c.select("course_code", "course_name", F.posexplode(F.array(*map(F.lit, TEMPLATES))).alias("i", "t"))
     asked = c.select(F.concat_ws("-", "course_code", "i").alias("query_id"), F.replace("t", F.lit("{}"), F.col("course_name")).alias("query"), "course_code")
     return log(spark, sf_dir).select("query_id", "query", "course_code").unionByName(asked)
 
@@ -210,11 +214,38 @@ def o52_pattern_hits(spark, sf_dir):
     return log(spark, sf_dir).where("query is not null").select("query_id", hits(q, DEPENDENCY).alias("dependency"), hits(q, CATALOG).alias("catalog"), hits(q, FACT).alias("fact"))
 
 
+def merged_pair(query: Column) -> Column:
+    """An array of one: the first two intents of a question with + between them, if these are answered together, else null; the same as from the labels of `classify`.
+
+    Intents are looked at in their order, and only as long as a pair can follow that is answered together. The text is a lambda's variable, so that it is made once and not again for every pattern."""
+    names = [n for n, _ in INTENTS]
+
+    def pair(q: Column) -> Column:
+        def has(name: str, first: str) -> Column:
+            found = reduce(Column.__or__, [q.rlike(NEEDED[p]) & q.rlike(p) if p in NEEDED else q.rlike(p) for p in dict(INTENTS)[name]])
+            if (name, first) == ("content", "dependency"):
+                found = found & (hits(F.regexp_replace(q, PREREQUISITE_CUE, " "), CONTENT) > 0)
+            return found
+
+        none = F.lit(None).cast("string")
+        out = None
+        for i in reversed(range(len(names))):
+            rest = None
+            for other in reversed(names[i + 1 :]):
+                both = f"{names[i]}+{other}"
+                if both in MERGED or rest is not None:
+                    rest = F.when(has(other, names[i]), F.lit(both) if both in MERGED else none).otherwise(none if rest is None else rest)
+            if rest is not None or out is not None:
+                out = F.when(has(names[i], names[i]), none if rest is None else rest).otherwise(none if out is None else out)
+        return none if out is None else out
+
+    return F.transform(F.array(F.regexp_replace(F.lower(X.strip(F.coalesce(query, F.lit("")))), "《[^》]*》", "《》")), pair)
+
+
 def o54_mergeable(spark, sf_dir):
     """Questions whose first two intents are answered together."""
-    c = classify(questions(spark, sf_dir))
-    pair = F.array_join(F.slice("labels", 1, 2), "+")
-    return c.select("query_id", pair.alias("pair")).where(F.col("pair").isin(MERGED))
+    q = questions(spark, sf_dir)
+    return q.select("query_id", F.explode(F.array_compact(merged_pair(F.col("query")))).alias("pair"))
 
 
 def o57_existence_fragment(spark, sf_dir):
