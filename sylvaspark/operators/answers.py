@@ -118,11 +118,12 @@ def o110_two_branch(spark, sf_dir):
 
 
 def o109_dispatch(spark, sf_dir):
-    """One row per query and fusion mode: the best document of the lexical, dense and linear plans."""
-    lex = lexical.o128_bm25_topk(spark, sf_dir).where("rank = 1").select("query_id", "doc_id", F.lit("bm25").alias("mode"))
+    """One row per query and fusion mode: the best document of the lexical, dense and linear plans. One lexical search serves both plans that need one."""
+    found = Steps(spark).write(lexical.ranked(spark, sf_dir, 20, "both").drop("kind"))
+    lex = lexical.top(found.select("query_id", "doc_id", "score"), 1).select("query_id", "doc_id", F.lit("bm25").alias("mode"))
     v = _vectors(spark, sf_dir)
     den = top_cosine(v.where("vec_id % 50 = 0"), v, 1).select("query_id", F.col("id").alias("doc_id"), F.lit("dense").alias("mode"))
-    lin = o106_linear_fusion(spark, sf_dir).where("rank = 1").select("query_id", "doc_id", F.lit("linear").alias("mode"))
+    lin = o106_linear_fusion(spark, sf_dir, found.select("query_id", "doc_id", F.col("share").alias("score"))).where("rank = 1").select("query_id", "doc_id", F.lit("linear").alias("mode"))
     return lex.unionByName(den).unionByName(lin)
 
 

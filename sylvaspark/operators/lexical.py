@@ -1,6 +1,6 @@
 """Lexical statistics, BM25 and overlap search.
 
-Queries are the documents whose id is divisible by 50, each with its whole text; all documents are searched. Tokens are counted within the row that holds the text, so only document frequencies are shuffled. A search cuts documents into shards and queries into blocks: each pair of a shard and a block is scored as one small sparse product and keeps its own best, so pairs of documents that can't be among the best never leave a task. idf always comes from the whole corpus, before any filter."""
+Queries are the documents whose id is divisible by 50, each with its whole text; all documents are searched. Tokens are counted within the row that holds the text, so only document frequencies are shuffled. A search cuts documents into shards and queries into blocks: each pair of a shard and a block is scored as one small product, and a task keeps the best over all of its shards, so pairs of documents that can't be among the best never leave a task. idf always comes from the whole corpus, before any filter."""
 
 from __future__ import annotations
 
@@ -19,8 +19,8 @@ from sylvaspark.common import Steps, join_lookup, row_rank, spread, table
 from sylvaspark.functions import text as X
 
 K1, B, TOP = 1.5, 0.75, 5
-#: Documents in a shard and queries in a block.
-SHARD, BLOCK = 2048, 1024
+#: Documents in a shard and queries in a block; a term is multiplied rather than added if it stands in one of so many pairs of a query and a document.
+SHARD, BLOCK, MATRIX = 2048, 2048, 500
 _LATIN, _NOT_HAN = re.compile("[a-z][a-z0-9]+"), re.compile("[^一-鿿]+")
 
 
@@ -71,98 +71,191 @@ def idf(df, n):
     return F.greatest(F.lit(0.0), F.log(1 + (n - df + 0.5) / (df + 0.5)))
 
 
-def _strings(lists) -> pa.Array:
-    return lists.flatten() if isinstance(lists, pa.ListArray) else pa.concat_arrays([x.flatten() for x in lists.chunks])
+def half_up(x: np.ndarray, digits: int = 6) -> np.ndarray:
+    """Rounded as Spark rounds: halves go away from zero."""
+    return np.copysign(np.floor(np.abs(x) * 10**digits + 0.5) / 10**digits, x)
+
+
+def _row(b: pa.RecordBatch, name: str) -> np.ndarray:
+    return b.column(name).flatten().to_numpy(zero_copy_only=False)
+
+
+def _one(types: dict, values: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([v], pa.list_(t)) for v, t in zip(values, types.values())], names=list(types))
 
 
 def _packed(docs: DataFrame, key: str, text: str, group: Column | None, size: int) -> DataFrame:
-    """(ids, lens, kinds, n, terms, tfs): token counts of up to `size` documents in one row. No shuffle: each batch packs its own rows."""
+    """(ids, kinds, lens, vocab, df, n, of, tfs): token counts of up to `size` documents in one row: the terms and in how many of the documents they stand; per document its number of terms, and of these the place in `vocab` and the count. No shuffle: each batch packs its own rows. Documents without an id count in the statistics only; their rows have no ids."""
+    types = {"ids": pa.int64(), "kinds": pa.string(), "lens": pa.int64(), "vocab": pa.string(), "df": pa.int64(), "n": pa.int32(), "of": pa.int32(), "tfs": pa.int32()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, size):
-                b = whole.slice(at, size)
-                counts = [count_tokens(t) for t in b.column(1).to_pylist()]
-                row = [b.column(0).to_pylist(), [c.total() for c in counts], b.column(2).to_pylist(), [len(c) for c in counts], [t for c in counts for t in c], [k for c in counts for k in c.values()]]
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64())))], names=["ids", "lens", "kinds", "n", "terms", "tfs"])
+        for both in batches:
+            known = pc.is_valid(both.column(0))
+            for whole, named in ((both.filter(known), True), (both.filter(pc.invert(known)), False)):
+                for at in range(0, whole.num_rows, size):
+                    b = whole.slice(at, size)
+                    counts = [count_tokens(t) for t in b.column(1).to_pylist()]
+                    terms = pa.array([t for c in counts for t in c], pa.string()).dictionary_encode()
+                    of, vocab = terms.indices.to_numpy(), terms.dictionary
+                    yield _one(types, [b.column(0) if named else [], b.column(2) if named else [], [c.total() for c in counts], vocab, np.bincount(of, minlength=len(vocab)), [len(c) for c in counts], of, [k for c in counts for k in c.values()]])
 
     kind = F.lit("") if group is None else F.coalesce(group.cast("string"), F.lit(""))
-    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), text, kind.alias("_kind"))
-    return spread(rows).mapInArrow(run, "ids array<long>, lens array<long>, kinds array<string>, n array<long>, terms array<string>, tfs array<long>")
+    rows = docs.select(F.col(key).cast("long").alias(key), text, kind.alias("_kind"))
+    return spread(rows).mapInArrow(run, "ids array<long>, kinds array<string>, lens array<long>, vocab array<string>, df array<long>, n array<int>, of array<int>, tfs array<int>")
 
 
 def _query_blocks(weighted: DataFrame) -> DataFrame:
-    """(qids, full, qn, qterms, w): up to BLOCK queries in one row, from (query_id, full, terms)."""
+    """(qids, full, qvocab, w, qn, qrow): up to BLOCK queries in one row, from (query_id, full, terms): the terms with their weights and numbers of queries, and these queries' places, term by term."""
+    types = {"qids": pa.int64(), "full": pa.float64(), "qvocab": pa.string(), "w": pa.float64(), "qn": pa.int32(), "qrow": pa.int32()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, BLOCK):
                 b = whole.slice(at, BLOCK)
-                lists = b.column(2).to_pylist()
-                row = [b.column(0).to_pylist(), b.column(1).to_pylist(), [len(x) for x in lists], [y["term"] for x in lists for y in x], [y["w"] for x in lists for y in x]]
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.float64())))], names=["qids", "full", "qn", "qterms", "w"])
-
-    return weighted.select("query_id", "full", "terms").mapInArrow(run, "qids array<long>, full array<double>, qn array<long>, qterms array<string>, w array<double>")
-
-
-def _best(scores: np.ndarray, k: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the k best positive scores of each row, with all that tie with the last of them at six decimals."""
-    if k is not None and scores.shape[1] > k:
-        bar = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
-        return np.nonzero((scores > 0) & (scores >= bar - 1e-6))
-    return np.nonzero(scores > 0)
+                pairs = b.column(2).flatten()
+                terms = pairs.field(0).dictionary_encode()
+                of, vocab = terms.indices.to_numpy(), terms.dictionary
+                w = np.zeros(len(vocab))
+                w[of] = pairs.field(1).to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(b.num_rows), pc.list_value_length(b.column(2)).to_numpy(zero_copy_only=False))
+                yield _one(types, [b.column(0), b.column(1), vocab, w, np.bincount(of, minlength=len(vocab)), row[np.argsort(of, kind="stable")]])
+
+    return weighted.select("query_id", "full", "terms").mapInArrow(run, "qids array<long>, full array<double>, qvocab array<string>, w array<double>, qn array<int>, qrow array<int>")
+
+
+class _Shard:
+    """The documents of one row of `_packed`: what each posting adds to a score before the weight of its term (`part`), the order by term (`by`) and the documents in that order (`row`)."""
+
+    def __init__(self, b: pa.RecordBatch, avg: float, bm25: bool):
+        self.ids, self.kinds, self.vocab = _row(b, "ids"), _row(b, "kinds"), b.column("vocab").flatten()
+        doc, tf = np.repeat(np.arange(len(self.ids)), _row(b, "n")), _row(b, "tfs").astype(float)
+        self.part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * _row(b, "lens")[doc] / avg)) if bm25 else np.ones(len(tf))
+        self.by = np.argsort(_row(b, "of"), kind="stable")
+        self.row, self.df = doc[self.by], _row(b, "df")
+        self.at = np.cumsum(self.df) - self.df
+
+
+class _Pair:
+    """Scores of one shard for one block of queries. Terms that many queries and documents have are multiplied as matrices, others added one by one."""
+
+    def __init__(self, s: _Shard, b: pa.RecordBatch):
+        self.s, self.queries = s, len(b.column("qids").flatten())
+        place = pc.fill_null(pc.index_in(s.vocab, value_set=b.column("qvocab").flatten()), -1).to_numpy(zero_copy_only=False)
+        self.terms = np.flatnonzero(place >= 0)  # of the shard's
+        place, qn = place[self.terms], _row(b, "qn")
+        self.w, self.qn, self.qrow, self.qat = _row(b, "w")[place], qn[place], _row(b, "qrow"), (np.cumsum(qn) - qn)[place]
+
+    def _askers(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Queries that ask for each of the (local) terms, and the places of these in the list."""
+        n = self.qn[terms]
+        return self.qrow[np.repeat(self.qat[terms] - np.cumsum(n) + n, n) + np.arange(n.sum())], np.repeat(np.arange(len(terms)), n)
+
+    def scores(self) -> np.ndarray:
+        """Queries by documents."""
+        s = self.s
+        there = s.df[self.terms]
+        dense = self.qn * there * MATRIX >= self.queries * len(s.ids)
+        few, left, right = np.flatnonzero(dense), np.zeros((self.queries, dense.sum())), np.zeros((dense.sum(), len(s.ids)))
+        left[self._askers(few)] = 1
+        n, start = there[few], s.at[self.terms[few]]
+        at = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+        right[np.repeat(np.arange(len(few)), n), s.row[at]] = s.part[s.by[at]] * np.repeat(self.w[few], n)
+        out = left @ right
+        flat, rest = out.ravel(), np.flatnonzero(~dense & (there > 0))
+        n = there[rest]
+        post, t = np.repeat(s.at[self.terms[rest]] - np.cumsum(n) + n, n) + np.arange(n.sum()), np.repeat(rest, n)
+        doc, part, asked = s.row[post], s.part[s.by[post]] * self.w[t], self.qn[t].astype(int)
+        ends = np.cumsum(asked)
+        at = 0
+        while at < len(post):  # so many single additions at once
+            to = max(at + 1, np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 20), side="right"))
+            x, m = slice(at, to), asked[at:to]
+            q = self.qrow[np.repeat(self.qat[t[x]] - np.cumsum(m) + m, m) + np.arange(m.sum())].astype(int)
+            np.add.at(flat, q * len(s.ids) + np.repeat(doc[x], m), np.repeat(part[x], m))
+            at = to
+        return out
+
+
+class _Best:
+    """Of one block of queries the k best documents so far, with all that tie with the last of them at six decimals."""
+
+    def __init__(self, qids: np.ndarray, full: np.ndarray, k: int):
+        self.qids, self.full, self.k = qids, full, k
+        self.slack = 1e-6 * np.maximum(1.0, full)  # six decimals of the score or of its share
+        self.bar, self.r, self.ids, self.scores = None, np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+
+    def add(self, found: np.ndarray, scores: np.ndarray) -> None:
+        bar = self.bar
+        if bar is None:
+            bar = np.partition(scores, -self.k, axis=1)[:, -self.k] if scores.shape[1] > self.k else np.zeros(len(self.qids))
+        low = np.maximum(bar - self.slack, 1e-300)
+        r, c = np.divmod(np.flatnonzero((scores >= low[:, None]).ravel()), scores.shape[1])
+        if not len(r):
+            return
+        r, ids, new = np.append(self.r, r), np.append(self.ids, found[c]), np.append(self.scores, scores[r, c])
+        order = np.lexsort((-new, r))
+        r, ids, new = r[order], ids[order], new[order]
+        n = np.bincount(r, minlength=len(self.qids))
+        first, self.bar = np.cumsum(n) - n, np.zeros(len(self.qids))
+        enough = n >= self.k
+        self.bar[enough] = new[first[enough] + self.k - 1]
+        keep = new >= (self.bar - self.slack)[r]
+        self.r, self.ids, self.scores = r[keep], ids[keep], new[keep]
 
 
 def search(docs: DataFrame, k: int | None, scheme: str = "bm25", among: DataFrame | None = None, group: Column | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(query_id, doc_id, score, kind): of every shard the k best documents per query and `group` (all that share a term if k is None), scores rounded.
+    """(query_id, doc_id, score, kind): of every part of the documents the k best per query and `group` (all that share a term if k is None), scores rounded.
 
-    `scheme`: bm25; normalized, BM25 as a share of what a document of all query terms could reach; overlap, the share of the query's distinct terms. `among`: the documents that may be found (default: all); statistics are those of all. A boost that is the same for all documents of a group can be added afterwards without losing any of the best. Documents with a null id or without tokens are neither queries nor found."""
+    `scheme`: bm25; normalized, BM25 as a share of what a document of all query terms could reach; overlap, the share of the query's distinct terms; both, bm25 with the share beside it (`share`). `among`: the documents that may be found (default: all); statistics are those of all. A boost that is the same for all documents of a group can be added afterwards without losing any of the best. Documents with a null id or without tokens are neither queries nor found."""
     steps = Steps(docs.sparkSession)
-    asked = postings(docs.where(F.col(key) % 50 == 0), key, text).select(F.col(key).cast("long").alias("query_id"), "term")
-    size = corpus_size(spread(docs.select(text)), text).first()
+    asked = steps.write(postings(docs.where(F.col(key) % 50 == 0), key, text).select(F.col(key).cast("long").alias("query_id"), "term"))
+    packed = steps.write(_packed(docs, key, text, group, SHARD))
+    size = packed.select(F.explode("lens").alias("len")).where("len > 0").agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len")).first()
     n_docs, avg = size["n_docs"], size["avg_len"] or 1.0
     if scheme == "overlap":
         weighted = asked.withColumn("w", F.lit(1.0))
     else:
-        stats = steps.write(document_frequency(docs, text))
-        weighted = join_lookup(steps.write(asked), stats, "term", "inner").withColumn("w", idf(F.col("df"), F.lit(n_docs)))
-    full = F.sum("w") * ((K1 + 1) if scheme == "normalized" else 1.0)
+        stats = packed.select(F.explode(F.arrays_zip("vocab", "df")).alias("x")).groupBy(F.col("x.vocab").alias("term")).agg(F.sum("x.df").alias("df"))
+        weighted = join_lookup(asked, steps.write(stats), "term", "inner").withColumn("w", idf(F.col("df"), F.lit(n_docs)))
+    full = F.sum("w") * (1.0 if scheme == "overlap" else K1 + 1)
     queries = weighted.groupBy("query_id").agg(full.alias("full"), F.collect_list(F.struct("term", "w")).alias("terms"))  # the terms of one text
-    queries = steps.write(_query_blocks(queries))
-    shards = _packed(docs if among is None else among, key, text, group, SHARD)
+    queries = steps.write(_query_blocks(queries.repartition(-(-asked.select("query_id").distinct().count() // BLOCK) or 1)))
+    shards = packed if among is None else steps.write(_packed(among, key, text, group, SHARD))
+    shards = shards.where(F.size("ids") > 0).withColumn("sid", F.monotonically_increasing_id())
+
+    def found(qids, ids, scores, full_, kind) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(qids), 1 << 18):
+            x = scores[i : i + (1 << 18)]
+            share = np.divide(x, full_[i : i + (1 << 18)], out=np.zeros_like(x), where=full_[i : i + (1 << 18)] > 0) if scheme != "bm25" else None
+            given = [half_up(v) for v in {"bm25": [x], "both": [x, share]}.get(scheme, [share])]
+            yield pa.RecordBatch.from_arrays([pa.array(qids[i : i + (1 << 18)]), pa.array(ids[i : i + (1 << 18)]), *map(pa.array, given), pa.repeat(pa.scalar(kind, pa.string()), len(x))], names=["query_id", "doc_id", "score", *["share"] * (scheme == "both"), "kind"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sid, best = None, {}
         for whole in batches:
             for i in range(whole.num_rows):
                 b = whole.slice(i, 1)
-                ids, lens, n, tfs, qids, full_, qn, w = (_strings(b.column(c)).to_numpy(zero_copy_only=False) for c in ("ids", "lens", "n", "tfs", "qids", "full", "qn", "w"))
-                kinds = np.array(_strings(b.column("kinds")).to_pylist(), dtype=object)
-                qterms, terms = _strings(b.column("qterms")), _strings(b.column("terms"))
-                vocabulary = pc.unique(qterms)
-                of = pc.fill_null(pc.index_in(terms, value_set=vocabulary), -1).to_numpy(zero_copy_only=False)
-                qof = pc.index_in(qterms, value_set=vocabulary).to_numpy(zero_copy_only=False)
-                there = np.flatnonzero(of >= 0)
-                there = there[np.argsort(of[there], kind="stable")]
-                row, tf = np.repeat(np.arange(len(ids)), n)[there], tfs[there].astype(float)
-                part = np.ones(len(there)) if scheme == "overlap" else tf * (K1 + 1) / (tf + K1 * (1 - B + B * lens[row] / avg))
-                order = np.argsort(qof, kind="stable")
-                qrow, w = np.repeat(np.arange(len(qids)), qn)[order], w[order]
-                bounds = np.arange(len(vocabulary) + 1)
-                d_at, q_at = np.searchsorted(of[there], bounds), np.searchsorted(qof[order], bounds)
-                scores = np.zeros((len(qids), len(ids)))
-                for t in np.flatnonzero(np.diff(d_at)):
-                    q = slice(q_at[t], q_at[t + 1])
-                    d = slice(d_at[t], d_at[t + 1])
-                    scores[np.ix_(qrow[q], row[d])] += np.outer(w[q], part[d])
-                if scheme != "bm25":
-                    scores = np.divide(scores, full_[:, None], out=np.zeros_like(scores), where=full_[:, None] > 0)
-                for kind in sorted(set(kinds)):
-                    at = np.flatnonzero(kinds == kind)
-                    r, c = _best(scores[:, at], k)
-                    yield pa.RecordBatch.from_arrays([pa.array(qids[r]), pa.array(ids[at[c]]), pa.array(scores[r, at[c]]), pa.array([kind] * len(r), pa.string())], names=["query_id", "doc_id", "score", "kind"])
+                if sid != (sid := b.column("sid")[0].as_py()):
+                    s = _Shard(b, avg, scheme != "overlap")
+                    kinds = [(x, np.flatnonzero(s.kinds == x)) for x in sorted(set(s.kinds))]
+                pair, qids, full_ = _Pair(s, b), _row(b, "qids"), _row(b, "full")
+                scores = pair.scores()
+                for kind, at in kinds:
+                    at = at if len(kinds) > 1 else None
+                    if k is None:
+                        for q in range(0, len(qids), 128):  # so many rows at once
+                            some = scores[q : q + 128] if at is None else scores[q : q + 128, at]
+                            r, c = np.divmod(np.flatnonzero(some.ravel() > 0), some.shape[1])
+                            yield from found(qids[q + r], s.ids[c if at is None else at[c]], some[r, c], full_[q + r], kind)
+                    else:
+                        if (qids[0], kind) not in best:
+                            best[qids[0], kind] = _Best(qids, full_, k)
+                        best[qids[0], kind].add(*((s.ids, scores) if at is None else (s.ids[at], scores[:, at])))
+        for (_, kind), x in best.items():
+            yield from found(x.qids[x.r], x.ids, x.scores, x.full[x.r], kind)
 
     pairs = shards.join(queries, F.lit(True))  # blocks of queries against shards
-    return pairs.mapInArrow(run, "query_id long, doc_id long, score double, kind string").withColumn("score", F.round("score", 6))
+    return pairs.mapInArrow(run, "query_id long, doc_id long, score double, " + "share double, " * (scheme == "both") + "kind string")
 
 
 def top(scored: DataFrame, k: int = TOP, query: str = "query_id", key: str = "doc_id") -> DataFrame:

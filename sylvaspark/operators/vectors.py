@@ -16,6 +16,7 @@ from sylvaspark.common import Steps, row_rank, table
 from sylvaspark.functions import text as X
 from sylvaspark.operators import lexical
 from sylvaspark.operators.fields import key_sql
+from sylvaspark.operators.lexical import half_up
 
 BLOCK = 1024
 # Weights of fusion and pair scoring, thresholds and bonuses.
@@ -87,16 +88,16 @@ def o12_vector_index(spark, sf_dir):
     return _vectors(spark, sf_dir).select("vec_id", F.size("embedding").alias("dims"), F.round(F.sqrt(dot), 5).alias("norm"), "label")
 
 
-def _ranked_lists(spark, sf_dir):
-    """Dense and lexical lists of 20 of each query: documents and vectors share ids. Queries and documents without a vector are in the lexical lists only."""
+def _ranked_lists(spark, sf_dir, shares=None):
+    """Dense and lexical lists of 20 of each query: documents and vectors share ids. Queries and documents without a vector are in the lexical lists only. `shares`: the lexical scores of a search that is there already."""
     v = _vectors(spark, sf_dir)
     dense = top_cosine(v.where("vec_id % 50 = 0"), v, 20).select("query_id", F.col("id").alias("doc_id"), F.col("cosine").alias("vec"), F.col("rank").alias("dense_rank"))
-    bm = lexical.top(lexical.ranked(spark, sf_dir, 20, "normalized").drop("kind"), 20).select("query_id", "doc_id", F.col("score").alias("lex"), F.col("rank").alias("lex_rank"))
+    bm = lexical.top(lexical.ranked(spark, sf_dir, 20, "normalized").drop("kind") if shares is None else shares, 20).select("query_id", "doc_id", F.col("score").alias("lex"), F.col("rank").alias("lex_rank"))
     return dense, bm
 
 
-def _fused(spark, sf_dir):
-    dense, bm = _ranked_lists(spark, sf_dir)
+def _fused(spark, sf_dir, shares=None):
+    dense, bm = _ranked_lists(spark, sf_dir, shares)
     d = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_kind") == "syllabus").cast("double").alias("section"))
     return dense.join(bm, ["query_id", "doc_id"], "full").join(d, "doc_id", "left")
 
@@ -109,19 +110,19 @@ def o107_rrf_fusion(spark, sf_dir):
     return lexical.top(j.select("query_id", "doc_id", "score", came.alias("found_by")), 10)
 
 
-def _backfilled(spark, sf_dir):
+def _backfilled(spark, sf_dir, shares=None):
     """Candidates of both lists; lexical-only ones get their true cosine, null where the query or the document has no vector."""
     v = _vectors(spark, sf_dir)
-    j = _fused(spark, sf_dir)
+    j = _fused(spark, sf_dir, shares)
     q = v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qe"))
     e = v.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("de"))
     full = j.join(e, "doc_id", "left").join(q, "query_id", "left").withColumn("vec", F.coalesce("vec", F.when(F.col("de").isNotNull() & F.col("qe").isNotNull(), F.round(cosine(F.col("de"), F.col("qe")), 6))))
     return full.select("query_id", "doc_id", "vec", F.coalesce("lex", F.lit(0.0)).alias("lex"), F.coalesce("section", F.lit(0.0)).alias("section"), F.col("dense_rank").isNull().alias("lexical_only"))
 
 
-def o106_linear_fusion(spark, sf_dir):
+def o106_linear_fusion(spark, sf_dir, shares=None):
     """Weighted vector, lexical and section scores of the candidates of both lists; lexical-only ones get their true cosine, 0 where there is no vector to compare."""
-    j = _backfilled(spark, sf_dir).withColumn("score", F.round(VECTOR * F.coalesce("vec", F.lit(0.0)) + LEXICAL * F.col("lex") + BOOST * F.col("section"), 8))
+    j = _backfilled(spark, sf_dir, shares).withColumn("score", F.round(VECTOR * F.coalesce("vec", F.lit(0.0)) + LEXICAL * F.col("lex") + BOOST * F.col("section"), 8))
     return lexical.top(j.select("query_id", "doc_id", "score", "lexical_only"), 10)
 
 
@@ -161,11 +162,6 @@ def concepts(v: DataFrame) -> DataFrame:
     return v.select("vec_id", "embedding", F.col("label").alias("discipline"), (F.col("vec_id") % 3).alias("bloom"), F.when(F.col("vec_id") % 11 != 0, 1 + F.col("vec_id") % 8).alias("semester"), (F.col("vec_id") % 50).alias("course")).where("course % 17 <> 0")
 
 
-def half_up(x: np.ndarray, digits: int = 6) -> np.ndarray:
-    """Rounded as Spark rounds: halves go away from zero."""
-    return np.copysign(np.floor(np.abs(x) * 10**digits + 0.5) / 10**digits, x)
-
-
 def _concept_blocks(c: DataFrame) -> DataFrame:
     """Blocks of concepts with their attributes; -1 stands for no semester."""
     x = F.struct(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"), F.col("discipline").cast("string").alias("d"), "bloom", F.coalesce("semester", F.lit(-1)).alias("s"), "course")
