@@ -36,3 +36,19 @@ def test_dispatch_searches_once(spark, tmp_path, monkeypatch):
     got = {(r.mode, r.query_id) for r in answers.o109_dispatch(spark, str(tmp_path)).collect()}
     assert len(calls) == 1
     assert {m for m, _ in got} == {"bm25", "dense", "linear"} and len(got) == 12 + 6 + 12
+
+
+def test_every_match_in_small_tasks(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "SHARD", 4)
+    monkeypatch.setattr(lexical, "BLOCK", 2)
+    monkeypatch.setattr(lexical, "SHARDS", 2)
+    d = spark.createDataFrame([(i, f"common w{i % 7} v{i}") for i in range(1, 301)], "doc_id long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = lexical.search(d, None).select("query_id", "doc_id", "score", F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    best = {(r.query_id, r.doc_id, r.score) for r in lexical.search(d, 300).collect()}
+    assert len(rows) == 6 * 300 and {(r.query_id, r.doc_id, r.score) for r in rows} == best
+    for task in {r.task for r in rows}:
+        assert len({r.doc_id for r in rows if r.task == task}) <= 4 * 2 and len({r.query_id for r in rows if r.task == task}) <= 2
