@@ -52,3 +52,25 @@ def test_every_match_in_small_tasks(spark, monkeypatch):
     assert len(rows) == 6 * 300 and {(r.query_id, r.doc_id, r.score) for r in rows} == best
     for task in {r.task for r in rows}:
         assert len({r.doc_id for r in rows if r.task == task}) <= 4 * 2 and len({r.query_id for r in rows if r.task == task}) <= 2
+
+
+def test_every_match_reads_few_shards_at_once(spark, monkeypatch):
+    paths = []
+
+    class Watched(lexical.Steps):
+        def write(self, df, *a, **k):
+            out = super().write(df, *a, **k)
+            paths.extend([self.path] * ("vocab" in df.columns))
+            return out
+
+    monkeypatch.setattr(lexical, "SHARD", 4)
+    monkeypatch.setattr(lexical, "SHARDS", 2)
+    monkeypatch.setattr(lexical, "Steps", Watched)
+    d = spark.createDataFrame([(i, f"common w{i % 7} v{i}") for i in range(1, 301)], "doc_id long, text string")
+    for among in (None, d.where("doc_id % 2 = 0")):
+        paths.clear()
+        found = lexical.search(d, None, among=among)
+        assert found.count() == 6 * (300 if among is None else 150) and len(paths) == (1 if among is None else 2)
+        for path in paths:
+            files = spark.read.parquet(path).groupBy(F.input_file_name().alias("file")).count().collect()
+            assert max(r["count"] for r in files) <= 2
